@@ -4,6 +4,7 @@ from .dax import distinctcount_blank, divide, switch_true, weeknum_us
 from .tsql import (
     add_days_trunc,
     day_diff,
+    dec_avg,
     hour_boundaries,
     int_avg,
     isnull_typed,
@@ -19,6 +20,7 @@ from .tsql import (
 __all__ = [
     "add_days_trunc",
     "day_diff",
+    "dec_avg",
     "distinctcount_blank",
     "divide",
     "hour_boundaries",

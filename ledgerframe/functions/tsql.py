@@ -115,3 +115,14 @@ def round_half_up(x: ColumnOrName, n: int = 2) -> Column:
 def money(x: ColumnOrName) -> Column:
     """Canonical DECIMAL(38,6) money type (T-SQL ``numeric(38,6)`` LineTotal)."""
     return _c(x).cast("decimal(38,6)")
+
+
+def dec_avg(x: ColumnOrName) -> Column:
+    """Exact mean of a DECIMAL column (scale <= 6) at 16 decimals.
+
+    Spark's ``avg(decimal(p, s))`` rounds at scale s+4; a later ROUND to 6
+    decimals of a scale-4 column would then round twice.  Summing exactly
+    and dividing once keeps a single rounding.
+    """
+    c = _c(x)
+    return F.sum(c).cast("decimal(28,6)") / F.count(c).cast("decimal(20,0)")

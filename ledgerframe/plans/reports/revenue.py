@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions import int_avg, round_half_up, safe_div
+from ...functions import dec_avg, int_avg, round_half_up, safe_div
 
 # Discount bucket ladder of the deep-dive report (upper bounds
 # inclusive, first match wins; NULL falls to the last label).
@@ -97,7 +97,7 @@ def discount_impact(g: DataFrame, top: int | None = 10) -> DataFrame:
         F.avg("GrossRevenue").alias("_avg_rev"),
         F.sum("EstimatedNetProfit").alias("TotalProfit"),
         F.avg(safe_div("EstimatedNetProfit", "GrossRevenue") * 100).alias("_avg_m"),
-        F.avg(F.col("UnitPriceDiscount") * 100).alias("_avg_d"),
+        dec_avg(F.col("UnitPriceDiscount") * 100).alias("_avg_d"),
         F.sum("UnitPriceDiscount").alias("_sum_d"))
     out = agg.select(
         "DiscountBucket", "CategoryName", "TransactionCount", "AvgQtyPerOrder", "TotalQty",

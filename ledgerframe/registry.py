@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import golden as G
-from .plans.reports import revenue
+from .plans.reports import customer, forecast, geo, operations, pricing, product, revenue, scorecard
 
 
 def _g(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +28,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d1_1": _report(revenue.revenue_trend),
     "d1_2": _report(revenue.margin_by_dimension),
     "d1_3": _report(revenue.discount_impact),
+    "d2_1": _report(customer.rfm),
+    "d2_2": _report(customer.cohort_retention),
+    "d2_3": _report(customer.churn_risk),
+    "d3_1": _report(product.bcg_matrix),
+    "d3_2": _report(product.product_affinity),
+    "d3_3": _report(product.product_lifecycle),
+    "d4_1": _report(geo.geo_performance),
+    "d4_2": _report(geo.channel_comparison),
+    "d5_1": _report(pricing.price_sensitivity),
+    "d5_2": _report(pricing.promotion_effectiveness),
+    "d6_1": _report(operations.status_fulfilment),
+    "d6_2": _report(operations.anomaly_detection),
+    "d7_1": _report(forecast.forecast_trend),
+    "d8_1": _report(scorecard.health_scorecard),
 }

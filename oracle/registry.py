@@ -7,4 +7,18 @@ SQL: dict[str, str] = {
     "d1_1": R.D1_1,
     "d1_2": R.D1_2,
     "d1_3": R.D1_3,
+    "d2_1": R.D2_1,
+    "d2_2": R.D2_2,
+    "d2_3": R.D2_3,
+    "d3_1": R.D3_1,
+    "d3_2": R.D3_2,
+    "d3_3": R.D3_3,
+    "d4_1": R.D4_1,
+    "d4_2": R.D4_2,
+    "d5_1": R.D5_1,
+    "d5_2": R.D5_2,
+    "d6_1": R.D6_1,
+    "d6_2": R.D6_2,
+    "d7_1": R.D7_1,
+    "d8_1": R.D8_1,
 }
