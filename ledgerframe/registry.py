@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import calendar as C
 from .plans import golden as G
+from .plans import measures as M
 from .plans.reports import customer, forecast, geo, operations, pricing, product, revenue, scorecard
 
 
@@ -42,4 +44,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "d6_2": _report(operations.anomaly_detection),
     "d7_1": _report(forecast.forecast_trend),
     "d8_1": _report(scorecard.health_scorecard),
+    "cal": _report(C.date_table),
+    "m_core": _report(M.core_measures, by=["CategoryName", "TerritoryRegion"]),
+    "m_time": _report(M.time_intelligence),
+    "m_ma": _report(M.moving_averages),
+    "m_customer": _report(M.customer_measures),
+    "m_rfm": _report(M.rfm_columns),
+    "m_product": _report(M.product_measures, by=["CategoryName"]),
+    "m_pareto": _report(M.pareto, by=["CategoryName"]),
+    "m_lifecycle": _report(M.lifecycle_stage),
+    "m_ops": _report(M.operations_measures, by=["TerritoryName"]),
+    "m_buckets": _report(M.bucket_columns),
+    "m_anomaly": _report(M.anomaly_measures, by=["CategoryName"]),
+    "m_forecast": _report(M.forecast_measures),
+    "m_scenario": _report(M.scenario_card),
+    "m_season": _report(M.seasonal_index),
+    "m_weekpart": _report(M.weekpart_revenue),
+    "m_territory": _report(M.territory_growth_rank),
 }

@@ -1,5 +1,6 @@
 """Oracle SQL per registered query key."""
 
+from . import measures as M
 from . import reports as R
 
 SQL: dict[str, str] = {
@@ -21,4 +22,21 @@ SQL: dict[str, str] = {
     "d6_2": R.D6_2,
     "d7_1": R.D7_1,
     "d8_1": R.D8_1,
+    "cal": M.CAL,
+    "m_core": M.M_CORE,
+    "m_time": M.M_TIME,
+    "m_ma": M.M_MA,
+    "m_customer": M.M_CUSTOMER,
+    "m_rfm": M.M_RFM,
+    "m_product": M.M_PRODUCT,
+    "m_pareto": M.M_PARETO,
+    "m_lifecycle": M.M_LIFECYCLE,
+    "m_ops": M.M_OPS,
+    "m_buckets": M.M_BUCKETS,
+    "m_anomaly": M.M_ANOMALY,
+    "m_forecast": M.M_FORECAST,
+    "m_scenario": M.M_SCENARIO,
+    "m_season": M.M_SEASON,
+    "m_weekpart": M.M_WEEKPART,
+    "m_territory": M.M_TERRITORY,
 }
