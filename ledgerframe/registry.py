@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import calendar as C
 from .plans import golden as G
 from .plans import measures as M
+from .plans.cleaning import person as B1
+from .plans.cleaning import production as PROD
+from .plans.cleaning import sales as SALES
+from .sources import tpch
 from .plans.reports import customer, forecast, geo, operations, pricing, product, revenue, scorecard
 
 
@@ -25,7 +29,15 @@ def _report(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(_g(spark, sf_dir), **kw)
 
 
+def _clean(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(tpch.aw_sources(spark, sf_dir), **kw)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "clean_person": _clean(B1.clean_person),
+    "clean_product": _clean(PROD.product_master, as_of=tpch.AS_OF),
+    "clean_customer": _clean(SALES.customer_profile),
+    "clean_sales": lambda spark, sf_dir: tpch.sales_performance(spark, sf_dir),
     "golden": _g,
     "d1_1": _report(revenue.revenue_trend),
     "d1_2": _report(revenue.margin_by_dimension),

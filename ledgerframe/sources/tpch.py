@@ -217,3 +217,82 @@ def sales_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("TerritoryID"),
         "CurrencyCode",
     )
+
+
+# ------------------------------------------------------------ raw AW tables
+def aw_sources(spark: SparkSession, sf_dir: str):
+    """The driver tables re-shaped as the raw operational tables the cleaning
+    datasets read (Production product family, Sales customer family, Person
+    identity + email), so B1 / B8 / B16 run unchanged on driver data.
+
+    Dimension tables derived from ``part`` (subcategory = type × brand,
+    category = type) are DISTINCT projections: their size is bounded by the
+    number of types and brands, not by the number of parts.
+    """
+    from .catalog import Sources
+
+    p = read_table(spark, sf_dir, "part")
+    cat_id = F.xxhash64(F.col("p_type"))
+    sub_id = F.xxhash64(F.col("p_type"), F.col("p_brand"))
+    sell_end = _pick(F.col("p_partkey") % 4, SELL_END_BY_KEY_MOD4).cast("timestamp")
+    product = p.select(
+        F.col("p_partkey").alias("ProductID"), F.col("p_name").alias("Name"),
+        F.concat(F.lit("PN-"), F.col("p_partkey").cast("string")).alias("ProductNumber"),
+        F.split(F.col("p_name"), " ").getItem(0).alias("Color"),
+        F.col("p_size").cast("string").alias("Size"),
+        _dec_from_units(F.call_function("div", _cents(F.col("p_retailprice")), F.col("p_size").cast("bigint")),
+                        2, "decimal(19,4)").alias("StandardCost"),
+        _dec_from_units(_cents(F.col("p_retailprice")), 2, "decimal(19,4)").alias("ListPrice"),
+        lit_date(SELL_START).cast("timestamp").alias("SellStartDate"),
+        sell_end.alias("SellEndDate"),
+        sub_id.alias("ProductSubcategoryID"),
+        F.lit(None).cast("bigint").alias("ProductModelID"),
+        (F.col("p_size") * 10).alias("SafetyStockLevel"))
+    subcat = p.select(sub_id.alias("ProductSubcategoryID"), F.col("p_brand").alias("Name"),
+                      cat_id.alias("ProductCategoryID")).distinct()
+    category = p.select(cat_id.alias("ProductCategoryID"), F.col("p_type").alias("Name")).distinct()
+    model = spark.createDataFrame([], "ProductModelID bigint, Name string")
+
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n = F.broadcast(read_table(spark, sf_dir, "nation"))
+    r = F.broadcast(read_table(spark, sf_dir, "region"))
+    kind = F.col("c_custkey") % 3
+    customer = c.select(
+        F.col("c_custkey").alias("CustomerID"),
+        F.when(kind == 0, F.col("c_custkey")).alias("StoreID"),
+        F.when(kind == 1, F.col("c_custkey")).alias("PersonID"),
+        F.col("c_nationkey").alias("TerritoryID"),
+        F.concat(F.lit("AW"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("AccountNumber"))
+    store = c.where(kind == 0).select(F.col("c_custkey").alias("BusinessEntityID"), F.col("c_name").alias("Name"))
+    territory = n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
+        F.col("n_nationkey").alias("TerritoryID"), F.col("n_name").alias("Name"),
+        F.col("r_name").alias("Group"),
+        _pick(F.col("n_nationkey") % 6, COUNTRY_BY_NATION_MOD6).alias("CountryRegionCode"))
+
+    named = c.where(F.col("c_custkey") % PERSON_NULL_MODULUS != 0)
+    pers = named.select(
+        F.col("c_custkey").alias("BusinessEntityID"), F.lit("IN").alias("PersonType"),
+        F.lit(None).cast("string").alias("Title"), F.col("c_name").alias("FirstName"),
+        F.lit(None).cast("string").alias("MiddleName"), F.lit(None).cast("string").alias("LastName"),
+        F.lit(None).cast("string").alias("Suffix"), (F.col("c_custkey") % 3).cast("int").alias("EmailPromotion"),
+        F.lit(None).cast("timestamp").alias("ModifiedDate"))
+    email = named.select(F.col("c_custkey").alias("BusinessEntityID"),
+                         F.concat(F.col("c_name"), F.lit(EMAIL_DOMAIN)).alias("EmailAddress"))
+    empty = {
+        "Person.PersonPhone": "BusinessEntityID bigint, PhoneNumber string, PhoneNumberTypeID int",
+        "Person.PhoneNumberType": "PhoneNumberTypeID int, Name string",
+        "Person.BusinessEntityAddress": "BusinessEntityID bigint, AddressID int, AddressTypeID int",
+        "Person.Address": "AddressID int, AddressLine1 string, AddressLine2 string, City string, "
+                          "PostalCode string, StateProvinceID int",
+        "Person.AddressType": "AddressTypeID int, Name string",
+        "Person.StateProvince": "StateProvinceID int, Name string, CountryRegionCode string",
+        "Person.CountryRegion": "CountryRegionCode string, Name string",
+    }
+    tables = {
+        "Production.Product": product, "Production.ProductSubcategory": subcat,
+        "Production.ProductCategory": category, "Production.ProductModel": model,
+        "Sales.Customer": customer, "Sales.Store": store, "Sales.SalesTerritory": territory,
+        "Person.Person": pers, "Person.EmailAddress": email,
+    }
+    tables.update({k: spark.createDataFrame([], v) for k, v in empty.items()})
+    return Sources(spark, tables)

@@ -255,3 +255,37 @@ SELECT Year, TerritoryName, {d('tr')} AS TotalRevenue, {d('py')} AS PYRevenue, {
 FROM t2
 QUALIFY tr IS NOT NULL OR py IS NOT NULL
 """
+
+CLEAN_PERSON = """
+SELECT c_custkey AS BusinessEntityID, 'IN' AS PersonType, 'N/A' AS Title, c_name AS FullName, '' AS Suffix,
+  lower(trim(c_name || '@x.test')) AS CleanEmail, CAST(NULL AS VARCHAR) AS PhoneNumber, CAST(NULL AS VARCHAR) AS PhoneType,
+  CAST(NULL AS VARCHAR) AS MainAddress, '-' AS SecondaryAddress, CAST(NULL AS VARCHAR) AS City,
+  CAST(NULL AS VARCHAR) AS StateProvince, CAST(NULL AS VARCHAR) AS CountryRegion, CAST(NULL AS VARCHAR) AS PostalCode,
+  CAST(NULL AS VARCHAR) AS AddressType,
+  CASE c_custkey % 3 WHEN 0 THEN 'No Promotion' WHEN 1 THEN 'Internal Only' WHEN 2 THEN 'All Promotions' END AS MarketingPreference,
+  CAST(NULL AS TIMESTAMP) AS ModifiedDate
+FROM customer WHERE c_custkey % 5 <> 0
+"""
+
+CLEAN_PRODUCT = f"""
+SELECT p_partkey AS ProductID, p_name AS ProductName, 'PN-' || CAST(p_partkey AS VARCHAR) AS ProductNumber,
+  p_type AS CategoryName, p_brand AS SubcategoryName, CAST(NULL AS VARCHAR) AS ModelName,
+  COALESCE(split_part(p_name, ' ', 1), 'No Color') AS Color, CAST(p_size AS VARCHAR) AS Size,
+  CAST(CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) // CAST(p_size AS BIGINT) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(19,4)) AS DOUBLE) AS StandardCost,
+  CAST(CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(19,4)) AS DOUBLE) AS ListPrice,
+  CAST(CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(19,4))
+     - CAST(CAST(CAST(round(p_retailprice * 100) AS BIGINT) // CAST(p_size AS BIGINT) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(19,4)) AS DOUBLE) AS ProfitMargin,
+  DATE '1990-01-01' AS SellStartDate,
+  CASE p_partkey % 4 WHEN 0 THEN DATE '1999-01-01' WHEN 1 THEN DATE '2090-01-01' ELSE DATE '9999-12-31' END AS SellEndDate,
+  CASE WHEN p_partkey % 4 IN (2, 3) THEN 'Active' WHEN p_partkey % 4 = 0 THEN 'Discontinued' ELSE 'Active' END AS ProductStatus
+FROM part
+"""
+
+CLEAN_CUSTOMER = """
+SELECT c.c_custkey AS CustomerID, 'AW' || lpad(CAST(c.c_custkey AS VARCHAR), 8, '0') AS AccountNumber,
+  CASE c.c_custkey % 3 WHEN 0 THEN 'B2B (Store)' WHEN 1 THEN 'B2C (Individual)' ELSE 'Unknown' END AS CustomerType,
+  CASE WHEN c.c_custkey % 3 = 0 THEN c.c_name ELSE 'Individual Customer' END AS StoreName,
+  n.n_name AS TerritoryName, r.r_name AS TerritoryRegion,
+  CASE n.n_nationkey % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'GB' WHEN 3 THEN 'AU' WHEN 4 THEN 'FR' WHEN 5 THEN 'DE' END AS CountryRegionCode
+FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
+"""

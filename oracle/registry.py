@@ -4,6 +4,10 @@ from . import measures as M
 from . import reports as R
 
 SQL: dict[str, str] = {
+    "clean_person": M.CLEAN_PERSON,
+    "clean_product": M.CLEAN_PRODUCT,
+    "clean_customer": M.CLEAN_CUSTOMER,
+    "clean_sales": R.CLEAN_SALES,
     "golden": R.GOLDEN_SELECT,
     "d1_1": R.D1_1,
     "d1_2": R.D1_2,
