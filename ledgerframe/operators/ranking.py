@@ -76,3 +76,22 @@ def global_ntile(df: DataFrame, k: int, order: list[Column], out: str,
     ranked = global_row_number(df, order, "_rn", num_partitions)
     return ranked.select(*df.columns,
                          ntile_from_row_number(F.col("_rn"), F.col("_rn_total"), k).alias(out))
+
+
+def global_running_sum(df: DataFrame, order: list[Column], value: str, out: str,
+                       num_partitions: int | None = None) -> DataFrame:
+    """Append ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING)
+    and ``out + '_total'`` without a single-partition sort: range partitions
+    are checkpointed, their sums give per-range offsets (a running sum over n
+    rows), and the running sum inside a range adds its offset."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _ckpt(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    tagged = ranged.select("*", F.shiftright(F.monotonically_increasing_id(), _ID_BITS).alias("_rng"))
+    sums = tagged.groupBy("_rng").agg(F.sum(value).alias("_s"))
+    run = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_rng", F.coalesce(F.sum("_s").over(run), F.lit(0)).alias("_off"),
+                          F.sum("_s").over(Window.partitionBy(F.lit(1))).alias(out + "_total"))
+    local = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    res = tagged.join(F.broadcast(offsets), "_rng")
+    return res.select(*df.columns, (F.col("_off") + F.sum(value).over(local)).alias(out), out + "_total")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .plans import calendar as C
 from .plans import golden as G
 from .plans import measures as M
+from .plans import pages as P
 from .plans.cleaning import person as B1
 from .plans.cleaning import production as PROD
 from .plans.cleaning import sales as SALES
@@ -73,4 +74,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "m_season": _report(M.seasonal_index),
     "m_weekpart": _report(M.weekpart_revenue),
     "m_territory": _report(M.territory_growth_rank),
+    "page_1": _report(lambda g: P.page_1(g)["kpis"]),
+    "page_2": _report(P.margin_by_segment),
+    "page_3": _report(P.segment_summary),
+    "page_4": _report(P.pareto_curve),
+    "page_5": _report(P.region_trend),
+    "page_6": _report(P.day_of_week),
+    "page_7": _report(P.channel_size),
+    "page_8": _report(P.z_bands),
+    "page_9": _report(P.forecast_6m),
 }

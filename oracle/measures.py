@@ -85,10 +85,11 @@ FROM spine s LEFT JOIN cur c ON c.p = s.p LEFT JOIN cur pc ON pc.p + 1 = s.p LEF
 WHERE c.TotalCustomers IS NOT NULL OR pc.TotalCustomers IS NOT NULL
 """
 
-M_RFM = with_golden(f"""
+RFM_C = f"""
 c AS (SELECT CustomerID, CAST(date_diff('day', MAX(OrderDate), (SELECT MAX(OrderDate) FROM golden)) AS INTEGER) AS days,
         {dcb('SalesOrderID')} AS n_orders, SUM(GrossRevenueUSD) AS CustomerLTV
-      FROM golden GROUP BY CustomerID)""", """
+      FROM golden GROUP BY CustomerID)"""
+RFM_S = """
 s AS (SELECT CustomerID, days, CustomerLTV,
   CASE WHEN COALESCE(days, 0) <= 30 THEN 5 WHEN COALESCE(days, 0) <= 90 THEN 4 WHEN COALESCE(days, 0) <= 180 THEN 3
        WHEN COALESCE(days, 0) <= 365 THEN 2 ELSE 1 END AS RScore,
@@ -96,8 +97,9 @@ s AS (SELECT CustomerID, days, CustomerLTV,
        WHEN COALESCE(n_orders, 0) >= 2 THEN 2 ELSE 1 END AS FScore,
   CASE WHEN COALESCE(CustomerLTV, 0) >= 100000 THEN 5 WHEN COALESCE(CustomerLTV, 0) >= 50000 THEN 4
        WHEN COALESCE(CustomerLTV, 0) >= 25000 THEN 3 WHEN COALESCE(CustomerLTV, 0) >= 10000 THEN 2 ELSE 1 END AS MScore
-  FROM c)""") + """
-SELECT CustomerID, RScore, FScore, MScore, CAST(CustomerLTV AS DOUBLE) AS CustomerLTV, days AS DaysSinceLastOrder,
+  FROM c)"""
+RFM_SEG = """
+seg AS (SELECT *,
   CASE WHEN RScore >= 4 AND FScore >= 4 AND MScore >= 4 THEN 'Champions'
        WHEN RScore >= 3 AND FScore >= 3 AND MScore >= 4 THEN 'Loyal Customers'
        WHEN RScore >= 4 AND FScore <= 2 AND MScore >= 3 THEN 'Big Spenders'
@@ -105,7 +107,12 @@ SELECT CustomerID, RScore, FScore, MScore, CAST(CustomerLTV AS DOUBLE) AS Custom
        WHEN RScore <= 2 AND FScore >= 4 THEN 'Can''t Lose Them'
        WHEN RScore <= 2 THEN 'Lost'
        ELSE 'Regular' END AS CustomerSegment
-FROM s
+  FROM s)"""
+
+M_RFM = with_golden(RFM_C, RFM_S, RFM_SEG) + """
+SELECT CustomerID, RScore, FScore, MScore, CAST(CustomerLTV AS DOUBLE) AS CustomerLTV, days AS DaysSinceLastOrder,
+  CustomerSegment
+FROM seg
 """
 
 M_PRODUCT = with_golden(f"""

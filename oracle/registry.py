@@ -1,6 +1,7 @@
 """Oracle SQL per registered query key."""
 
 from . import measures as M
+from . import pages as P
 from . import reports as R
 
 SQL: dict[str, str] = {
@@ -43,4 +44,13 @@ SQL: dict[str, str] = {
     "m_season": M.M_SEASON,
     "m_weekpart": M.M_WEEKPART,
     "m_territory": M.M_TERRITORY,
+    "page_1": P.PAGE_1,
+    "page_2": P.PAGE_2,
+    "page_3": P.PAGE_3,
+    "page_4": P.PAGE_4,
+    "page_5": P.PAGE_5,
+    "page_6": P.PAGE_6,
+    "page_7": P.PAGE_7,
+    "page_8": P.PAGE_8,
+    "page_9": P.PAGE_9,
 }
