@@ -236,16 +236,12 @@ def rfm_columns(g: DataFrame) -> DataFrame:
 def product_measures(g: DataFrame, by: list[str] = ["CategoryName"]) -> DataFrame:
     """F32, F33 per (by, ProductName): contribution within the ``by`` group
     (ALL(ProductName) keeps the other filters) and velocity."""
-    if not by:
-        return product_measures(g.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
     p = g.groupBy(*by, "ProductName").agg(
         F.sum(REV).alias("TotalRevenue"), F.sum(F.col("OrderQty").cast("bigint")).alias("_qty"),
         distinctcount_blank("SalesOrderID").alias("_orders"))
-    grp = g.groupBy(*by).agg(F.sum(REV).alias("_all"))
-    j = p.join(grp, [p[k].eqNullSafe(grp[k]) for k in by], "left")
-    j = j.select(*[p[k] for k in by], "ProductName", "TotalRevenue", "_qty", "_orders", "_all")
+    j = join_group_stats(p, by, [F.sum("TotalRevenue").alias("_grp_total")])
     return j.select(*by, "ProductName", "TotalRevenue",
-                    round_half_up(divide("TotalRevenue", "_all", 0.0), 6).alias("ProductContributionPct"),
+                    round_half_up(divide("TotalRevenue", "_grp_total", 0.0), 6).alias("ProductContributionPct"),
                     round_half_up(divide("_qty", "_orders", 0.0), 6).alias("ProductVelocity"))
 
 

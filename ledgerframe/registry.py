@@ -26,61 +26,66 @@ def _g(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.golden_from_tables(spark, sf_dir)
 
 
-def _report(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: fn(_g(spark, sf_dir), **kw)
-
-
 def _clean(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(tpch.aw_sources(spark, sf_dir), **kw)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+# Queries over the golden record: name -> callable(golden DataFrame).
+GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "d1_1": revenue.revenue_trend,
+    "d1_2": revenue.margin_by_dimension,
+    "d1_3": revenue.discount_impact,
+    "d2_1": customer.rfm,
+    "d2_2": customer.cohort_retention,
+    "d2_3": customer.churn_risk,
+    "d3_1": product.bcg_matrix,
+    "d3_2": product.product_affinity,
+    "d3_3": product.product_lifecycle,
+    "d4_1": geo.geo_performance,
+    "d4_2": geo.channel_comparison,
+    "d5_1": pricing.price_sensitivity,
+    "d5_2": pricing.promotion_effectiveness,
+    "d6_1": operations.status_fulfilment,
+    "d6_2": operations.anomaly_detection,
+    "d7_1": forecast.forecast_trend,
+    "d8_1": scorecard.health_scorecard,
+    "cal": C.date_table,
+    "m_core": lambda g: M.core_measures(g, by=["CategoryName", "TerritoryRegion"]),
+    "m_time": M.time_intelligence,
+    "m_ma": M.moving_averages,
+    "m_customer": M.customer_measures,
+    "m_rfm": M.rfm_columns,
+    "m_product": lambda g: M.product_measures(g, by=["CategoryName"]),
+    "m_pareto": lambda g: M.pareto(g, by=["CategoryName"]),
+    "m_lifecycle": M.lifecycle_stage,
+    "m_ops": lambda g: M.operations_measures(g, by=["TerritoryName"]),
+    "m_buckets": M.bucket_columns,
+    "m_anomaly": lambda g: M.anomaly_measures(g, by=["CategoryName"]),
+    "m_forecast": M.forecast_measures,
+    "m_scenario": M.scenario_card,
+    "m_season": M.seasonal_index,
+    "m_weekpart": M.weekpart_revenue,
+    "m_territory": M.territory_growth_rank,
+    "page_1": lambda g: P.page_1(g)["kpis"],
+    "page_2": P.margin_by_segment,
+    "page_3": P.segment_summary,
+    "page_4": P.pareto_curve,
+    "page_5": P.region_trend,
+    "page_6": P.day_of_week,
+    "page_7": P.channel_size,
+    "page_8": P.z_bands,
+    "page_9": P.forecast_6m,
+}
+
+# Queries over the raw tables: name -> callable(spark, sf_dir).
+TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_person": _clean(B1.clean_person),
     "clean_product": _clean(PROD.product_master, as_of=tpch.AS_OF),
     "clean_customer": _clean(SALES.customer_profile),
     "clean_sales": lambda spark, sf_dir: tpch.sales_performance(spark, sf_dir),
     "golden": _g,
-    "d1_1": _report(revenue.revenue_trend),
-    "d1_2": _report(revenue.margin_by_dimension),
-    "d1_3": _report(revenue.discount_impact),
-    "d2_1": _report(customer.rfm),
-    "d2_2": _report(customer.cohort_retention),
-    "d2_3": _report(customer.churn_risk),
-    "d3_1": _report(product.bcg_matrix),
-    "d3_2": _report(product.product_affinity),
-    "d3_3": _report(product.product_lifecycle),
-    "d4_1": _report(geo.geo_performance),
-    "d4_2": _report(geo.channel_comparison),
-    "d5_1": _report(pricing.price_sensitivity),
-    "d5_2": _report(pricing.promotion_effectiveness),
-    "d6_1": _report(operations.status_fulfilment),
-    "d6_2": _report(operations.anomaly_detection),
-    "d7_1": _report(forecast.forecast_trend),
-    "d8_1": _report(scorecard.health_scorecard),
-    "cal": _report(C.date_table),
-    "m_core": _report(M.core_measures, by=["CategoryName", "TerritoryRegion"]),
-    "m_time": _report(M.time_intelligence),
-    "m_ma": _report(M.moving_averages),
-    "m_customer": _report(M.customer_measures),
-    "m_rfm": _report(M.rfm_columns),
-    "m_product": _report(M.product_measures, by=["CategoryName"]),
-    "m_pareto": _report(M.pareto, by=["CategoryName"]),
-    "m_lifecycle": _report(M.lifecycle_stage),
-    "m_ops": _report(M.operations_measures, by=["TerritoryName"]),
-    "m_buckets": _report(M.bucket_columns),
-    "m_anomaly": _report(M.anomaly_measures, by=["CategoryName"]),
-    "m_forecast": _report(M.forecast_measures),
-    "m_scenario": _report(M.scenario_card),
-    "m_season": _report(M.seasonal_index),
-    "m_weekpart": _report(M.weekpart_revenue),
-    "m_territory": _report(M.territory_growth_rank),
-    "page_1": _report(lambda g: P.page_1(g)["kpis"]),
-    "page_2": _report(P.margin_by_segment),
-    "page_3": _report(P.segment_summary),
-    "page_4": _report(P.pareto_curve),
-    "page_5": _report(P.region_trend),
-    "page_6": _report(P.day_of_week),
-    "page_7": _report(P.channel_size),
-    "page_8": _report(P.z_bands),
-    "page_9": _report(P.forecast_6m),
 }
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(TABLE_QUERIES)
+QUERIES.update({k: (lambda f: (lambda spark, sf_dir: f(_g(spark, sf_dir))))(f)
+                for k, f in GOLDEN_QUERIES.items()})
