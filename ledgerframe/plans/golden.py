@@ -198,7 +198,10 @@ def golden_from_tables(spark: SparkSession, sf_dir: str, as_of=tpch.AS_OF) -> Da
         F.col("SubcategoryName").alias("P_SubcategoryName"), F.col("Color").alias("P_Color"),
         F.col("ProductStatus").alias("P_ProductStatus"), F.col("StandardCost").alias("P_StandardCost"),
         F.col("_p_size").alias("P_size"))
-    j = (lines.join(hdr, lines._line_order == hdr.SalesOrderID, "inner")
+    # Both sides of the line ⋈ header join grow with the data: pin it to a
+    # sort-merge join so a compressed-size estimate can never broadcast the
+    # fact table.  The part join is left to size-based / AQE runtime choice.
+    j = (lines.hint("merge").join(hdr, lines._line_order == hdr.SalesOrderID, "inner")
               .join(prod, F.col("ProductID") == prod.P_ProductID, "left"))
     px = tpch.price_columns(F.col("OrderQty"), F.col("_ext_cents"), F.col("_disc_pct"), F.col("P_size"))
     j = j.select("*", *[v.alias(k) for k, v in px.items()])

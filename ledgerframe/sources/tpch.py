@@ -203,7 +203,8 @@ def sales_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = order_header(spark, sf_dir)
     d = order_lines(spark, sf_dir)
     p = product_master(spark, sf_dir).select(F.col("ProductID").alias("_pid"), "_p_size")
-    j = d.join(h, d._line_order == h.SalesOrderID, "inner").join(p, F.col("ProductID") == F.col("_pid"), "left")
+    j = (d.hint("merge").join(h, d._line_order == h.SalesOrderID, "inner")
+          .join(p, F.col("ProductID") == F.col("_pid"), "left"))
     px = price_columns(F.col("OrderQty"), F.col("_ext_cents"), F.col("_disc_pct"), F.col("_p_size"))
     return j.select(
         "SalesOrderID", "SalesOrderNumber", "CustomerID", "OrderDate", "ShipDate", "OrderStatus",
