@@ -21,6 +21,7 @@ The only single-partition step is the running sum over the n range counts.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,10 @@ from ..session import ensure_checkpoint_dir
 
 _ID_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
+# Inputs with at most this many rows (a checked count) are ranked by one
+# sort task; larger inputs take the range-partitioned path.
+SINGLE_TASK_MAX_ROWS = 2_000_000
+
 
 def _ckpt(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
@@ -70,9 +75,20 @@ def ntile_from_row_number(rn: Column, total: Column, k: int) -> Column:
 
 
 def global_ntile(df: DataFrame, k: int, order: list[Column], out: str,
-                 num_partitions: int | None = None) -> DataFrame:
-    """Append ``out`` = NTILE(k) OVER (ORDER BY order) without a single-partition
-    sort (see module docstring)."""
+                 num_partitions: int | None = None,
+                 single_task_max: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+    """Append ``out`` = NTILE(k) OVER (ORDER BY order).
+
+    The input is persisted once (the count, the range sampling and the
+    checkpoint would otherwise each recompute it).  When the checked row
+    count is at most ``single_task_max`` the plain window runs in one task —
+    its size is bounded by that check; otherwise the range-partitioned rank
+    of the module docstring is used.  Both give the same buckets for a total
+    order.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.count() <= single_task_max:
+        return df.select("*", F.ntile(k).over(Window.orderBy(*order)).alias(out))
     ranked = global_row_number(df, order, "_rn", num_partitions)
     return ranked.select(*df.columns,
                          ntile_from_row_number(F.col("_rn"), F.col("_rn_total"), k).alias(out))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import day_diff, distinctcount_blank, divide, round_half_up
+from ..operators.ranking import global_row_number
 from ..operators.stats import join_group_stats, scalar
 from .calendar import calendar_bounds
 
@@ -247,17 +248,32 @@ def product_measures(g: DataFrame, by: list[str] = ["CategoryName"]) -> DataFram
 
 def pareto(g: DataFrame, by: list[str] = ["CategoryName"]) -> DataFrame:
     """F6, F34, F35 per ``by`` group: revenue of the top ROUNDUP(20% × product
-    count) products (ties at the boundary included, like TOPN) and its share.
+    count) products, ties at the boundary included (TOPN semantics: every
+    product whose revenue reaches the N-th highest revenue of its group).
 
-    Product rows per group are bounded by the product catalogue."""
+    No window holds a group's products: products get one global row number
+    over (group, revenue desc, name) from the range-partitioned rank; each
+    group's first row number and size locate its N-th row, whose revenue is
+    the group's threshold.  Everything else is grouped aggregation and joins.
+    """
+    if not by:
+        return pareto(g.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
     p = g.groupBy(*by, "ProductName").agg(F.sum(REV).alias("_rev"))
-    w = Window.partitionBy(*by).orderBy(F.col("_rev").desc_nulls_last())
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    ranked = p.select("*", F.rank().over(w).alias("_rk"),
-                      F.ceil(n.cast("decimal(20,0)") * F.lit(PARETO_SHARE)).alias("_top_n"))
-    a = ranked.groupBy(*by).agg(
+    order = [*[F.col(k).asc_nulls_first() for k in by], F.col("_rev").desc_nulls_last(),
+             F.col("ProductName").asc_nulls_first()]
+    ranked = global_row_number(p, order, "_rn").drop("_rn_total")
+    grp = ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("ProductCount"), F.sum("_rev").alias("TotalRevenue"),
-        F.sum(F.when(F.col("_rk") <= F.col("_top_n"), F.col("_rev"))).alias("Top20ProductsRevenue"))
+        F.min("_rn").alias("_first"))
+    nth = F.col("_first") - 1 + F.ceil(F.col("ProductCount").cast("decimal(20,0)") * F.lit(PARETO_SHARE))
+    grp = grp.select("*", nth.cast("bigint").alias("_nth"))
+    grp = grp.join(ranked.select(F.col("_rn").alias("_nth"), F.col("_rev").alias("_threshold")), "_nth", "left")
+    thr = grp.select(*[F.col(k).alias(f"_g_{k}") for k in by], "_threshold")
+    t = p.join(thr, [p[k].eqNullSafe(thr[f"_g_{k}"]) for k in by], "left")
+    top = t.groupBy(*by).agg(
+        F.sum(F.when(F.col("_rev") >= F.col("_threshold"), F.col("_rev"))).alias("Top20ProductsRevenue"))
+    top = top.select(*[F.col(k).alias(f"_t_{k}") for k in by], "Top20ProductsRevenue")
+    a = grp.join(top, [grp[k].eqNullSafe(top[f"_t_{k}"]) for k in by], "left")
     return a.select(*by, "ProductCount", "TotalRevenue", "Top20ProductsRevenue",
                     round_half_up(divide("Top20ProductsRevenue", "TotalRevenue", 0.0) * 100, 6).alias("ParetoRatio"))
 

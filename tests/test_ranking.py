@@ -13,7 +13,9 @@ def _check(spark, n, ties):
     rows = [(i, rnd.randint(0, 3) if ties else rnd.randint(0, 10 ** 6)) for i in range(n)]
     df = spark.createDataFrame(rows, "id int, v int")
     order = [F.col("v").desc(), F.col("id").asc()]
-    got = {r.id: r.t for r in global_ntile(df, 5, order, "t", num_partitions=7).collect()}
+    got = {r.id: r.t for r in global_ntile(df, 5, order, "t", num_partitions=7, single_task_max=0).collect()}
+    small = {r.id: r.t for r in global_ntile(df, 5, order, "t").collect()}     # checked single-task path
+    assert small == got
     exp = {r.id: r.t for r in df.select("id", F.ntile(5).over(Window.orderBy(*order)).alias("t")).collect()}
     assert got == exp
     sizes = {}
@@ -29,7 +31,7 @@ def test_ntile_matches_window(spark):
 
 def test_ntile_plan_has_no_single_partition_sort_of_rows(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 7)
-    out = global_ntile(df, 5, [F.col("v"), F.col("id")], "t", num_partitions=4)
+    out = global_ntile(df, 5, [F.col("v"), F.col("id")], "t", num_partitions=4, single_task_max=0)
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the only single-partition step is over the per-range counts
     assert "RangePartitioning" not in plan  # ranges were checkpointed
