@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference pipeline has no streaming construct: data is refreshed in
+batch (full re-import of the golden view), which ``plans.golden.materialize``
+covers.  Nothing is built here on purpose.
+"""
