@@ -61,8 +61,13 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """
     d = checkpoint_dir(spark)
     if d:
-        spark.sparkContext.setCheckpointDir(d)
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(d)
         return d
+    master = spark.sparkContext.master or ""
+    if fallback is None and not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a shared folder "
+                           "(a machine-local temporary folder would not survive executor loss)")
     d = fallback or tempfile.mkdtemp(prefix="ledgerframe-ckpt-")
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
