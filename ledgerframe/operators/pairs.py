@@ -2,17 +2,24 @@
 
 The reference self-joins *lines* on the order id with ``p1 < p2``: an order
 with L lines emits O(L²) rows, so one very large order would dominate a task.
-Here lines are first aggregated to distinct items per basket (count, revenue
-sum and non-null revenue count); pairs of distinct items are then joined on
+Here lines are first aggregated to distinct items per basket (count, value
+sum and non-null value count); pairs of distinct items are then joined on
 the basket id and the line-pair statistics are rebuilt exactly:
 
 * line pairs            = c1 · c2
-* Σ (r1 + r2)           = R1 · n2 + R2 · n1      (over pairs with both revenues)
-* pairs with revenues   = n1 · n2
+* Σ (r1 + r2)           = R1 · n2 + R2 · n1      (over pairs with both values)
+* pairs with values     = n1 · n2
 
-so a basket's pair rows are bounded by its number of distinct items (the
-product catalogue), not by its number of lines.  Baskets whose item lists are
-still large are split by AQE's skew-join handling of the basket key.
+Co-occurring item pairs are the report's own output groups, so they cannot be
+skipped; what is bounded is the work per task.  A basket with k distinct
+items produces k²/2 pairs from an input of only k rows — input-size skew
+detection would not notice it.  Baskets with more than ``hot_items`` items
+are therefore split explicitly: each item gets a bucket ``hash(item) % S``
+(S = ceil(k / hot_items)), the left side is replicated over the S right
+buckets and the right side over the S left buckets, and the join key becomes
+(basket, left bucket, right bucket).  Every item pair meets in exactly one
+task, and no task pairs more than about ``hot_items``² items.  Ordinary
+baskets take the plain join on the basket id.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+HOT_ITEMS = 2000
+
 
 def basket_items(df: DataFrame, basket: str, item_cols: list[str], value: str) -> DataFrame:
     """Distinct items per basket with line count, value sum and value count."""
@@ -27,21 +36,48 @@ def basket_items(df: DataFrame, basket: str, item_cols: list[str], value: str) -
         F.count(F.lit(1)).alias("_c"), F.sum(value).alias("_r"), F.count(value).alias("_n"))
 
 
+def _side(items: DataFrame, basket: str, item_cols: list[str], sfx: str) -> DataFrame:
+    return items.select(F.col(basket).alias("_b" + sfx), *[F.col(c).alias(c + sfx) for c in item_cols],
+                        F.col("_c").alias("_c" + sfx), F.col("_r").alias("_r" + sfx),
+                        F.col("_n").alias("_n" + sfx), *[F.col(c) for c in items.columns if c.startswith("_s")])
+
+
+def _emit(j: DataFrame, item_cols: list[str], s1: str, s2: str) -> DataFrame:
+    vsum = F.col("_r" + s1) * F.col("_n" + s2) + F.col("_r" + s2) * F.col("_n" + s1)
+    return j.select(*[c + s1 for c in item_cols], *[c + s2 for c in item_cols],
+                    (F.col("_c" + s1) * F.col("_c" + s2)).alias("pair_lines"),
+                    F.when(F.col("_n" + s1) * F.col("_n" + s2) > 0, vsum).alias("pair_value_sum"),
+                    (F.col("_n" + s1) * F.col("_n" + s2)).alias("pair_value_n"))
+
+
 def item_pairs(items: DataFrame, basket: str, item_cols: list[str], order_col: str,
-               suffixes=("1", "2")) -> DataFrame:
+               suffixes=("1", "2"), hot_items: int = HOT_ITEMS) -> DataFrame:
     """Pairs of distinct items in the same basket with ``a.order_col < b.order_col``.
 
     Output: ``<item>1``, ``<item>2`` columns plus ``pair_lines`` (c1·c2),
     ``pair_value_sum`` and ``pair_value_n``.
     """
     s1, s2 = suffixes
-    a = items.select(F.col(basket).alias("_b1"), *[F.col(c).alias(c + s1) for c in item_cols],
-                     F.col("_c").alias("_c1"), F.col("_r").alias("_r1"), F.col("_n").alias("_n1"))
-    b = items.select(F.col(basket).alias("_b2"), *[F.col(c).alias(c + s2) for c in item_cols],
-                     F.col("_c").alias("_c2"), F.col("_r").alias("_r2"), F.col("_n").alias("_n2"))
-    j = a.join(b, (F.col("_b1") == F.col("_b2")) & (F.col(order_col + s1) < F.col(order_col + s2)))
-    vsum = F.col("_r1") * F.col("_n2") + F.col("_r2") * F.col("_n1")
-    return j.select(*[c + s1 for c in item_cols], *[c + s2 for c in item_cols],
-                    (F.col("_c1") * F.col("_c2")).alias("pair_lines"),
-                    F.when(F.col("_n1") * F.col("_n2") > 0, vsum).alias("pair_value_sum"),
-                    (F.col("_n1") * F.col("_n2")).alias("pair_value_n"))
+    less = F.col(order_col + s1) < F.col(order_col + s2)
+    # basket sizes: a partial aggregate (one row per basket)
+    sizes = items.groupBy(basket).agg(F.count(F.lit(1)).alias("_k"))
+    hot = sizes.where(F.col("_k") > hot_items).select(
+        F.col(basket).alias("_hb"), F.ceil(F.col("_k") / F.lit(hot_items)).cast("int").alias("_s"))
+
+    cold_items = items.join(hot, items[basket] == hot["_hb"], "left_anti")
+    a, b = _side(cold_items, basket, item_cols, s1), _side(cold_items, basket, item_cols, s2)
+    cold = _emit(a.join(b, (F.col("_b" + s1) == F.col("_b" + s2)) & less), item_cols, s1, s2)
+
+    hot_items_df = items.join(hot, items[basket] == hot["_hb"], "inner").drop("_hb")
+    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in item_cols]), F.col("_s")).cast("int")
+    tagged = hot_items_df.select("*", bucket.alias("_own"))
+    spread = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
+    left = _side(tagged.select("*", F.col("_own").alias("_sa"), spread.alias("_sb")), basket, item_cols, s1)
+    right = _side(tagged.select("*", spread.alias("_sa"), F.col("_own").alias("_sb")), basket, item_cols, s2)
+    left = left.select(*[c for c in left.columns if c not in ("_sa", "_sb", "_s", "_own")],
+                       F.col("_sa").alias("_la"), F.col("_sb").alias("_lb"))
+    right = right.select(*[c for c in right.columns if c not in ("_sa", "_sb", "_s", "_own")],
+                         F.col("_sa").alias("_ra"), F.col("_sb").alias("_rb"))
+    jh = left.join(right, (F.col("_b" + s1) == F.col("_b" + s2)) & (F.col("_la") == F.col("_ra"))
+                   & (F.col("_lb") == F.col("_rb")) & less)
+    return cold.unionByName(_emit(jh, item_cols, s1, s2))

@@ -46,3 +46,19 @@ def test_running_sum_matches_window(spark):
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     exp = {r.id: r.c for r in df.select("id", F.sum("v").over(w).alias("c")).collect()}
     assert got == exp
+
+
+def test_hot_basket_split_pairs_equal_plain_pairs(spark):
+    from ledgerframe.operators.pairs import basket_items, item_pairs
+    rnd = random.Random(7)
+    rows = []
+    for basket in range(40):
+        k = 1 + (basket % 9) * 3                      # some baskets far above the hot limit
+        for _ in range(k):
+            rows.append((basket, f"p{rnd.randint(0, 30)}", rnd.choice(["A", "B"]), float(rnd.randint(1, 9))))
+    df = spark.createDataFrame(rows, "b int, p string, c string, v double")
+    items = basket_items(df, "b", ["p", "c"], "v")
+    cols = ["p1", "c1", "p2", "c2", "pair_lines", "pair_value_sum", "pair_value_n"]
+    plain = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", hot_items=10 ** 9).select(*cols).collect()))
+    split = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", hot_items=3).select(*cols).collect()))
+    assert plain == split and len(plain) > 100
