@@ -197,3 +197,14 @@ def test_b15_b17_sales(src):
 def test_missing_dependency_is_a_clear_error(spark):
     with pytest.raises(KeyError, match="dependency missing"):
         Sources(spark, {})["Sales.SalesOrderHeader"]
+
+
+def test_views_registered_in_build_order(spark, src):
+    from ledgerframe.plans.views import GOLDEN_VIEW, register_views
+    views = register_views(src, AS_OF)
+    assert GOLDEN_VIEW in views
+    n = spark.sql(f"SELECT COUNT(*) AS n FROM {GOLDEN_VIEW} WHERE DaysToShip IS NOT NULL").first().n
+    assert n == 8        # 2 lines x 4 contact rows of person 1: the person-join fan-out (quirk Q3)
+    top = spark.sql(f"SELECT SalesOrderNumber, OrderDate, ShipDate, DaysToShip, OrderStatus, GrossRevenueUSD, "
+                    f"CustomerName, TerritoryName FROM {GOLDEN_VIEW} ORDER BY SalesOrderNumber LIMIT 10").collect()
+    assert top[0].DaysToShip == 4 and top[0].TerritoryName == "Northwest"
