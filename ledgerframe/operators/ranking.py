@@ -94,6 +94,21 @@ def global_ntile(df: DataFrame, k: int, order: list[Column], out: str,
                          ntile_from_row_number(F.col("_rn"), F.col("_rn_total"), k).alias(out))
 
 
+def global_ntiles(df: DataFrame, specs: list[tuple[int, list[Column], str]],
+                  num_partitions: int | None = None,
+                  single_task_max: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+    """Several NTILEs over different total orders: ``specs`` is a list of
+    (k, order, out).  One persisted input and one checked count serve all of
+    them; small inputs get all windows in one pass, large inputs take the
+    range-partitioned path per order."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.count() <= single_task_max:
+        return df.select("*", *[F.ntile(k).over(Window.orderBy(*order)).alias(out) for k, order, out in specs])
+    for k, order, out in specs:
+        df = global_ntile(df, k, order, out, num_partitions, single_task_max=-1)
+    return df
+
+
 def global_running_sum(df: DataFrame, order: list[Column], value: str, out: str,
                        num_partitions: int | None = None) -> DataFrame:
     """Append ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING)

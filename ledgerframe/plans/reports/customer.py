@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions import add_days_trunc, day_diff, lit_date, month_boundaries, round_half_up, safe_div
-from ...operators.ranking import global_ntile
+from ...operators.ranking import global_ntiles
 from ...operators.stats import scalar
 from ...sources.tpch import AS_OF
 
@@ -55,9 +55,10 @@ def rfm(g: DataFrame, top: int | None = 10) -> DataFrame:
     """D2.1 — recency / frequency / monetary scores with NTILE(5) over all
     customers.
 
-    The three unpartitioned NTILEs use the range-partitioned global rank
-    (``operators.ranking``), never a single-partition sort.  Ties are broken
-    by the customer key columns.  Scores are not flipped (1 = most recent /
+    The three unpartitioned NTILEs share one persisted per-customer input:
+    below a checked row count they run as plain windows, above it as the
+    range-partitioned global rank (``operators.ranking``) — never an
+    unbounded single-partition sort.  Ties are broken by the customer keys.  Scores are not flipped (1 = most recent /
     most orders / most revenue) while the ladder treats >= 4 as best — kept.
     """
     max_date = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
@@ -73,9 +74,9 @@ def rfm(g: DataFrame, top: int | None = 10) -> DataFrame:
                 F.sum(F.col("OrderQty").cast("bigint")).alias("TotalQtyPurchased")))
     cm = cm.select("*", day_diff(F.col("LastOrderDate"), max_date).alias("DaysSinceLastOrder"))
     tie = [F.col(k).asc_nulls_first() for k in RFM_KEYS]
-    s = global_ntile(cm, 5, [F.col("DaysSinceLastOrder").asc_nulls_first(), *tie], "R_Score")
-    s = global_ntile(s, 5, [F.col("TotalOrders").desc_nulls_last(), *tie], "F_Score")
-    s = global_ntile(s, 5, [F.col("TotalRevenue_USD").desc_nulls_last(), *tie], "M_Score")
+    s = global_ntiles(cm, [(5, [F.col("DaysSinceLastOrder").asc_nulls_first(), *tie], "R_Score"),
+                           (5, [F.col("TotalOrders").desc_nulls_last(), *tie], "F_Score"),
+                           (5, [F.col("TotalRevenue_USD").desc_nulls_last(), *tie], "M_Score")])
     life = day_diff("FirstOrderDate", "LastOrderDate")
     R, Fs, M = F.col("R_Score"), F.col("F_Score"), F.col("M_Score")
     out = s.select(

@@ -62,3 +62,12 @@ def test_hot_basket_split_pairs_equal_plain_pairs(spark):
     plain = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", hot_items=10 ** 9).select(*cols).collect()))
     split = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", hot_items=3).select(*cols).collect()))
     assert plain == split and len(plain) > 100
+
+
+def test_multiple_ntiles_both_paths(spark):
+    from ledgerframe.operators.ranking import global_ntiles
+    df = spark.createDataFrame([(i, (i * 7) % 5, (i * 3) % 11) for i in range(300)], "id int, a int, b int")
+    specs = [(5, [F.col("a"), F.col("id")], "ta"), (4, [F.col("b").desc(), F.col("id")], "tb")]
+    small = sorted(map(tuple, global_ntiles(df, specs).select("id", "ta", "tb").collect()))
+    big = sorted(map(tuple, global_ntiles(df, specs, num_partitions=3, single_task_max=0).select("id", "ta", "tb").collect()))
+    assert small == big
