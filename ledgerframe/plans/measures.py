@@ -89,10 +89,21 @@ def _growth(cur: Column, prev: Column) -> Column:
     return divide(_blank0(cur) - _blank0(prev), prev, 0.0)
 
 
-def _dated(g: DataFrame) -> DataFrame:
-    """Fact rows related to the DateTable (OrderDate is the active key)."""
-    return g.where(F.col("OrderDate").isNotNull()).withColumnRenamed("OrderYear", "Year") \
-            .withColumnRenamed("OrderMonth", "Month")
+DATE_ROLES = {"order": "OrderDate", "ship": "ShipDate"}
+
+
+def _dated(g: DataFrame, date_role: str = "order") -> DataFrame:
+    """Fact rows related to the DateTable.  OrderDate is the active
+    relationship; ``date_role='ship'`` evaluates through the inactive
+    ShipDate relationship instead (USERELATIONSHIP).  Adds Year, Month and
+    ``_Date`` (the role's date)."""
+    d = F.col(DATE_ROLES[date_role])
+    base = g.where(d.isNotNull())
+    if date_role == "order":
+        base = base.withColumnRenamed("OrderYear", "Year").withColumnRenamed("OrderMonth", "Month")
+    else:
+        base = base.withColumn("Year", F.year(d)).withColumn("Month", F.month(d))
+    return base.withColumn("_Date", d)
 
 
 def month_spine(g: DataFrame) -> DataFrame:
@@ -122,20 +133,20 @@ def core_measures(g: DataFrame, by: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ time
-def _monthly(g: DataFrame, aggs: list[Column]) -> DataFrame:
+def _monthly(g: DataFrame, aggs: list[Column], date_role: str = "order") -> DataFrame:
     """Monthly aggregates on the dense month spine (BLANK for empty months)."""
-    m = _dated(g).groupBy("Year", "Month").agg(*aggs)
+    m = _dated(g, date_role).groupBy("Year", "Month").agg(*aggs)
     return month_spine(g).join(m, ["Year", "Month"], "left")
 
 
-def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS) -> DataFrame:
+def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "order") -> DataFrame:
     """F11-F21 at (Year, Month).
 
     The spine window has no partition key but holds one row per calendar
     month (bounded by the calendar span).
     """
-    d = _dated(g)
-    base = _monthly(g, [F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit")])
+    d = _dated(g, date_role)
+    base = _monthly(g, [F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit")], date_role)
     w = Window.orderBy("p")
     t = base.select("*", F.lag("TotalRevenue", 1).over(w).alias("PMRevenue"),
                     F.lag("TotalRevenue", 12).over(w).alias("PYRevenue"),
@@ -155,9 +166,9 @@ def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS) -> DataFrame:
                      *[F.col(f"Revenue{k}") for k in fixed_years]))
 
 
-def moving_averages(g: DataFrame) -> DataFrame:
+def moving_averages(g: DataFrame, date_role: str = "order") -> DataFrame:
     """F22-F23: revenue over the trailing 3 / 6 calendar months ÷ 3 / 6."""
-    base = _monthly(g, [F.sum(REV).alias("TotalRevenue")])
+    base = _monthly(g, [F.sum(REV).alias("TotalRevenue")], date_role)
     w = Window.orderBy("p")
     s3 = F.sum("TotalRevenue").over(w.rowsBetween(-2, 0))
     s6 = F.sum("TotalRevenue").over(w.rowsBetween(-5, 0))
@@ -233,6 +244,29 @@ def rfm_columns(g: DataFrame) -> DataFrame:
     return s.select("*", seg.otherwise(F.lit(DAX_SEGMENT_ELSE)).alias("CustomerSegment"))
 
 
+LTV_KEPT = ["CustomerID", "CustomerSegment", "Year", "CustomerName"]
+
+
+def customer_ltv(g: DataFrame, by: list[str]) -> DataFrame:
+    """F24 Customer LTV at the ``by`` grain.
+
+    ``CALCULATE([Total Revenue], ALLEXCEPT(fact, CustomerID, Customer Segment,
+    DateTable[Year], CustomerName))`` drops every filter but those on the kept
+    columns, so the value is the revenue at the grain ``by ∩ kept``, shown on
+    every ``by`` row.  The segment (a per-customer calculated column) is
+    joined to lines pre-aggregated per (customer, by) — never to raw lines.
+    """
+    keys = ["CustomerID"] + [c for c in by if c not in ("CustomerID", "CustomerSegment")]
+    base = g.select("*", F.col("OrderYear").alias("Year")).groupBy(*keys).agg(F.sum(REV).alias("_rev"))
+    if "CustomerSegment" in by:
+        seg = rfm_columns(g).select(F.col("CustomerID").alias("_cid"), "CustomerSegment")
+        base = base.join(seg, base.CustomerID.eqNullSafe(seg._cid), "left").drop("_cid")
+    vis = base.groupBy(*by).agg(F.sum("_rev").alias("TotalRevenue"))
+    kept = [c for c in by if c in LTV_KEPT]
+    out = join_group_stats(vis, kept, [F.sum("TotalRevenue").alias("CustomerLTV")])
+    return out.select(*by, "TotalRevenue", "CustomerLTV")
+
+
 # ------------------------------------------------------------------ product
 def product_measures(g: DataFrame, by: list[str] = ["CategoryName"]) -> DataFrame:
     """F32, F33 per (by, ProductName): contribution within the ``by`` group
@@ -464,20 +498,20 @@ def scenario_card(g: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ seasonality
-def seasonal_index(g: DataFrame) -> DataFrame:
+def seasonal_index(g: DataFrame, date_role: str = "order") -> DataFrame:
     """F63 at (Year, MonthName): month revenue ÷ mean revenue of that year's
     months with sales (AVERAGEX over month names skips BLANK)."""
-    m = (_dated(g).groupBy("Year", "Month", F.date_format("OrderDate", "MMMM").alias("MonthName"))
+    m = (_dated(g, date_role).groupBy("Year", "Month", F.date_format("_Date", "MMMM").alias("MonthName"))
                   .agg(F.sum(REV).alias("TotalRevenue")))
     j = join_group_stats(m, ["Year"], [F.avg("TotalRevenue").alias("_avg")])
     return j.select("Year", "Month", "MonthName", "TotalRevenue",
                     round_half_up(divide("TotalRevenue", "_avg"), 6).alias("SeasonalIndex"))
 
 
-def weekpart_revenue(g: DataFrame) -> DataFrame:
+def weekpart_revenue(g: DataFrame, date_role: str = "order") -> DataFrame:
     """F64a/b by Year: revenue on weekdays vs weekend days (DateTable[IsWeekend])."""
-    wk = F.dayofweek("OrderDate").isin(1, 7)
-    return (_dated(g).groupBy("Year")
+    wk = F.dayofweek("_Date").isin(1, 7)
+    return (_dated(g, date_role).groupBy("Year")
                      .agg(F.sum(F.when(~wk, F.col(REV))).alias("WeekdayRevenue"),
                           F.sum(F.when(wk, F.col(REV))).alias("WeekendRevenue")))
 

@@ -55,6 +55,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m_ma": M.moving_averages,
     "m_customer": M.customer_measures,
     "m_rfm": M.rfm_columns,
+    "m_ltv": lambda g: M.customer_ltv(g, by=["CustomerSegment", "CategoryName"]),
     "m_product": lambda g: M.product_measures(g, by=["CategoryName"]),
     "m_pareto": lambda g: M.pareto(g, by=["CategoryName"]),
     "m_lifecycle": M.lifecycle_stage,

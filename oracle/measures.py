@@ -296,3 +296,12 @@ SELECT c.c_custkey AS CustomerID, 'AW' || lpad(CAST(c.c_custkey AS VARCHAR), 8,
   CASE n.n_nationkey % 6 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'GB' WHEN 3 THEN 'AU' WHEN 4 THEN 'FR' WHEN 5 THEN 'DE' END AS CountryRegionCode
 FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 """
+
+M_LTV = with_golden(RFM_C, RFM_S, RFM_SEG, """
+pre AS (SELECT CustomerID, CategoryName, SUM(GrossRevenueUSD) AS rev FROM golden GROUP BY CustomerID, CategoryName)""", """
+vis AS (SELECT seg.CustomerSegment, pre.CategoryName, SUM(rev) AS tr
+        FROM pre LEFT JOIN seg ON pre.CustomerID IS NOT DISTINCT FROM seg.CustomerID GROUP BY 1, 2)""") + """
+SELECT CustomerSegment, CategoryName, CAST(tr AS DOUBLE) AS TotalRevenue,
+  CAST(SUM(tr) OVER (PARTITION BY CustomerSegment) AS DOUBLE) AS CustomerLTV
+FROM vis
+"""

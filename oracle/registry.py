@@ -33,6 +33,7 @@ SQL: dict[str, str] = {
     "m_ma": M.M_MA,
     "m_customer": M.M_CUSTOMER,
     "m_rfm": M.M_RFM,
+    "m_ltv": M.M_LTV,
     "m_product": M.M_PRODUCT,
     "m_pareto": M.M_PARETO,
     "m_lifecycle": M.M_LIFECYCLE,

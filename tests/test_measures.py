@@ -65,3 +65,18 @@ def test_order_buckets(spark):
     b = {(r.OrderSizeBucket, r.DiscountBucket) for r in M.bucket_columns(golden_df(spark, rows)).collect()}
     assert b == {("Small (<$100)", "No Discount"), ("Medium ($100-$500)", "Small (0-5%)"),
                  ("Extra Large (>$2K)", "Very Large (>30%)")}
+
+
+def test_ship_date_role(spark):
+    g = golden_df(spark, [line(1, "2020-01-30", revenue="100")])          # ships 2020-02-02
+    by_order = _by_month(M.time_intelligence(g))
+    by_ship = _by_month(M.time_intelligence(g, date_role="ship"))
+    assert by_order[(2020, 1)].TotalRevenue == 100 and by_ship[(2020, 1)].TotalRevenue is None
+    assert by_ship[(2020, 2)].TotalRevenue == 100
+
+
+def test_customer_ltv_keeps_only_listed_filters(spark):
+    rows = [line(1, "2020-01-01", customer_id=1, category="A", revenue="10"),
+            line(2, "2020-01-01", customer_id=1, category="B", revenue="30")]
+    out = {r.CategoryName: r for r in M.customer_ltv(golden_df(spark, rows), ["CustomerID", "CategoryName"]).collect()}
+    assert (float(out["A"].TotalRevenue), float(out["A"].CustomerLTV)) == (10.0, 40.0)
