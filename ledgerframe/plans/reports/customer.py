@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions import add_days_trunc, day_diff, lit_date, month_boundaries, round_half_up, safe_div
+from ...functions import add_days_trunc, day_diff, lit_date, round_half_up, safe_div
 from ...operators.ranking import global_ntiles
 from ...operators.stats import scalar
 from ...sources.tpch import AS_OF

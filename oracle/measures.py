@@ -1,6 +1,6 @@
 """Oracle SQL for the date table and the measure families."""
 
-from .common import AS_OF, BOUNDS, SPINE, d, dcb, div, growth, r, with_golden
+from .common import BOUNDS, SPINE, d, dcb, div, growth, r, with_golden
 
 CAL = with_golden(BOUNDS, """
 days AS (SELECT CAST(unnest(generate_series(CAST(s AS TIMESTAMP), CAST(e AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS Date FROM bounds)
