@@ -9,9 +9,13 @@ from ...functions import dec_avg, int_avg, round_half_up, safe_div
 from ...operators.stats import join_group_stats, scalar
 
 
+# Channel labels of the geo / channel reports.
+ONLINE, OFFLINE = "Online", "Offline"
+
+
 def channel_label(online) -> "F.Column":
     c = F.col(online) if isinstance(online, str) else online
-    return F.when(c == F.lit(True), F.lit("Online")).otherwise(F.lit("Offline"))
+    return F.when(c == F.lit(True), F.lit(ONLINE)).otherwise(F.lit(OFFLINE))
 
 
 def _max_year(g: DataFrame):
