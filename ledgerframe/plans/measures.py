@@ -312,24 +312,27 @@ def pareto(g: DataFrame, by: list[str] = ["CategoryName"]) -> DataFrame:
                     round_half_up(divide("Top20ProductsRevenue", "TotalRevenue", 0.0) * 100, 6).alias("ParetoRatio"))
 
 
-def lifecycle_stage(g: DataFrame) -> DataFrame:
-    """F36 calculated column, summarised per (ProductName, ProductStatus,
-    stage) with line counts.
-
-    Growth = YoY Growth % with only the ProductName filter kept and no date
-    filter: this year's set is the whole calendar, last year's set is the
-    calendar shifted back one year clipped to the calendar, i.e. every
-    calendar year but the last.
-    """
-    ref = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+def product_growth(g: DataFrame) -> DataFrame:
+    """Per ProductName: first / last order date, revenue, and YoY Growth %
+    with only the ProductName filter kept and no date filter: this year's set
+    is the whole calendar, last year's set is the calendar shifted back one
+    year clipped to the calendar, i.e. every calendar year but the last."""
     last_cal_year = scalar(calendar_bounds(g).select(F.year("end").alias("y")), "y")
-    pstats = g.groupBy("ProductName").agg(
+    p = g.groupBy("ProductName").agg(
         F.min("OrderDate").alias("_first"), F.max("OrderDate").alias("_lastd"),
         F.sum(REV).alias("_tr"),
         F.sum(F.when(F.col("OrderYear") < last_cal_year, F.col(REV))).alias("_py"))
+    return p.select("*", _growth(F.col("_tr"), F.col("_py")).alias("_growth"))
+
+
+def lifecycle_stage(g: DataFrame) -> DataFrame:
+    """F36 calculated column, summarised per (ProductName, ProductStatus,
+    stage) with line counts (the status is a row attribute)."""
+    ref = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    pstats = product_growth(g)
     rows = g.groupBy("ProductName", "ProductStatus").agg(F.count(F.lit(1)).alias("Lines"))
     j = rows.join(pstats, rows.ProductName.eqNullSafe(pstats.ProductName), "left").drop(pstats.ProductName)
-    growth = _growth(F.col("_tr"), F.col("_py"))
+    growth = F.col("_growth")
     since_first, since_last = day_diff(F.col("_first"), ref), day_diff(F.col("_lastd"), ref)
     disc = F.col("ProductStatus") == "Discontinued"
     stage = (F.when(disc & (since_last > LIFECYCLE_RECENT_DAYS), F.lit("Obsolete"))

@@ -97,9 +97,10 @@ def pareto_curve(g: DataFrame) -> DataFrame:
 
 def page_4(g: DataFrame) -> dict[str, DataFrame]:
     """Product performance."""
-    portfolio = (M.product_measures(g, []).join(
-        M.lifecycle_stage(g).groupBy("ProductName").agg(F.first("ProductLifecycleStage").alias("_s")),
-        "ProductName", "left").drop("_s"))
+    growth = M.product_growth(g).select(F.col("ProductName").alias("_p"),
+                                        round_half_up("_growth", 6).alias("YoYGrowthPct"))
+    contrib = M.product_measures(g, [])
+    portfolio = contrib.join(growth, contrib.ProductName.eqNullSafe(growth._p), "left").drop("_p")
     stages = M.lifecycle_stage(g).groupBy("ProductLifecycleStage").agg(
         F.countDistinct("ProductName").alias("Products"))
     top = (g.groupBy("ProductName", "CategoryName").agg(F.sum(REV).alias("TotalRevenue"),
