@@ -51,24 +51,33 @@ def _emit(j: DataFrame, item_cols: list[str], s1: str, s2: str) -> DataFrame:
 
 
 def item_pairs(items: DataFrame, basket: str, item_cols: list[str], order_col: str,
-               suffixes=("1", "2"), hot_items: int = HOT_ITEMS) -> DataFrame:
+               suffixes=("1", "2"), hot_items: int = HOT_ITEMS,
+               basket_sizes: DataFrame | None = None) -> DataFrame:
     """Pairs of distinct items in the same basket with ``a.order_col < b.order_col``.
 
+    ``basket_sizes`` (basket, ``_k``) may give an upper bound of each
+    basket's item count — e.g. its line count, a cheap partial aggregate over
+    the lines; by default the items are counted.  Baskets above
+    ``hot_items`` form a short list (at most total / ``hot_items`` rows) that
+    the items are filtered against.
+
     Output: ``<item>1``, ``<item>2`` columns plus ``pair_lines`` (c1·c2),
     ``pair_value_sum`` and ``pair_value_n``.
     """
     s1, s2 = suffixes
     less = F.col(order_col + s1) < F.col(order_col + s2)
-    # basket sizes: a partial aggregate (one row per basket)
-    sizes = items.groupBy(basket).agg(F.count(F.lit(1)).alias("_k"))
+    sizes = basket_sizes if basket_sizes is not None else \
+        items.groupBy(basket).agg(F.count(F.lit(1)).alias("_k"))
     hot = sizes.where(F.col("_k") > hot_items).select(
         F.col(basket).alias("_hb"), F.ceil(F.col("_k") / F.lit(hot_items)).cast("int").alias("_s"))
 
-    cold_items = items.join(hot, items[basket] == hot["_hb"], "left_anti")
+    # one pass tags every item with its basket's split count (NULL = ordinary)
+    tagged_all = items.join(hot, items[basket] == hot["_hb"], "left").drop("_hb")
+    cold_items = tagged_all.where(F.col("_s").isNull()).drop("_s")
     a, b = _side(cold_items, basket, item_cols, s1), _side(cold_items, basket, item_cols, s2)
     cold = _emit(a.join(b, (F.col("_b" + s1) == F.col("_b" + s2)) & less), item_cols, s1, s2)
 
-    hot_items_df = items.join(hot, items[basket] == hot["_hb"], "inner").drop("_hb")
+    hot_items_df = tagged_all.where(F.col("_s").isNotNull())
     bucket = F.pmod(F.xxhash64(*[F.col(c) for c in item_cols]), F.col("_s")).cast("int")
     tagged = hot_items_df.select("*", bucket.alias("_own"))
     spread = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))

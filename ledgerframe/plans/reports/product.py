@@ -93,9 +93,12 @@ def product_affinity(g: DataFrame, top: int | None = 20) -> DataFrame:
     support in percent of all orders (the reference calls it lift).
     """
     orders = scalar(g.agg(F.countDistinct("SalesOrderID").alias("n")), "n")
-    items = basket_items(g.where(F.col("ProductName").isNotNull()), "SalesOrderID",
-                         ["ProductName", "CategoryName", "CurrencyCode"], "GrossRevenue")
-    pairs = item_pairs(items, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "ProductName")
+    named = g.where(F.col("ProductName").isNotNull())
+    items = basket_items(named, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "GrossRevenue")
+    # line count per order bounds its distinct items (cheap partial aggregate)
+    sizes = named.groupBy("SalesOrderID").agg(F.count(F.lit(1)).alias("_k"))
+    pairs = item_pairs(items, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "ProductName",
+                       basket_sizes=sizes)
     agg = (pairs.groupBy(F.col("ProductName1").alias("Product1"), F.col("CategoryName1").alias("Category1"),
                          F.col("ProductName2").alias("Product2"), F.col("CategoryName2").alias("Category2"),
                          "CurrencyCode1", "CurrencyCode2")
