@@ -52,3 +52,15 @@ def test_round_half_up_and_exact_avg(spark):
     assert (r.a, r.b) == (2.68, -3.0)
     df = spark.createDataFrame([(Decimal("1.0001"),), (Decimal("2.0002"),)], "x decimal(19,4)")
     assert df.agg(dec_avg("x").alias("a")).first().a == Decimal("1.5001500000000000")
+
+
+def test_remaining_helpers(spark):
+    from ledgerframe.functions import add_days_trunc, day_diff, isnull_typed, nullif0, safe_div, switch_true
+    r = one(spark,
+            day_diff(F.lit(dt.date(2020, 1, 31)), F.lit(dt.date(2020, 3, 1))).alias("dd"),
+            add_days_trunc(F.lit(2.9), F.lit(dt.date(2020, 1, 1))).alias("ad"),
+            isnull_typed(F.lit(None).cast("string"), "N/A").alias("isn"),
+            nullif0(F.lit(0)).alias("nz"),
+            safe_div(F.lit(1), F.lit(0)).alias("sd0"), safe_div(F.lit(3), F.lit(2)).alias("sd"),
+            switch_true((F.lit(1) > 2, "a"), (F.lit(2) > 1, "b"), default="c").alias("sw"))
+    assert (r.dd, r.ad, r.isn, r.nz, r.sd0, r.sd, r.sw) == (30, dt.date(2020, 1, 3), "N/A", None, None, 1.5, "b")
