@@ -126,3 +126,12 @@ def dec_avg(x: ColumnOrName) -> Column:
     """
     c = _c(x)
     return F.sum(c).cast("decimal(28,6)") / F.count(c).cast("decimal(20,0)")
+
+
+def count_distinct(x: ColumnOrName, approx: bool = False, rsd: float = 0.01) -> Column:
+    """``COUNT(DISTINCT x)``; ``approx=True`` swaps in HyperLogLog++
+    (``approx_count_distinct``, relative error ``rsd``), which aggregates
+    map-side into fixed-size sketches instead of shuffling every distinct
+    value — an opt-in for very large inputs, never the default."""
+    c = _c(x)
+    return F.approx_count_distinct(c, rsd) if approx else F.countDistinct(c)

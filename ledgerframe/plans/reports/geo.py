@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions import dec_avg, int_avg, round_half_up, safe_div
+from ...functions import count_distinct, dec_avg, int_avg, round_half_up, safe_div
 from ...operators.stats import join_group_stats, scalar
 
 
@@ -22,7 +22,7 @@ def _max_year(g: DataFrame):
     return scalar(g.agg(F.max("OrderYear").alias("y")), "y")
 
 
-def geo_performance(g: DataFrame, years: int = 3) -> DataFrame:
+def geo_performance(g: DataFrame, years: int = 3, approx: bool = False) -> DataFrame:
     """D4.1 — territory × customer type × channel × year × currency.
 
     LAG and the year share are computed before the recent-years filter (CTE
@@ -36,11 +36,11 @@ def geo_performance(g: DataFrame, years: int = 3) -> DataFrame:
            .agg(F.sum("GrossRevenue").alias("TotalRevenue"),
                 F.sum("EstimatedNetProfit").alias("TotalProfit"),
                 F.avg("GrossRevenue").alias("AvgOrderValue"),
-                F.countDistinct("SalesOrderID").alias("OrderCount"),
-                F.countDistinct("CustomerName").alias("UniqueCustomers"),
+                count_distinct("SalesOrderID", approx).alias("OrderCount"),
+                count_distinct("CustomerName", approx).alias("UniqueCustomers"),
                 F.sum(F.col("OrderQty").cast("bigint")).alias("TotalQty"),
-                F.countDistinct("ProductName").alias("UniqueProducts"),
-                F.countDistinct("CategoryName").alias("UniqueCategories")))
+                count_distinct("ProductName", approx).alias("UniqueProducts"),
+                count_distinct("CategoryName", approx).alias("UniqueCategories")))
     w = (Window.partitionBy("TerritoryName", "CustomerType", "IsOnlineOrder")
                .orderBy("OrderYear", F.col("CurrencyCode").asc_nulls_first(),
                         F.col("TerritoryRegion").asc_nulls_first(), F.col("CountryRegionCode").asc_nulls_first()))
@@ -62,7 +62,7 @@ def geo_performance(g: DataFrame, years: int = 3) -> DataFrame:
     return out
 
 
-def channel_comparison(g: DataFrame, years: int = 2) -> DataFrame:
+def channel_comparison(g: DataFrame, years: int = 2, approx: bool = False) -> DataFrame:
     """D4.2 — online vs offline by category, customer type and month.
 
     Here the share window runs *after* the recent-years filter (same SELECT
@@ -71,8 +71,8 @@ def channel_comparison(g: DataFrame, years: int = 2) -> DataFrame:
     cm = (g.groupBy("IsOnlineOrder", "CategoryName", "CustomerType", "OrderYear", "OrderMonth", "CurrencyCode")
            .agg(F.sum("GrossRevenue").alias("Revenue"),
                 F.sum("EstimatedNetProfit").alias("Profit"),
-                F.countDistinct("SalesOrderID").alias("Orders"),
-                F.countDistinct("CustomerName").alias("Customers"),
+                count_distinct("SalesOrderID", approx).alias("Orders"),
+                count_distinct("CustomerName", approx).alias("Customers"),
                 F.sum(F.col("OrderQty").cast("bigint")).alias("Quantity"),
                 dec_avg("UnitPrice").alias("AvgPrice"),
                 dec_avg("UnitPriceDiscount").alias("AvgDiscount"),

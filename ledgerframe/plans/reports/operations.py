@@ -8,7 +8,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions import day_diff, int_avg, lit_date, round_half_up, safe_div
+from ...functions import count_distinct, day_diff, int_avg, lit_date, round_half_up, safe_div
 from ...operators.stats import scalar
 from ...sources.tpch import AS_OF
 
@@ -19,7 +19,7 @@ STATUS_DISPLAY_ORDER = ["Pending", "Processing", "Shipped", "Delivered", "Comple
 Z_EXTREME, Z_SIGNIFICANT, Z_MODERATE = 3, 2, 1.5
 
 
-def status_fulfilment(g: DataFrame, as_of: _dt.date = AS_OF) -> DataFrame:
+def status_fulfilment(g: DataFrame, as_of: _dt.date = AS_OF, approx: bool = False) -> DataFrame:
     """D6.1 — status × customer type × channel × region × currency.
 
     ``SUM(COUNT(*)) OVER ()`` is a scalar subquery over the grouped rows
@@ -27,7 +27,7 @@ def status_fulfilment(g: DataFrame, as_of: _dt.date = AS_OF) -> DataFrame:
     """
     grp = (g.where(F.col("OrderStatus").isNotNull())
             .groupBy("OrderStatus", "CustomerType", "IsOnlineOrder", "TerritoryRegion", "CurrencyCode")
-            .agg(F.countDistinct("SalesOrderID").alias("OrderCount"),
+            .agg(count_distinct("SalesOrderID", approx).alias("OrderCount"),
                  F.count(F.lit(1)).alias("LineItemCount"),
                  F.sum("GrossRevenue").alias("TotalRevenue"),
                  F.avg("GrossRevenue").alias("_aov"),
@@ -51,7 +51,7 @@ def status_fulfilment(g: DataFrame, as_of: _dt.date = AS_OF) -> DataFrame:
             .orderBy("_o", F.col("TotalRevenue").desc_nulls_last()).drop("_o"))
 
 
-def anomaly_detection(g: DataFrame) -> DataFrame:
+def anomaly_detection(g: DataFrame, approx: bool = False) -> DataFrame:
     """D6.2 — daily × category × currency z-scores against the category's
     daily mean and sample deviation.
 
@@ -61,7 +61,7 @@ def anomaly_detection(g: DataFrame) -> DataFrame:
     """
     daily = (g.where(F.col("OrderDate").isNotNull())
               .groupBy("OrderDate", "CategoryName", "CurrencyCode")
-              .agg(F.countDistinct("SalesOrderID").cast("int").alias("DailyOrders"),
+              .agg(count_distinct("SalesOrderID", approx).cast("int").alias("DailyOrders"),
                    F.sum("GrossRevenue").alias("DailyRevenue"),
                    F.avg("GrossRevenue").alias("AvgOrderValue"),
                    F.sum(F.col("OrderQty").cast("bigint")).alias("DailyQty")))

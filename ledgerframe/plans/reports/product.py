@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions import dec_avg, month_boundaries, round_half_up, safe_div
+from ...functions import count_distinct, dec_avg, month_boundaries, round_half_up, safe_div
 from ...operators.pairs import basket_items, item_pairs
 from ...operators.stats import join_group_stats, scalar
 
@@ -31,7 +31,7 @@ def _max_year(g: DataFrame):
     return scalar(g.agg(F.max("OrderYear").alias("y")), "y")
 
 
-def bcg_matrix(g: DataFrame) -> DataFrame:
+def bcg_matrix(g: DataFrame, approx: bool = False) -> DataFrame:
     """D3.1 — product portfolio (BCG) per product × currency.
 
     ``@maxYear`` is one scalar subquery.  Category totals / means use a
@@ -45,8 +45,8 @@ def bcg_matrix(g: DataFrame) -> DataFrame:
            .groupBy("ProductName", "CategoryName", "SubcategoryName", "CurrencyCode")
            .agg(F.sum("GrossRevenue").alias("TotalRevenue"),
                 F.sum(F.col("OrderQty").cast("bigint")).alias("TotalQtySold"),
-                F.countDistinct("SalesOrderID").alias("OrderCount"),
-                F.countDistinct("CustomerName").alias("UniqueCustomers"),
+                count_distinct("SalesOrderID", approx).alias("OrderCount"),
+                count_distinct("CustomerName", approx).alias("UniqueCustomers"),
                 F.sum(F.when(F.col("OrderYear") == my, rev).otherwise(F.lit(0))).alias("CurrentYearRevenue"),
                 F.sum(F.when(F.col("OrderYear") == my - 1, rev).otherwise(F.lit(0))).alias("PriorYearRevenue"),
                 F.sum("EstimatedNetProfit").alias("TotalProfit"),

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions import dec_avg, int_avg, round_half_up, safe_div
+from ...functions import count_distinct, dec_avg, int_avg, round_half_up, safe_div
 
 # Discount bucket ladder of the deep-dive report (upper bounds
 # inclusive, first match wins; NULL falls to the last label).
@@ -49,7 +49,7 @@ def revenue_trend(g: DataFrame, top: int | None = 10) -> DataFrame:
     return out.limit(top) if top else out
 
 
-def margin_by_dimension(g: DataFrame, top: int | None = 10) -> DataFrame:
+def margin_by_dimension(g: DataFrame, top: int | None = 10, approx: bool = False) -> DataFrame:
     """D1.2 — margin statistics by category / subcategory / colour / customer
     type / currency, groups with at least five distinct orders."""
     keys = ["CategoryName", "SubcategoryName", "ProductColor", "CustomerType", "CurrencyCode"]
@@ -60,7 +60,7 @@ def margin_by_dimension(g: DataFrame, top: int | None = 10) -> DataFrame:
                  F.sum("EstimatedNetProfit").alias("TotalProfit"),
                  F.avg(row_margin).alias("_avg_m"), F.min(row_margin).alias("_min_m"),
                  F.max(row_margin).alias("_max_m"),
-                 F.countDistinct("SalesOrderID").alias("OrderCount"),
+                 count_distinct("SalesOrderID", approx).alias("OrderCount"),
                  F.sum(F.col("OrderQty").cast("bigint")).alias("TotalQty"),
                  F.avg("GrossRevenue").alias("_aov"))
             .where(F.col("OrderCount") >= 5))

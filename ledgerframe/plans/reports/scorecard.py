@@ -5,7 +5,8 @@ the prior month (January wraps to December) and the same month last year.
 Here one scalar subquery finds the latest (year, month); each line is tagged
 with the period it belongs to (at most one), one grouped aggregation over the
 tagged lines yields the three periods, and five metric rows are emitted from
-that single small row with ``stack`` (no cross join, no union of re-scans).
+that single small row as an inline array of structs (no cross join, no
+union of re-scans).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...functions import round_half_up, safe_div
+from ...functions import count_distinct, round_half_up, safe_div
 from ...operators.stats import scalar
 
 # Health thresholds per metric (fraction change or level).
@@ -30,7 +31,7 @@ def _ladder(x, ladder) -> "F.Column":
     return out.otherwise(F.lit(HEALTH_ELSE))
 
 
-def health_scorecard(g: DataFrame) -> DataFrame:
+def health_scorecard(g: DataFrame, approx: bool = False) -> DataFrame:
     latest = scalar(g.agg(F.max(F.struct("OrderYear", "OrderMonth")).alias("l")), "l")
     y, m = latest.getField("OrderYear"), latest.getField("OrderMonth")
     yr, mo = F.col("OrderYear"), F.col("OrderMonth")
@@ -41,7 +42,7 @@ def health_scorecard(g: DataFrame) -> DataFrame:
                       "CustomerName").where(F.col("_p").isNotNull())
     per = tagged.groupBy("_p").agg(
         F.sum("GrossRevenueUSD").alias("rev"), F.sum("EstimatedNetProfitUSD").alias("prof"),
-        F.countDistinct("SalesOrderID").alias("orders"), F.countDistinct("CustomerName").alias("cust"),
+        count_distinct("SalesOrderID", approx).alias("orders"), count_distinct("CustomerName", approx).alias("cust"),
         F.avg("GrossRevenueUSD").alias("aov"))
     # pivot the (at most three) period rows into one row; a missing period
     # behaves like the reference's empty aggregate (NULL sums, 0 counts)

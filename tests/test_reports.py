@@ -89,3 +89,15 @@ def test_d2_1_rfm_scores_cover_all_customers(spark):
     for col in ("R_Score", "F_Score", "M_Score"):
         sizes = [sum(1 for r in out if getattr(r, col) == b) for b in range(1, 6)]
         assert max(sizes) - min(sizes) <= 1
+
+
+def test_approx_distinct_option_is_close(spark):
+    from ledgerframe.plans import golden as G
+    from ledgerframe.plans.reports import geo
+    g = G.golden_from_tables(spark, "/root/testdata/sf0.001")
+    exact = {(r.TerritoryName, r.CustomerType, r.Channel, r.OrderYear): r.OrderCount
+             for r in geo.geo_performance(g).collect()}
+    approx = {(r.TerritoryName, r.CustomerType, r.Channel, r.OrderYear): r.OrderCount
+              for r in geo.geo_performance(g, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
