@@ -24,12 +24,21 @@ Z_BAND_ELSE = "Normal (|Z| <= 2)"
 FORECAST_MONTHS = 6
 
 
+def _select(g: DataFrame, where):
+    """Apply the page's slicer selection (a Column predicate or SQL string);
+    selection-wide statistics (ALLSELECTED) then refer to the filtered rows."""
+    if where is None:
+        return g
+    return g.where(where if not isinstance(where, str) else F.expr(where))
+
+
 def _kpi(g: DataFrame, by: list[str]) -> DataFrame:
     return M.core_measures(g, by).select(*by, "TotalRevenue", "TotalProfit", "TotalOrders", "ProfitMarginPct")
 
 
-def page_1(g: DataFrame) -> dict[str, DataFrame]:
+def page_1(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Executive summary."""
+    g = _select(g, where)
     heat = (M._dated(g).groupBy("CategoryName").pivot("Month", list(range(1, 13)))
                        .agg(F.sum(REV)))
     return {"kpis": _kpi(g, []), "ma3_trend": M.moving_averages(g).select("Year", "Month", "MA3Month"),
@@ -53,8 +62,9 @@ def margin_by_segment(g: DataFrame) -> DataFrame:
                     round_half_up(divide("TotalProfit", "TotalRevenue", 0.0), 6).alias("ProfitMarginPct"))
 
 
-def page_2(g: DataFrame) -> dict[str, DataFrame]:
+def page_2(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Revenue & profitability."""
+    g = _select(g, where)
     disc = (g.groupBy(M.dax_discount_bucket().alias("DiscountBucket"))
              .agg(F.count(F.lit(1)).alias("Lines"), F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit")))
     return {"growth": M.time_intelligence(g).select("Year", "Month", "MoMGrowthPct", "YoYGrowthPct"),
@@ -70,8 +80,9 @@ def segment_summary(g: DataFrame) -> DataFrame:
                                             F.sum("CustomerLTV").alias("TotalLTV"))
 
 
-def page_3(g: DataFrame) -> dict[str, DataFrame]:
+def page_3(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Customer behaviour and segmentation."""
+    g = _select(g, where)
     r = M.rfm_columns(g)
     top = (g.groupBy("CustomerName").agg(F.sum(REV).alias("TotalRevenue"),
                                          F.countDistinct("SalesOrderID").alias("Orders"))
@@ -95,8 +106,9 @@ def pareto_curve(g: DataFrame) -> DataFrame:
                     round_half_up(divide("_cum", "_cum_total", 0.0) * 100, 6).alias("CumulativeSharePct"))
 
 
-def page_4(g: DataFrame) -> dict[str, DataFrame]:
+def page_4(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Product performance."""
+    g = _select(g, where)
     growth = M.product_growth(g).select(F.col("ProductName").alias("_p"),
                                         round_half_up("_growth", 6).alias("YoYGrowthPct"))
     contrib = M.product_measures(g, [])
@@ -118,8 +130,9 @@ def region_trend(g: DataFrame) -> DataFrame:
                             F.countDistinct("SalesOrderID").alias("TotalOrders")))
 
 
-def page_5(g: DataFrame) -> dict[str, DataFrame]:
+def page_5(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Territory and regional performance."""
+    g = _select(g, where)
     matrix = M._dated(g).groupBy("TerritoryName").pivot("Year").agg(F.sum(REV))
     return {"ranking": M.territory_growth_rank(g), "region_kpis": _kpi(g, ["TerritoryRegion"]),
             "trend": region_trend(g), "territory_year_matrix": matrix}
@@ -133,8 +146,9 @@ def day_of_week(g: DataFrame) -> DataFrame:
     return a.select("*", round_half_up(divide("TotalRevenue", total, 0.0), 6).alias("RevenueShare"))
 
 
-def page_6(g: DataFrame) -> dict[str, DataFrame]:
+def page_6(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Time series and seasonality."""
+    g = _select(g, where)
     d = M._dated(g)
     wp = M.weekpart_revenue(g).agg(F.sum("WeekdayRevenue").alias("WeekdayRevenue"),
                                    F.sum("WeekendRevenue").alias("WeekendRevenue"))
@@ -152,8 +166,9 @@ def channel_size(g: DataFrame) -> DataFrame:
              .withColumn("AvgProcessingDays", round_half_up("_proc", 6)).drop("_proc"))
 
 
-def page_7(g: DataFrame) -> dict[str, DataFrame]:
+def page_7(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Operational efficiency."""
+    g = _select(g, where)
     return {"daily_orders": M._dated(g).groupBy("OrderDate").agg(F.countDistinct("SalesOrderID").alias("Orders")),
             "channel_size": channel_size(g),
             "fulfilment_by_territory": M.operations_measures(g, ["TerritoryName"]),
@@ -168,8 +183,9 @@ def z_bands(g: DataFrame) -> DataFrame:
     return g.groupBy(band.alias("ZBand")).agg(F.count(F.lit(1)).alias("Lines"), F.sum(REV).alias("TotalRevenue"))
 
 
-def page_8(g: DataFrame) -> dict[str, DataFrame]:
+def page_8(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Anomaly detection and outliers."""
+    g = _select(g, where)
     sel = g.agg(F.avg(REV).alias("mu"), F.stddev_pop(REV).alias("sd"), F.var_pop(REV).alias("var"))
     z = divide(M._blank0(F.col(REV)).cast("double") - scalar(sel, "mu"), scalar(sel, "sd"), 0.0)
     scat = g.select("SalesOrderID", "CategoryName", "OrderDate", REV, z.alias("RevenueZScore"))
@@ -222,8 +238,9 @@ def category_trend(g: DataFrame) -> DataFrame:
                     M._trend(F.col("TotalRevenue"), F.col("_ma6")).alias("TrendDirection"))
 
 
-def page_9(g: DataFrame) -> dict[str, DataFrame]:
+def page_9(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Forecast and scenario planning."""
+    g = _select(g, where)
     vol = g.agg(F.try_divide(F.stddev_pop(PROF), F.avg(PROF).cast("double")).alias("ProfitVolatility"))
     return {"forecast_6m": forecast_6m(g), "scenarios": M.scenario_card(g), "volatility": vol,
             "trend_by_category": category_trend(g),

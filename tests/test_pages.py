@@ -41,3 +41,9 @@ def test_pareto_curve_ends_at_100(g):
 def test_scenario_series_is_exact(g):
     vals = [float(v) for v in M.scenario_series()]
     assert len(vals) == 21 and vals[0] == -0.5 and vals[10] == 0.0 and vals[-1] == 0.5
+
+
+def test_page_slicer(g):
+    full = P.page_1(g)["kpis"].first().TotalOrders
+    part = P.page_1(g, where="TerritoryRegion = 'AMERICA'")["kpis"].first().TotalOrders
+    assert 0 < part < full
