@@ -106,12 +106,27 @@ def _dated(g: DataFrame, date_role: str = "order") -> DataFrame:
     return base.withColumn("_Date", d)
 
 
-def month_spine(g: DataFrame) -> DataFrame:
-    """Every calendar month (CALENDARAUTO bounds) with a dense index ``p``."""
+def month_spine(g: DataFrame, by: list[str] | None = None, date_role: str = "order") -> DataFrame:
+    """Every calendar month (CALENDARAUTO bounds) with a dense index ``p``;
+    with ``by`` keys, every (key combination seen in the data × calendar
+    month) — each key row is exploded over the months, so the spine is
+    bounded by key cardinality × calendar length (no cross join)."""
     b = calendar_bounds(g)
-    months = b.select(F.explode(F.sequence("start", "end", F.expr("interval 1 month"))).alias("m"))
-    return months.select(F.year("m").alias("Year"), F.month("m").alias("Month"),
-                         (F.year("m") * 12 + F.month("m") - 1).alias("p"))
+    months = F.explode(F.sequence(scalar(b, "start"), scalar(b, "end"), F.expr("interval 1 month")))
+    if by:
+        base = _dated(g, date_role).select(*by).distinct().select(*by, months.alias("m"))
+    else:
+        base = b.select(months.alias("m"))
+    return base.select(*(by or []), F.year("m").alias("Year"), F.month("m").alias("Month"),
+                       (F.year("m") * 12 + F.month("m") - 1).alias("p"))
+
+
+def _keys_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` with NULL-safe equality (a BLANK member is a key)."""
+    ren = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                       *[c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(ren[f"_r_{k}"]) for k in keys]
+    return left.join(ren, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 # ------------------------------------------------------------------ core
@@ -133,32 +148,36 @@ def core_measures(g: DataFrame, by: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ time
-def _monthly(g: DataFrame, aggs: list[Column], date_role: str = "order") -> DataFrame:
+def _monthly(g: DataFrame, aggs: list[Column], date_role: str = "order",
+             by: list[str] | None = None) -> DataFrame:
     """Monthly aggregates on the dense month spine (BLANK for empty months)."""
-    m = _dated(g, date_role).groupBy("Year", "Month").agg(*aggs)
-    return month_spine(g).join(m, ["Year", "Month"], "left")
+    by = by or []
+    m = _dated(g, date_role).groupBy(*by, "Year", "Month").agg(*aggs)
+    return _keys_join(month_spine(g, by, date_role), m, [*by, "Year", "Month"])
 
 
-def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "order") -> DataFrame:
-    """F11-F21 at (Year, Month).
+def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "order",
+                      by: list[str] | None = None) -> DataFrame:
+    """F11-F21 at (``by`` keys, Year, Month).
 
-    The spine window has no partition key but holds one row per calendar
-    month (bounded by the calendar span).
+    The window over the dense spine is partitioned by the ``by`` keys; each
+    partition holds one row per calendar month (bounded by the calendar).
     """
+    by = by or []
     d = _dated(g, date_role)
-    base = _monthly(g, [F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit")], date_role)
-    w = Window.orderBy("p")
+    base = _monthly(g, [F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit")], date_role, by)
+    w = Window.partitionBy(*by).orderBy("p") if by else Window.orderBy("p")
     t = base.select("*", F.lag("TotalRevenue", 1).over(w).alias("PMRevenue"),
                     F.lag("TotalRevenue", 12).over(w).alias("PYRevenue"),
                     F.lag("TotalProfit", 1).over(w).alias("PMProfit"))
     # CALCULATE([Total Revenue], DateTable[Year] = k) keeps the Month filter
-    by_month = d.groupBy("Month").agg(*[F.sum(F.when(F.col("Year") == k, F.col(REV))).alias(f"Revenue{k}")
-                                        for k in fixed_years])
-    t = t.join(by_month, "Month", "left")
+    by_month = d.groupBy(*by, "Month").agg(*[F.sum(F.when(F.col("Year") == k, F.col(REV))).alias(f"Revenue{k}")
+                                             for k in fixed_years])
+    t = _keys_join(t, by_month, [*by, "Month"])
     mom = _growth(F.col("TotalRevenue"), F.col("PMRevenue"))
     return (t.where(F.col("TotalRevenue").isNotNull() | F.col("PMRevenue").isNotNull()
                     | F.col("PYRevenue").isNotNull())
-             .select("Year", "Month", "TotalRevenue", "TotalProfit", "PMRevenue", "PYRevenue", "PMProfit",
+             .select(*by, "Year", "Month", "TotalRevenue", "TotalProfit", "PMRevenue", "PYRevenue", "PMProfit",
                      round_half_up(mom, 6).alias("MoMGrowthPct"),
                      round_half_up(_growth(F.col("TotalRevenue"), F.col("PYRevenue")), 6).alias("YoYGrowthPct"),
                      round_half_up(_growth(F.col("TotalProfit"), F.col("PMProfit")), 6).alias("MoMProfitGrowthPct"),
@@ -166,15 +185,16 @@ def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "o
                      *[F.col(f"Revenue{k}") for k in fixed_years]))
 
 
-def moving_averages(g: DataFrame, date_role: str = "order") -> DataFrame:
+def moving_averages(g: DataFrame, date_role: str = "order", by: list[str] | None = None) -> DataFrame:
     """F22-F23: revenue over the trailing 3 / 6 calendar months ÷ 3 / 6."""
-    base = _monthly(g, [F.sum(REV).alias("TotalRevenue")], date_role)
-    w = Window.orderBy("p")
+    by = by or []
+    base = _monthly(g, [F.sum(REV).alias("TotalRevenue")], date_role, by)
+    w = Window.partitionBy(*by).orderBy("p") if by else Window.orderBy("p")
     s3 = F.sum("TotalRevenue").over(w.rowsBetween(-2, 0))
     s6 = F.sum("TotalRevenue").over(w.rowsBetween(-5, 0))
-    t = base.select("Year", "Month", "TotalRevenue", (s3 / 3).alias("_ma3"), (s6 / 6).alias("_ma6"))
+    t = base.select(*by, "Year", "Month", "TotalRevenue", (s3 / 3).alias("_ma3"), (s6 / 6).alias("_ma6"))
     return (t.where(F.col("_ma3").isNotNull() | F.col("_ma6").isNotNull())
-             .select("Year", "Month", "TotalRevenue", round_half_up("_ma3", 6).alias("MA3Month"),
+             .select(*by, "Year", "Month", "TotalRevenue", round_half_up("_ma3", 6).alias("MA3Month"),
                      round_half_up("_ma6", 6).alias("MA6Month")))
 
 

@@ -52,6 +52,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "cal": C.date_table,
     "m_core": lambda g: M.core_measures(g, by=["CategoryName", "TerritoryRegion"]),
     "m_time": M.time_intelligence,
+    "m_time_category": lambda g: M.time_intelligence(g, by=["CategoryName"]),
     "m_ma": M.moving_averages,
     "m_customer": M.customer_measures,
     "m_rfm": M.rfm_columns,

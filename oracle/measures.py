@@ -305,3 +305,35 @@ SELECT CustomerSegment, CategoryName, CAST(tr AS DOUBLE) AS TotalRevenue,
   CAST(SUM(tr) OVER (PARTITION BY CustomerSegment) AS DOUBLE) AS CustomerLTV
 FROM vis
 """
+
+
+def _time_by(key: str) -> str:
+    """Time intelligence per ``key`` on a dense (key × month) spine."""
+    years = ", ".join(f"SUM(CASE WHEN OrderYear = {k} THEN GrossRevenueUSD END) AS Revenue{k}" for k in _YEARS)
+    return with_golden(BOUNDS, f"""
+keys AS (SELECT DISTINCT {key} FROM golden WHERE OrderDate IS NOT NULL)""", f"""
+kspine AS (
+  SELECT k.{key}, CAST(year(m) AS INTEGER) AS Year, CAST(month(m) AS INTEGER) AS Month,
+         CAST(year(m) * 12 + month(m) - 1 AS INTEGER) AS p
+  FROM keys k, (SELECT unnest(generate_series(CAST(s AS TIMESTAMP), CAST(e AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM bounds))""", f"""
+kmon AS (SELECT {key}, OrderYear AS Year, OrderMonth AS Month, SUM(GrossRevenueUSD) AS TotalRevenue,
+           SUM(EstimatedNetProfitUSD) AS TotalProfit
+         FROM golden WHERE OrderDate IS NOT NULL GROUP BY 1, 2, 3)""", f"""
+kbase AS (SELECT s.*, m.TotalRevenue, m.TotalProfit FROM kspine s LEFT JOIN kmon m
+          ON s.{key} IS NOT DISTINCT FROM m.{key} AND s.Year = m.Year AND s.Month = m.Month)""", f"""
+t AS (SELECT *, LAG(TotalRevenue, 1) OVER w AS PMRevenue, LAG(TotalRevenue, 12) OVER w AS PYRevenue,
+        LAG(TotalProfit, 1) OVER w AS PMProfit FROM kbase WINDOW w AS (PARTITION BY {key} ORDER BY p))""",
+        f"bm AS (SELECT {key}, OrderMonth AS Month, {years} FROM golden WHERE OrderDate IS NOT NULL GROUP BY 1, 2)") + f"""
+SELECT t.{key}, t.Year, t.Month, {d('TotalRevenue')} AS TotalRevenue, {d('TotalProfit')} AS TotalProfit,
+  {d('PMRevenue')} AS PMRevenue, {d('PYRevenue')} AS PYRevenue, {d('PMProfit')} AS PMProfit,
+  {r(growth('TotalRevenue', 'PMRevenue'), 6)} AS MoMGrowthPct,
+  {r(growth('TotalRevenue', 'PYRevenue'), 6)} AS YoYGrowthPct,
+  {r(growth('TotalProfit', 'PMProfit'), 6)} AS MoMProfitGrowthPct,
+  {_health(growth('TotalRevenue', 'PMRevenue'))} AS HealthStatus,
+  """ + ", ".join(f"{d(f'Revenue{k}')} AS Revenue{k}" for k in _YEARS) + f"""
+FROM t LEFT JOIN bm ON t.{key} IS NOT DISTINCT FROM bm.{key} AND t.Month = bm.Month
+WHERE TotalRevenue IS NOT NULL OR PMRevenue IS NOT NULL OR PYRevenue IS NOT NULL
+"""
+
+
+M_TIME_CATEGORY = _time_by("CategoryName")
