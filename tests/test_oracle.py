@@ -33,3 +33,10 @@ def test_entry_smoke(spark):
     assert df.columns == ["OrderYear", "OrderMonth", "CurrencyCode", "MonthlyRevenue", "MonthlyProfit",
                           "MoM_Growth_Pct", "YoY_Growth_Pct", "ProfitMargin_Pct", "ThreeMonth_MA",
                           "Deviation_From_Trend_Pct"]
+
+
+def test_rfm_range_partitioned_path_matches_oracle(spark, con, monkeypatch):
+    import ledgerframe.operators.ranking as R
+    monkeypatch.setattr(R.global_ntiles, "__defaults__", (3, 0))   # 3 ranges, no single-task path
+    ok, msg = compare(QUERIES["d2_1"](spark, SF), con, SQL["d2_1"], exact=True)
+    assert ok, msg
