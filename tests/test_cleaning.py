@@ -208,3 +208,12 @@ def test_views_registered_in_build_order(spark, src):
     top = spark.sql(f"SELECT SalesOrderNumber, OrderDate, ShipDate, DaysToShip, OrderStatus, GrossRevenueUSD, "
                     f"CustomerName, TerritoryName FROM {GOLDEN_VIEW} ORDER BY SalesOrderNumber LIMIT 10").collect()
     assert top[0].DaysToShip == 4 and top[0].TerritoryName == "Northwest"
+
+
+def test_sources_read_parquet_folder(spark, src, tmp_path):
+    for name in ("Sales.Customer", "Sales.Store", "Sales.SalesTerritory"):
+        src[name].write.parquet(str(tmp_path / name))
+    disk = Sources(spark, root=str(tmp_path))
+    assert "Sales.Customer" in disk
+    got = sorted(map(tuple, sales.customer_profile(disk).collect()))
+    assert got == sorted(map(tuple, sales.customer_profile(src).collect()))
