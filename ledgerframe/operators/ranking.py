@@ -30,8 +30,15 @@ from ..session import ensure_checkpoint_dir
 _ID_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
 # Inputs with at most this many rows (a checked count) are ranked by one
-# sort task; larger inputs take the range-partitioned path.
+# sort task; larger inputs take the range-partitioned path with about
+# RANGE_TARGET_ROWS rows per range.
 SINGLE_TASK_MAX_ROWS = 2_000_000
+RANGE_TARGET_ROWS = 2_000_000
+
+
+def _ranges_for(spark, rows: int) -> int:
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(base, -(-rows // RANGE_TARGET_ROWS))
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
@@ -87,9 +94,10 @@ def global_ntile(df: DataFrame, k: int, order: list[Column], out: str,
     order.
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= single_task_max:
+    rows = df.count()
+    if rows <= single_task_max:
         return df.select("*", F.ntile(k).over(Window.orderBy(*order)).alias(out))
-    ranked = global_row_number(df, order, "_rn", num_partitions)
+    ranked = global_row_number(df, order, "_rn", num_partitions or _ranges_for(df.sparkSession, rows))
     return ranked.select(*df.columns,
                          ntile_from_row_number(F.col("_rn"), F.col("_rn_total"), k).alias(out))
 
@@ -102,10 +110,12 @@ def global_ntiles(df: DataFrame, specs: list[tuple[int, list[Column], str]],
     them; small inputs get all windows in one pass, large inputs take the
     range-partitioned path per order."""
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if df.count() <= single_task_max:
+    rows = df.count()
+    if rows <= single_task_max:
         return df.select("*", *[F.ntile(k).over(Window.orderBy(*order)).alias(out) for k, order, out in specs])
+    n = num_partitions or _ranges_for(df.sparkSession, rows)
     for k, order, out in specs:
-        df = global_ntile(df, k, order, out, num_partitions, single_task_max=-1)
+        df = global_ntile(df, k, order, out, n, single_task_max=-1)
     return df
 
 
