@@ -156,10 +156,19 @@ def _project(j: DataFrame) -> DataFrame:
     return staged.select(*GOLDEN_COLUMNS)
 
 
-def golden(sales: DataFrame, product: DataFrame, profile: DataFrame, person: DataFrame) -> DataFrame:
+def golden(sales: DataFrame, product: DataFrame, profile: DataFrame, person: DataFrame,
+           dedupe_person: bool = False) -> DataFrame:
     """B18 over the cleaned views: S ⟕ P (ProductID) ⟕ C (CustomerID) ⟕ PE
     (``S.CustomerID = PE.BusinessEntityID``; fans out when a person has
-    several contact rows, as in the reference)."""
+    several contact rows, as in the reference — quirk Q3).
+
+    ``dedupe_person=True`` (opt-in fix) keeps one person row per entity
+    (name and lowest e-mail) before the join, so every sales line appears
+    once; the aggregation is per person, never per line.
+    """
+    if dedupe_person:
+        person = person.groupBy("BusinessEntityID").agg(
+            F.min("FullName").alias("FullName"), F.min("CleanEmail").alias("CleanEmail"))
     s = sales.select(
         "SalesOrderID", "SalesOrderNumber", F.col("CustomerID").alias("S_CustomerID"), "OrderDate",
         "ShipDate", "OrderStatus", "IsOnlineOrder", F.col("ProductID").alias("S_ProductID"), "OrderQty",

@@ -83,3 +83,11 @@ def test_materialize_roundtrip(spark):
     assert m.columns == G.GOLDEN_COLUMNS and m.count() == g.count()
     plan = m.where("OrderYear = 1998").select("GrossRevenue")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(OrderYear" in plan
+
+
+def test_dedupe_person_option(spark):
+    s, p, c, pe = _inputs(spark)
+    rows = G.golden(s, p, c, pe, dedupe_person=True).collect()
+    assert len(rows) == 63 + 1
+    assert [r.CustomerEmail for r in rows if r.SalesOrderID == 1] == ["ann2@x"] or \
+        [r.CustomerEmail for r in rows if r.SalesOrderID == 1] == ["ann@x"]
