@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import day_diff, money
+from ..operators.stats import scalar
 from ..session import scratch_path
 from ..sources import tpch
 
@@ -217,6 +218,18 @@ def golden_from_tables(spark: SparkSession, sf_dir: str, as_of=tpch.AS_OF) -> Da
     return _project(j)
 
 
+def latest_order_date(g: DataFrame):
+    """``MAX(OrderDate)`` over the whole record, as a scalar-subquery Column.
+
+    Written as "the latest date within the latest year": on the materialised
+    record ``OrderYear`` is the partition column, so the inner maximum reads
+    only partition values and the outer scan is pruned at run time to the
+    newest year's files instead of reading the whole column.
+    """
+    year = scalar(g.agg(F.max("OrderYear").alias("y")), "y")
+    return scalar(g.where(F.col("OrderYear") == year).agg(F.max("OrderDate").alias("m")), "m")
+
+
 def materialize(g: DataFrame, path: str | None = None) -> DataFrame:
     """Write the golden record once (Parquet, partitioned by ``OrderYear``)
     below the shared checkpoint folder and return the re-read table.

@@ -32,6 +32,7 @@ from ..functions import day_diff, distinctcount_blank, divide, round_half_up
 from ..operators.ranking import global_row_number
 from ..operators.stats import join_group_stats, scalar
 from .calendar import calendar_bounds
+from .golden import latest_order_date
 
 REV, PROF = "GrossRevenueUSD", "EstimatedNetProfitUSD"
 
@@ -206,7 +207,7 @@ def customer_measures(g: DataFrame) -> DataFrame:
     of t-1 (INTERSECT of the two VALUES sets, BLANK included).
     """
     d = _dated(g)
-    gmax = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    gmax = latest_order_date(g)
     cm = d.groupBy("Year", "Month", "CustomerID").agg(distinctcount_blank("SalesOrderID").alias("_orders"))
     cm = cm.select("*", (F.col("Year") * 12 + F.col("Month") - 1).alias("p"))
     cur = cm.groupBy("p").agg(F.count(F.lit(1)).alias("TotalCustomers"),
@@ -247,7 +248,7 @@ def _in(x: Column, lo_hi) -> Column:
 def rfm_columns(g: DataFrame) -> DataFrame:
     """F24, F28-F31 per CustomerID (the calculated columns are constant per
     customer): R/F/M scores, segment and lifetime value."""
-    gmax = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    gmax = latest_order_date(g)
     c = g.groupBy("CustomerID").agg(F.max("OrderDate").alias("_last"),
                                     distinctcount_blank("SalesOrderID").alias("_orders"),
                                     F.sum(REV).alias("CustomerLTV"))
@@ -348,7 +349,7 @@ def product_growth(g: DataFrame) -> DataFrame:
 def lifecycle_stage(g: DataFrame) -> DataFrame:
     """F36 calculated column, summarised per (ProductName, ProductStatus,
     stage) with line counts (the status is a row attribute)."""
-    ref = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    ref = latest_order_date(g)
     pstats = product_growth(g)
     rows = g.groupBy("ProductName", "ProductStatus").agg(F.count(F.lit(1)).alias("Lines"))
     j = rows.join(pstats, rows.ProductName.eqNullSafe(pstats.ProductName), "left").drop(pstats.ProductName)
@@ -498,7 +499,7 @@ def scenario_card(g: DataFrame) -> DataFrame:
     """
     b = calendar_bounds(g)
     end = scalar(b, "end")
-    last = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    last = latest_order_date(g)
     start_m = F.trunc(last, "month")
     a = g.agg(
         F.sum(REV).alias("_tr"),

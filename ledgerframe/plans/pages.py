@@ -16,6 +16,7 @@ from ..functions import divide, round_half_up
 from ..operators.ranking import global_running_sum
 from ..operators.stats import scalar
 from . import measures as M
+from .golden import latest_order_date
 
 REV, PROF = M.REV, M.PROF
 TOP_N = 20
@@ -203,7 +204,7 @@ def forecast_6m(g: DataFrame, scenario: Decimal = Decimal("0")) -> DataFrame:
     that month's revenue, and the step repeats six times.  The history is
     six monthly values from the dense month spine (one row)."""
     mon = M._monthly(g, [F.sum(REV).alias("TotalRevenue")])
-    last = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    last = latest_order_date(g)
     pl = F.year(last) * 12 + F.month(last) - 1
     hist = mon.agg(*[F.sum(F.when(F.col("p") == pl - i, F.col("TotalRevenue"))).alias(f"v{5 - i}")
                      for i in range(6)])
@@ -228,7 +229,7 @@ def forecast_6m(g: DataFrame, scenario: Decimal = Decimal("0")) -> DataFrame:
 
 def category_trend(g: DataFrame) -> DataFrame:
     """Trend Direction per category at the last data month."""
-    last = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    last = latest_order_date(g)
     pl = F.year(last) * 12 + F.month(last) - 1
     p = F.col("OrderYear") * 12 + F.col("OrderMonth") - 1
     a = g.where(F.col("OrderDate").isNotNull()).groupBy("CategoryName").agg(

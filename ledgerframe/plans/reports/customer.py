@@ -17,6 +17,7 @@ from ...functions import add_days_trunc, day_diff, lit_date, round_half_up, safe
 from ...operators.ranking import global_ntiles
 from ...operators.stats import scalar
 from ...sources.tpch import AS_OF
+from ..golden import latest_order_date
 
 # The deep-dive RFM segment ladder (first match wins).
 RFM_SEGMENTS_SQL = [
@@ -61,7 +62,7 @@ def rfm(g: DataFrame, top: int | None = 10) -> DataFrame:
     unbounded single-partition sort.  Ties are broken by the customer keys.  Scores are not flipped (1 = most recent /
     most orders / most revenue) while the ladder treats >= 4 as best — kept.
     """
-    max_date = scalar(g.agg(F.max("OrderDate").alias("m")), "m")
+    max_date = latest_order_date(g)
     cm = (g.where(F.col("CustomerName").isNotNull())
            .groupBy(*RFM_KEYS)
            .agg(F.max("OrderDate").alias("LastOrderDate"),
