@@ -158,12 +158,19 @@ def _monthly(g: DataFrame, aggs: list[Column], date_role: str = "order",
 
 
 def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "order",
-                      by: list[str] | None = None) -> DataFrame:
-    """F11-F21 at (``by`` keys, Year, Month).
-
-    The window over the dense spine is partitioned by the ``by`` keys; each
-    partition holds one row per calendar month (bounded by the calendar).
+                      by: list[str] | None = None, grain: str = "month") -> DataFrame:
+    """F11-F21 at (``by`` keys, Year, Month) or, with ``grain='year'``, at
+    (``by`` keys, Year).
+
+    DATEADD / SAMEPERIODLASTYEAR shift every date in the filter context, so
+    at year grain "previous month" is the year's months each shifted back one
+    month (December of the prior year plus January-November) and "same
+    period last year" is the prior year: both are sums of the monthly shifted
+    values.  The window over the dense spine is partitioned by the ``by``
+    keys; each partition holds one row per calendar month.
     """
+    if grain not in ("month", "year"):
+        raise ValueError(f"time intelligence supports month or year grain, not {grain!r}")
     by = by or []
     d = _dated(g, date_role)
     base = _monthly(g, [F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit")], date_role, by)
@@ -171,14 +178,22 @@ def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "o
     t = base.select("*", F.lag("TotalRevenue", 1).over(w).alias("PMRevenue"),
                     F.lag("TotalRevenue", 12).over(w).alias("PYRevenue"),
                     F.lag("TotalProfit", 1).over(w).alias("PMProfit"))
-    # CALCULATE([Total Revenue], DateTable[Year] = k) keeps the Month filter
-    by_month = d.groupBy(*by, "Month").agg(*[F.sum(F.when(F.col("Year") == k, F.col(REV))).alias(f"Revenue{k}")
-                                             for k in fixed_years])
-    t = _keys_join(t, by_month, [*by, "Month"])
+    period = ["Year", "Month"]
+    if grain == "year":
+        t = t.groupBy(*by, "Year").agg(*[F.sum(c).alias(c) for c in
+                                         ("TotalRevenue", "TotalProfit", "PMRevenue", "PYRevenue", "PMProfit")])
+        period = ["Year"]
+    # CALCULATE([Total Revenue], DateTable[Year] = k) replaces the Year filter
+    # and keeps the others (the Month filter at month grain)
+    keep = [*by, "Month"] if grain == "month" else by
+    fixed = d.groupBy(*keep).agg(*[F.sum(F.when(F.col("Year") == k, F.col(REV))).alias(f"Revenue{k}")
+                                   for k in fixed_years])
+    t = _keys_join(t, fixed, keep) if keep else t.select(
+        "*", *[scalar(fixed, f"Revenue{k}").alias(f"Revenue{k}") for k in fixed_years])
     mom = _growth(F.col("TotalRevenue"), F.col("PMRevenue"))
     return (t.where(F.col("TotalRevenue").isNotNull() | F.col("PMRevenue").isNotNull()
                     | F.col("PYRevenue").isNotNull())
-             .select(*by, "Year", "Month", "TotalRevenue", "TotalProfit", "PMRevenue", "PYRevenue", "PMProfit",
+             .select(*by, *period, "TotalRevenue", "TotalProfit", "PMRevenue", "PYRevenue", "PMProfit",
                      round_half_up(mom, 6).alias("MoMGrowthPct"),
                      round_half_up(_growth(F.col("TotalRevenue"), F.col("PYRevenue")), 6).alias("YoYGrowthPct"),
                      round_half_up(_growth(F.col("TotalProfit"), F.col("PMProfit")), 6).alias("MoMProfitGrowthPct"),

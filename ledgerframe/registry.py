@@ -53,6 +53,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m_core": lambda g: M.core_measures(g, by=["CategoryName", "TerritoryRegion"]),
     "m_time": M.time_intelligence,
     "m_time_category": lambda g: M.time_intelligence(g, by=["CategoryName"]),
+    "m_time_year": lambda g: M.time_intelligence(g, grain="year"),
     "m_ma": M.moving_averages,
     "m_customer": M.customer_measures,
     "m_rfm": M.rfm_columns,

@@ -337,3 +337,21 @@ WHERE TotalRevenue IS NOT NULL OR PMRevenue IS NOT NULL OR PYRevenue IS NOT NULL
 
 
 M_TIME_CATEGORY = _time_by("CategoryName")
+
+M_TIME_YEAR = with_golden(BOUNDS, SPINE, _MON, _BASE, """
+t AS (SELECT *, LAG(TotalRevenue, 1) OVER (ORDER BY p) AS PMRevenue, LAG(TotalRevenue, 12) OVER (ORDER BY p) AS PYRevenue,
+        LAG(TotalProfit, 1) OVER (ORDER BY p) AS PMProfit FROM base)""", """
+ty AS (SELECT Year, SUM(TotalRevenue) AS TotalRevenue, SUM(TotalProfit) AS TotalProfit, SUM(PMRevenue) AS PMRevenue,
+         SUM(PYRevenue) AS PYRevenue, SUM(PMProfit) AS PMProfit FROM t GROUP BY Year)""",
+  "fx AS (SELECT " + ", ".join(f"SUM(CASE WHEN OrderYear = {k} THEN GrossRevenueUSD END) AS Revenue{k}" for k in _YEARS)
+  + " FROM golden WHERE OrderDate IS NOT NULL)") + f"""
+SELECT Year, {d('TotalRevenue')} AS TotalRevenue, {d('TotalProfit')} AS TotalProfit,
+  {d('PMRevenue')} AS PMRevenue, {d('PYRevenue')} AS PYRevenue, {d('PMProfit')} AS PMProfit,
+  {r(growth('TotalRevenue', 'PMRevenue'), 6)} AS MoMGrowthPct,
+  {r(growth('TotalRevenue', 'PYRevenue'), 6)} AS YoYGrowthPct,
+  {r(growth('TotalProfit', 'PMProfit'), 6)} AS MoMProfitGrowthPct,
+  {_health(growth('TotalRevenue', 'PMRevenue'))} AS HealthStatus,
+  """ + ", ".join(f"{d(f'Revenue{k}')} AS Revenue{k}" for k in _YEARS) + """
+FROM ty, fx
+WHERE TotalRevenue IS NOT NULL OR PMRevenue IS NOT NULL OR PYRevenue IS NOT NULL
+"""

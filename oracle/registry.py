@@ -31,6 +31,7 @@ SQL: dict[str, str] = {
     "m_core": M.M_CORE,
     "m_time": M.M_TIME,
     "m_time_category": M.M_TIME_CATEGORY,
+    "m_time_year": M.M_TIME_YEAR,
     "m_ma": M.M_MA,
     "m_customer": M.M_CUSTOMER,
     "m_rfm": M.M_RFM,

@@ -80,3 +80,15 @@ def test_customer_ltv_keeps_only_listed_filters(spark):
             line(2, "2020-01-01", customer_id=1, category="B", revenue="30")]
     out = {r.CategoryName: r for r in M.customer_ltv(golden_df(spark, rows), ["CustomerID", "CategoryName"]).collect()}
     assert (float(out["A"].TotalRevenue), float(out["A"].CustomerLTV)) == (10.0, 40.0)
+
+
+def test_year_grain_shifts_each_date(spark):
+    import pytest
+    g = golden_df(spark, [line(1, "2019-12-10", revenue="10"), line(2, "2020-01-10", revenue="100"),
+                          line(3, "2020-12-10", revenue="1000")])
+    t = {r.Year: r for r in M.time_intelligence(g, grain="year").collect()}
+    assert float(t[2020].TotalRevenue) == 1100.0
+    assert float(t[2020].PMRevenue) == 110.0            # Dec 2019 + Jan..Nov 2020
+    assert float(t[2020].PYRevenue) == 10.0
+    with pytest.raises(ValueError):
+        M.time_intelligence(g, grain="quarter")
