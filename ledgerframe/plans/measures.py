@@ -201,16 +201,29 @@ def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "o
                      *[F.col(f"Revenue{k}") for k in fixed_years]))
 
 
-def moving_averages(g: DataFrame, date_role: str = "order", by: list[str] | None = None) -> DataFrame:
-    """F22-F23: revenue over the trailing 3 / 6 calendar months ÷ 3 / 6."""
+def moving_averages(g: DataFrame, date_role: str = "order", by: list[str] | None = None,
+                    grain: str = "month") -> DataFrame:
+    """F22-F23: revenue over the trailing 3 / 6 calendar months ÷ 3 / 6.
+
+    DATESINPERIOD starts from LASTDATE of the context, so at year grain the
+    window is the year's last 3 / 6 calendar months (the December row of the
+    month spine)."""
+    if grain not in ("month", "year"):
+        raise ValueError(f"moving averages support month or year grain, not {grain!r}")
     by = by or []
     base = _monthly(g, [F.sum(REV).alias("TotalRevenue")], date_role, by)
     w = Window.partitionBy(*by).orderBy("p") if by else Window.orderBy("p")
     s3 = F.sum("TotalRevenue").over(w.rowsBetween(-2, 0))
     s6 = F.sum("TotalRevenue").over(w.rowsBetween(-5, 0))
     t = base.select(*by, "Year", "Month", "TotalRevenue", (s3 / 3).alias("_ma3"), (s6 / 6).alias("_ma6"))
+    period = ["Year", "Month"]
+    if grain == "year":
+        year_rev = base.groupBy(*by, "Year").agg(F.sum("TotalRevenue").alias("TotalRevenue"))
+        dec = t.where(F.col("Month") == 12).select(*by, "Year", "_ma3", "_ma6")
+        t = _keys_join(year_rev, dec, [*by, "Year"])
+        period = ["Year"]
     return (t.where(F.col("_ma3").isNotNull() | F.col("_ma6").isNotNull())
-             .select(*by, "Year", "Month", "TotalRevenue", round_half_up("_ma3", 6).alias("MA3Month"),
+             .select(*by, *period, "TotalRevenue", round_half_up("_ma3", 6).alias("MA3Month"),
                      round_half_up("_ma6", 6).alias("MA6Month")))
 
 

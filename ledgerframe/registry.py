@@ -55,6 +55,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m_time_category": lambda g: M.time_intelligence(g, by=["CategoryName"]),
     "m_time_year": lambda g: M.time_intelligence(g, grain="year"),
     "m_ma": M.moving_averages,
+    "m_ma_year": lambda g: M.moving_averages(g, grain="year"),
     "m_customer": M.customer_measures,
     "m_rfm": M.rfm_columns,
     "m_ltv": lambda g: M.customer_ltv(g, by=["CustomerSegment", "CategoryName"]),

@@ -355,3 +355,12 @@ SELECT Year, {d('TotalRevenue')} AS TotalRevenue, {d('TotalProfit')} AS TotalPro
 FROM ty, fx
 WHERE TotalRevenue IS NOT NULL OR PMRevenue IS NOT NULL OR PYRevenue IS NOT NULL
 """
+
+M_MA_YEAR = with_golden(BOUNDS, SPINE, _MON, _BASE, """
+t AS (SELECT *, SUM(TotalRevenue) OVER (ORDER BY p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 3 AS ma3,
+        SUM(TotalRevenue) OVER (ORDER BY p ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) / 6 AS ma6 FROM base)""", """
+yr AS (SELECT Year, SUM(TotalRevenue) AS TotalRevenue FROM base GROUP BY Year)""") + f"""
+SELECT yr.Year, {d('yr.TotalRevenue')} AS TotalRevenue, {r('t.ma3', 6)} AS MA3Month, {r('t.ma6', 6)} AS MA6Month
+FROM yr JOIN t ON t.Year = yr.Year AND t.Month = 12
+WHERE t.ma3 IS NOT NULL OR t.ma6 IS NOT NULL
+"""

@@ -33,6 +33,7 @@ SQL: dict[str, str] = {
     "m_time_category": M.M_TIME_CATEGORY,
     "m_time_year": M.M_TIME_YEAR,
     "m_ma": M.M_MA,
+    "m_ma_year": M.M_MA_YEAR,
     "m_customer": M.M_CUSTOMER,
     "m_rfm": M.M_RFM,
     "m_ltv": M.M_LTV,
