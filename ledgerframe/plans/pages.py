@@ -250,3 +250,19 @@ def page_9(g: DataFrame, where=None) -> dict[str, DataFrame]:
 
 
 PAGES = {1: page_1, 2: page_2, 3: page_3, 4: page_4, 5: page_5, 6: page_6, 7: page_7, 8: page_8, 9: page_9}
+
+
+def write_pages(g: DataFrame, out_dir: str, where=None, pages=None) -> dict[str, str]:
+    """Refresh: write every page dataset as Parquet to ``out_dir/page_<n>/<name>``
+    (overwrite).  Datasets are small aggregates except the z-score scatter
+    and anomaly log, which are row-level and written in parallel like any
+    other table.  Returns {"page_<n>/<name>": path}."""
+    written = {}
+    for n, fn in PAGES.items():
+        if pages is not None and n not in pages:
+            continue
+        for name, df in fn(g, where).items():
+            path = f"{out_dir.rstrip('/')}/page_{n}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            written[f"page_{n}/{name}"] = path
+    return written

@@ -47,3 +47,9 @@ def test_page_slicer(g):
     full = P.page_1(g)["kpis"].first().TotalOrders
     part = P.page_1(g, where="TerritoryRegion = 'AMERICA'")["kpis"].first().TotalOrders
     assert 0 < part < full
+
+
+def test_write_pages(spark, g, tmp_path):
+    out = P.write_pages(g, str(tmp_path), pages=[1, 7])
+    assert "page_1/kpis" in out and "page_7/channel_size" in out
+    assert spark.read.parquet(out["page_1/kpis"]).count() == 1
