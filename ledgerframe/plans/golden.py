@@ -232,7 +232,8 @@ def latest_order_date(g: DataFrame):
 
 def materialize(g: DataFrame, path: str | None = None) -> DataFrame:
     """Write the golden record once (Parquet, partitioned by ``OrderYear``)
-    below the shared checkpoint folder and return the re-read table.
+    below the shared checkpoint folder — or to ``path``, overwritten on each
+    refresh — and return the re-read table.
 
     Every report rereads the golden record; materialising it cuts the
     lineage (executor loss re-reads files instead of recomputing the joins)
