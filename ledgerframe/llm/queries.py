@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, mixing, quality, sharding, token_counts
+from . import block_dedup, license_scan, mixing, quality, sharding, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_dedup.remove_later_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_license_scan": op3_license_scan,
     "op5_sharding": op5_sharding,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 
@@ -59,12 +69,12 @@ def _op3_sql() -> str:
 WITH known(norm, id) AS (VALUES {known}),
 rules(k, name, rule, pattern) AS (VALUES {rules}),
 lines AS (
-  SELECT doc_id, unnest(pieces) AS s, unnest(range(len(pieces))) AS at
+  SELECT doc_id, unnest(pieces) AS s, unnest(range(len(pieces))) AS line_no
   FROM (SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[.;:!?]+[ \\t\\r\\n]+|\\n') AS pieces FROM documents)),
 met AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY at) AS sequence,
-         ',' || string_agg(id, ',,' ORDER BY at) || ',' AS w
+  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY line_no) AS sequence,
+         ',' || string_agg(id, ',,' ORDER BY line_no) || ',' AS w
   FROM lines JOIN known ON trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) = norm GROUP BY doc_id),
 hit AS (SELECT m.doc_id, r.k, r.name, r.rule FROM met m JOIN rules r ON m.w LIKE r.pattern),
 named AS (

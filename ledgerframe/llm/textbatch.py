@@ -69,9 +69,10 @@ class Prefix:
     """Prefix hash of a byte array: the hash of any [start, end) in O(1)."""
 
     def __init__(self, data: np.ndarray):
+        """data: bytes, or one 64-bit code per element."""
         n = len(data)
         self.acc = np.zeros(n + 1, dtype=U64)
-        codes = BYTE_CODE[data]
+        codes = BYTE_CODE[data] if data.dtype == np.uint8 else data.copy()
         codes *= _power(_BASE, n, "up")
         np.cumsum(codes, out=self.acc[1:])
 
