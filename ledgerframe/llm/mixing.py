@@ -30,9 +30,9 @@ from pyspark.sql.window import Window as W
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
-LANE_ROWS = 20_000
+LANE_ROWS = 1_000
 SHARD_SLOTS = 4_096
-SLOT_CHUNK = 10_000
+SLOT_CHUNK = 2_000
 ROUNDS = 16
 SHARE = 1.5
 CAP = 2
@@ -118,7 +118,10 @@ def draw_slots(sources: DataFrame, lanes: DataFrame, cap: int = CAP, seed: int =
     # Two explosions with a shuffle between them: a hot source's slots are
     # made by many tasks.
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_CHUNK).cast("long")))
-    chunks = quota.select("*", chunk.alias("c")).repartition("sid", "c")
+    # A number of partitions is given: adaptive execution would see a few small
+    # rows and give them all to one task.
+    n_tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = quota.select("*", chunk.alias("c")).repartition(n_tasks, "sid", "c")
     last = F.least(F.col("c") + SLOT_CHUNK, F.col("slots")) - 1
     slots = chunks.select("*", F.explode(F.sequence(F.col("c"), last)).alias("j"))
     place = permuted(F.col("base") + F.col("j"), F.col("total"), F.lit(seed))
