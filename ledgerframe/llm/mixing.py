@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import scratch_path
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 128
 LANE_ROWS = 1_000
@@ -56,6 +58,14 @@ def sized(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
+def saved_sizes(sizes: DataFrame) -> DataFrame:
+    """The sizes, written to the shared folder: texts are counted once, though
+    targets, lanes and segments all start from them."""
+    path = scratch_path(sizes.sparkSession, "mix-sizes")
+    sizes.write.parquet(path)
+    return sizes.sparkSession.read.schema(sizes.schema).parquet(path)
+
+
 def source_targets(sizes: DataFrame, share: float = SHARE, cap: int = CAP,
                    weights: tuple = WEIGHTS) -> DataFrame:
     """(sid, source, n_docs, source_size, weight, target): one row per source."""
@@ -145,7 +155,7 @@ def segments(docs_placed: DataFrame, lanes: DataFrame, block_words: int) -> Data
 
 
 def _parts(docs: DataFrame, block_words: int, lane_rows: int, seed: int, keep: tuple = ()):
-    sizes = sized(docs)
+    sizes = saved_sizes(sized(docs))
     sources = source_targets(sizes)
     d = placed(sizes, sources, lane_rows)
     lanes = lane_offsets(d, block_words)
@@ -178,8 +188,8 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, lane_rows: in
     h = F.xxhash64("text")
     same = W.partitionBy("doc_id", "h").orderBy("size")
     rows = docs.withColumn("h", h)
-    sizes = rows.select("doc_id", "source", "h",
-                        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = saved_sizes(rows.select("doc_id", "source", "h",
+                                    F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     sources = source_targets(sizes)
     d = placed(sizes.withColumn("copy", F.row_number().over(same)), sources, lane_rows)
     lanes = lane_offsets(d, block_words)
