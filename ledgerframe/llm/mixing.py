@@ -185,10 +185,9 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, lane_rows: in
     """The mix as documents, in the columns of `docs`: one row per document and
     epoch that takes words of it.  A document taken whole keeps its text; of
     others the taken words stay, in order, joined by one space."""
-    h = F.xxhash64("text")
-    same = W.partitionBy("doc_id", "h").orderBy("size")
-    rows = docs.withColumn("h", h)
-    sizes = saved_sizes(rows.select("doc_id", "source", "h",
+    h = F.xxhash64("text").alias("h")
+    same = W.partitionBy("doc_id", "h").orderBy("size", "source")
+    sizes = saved_sizes(docs.select("doc_id", "source", h,
                                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     sources = source_targets(sizes)
     d = placed(sizes.withColumn("copy", F.row_number().over(same)), sources, lane_rows)
@@ -198,14 +197,18 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, lane_rows: in
              .groupBy("doc_id", "h", "copy", "epoch")
              .agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("ranges"),
                   F.sum(F.col("word_to") - F.col("word_from")).alias("got"), F.first("size").alias("size")))
-    copies = rows.withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "h").orderBy("source")))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    # The rows of `docs` ride along as one struct: no column name can clash.
+    same = W.partitionBy("doc_id", "h").orderBy("source")
+    copies = (docs.select("doc_id", "source", h, F.struct("*").alias("row"))
+              .select("*", F.row_number().over(same).alias("copy")))
+    source_text = F.col("row")["text"]
+    words = F.regexp_extract_all(source_text, F.lit(WORD), F.lit(0))
     part = F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["word_from"] + 1).cast("int"),
                                                              (r["word_to"] - r["word_from"]).cast("int"))))
-    text = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(F.array_join(part, " "))
+    text = F.when(F.col("got") == F.col("size"), source_text).otherwise(F.array_join(part, " "))
     t = taken.select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h"), F.col("copy").alias("k_copy"),
                      "ranges", "got", "size")
     on = (F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("h") == F.col("k_h")) & (F.col("copy") == F.col("k_copy")))
-    out = copies.join(t, on).withColumn("mixed", text)
+    out = copies.join(t, on).select("row", text.alias("mixed"))
     cols = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
-    return out.select(*(cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns))
+    return out.select(*(cols[c].alias(c) if c in cols else F.col("row")[c].alias(c) for c in docs.columns))

@@ -187,7 +187,8 @@ class Linker:
 
 def link_components(sets: list[np.ndarray], side: np.ndarray | None = None, percent: int = 80) -> np.ndarray:
     """Components of sets (sorted distinct uint64) linked at `percent` per cent
-    Jaccard similarity; with `side`, only pairs across sides are compared."""
+    Jaccard similarity; with `side`, all pairs across sides are compared (pairs
+    of one side may be linked on the way, which another task checks too)."""
     if len(sets) < 2:
         return np.arange(len(sets))
     return Linker(sets, side, percent).run()
