@@ -13,13 +13,12 @@ the basket id and the line-pair statistics are rebuilt exactly:
 Co-occurring item pairs are the report's own output groups, so they cannot be
 skipped; what is bounded is the work per task.  A basket with k distinct
 items produces k²/2 pairs from an input of only k rows — input-size skew
-detection would not notice it.  Baskets with more than ``hot_items`` items
-are therefore split explicitly: each item gets a bucket ``hash(item) % S``
-(S = ceil(k / hot_items)), the left side is replicated over the S right
-buckets and the right side over the S left buckets, and the join key becomes
-(basket, left bucket, right bucket).  Every item pair meets in exactly one
-task, and no task pairs more than about ``hot_items``² items.  Ordinary
-baskets take the plain join on the basket id.
+detection would not notice it.  Every basket is therefore joined in cells:
+with S = ceil(k / cell_items) buckets ``hash(item) % S``, the left side is
+replicated over the S right buckets, the right side over the S left buckets,
+and the join key is (basket, left bucket, right bucket).  Every item pair
+meets in exactly one cell, and no cell pairs more than about ``cell_items``²
+items.  An ordinary basket has S = 1: one cell, no replication.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ITEMS = 2000
+CELL_ITEMS = 2000
 
 
 def basket_items(df: DataFrame, basket: str, item_cols: list[str], value: str) -> DataFrame:
@@ -36,57 +35,30 @@ def basket_items(df: DataFrame, basket: str, item_cols: list[str], value: str) -
         F.count(F.lit(1)).alias("_c"), F.sum(value).alias("_r"), F.count(value).alias("_n"))
 
 
-def _side(items: DataFrame, basket: str, item_cols: list[str], sfx: str) -> DataFrame:
-    return items.select(F.col(basket).alias("_b" + sfx), *[F.col(c).alias(c + sfx) for c in item_cols],
-                        F.col("_c").alias("_c" + sfx), F.col("_r").alias("_r" + sfx),
-                        F.col("_n").alias("_n" + sfx), *[F.col(c) for c in items.columns if c.startswith("_s")])
-
-
-def _emit(j: DataFrame, item_cols: list[str], s1: str, s2: str) -> DataFrame:
-    vsum = F.col("_r" + s1) * F.col("_n" + s2) + F.col("_r" + s2) * F.col("_n" + s1)
-    return j.select(*[c + s1 for c in item_cols], *[c + s2 for c in item_cols],
-                    (F.col("_c" + s1) * F.col("_c" + s2)).alias("pair_lines"),
-                    F.when(F.col("_n" + s1) * F.col("_n" + s2) > 0, vsum).alias("pair_value_sum"),
-                    (F.col("_n" + s1) * F.col("_n" + s2)).alias("pair_value_n"))
-
-
 def item_pairs(items: DataFrame, basket: str, item_cols: list[str], order_col: str,
-               suffixes=("1", "2"), hot_items: int = HOT_ITEMS,
-               basket_sizes: DataFrame | None = None) -> DataFrame:
+               suffixes=("1", "2"), cell_items: int = CELL_ITEMS) -> DataFrame:
     """Pairs of distinct items in the same basket with ``a.order_col < b.order_col``.
 
-    ``basket_sizes`` (basket, ``_k``) may give an upper bound of each
-    basket's item count — e.g. its line count, a cheap partial aggregate over
-    the lines; by default the items are counted.  Baskets above
-    ``hot_items`` form a short list (at most total / ``hot_items`` rows) that
-    the items are filtered against.
-
     Output: ``<item>1``, ``<item>2`` columns plus ``pair_lines`` (c1·c2),
     ``pair_value_sum`` and ``pair_value_n``.
     """
     s1, s2 = suffixes
-    less = F.col(order_col + s1) < F.col(order_col + s2)
-    sizes = basket_sizes if basket_sizes is not None else \
-        items.groupBy(basket).agg(F.count(F.lit(1)).alias("_k"))
-    hot = sizes.where(F.col("_k") > hot_items).select(
-        F.col(basket).alias("_hb"), F.ceil(F.col("_k") / F.lit(hot_items)).cast("int").alias("_s"))
-
-    # one pass tags every item with its basket's split count (NULL = ordinary)
-    tagged_all = items.join(hot, items[basket] == hot["_hb"], "left").drop("_hb")
-    cold_items = tagged_all.where(F.col("_s").isNull()).drop("_s")
-    a, b = _side(cold_items, basket, item_cols, s1), _side(cold_items, basket, item_cols, s2)
-    cold = _emit(a.join(b, (F.col("_b" + s1) == F.col("_b" + s2)) & less), item_cols, s1, s2)
-
-    hot_items_df = tagged_all.where(F.col("_s").isNotNull())
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in item_cols]), F.col("_s")).cast("int")
-    tagged = hot_items_df.select("*", bucket.alias("_own"))
+    sizes = items.groupBy(F.col(basket).alias("_sb")).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(cell_items)).cast("int").alias("_s"))
+    celled = items.join(sizes, items[basket] == sizes["_sb"]).select(
+        *items.columns, "_s", F.pmod(F.xxhash64(*item_cols), F.col("_s")).cast("int").alias("_own"))
     spread = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
-    left = _side(tagged.select("*", F.col("_own").alias("_sa"), spread.alias("_sb")), basket, item_cols, s1)
-    right = _side(tagged.select("*", spread.alias("_sa"), F.col("_own").alias("_sb")), basket, item_cols, s2)
-    left = left.select(*[c for c in left.columns if c not in ("_sa", "_sb", "_s", "_own")],
-                       F.col("_sa").alias("_la"), F.col("_sb").alias("_lb"))
-    right = right.select(*[c for c in right.columns if c not in ("_sa", "_sb", "_s", "_own")],
-                         F.col("_sa").alias("_ra"), F.col("_sb").alias("_rb"))
-    jh = left.join(right, (F.col("_b" + s1) == F.col("_b" + s2)) & (F.col("_la") == F.col("_ra"))
-                   & (F.col("_lb") == F.col("_rb")) & less)
-    return cold.unionByName(_emit(jh, item_cols, s1, s2))
+
+    def side(sfx: str, mine: str, other: str) -> DataFrame:
+        rows = celled.select("*", spread.alias("_any"))
+        return rows.select(F.col(basket).alias("_b" + sfx), F.col("_own").alias(mine + sfx),
+                           F.col("_any").alias(other + sfx), *[F.col(c).alias(c + sfx) for c in item_cols],
+                           *[F.col(c).alias(c + sfx) for c in ("_c", "_r", "_n")])
+    a, b = side(s1, "_x", "_y"), side(s2, "_y", "_x")
+    same = [F.col(c + s1) == F.col(c + s2) for c in ("_b", "_x", "_y")]
+    j = a.join(b, same[0] & same[1] & same[2] & (F.col(order_col + s1) < F.col(order_col + s2)))
+    n = F.col("_n" + s1) * F.col("_n" + s2)
+    total = F.col("_r" + s1) * F.col("_n" + s2) + F.col("_r" + s2) * F.col("_n" + s1)
+    return j.select(*[c + s1 for c in item_cols], *[c + s2 for c in item_cols],
+                    (F.col("_c" + s1) * F.col("_c" + s2)).alias("pair_lines"),
+                    F.when(n > 0, total).alias("pair_value_sum"), n.alias("pair_value_n"))

@@ -1,49 +1,49 @@
-"""Global row numbers and NTILE over a total order without a single-partition
-sort.
+"""Global row numbers, NTILE and running sums over a total order without a
+single-partition sort.
 
 ``ntile(k) OVER (ORDER BY ...)`` with no PARTITION BY plans as
 ``Exchange SinglePartition`` in Spark: the whole input is sorted by one task.
-Here instead:
-
-1. ``repartitionByRange(n, order)`` + ``sortWithinPartitions(order)``: the
-   total order is split into n balanced, internally sorted ranges (the order
-   includes the caller's tiebreak, so even a heavily tied key splits);
-2. the ranges are checkpointed to the shared checkpoint folder, so partition
-   contents are fixed (a recomputation after executor loss cannot move a row
-   to another range);
-3. per-range row counts (n rows) give each range's offset (a running sum over
-   n rows, broadcast back — its size is bounded by the partition count);
-4. the row number is offset + position inside the range, which
-   ``monotonically_increasing_id`` exposes exactly on a checkpointed input.
-
-The only single-partition step is the running sum over the n range counts.
+Here instead, for every input size alike:
+
+1. ``repartitionByRange(order)`` + ``sortWithinPartitions(order)``: the total
+   order is split into sorted ranges (the order includes the caller's
+   tiebreak, so even a heavily tied key splits);
+2. the ranges are written to the shared checkpoint folder together with each
+   row's range and position, so what is counted and what is ranked are the
+   same rows (a recomputation after executor loss cannot move one);
+3. per-range row counts (one row per range) give each range's offset: a
+   running sum over the ranges, broadcast back — bounded by their number;
+4. the row number is offset + position.
+
+The only single-partition step is the running sum over the range counts.
+Writing the ranges is a job that runs while the plan is being built.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import materialized
 
-_ID_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
+_ID_BITS = 33  # monotonically_increasing_id: partition id in the upper bits
 
-# Inputs with at most this many rows (a checked count) are ranked by one
-# sort task; larger inputs take the range-partitioned path with about
-# RANGE_TARGET_ROWS rows per range.
-SINGLE_TASK_MAX_ROWS = 2_000_000
-RANGE_TARGET_ROWS = 2_000_000
 
+def _ranged(df: DataFrame, order: list[Column], num_partitions: int | None) -> DataFrame:
+    """``df`` in sorted ranges, written with ``_rng`` and ``_pos`` (0-based)."""
+    parts = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = parts.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    saved = materialized(tagged, "ranges")
+    rng = F.shiftright("_id", _ID_BITS)
+    return saved.select(*df.columns, rng.alias("_rng"), (F.col("_id") - F.shiftleft(rng, _ID_BITS)).alias("_pos"))
 
-def _ranges_for(spark, rows: int) -> int:
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(base, -(-rows // RANGE_TARGET_ROWS))
 
-
-def _ckpt(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _offsets(per_range: DataFrame, value: str) -> DataFrame:
+    """(_rng, _off, _all): the sum of ``value`` before each range, and in all."""
+    run = Window.orderBy("_rng")
+    return per_range.select(
+        "_rng", F.coalesce(F.sum(value).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum(value).over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
 
 
 def global_row_number(df: DataFrame, order: list[Column], out: str = "_rn",
@@ -53,21 +53,11 @@ def global_row_number(df: DataFrame, order: list[Column], out: str = "_rn",
     ``order`` must be a total order (append tiebreak columns) for the result
     to be deterministic.  Also appends ``_rn_total`` (row count).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _ckpt(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    mid = F.monotonically_increasing_id()
-    tagged = ranged.select("*", F.shiftright(mid, _ID_BITS).alias("_rng"),
-                           (mid - F.shiftleft(F.shiftright(mid, _ID_BITS), _ID_BITS)).alias("_pos"))
-    counts = tagged.groupBy("_rng").agg(F.count(F.lit(1)).alias("_cnt"))
-    run = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_rng",
-        F.coalesce(F.sum("_cnt").over(run), F.lit(0)).alias("_off"),
-        F.sum("_cnt").over(Window.partitionBy(F.lit(1))).alias("_rn_total"))
-    # offsets has one row per range partition (bounded by n): broadcast
-    res = tagged.join(F.broadcast(offsets), "_rng")
-    return res.select(*df.columns, (F.col("_off") + F.col("_pos") + 1).alias(out), "_rn_total")
+    ranged = _ranged(df, order, num_partitions)
+    offsets = _offsets(ranged.groupBy("_rng").agg(F.count(F.lit(1)).alias("_cnt")), "_cnt")
+    # offsets has one row per range: broadcast
+    res = ranged.join(F.broadcast(offsets), "_rng")
+    return res.select(*df.columns, (F.col("_off") + F.col("_pos") + 1).alias(out), F.col("_all").alias("_rn_total"))
 
 
 def ntile_from_row_number(rn: Column, total: Column, k: int) -> Column:
@@ -82,57 +72,32 @@ def ntile_from_row_number(rn: Column, total: Column, k: int) -> Column:
 
 
 def global_ntile(df: DataFrame, k: int, order: list[Column], out: str,
-                 num_partitions: int | None = None,
-                 single_task_max: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
-    """Append ``out`` = NTILE(k) OVER (ORDER BY order).
-
-    The input is persisted once (the count, the range sampling and the
-    checkpoint would otherwise each recompute it).  When the checked row
-    count is at most ``single_task_max`` the plain window runs in one task —
-    its size is bounded by that check; otherwise the range-partitioned rank
-    of the module docstring is used.  Both give the same buckets for a total
-    order.
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = df.count()
-    if rows <= single_task_max:
-        return df.select("*", F.ntile(k).over(Window.orderBy(*order)).alias(out))
-    ranked = global_row_number(df, order, "_rn", num_partitions or _ranges_for(df.sparkSession, rows))
+                 num_partitions: int | None = None) -> DataFrame:
+    """Append ``out`` = NTILE(k) OVER (ORDER BY order)."""
+    ranked = global_row_number(df, order, "_rn", num_partitions)
     return ranked.select(*df.columns,
                          ntile_from_row_number(F.col("_rn"), F.col("_rn_total"), k).alias(out))
 
 
 def global_ntiles(df: DataFrame, specs: list[tuple[int, list[Column], str]],
-                  num_partitions: int | None = None,
-                  single_task_max: int = SINGLE_TASK_MAX_ROWS) -> DataFrame:
+                  num_partitions: int | None = None) -> DataFrame:
     """Several NTILEs over different total orders: ``specs`` is a list of
-    (k, order, out).  One persisted input and one checked count serve all of
-    them; small inputs get all windows in one pass, large inputs take the
-    range-partitioned path per order."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    rows = df.count()
-    if rows <= single_task_max:
-        return df.select("*", *[F.ntile(k).over(Window.orderBy(*order)).alias(out) for k, order, out in specs])
-    n = num_partitions or _ranges_for(df.sparkSession, rows)
+    (k, order, out).  ``df`` is written first: finding the ranges reads it
+    once more, and only the written rows are read again."""
+    df = materialized(df, "ntile-input")
     for k, order, out in specs:
-        df = global_ntile(df, k, order, out, n, single_task_max=-1)
+        df = global_ntile(df, k, order, out, num_partitions)
     return df
 
 
 def global_running_sum(df: DataFrame, order: list[Column], value: str, out: str,
                        num_partitions: int | None = None) -> DataFrame:
     """Append ``out`` = SUM(value) OVER (ORDER BY order ROWS UNBOUNDED PRECEDING)
-    and ``out + '_total'`` without a single-partition sort: range partitions
-    are checkpointed, their sums give per-range offsets (a running sum over n
-    rows), and the running sum inside a range adds its offset."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _ckpt(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
-    tagged = ranged.select("*", F.shiftright(F.monotonically_increasing_id(), _ID_BITS).alias("_rng"))
-    sums = tagged.groupBy("_rng").agg(F.sum(value).alias("_s"))
-    run = Window.orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_rng", F.coalesce(F.sum("_s").over(run), F.lit(0)).alias("_off"),
-                          F.sum("_s").over(Window.partitionBy(F.lit(1))).alias(out + "_total"))
-    local = Window.partitionBy("_rng").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    res = tagged.join(F.broadcast(offsets), "_rng")
-    return res.select(*df.columns, (F.col("_off") + F.sum(value).over(local)).alias(out), out + "_total")
+    and ``out + '_total'``: the running sum inside a range plus the range's
+    offset."""
+    ranged = _ranged(df, order, num_partitions)
+    offsets = _offsets(ranged.groupBy("_rng").agg(F.sum(value).alias("_s")), "_s")
+    local = Window.partitionBy("_rng").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    res = ranged.join(F.broadcast(offsets), "_rng")
+    return res.select(*df.columns, (F.col("_off") + F.sum(value).over(local)).alias(out),
+                      F.col("_all").alias(out + "_total"))

@@ -56,11 +56,10 @@ def rfm(g: DataFrame, top: int | None = 10) -> DataFrame:
     """D2.1 — recency / frequency / monetary scores with NTILE(5) over all
     customers.
 
-    The three unpartitioned NTILEs share one persisted per-customer input:
-    below a checked row count they run as plain windows, above it as the
-    range-partitioned global rank (``operators.ranking``) — never an
-    unbounded single-partition sort.  Ties are broken by the customer keys.  Scores are not flipped (1 = most recent /
-    most orders / most revenue) while the ladder treats >= 4 as best — kept.
+    The three unpartitioned NTILEs are range-partitioned global ranks
+    (``operators.ranking``), never a single-partition sort.  Ties are broken
+    by the customer keys.  Scores are not flipped (1 = most recent / most
+    orders / most revenue) while the ladder treats >= 4 as best — kept.
     """
     max_date = latest_order_date(g)
     cm = (g.where(F.col("CustomerName").isNotNull())

@@ -2,16 +2,15 @@
 
 Materialised intermediates (the golden record, the range-partitioned rank
 input) are written under the folder the cluster names in
-``spark.checkpoint.dir``.  Library code only *reads* that setting; tests and
-the bench set their own folder when it is unset.
+``spark.checkpoint.dir``.  Library code only *reads* that setting; tests, the
+bench and the driver's entry point set a folder on the context where it is unset.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every plan in this package relies on.  AQE re-plans joins and
 # partition counts from runtime sizes (the broadcast decision is taken on
@@ -46,39 +45,28 @@ def build_session(master: str = "local[8]", app: str = "ledgerframe",
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder named by ``spark.checkpoint.dir`` (None when unset)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``, or else the one set
+    on the Spark context (tests, the bench); None when neither is set."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return d or None
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the configured checkpoint folder; set one only where it is unset.
-
-    Used by tests and the bench (single machine).  On a cluster the folder is
-    configured by the cluster and this function only reads it.
-    """
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables; the library never makes one
+    up, as a folder of one machine would not survive the loss of an executor."""
     d = checkpoint_dir(spark)
-    if d:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-        return d
-    master = spark.sparkContext.master or ""
-    if fallback is None and not master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a shared folder "
-                           "(a machine-local temporary folder would not survive executor loss)")
-    d = fallback or tempfile.mkdtemp(prefix="ledgerframe-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not d:
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     return d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if not base:
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; configure a shared folder "
-            "(tests call ensure_checkpoint_dir)")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again (cuts the lineage)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

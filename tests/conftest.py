@@ -6,12 +6,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from ledgerframe.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from ledgerframe.session import build_session, checkpoint_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session(master="local[4]", app="ledgerframe-tests", shuffle_partitions=4, driver_memory="4g")
-    ensure_checkpoint_dir(s, tempfile.mkdtemp(prefix="ledgerframe-test-ckpt-"))
+    if not checkpoint_dir(s):
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerframe-test-ckpt-"))
     yield s
     s.stop()

@@ -13,9 +13,8 @@ def _check(spark, n, ties):
     rows = [(i, rnd.randint(0, 3) if ties else rnd.randint(0, 10 ** 6)) for i in range(n)]
     df = spark.createDataFrame(rows, "id int, v int")
     order = [F.col("v").desc(), F.col("id").asc()]
-    got = {r.id: r.t for r in global_ntile(df, 5, order, "t", num_partitions=7, single_task_max=0).collect()}
-    small = {r.id: r.t for r in global_ntile(df, 5, order, "t").collect()}     # checked single-task path
-    assert small == got
+    got = {r.id: r.t for r in global_ntile(df, 5, order, "t", num_partitions=7).collect()}
+    assert got == {r.id: r.t for r in global_ntile(df, 5, order, "t").collect()}
     exp = {r.id: r.t for r in df.select("id", F.ntile(5).over(Window.orderBy(*order)).alias("t")).collect()}
     assert got == exp
     sizes = {}
@@ -31,10 +30,10 @@ def test_ntile_matches_window(spark):
 
 def test_ntile_plan_has_no_single_partition_sort_of_rows(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 7)
-    out = global_ntile(df, 5, [F.col("v"), F.col("id")], "t", num_partitions=4, single_task_max=0)
+    out = global_ntile(df, 5, [F.col("v"), F.col("id")], "t", num_partitions=4)
     plan = out._jdf.queryExecution().executedPlan().toString()
     # the only single-partition step is over the per-range counts
-    assert "RangePartitioning" not in plan  # ranges were checkpointed
+    assert "RangePartitioning" not in plan  # ranges were written
     assert out.count() == 100
 
 
@@ -53,21 +52,33 @@ def test_hot_basket_split_pairs_equal_plain_pairs(spark):
     rnd = random.Random(7)
     rows = []
     for basket in range(40):
-        k = 1 + (basket % 9) * 3                      # some baskets far above the hot limit
+        k = 1 + (basket % 9) * 3                      # some baskets of many cells
         for _ in range(k):
             rows.append((basket, f"p{rnd.randint(0, 30)}", rnd.choice(["A", "B"]), float(rnd.randint(1, 9))))
     df = spark.createDataFrame(rows, "b int, p string, c string, v double")
     items = basket_items(df, "b", ["p", "c"], "v")
     cols = ["p1", "c1", "p2", "c2", "pair_lines", "pair_value_sum", "pair_value_n"]
-    plain = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", hot_items=10 ** 9).select(*cols).collect()))
-    split = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", hot_items=3).select(*cols).collect()))
+    plain = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", cell_items=10 ** 9).select(*cols).collect()))
+    split = sorted(map(tuple, item_pairs(items, "b", ["p", "c"], "p", cell_items=3).select(*cols).collect()))
     assert plain == split and len(plain) > 100
 
 
-def test_multiple_ntiles_both_paths(spark):
+def test_multiple_ntiles(spark):
     from ledgerframe.operators.ranking import global_ntiles
     df = spark.createDataFrame([(i, (i * 7) % 5, (i * 3) % 11) for i in range(300)], "id int, a int, b int")
     specs = [(5, [F.col("a"), F.col("id")], "ta"), (4, [F.col("b").desc(), F.col("id")], "tb")]
-    small = sorted(map(tuple, global_ntiles(df, specs).select("id", "ta", "tb").collect()))
-    big = sorted(map(tuple, global_ntiles(df, specs, num_partitions=3, single_task_max=0).select("id", "ta", "tb").collect()))
-    assert small == big
+    plain = df.select("id", *[F.ntile(k).over(Window.orderBy(*o)).alias(c) for k, o, c in specs])
+    got = global_ntiles(df, specs, num_partitions=3).select("id", "ta", "tb")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_unset_checkpoint_folder_is_a_clear_error():
+    import pytest
+
+    from ledgerframe.session import ensure_checkpoint_dir
+
+    class Unset:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None)})
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Unset())

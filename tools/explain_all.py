@@ -13,19 +13,21 @@ import contextlib
 import io
 import os
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ledgerframe import registry  # noqa: E402
 from ledgerframe.plans import golden as G  # noqa: E402
-from ledgerframe.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from ledgerframe.session import build_session, checkpoint_dir  # noqa: E402
 
 
 def main():
     sf_dir, out_dir, names = sys.argv[1], sys.argv[2], sys.argv[3:]
     os.makedirs(out_dir, exist_ok=True)
     spark = build_session()
-    ensure_checkpoint_dir(spark)
+    if not checkpoint_dir(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerframe-tool-"))
     g = G.materialize(G.golden_from_tables(spark, sf_dir))
     for name in names or list(registry.GOLDEN_QUERIES):
         df = registry.GOLDEN_QUERIES[name](g)

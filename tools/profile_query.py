@@ -22,7 +22,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ledgerframe import registry  # noqa: E402
 from ledgerframe.plans import golden as G  # noqa: E402
-from ledgerframe.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from ledgerframe.session import build_session, checkpoint_dir  # noqa: E402
 
 
 def events(folder):
@@ -39,7 +39,8 @@ def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
     el = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     spark = build_session(extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": el})
-    ensure_checkpoint_dir(spark)
+    if not checkpoint_dir(spark):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerframe-tool-"))
     g = G.materialize(G.golden_from_tables(spark, sf_dir))
     for n in names:
         for rnd in (1, 2):
