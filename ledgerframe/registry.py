@@ -49,6 +49,13 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "d6_2": operations.anomaly_detection,
     "d7_1": forecast.forecast_trend,
     "d8_1": scorecard.health_scorecard,
+    "d1_1_all": lambda g: revenue.revenue_trend(g, top=None),
+    "d1_2_all": lambda g: revenue.margin_by_dimension(g, top=None),
+    "d1_3_all": lambda g: revenue.discount_impact(g, top=None),
+    "d2_1_all": lambda g: customer.rfm(g, top=None),
+    "d2_2_all": lambda g: customer.cohort_retention(g, top=None),
+    "d2_3_all": lambda g: customer.churn_risk(g, top=None),
+    "d3_2_all": lambda g: product.product_affinity(g, top=None),
     "cal": C.date_table,
     "m_core": lambda g: M.core_measures(g, by=["CategoryName", "TerritoryRegion"]),
     "m_time": M.time_intelligence,

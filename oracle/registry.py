@@ -58,3 +58,4 @@ SQL: dict[str, str] = {
     "page_8": P.PAGE_8,
     "page_9": P.PAGE_9,
 }
+SQL.update(R.WITHOUT_LIMIT)
