@@ -27,7 +27,10 @@ def _c(x: ColumnOrName) -> Column:
 
 
 def lit_date(d: _dt.date | str) -> Column:
-    """A DATE literal (``as_of`` arguments are plain dates)."""
+    """A DATE literal (``as_of`` arguments are plain dates); None is today's
+    date at run time (GETDATE)."""
+    if d is None:
+        return F.current_date()
     if isinstance(d, str):
         d = _dt.date.fromisoformat(d)
     return F.lit(d).cast("date")
@@ -91,15 +94,20 @@ def nullif0(x: ColumnOrName) -> Column:
 
 
 def safe_div(a: ColumnOrName, b: ColumnOrName) -> Column:
-    """``a / NULLIF(b, 0)`` evaluated in DOUBLE (T-SQL FLOAT arithmetic)."""
+    """``a / NULLIF(b, 0)`` evaluated in DOUBLE.
+
+    The reference divides NUMERIC operands in most places (scale 6,
+    truncated) and FLOAT where it casts; DOUBLE is used for both, a deviation
+    that README lists (it can differ in the seventh decimal)."""
     return _c(a).cast("double") / nullif0(_c(b).cast("double"))
 
 
-def isnull_typed(a: ColumnOrName, b) -> Column:
-    """T-SQL ``ISNULL(a, b)``: the replacement takes the type of ``a``."""
-    c = _c(a)
+def isnull_typed(a: ColumnOrName, b, data_type: str) -> Column:
+    """T-SQL ``ISNULL(a, b)``: the result has the type of ``a``, so the
+    replacement is cast to it (``data_type`` names it: a Column knows no type
+    before it is resolved)."""
     rep = b if isinstance(b, Column) else F.lit(b)
-    return F.coalesce(c, rep)
+    return F.coalesce(_c(a), rep.cast(data_type))
 
 
 def round_half_up(x: ColumnOrName, n: int = 2) -> Column:

@@ -89,10 +89,15 @@ def job_candidate(src: Sources) -> DataFrame:
 
 
 def shift(src: Sources) -> DataFrame:
-    """B7 — times as 'HH:mm:ss' strings; an overnight shift adds 24 hours."""
+    """B7 — times as 'HH:mm:ss' strings; an overnight shift adds 24 hours.
+    Times may come as text (with or without fractional seconds or a date), as
+    timestamps, or as TIME values."""
     s = src["HumanResources.Shift"]
-    start = F.date_format(F.to_timestamp(F.col("StartTime").cast("string"), "HH:mm:ss"), "HH:mm:ss")
-    end = F.date_format(F.to_timestamp(F.col("EndTime").cast("string"), "HH:mm:ss"), "HH:mm:ss")
+
+    def clock(name):
+        found = F.regexp_extract(F.col(name).cast("string"), r"(\d{1,2}:\d{2}:\d{2})", 1)
+        return F.lpad(F.when(found != "", found), 8, "0")
+    start, end = clock("StartTime"), clock("EndTime")
     hours = hour_boundaries(start, end)
     return s.select("ShiftID", F.col("Name").alias("ShiftName"), start.alias("StartTime"),
                     end.alias("EndTime"),

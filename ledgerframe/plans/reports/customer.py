@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ...functions import add_days_trunc, day_diff, lit_date, round_half_up, safe_div
 from ...operators.ranking import global_ntiles
 from ...operators.stats import scalar
-from ...sources.tpch import AS_OF
 from ..golden import latest_order_date
 
 # The deep-dive RFM segment ladder (first match wins).
@@ -132,8 +131,8 @@ def cohort_retention(g: DataFrame, top: int | None = 10) -> DataFrame:
     return out.limit(top) if top else out
 
 
-def churn_risk(g: DataFrame, as_of: _dt.date = AS_OF, top: int | None = 10) -> DataFrame:
-    """D2.3 — churn risk per (customer, currency).
+def churn_risk(g: DataFrame, as_of: _dt.date | None = None, top: int | None = 10) -> DataFrame:
+    """D2.3 — churn risk per (customer, currency), as of a date (None: today).
 
     The reference takes LAG(OrderDate) per customer at *line* grain (lines
     of one date give 0-day gaps) and averages the gaps per (customer,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ...functions import count_distinct, day_diff, int_avg, lit_date, round_half_up, safe_div
 from ...operators.stats import scalar
-from ...sources.tpch import AS_OF
 
 # Statuses that carry no revenue at risk and the display order
 # of D6.1 (most of these names never occur in the cleaned status codes).
@@ -19,7 +18,7 @@ STATUS_DISPLAY_ORDER = ["Pending", "Processing", "Shipped", "Delivered", "Comple
 Z_EXTREME, Z_SIGNIFICANT, Z_MODERATE = 3, 2, 1.5
 
 
-def status_fulfilment(g: DataFrame, as_of: _dt.date = AS_OF, approx: bool = False) -> DataFrame:
+def status_fulfilment(g: DataFrame, as_of: _dt.date | None = None, approx: bool = False) -> DataFrame:
     """D6.1 — status × customer type × channel × region × currency.
 
     ``SUM(COUNT(*)) OVER ()`` is a scalar subquery over the grouped rows

@@ -15,8 +15,10 @@ from .plans import calendar as C
 from .plans import golden as G
 from .plans import measures as M
 from .plans import pages as P
+from .plans.cleaning import hr as HR
 from .plans.cleaning import person as B1
 from .plans.cleaning import production as PROD
+from .plans.cleaning import purchasing as PURCH
 from .plans.cleaning import sales as SALES
 from .sources import tpch
 from .plans.reports import customer, forecast, geo, operations, pricing, product, revenue, scorecard
@@ -26,6 +28,12 @@ def _g(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.golden_from_tables(spark, sf_dir)
 
 
+def _golden_of(src) -> DataFrame:
+    """B18 from the cleaned views over raw tables, person fan-out included."""
+    return G.golden(SALES.sales_performance(src), PROD.product_master(src, tpch.AS_OF),
+                    SALES.customer_profile(src), B1.clean_person(src))
+
+
 def _clean(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(tpch.aw_sources(spark, sf_dir), **kw)
 
@@ -37,7 +45,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "d1_3": revenue.discount_impact,
     "d2_1": customer.rfm,
     "d2_2": customer.cohort_retention,
-    "d2_3": customer.churn_risk,
+    "d2_3": lambda g: customer.churn_risk(g, tpch.AS_OF),
     "d3_1": product.bcg_matrix,
     "d3_2": product.product_affinity,
     "d3_3": product.product_lifecycle,
@@ -45,7 +53,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "d4_2": geo.channel_comparison,
     "d5_1": pricing.price_sensitivity,
     "d5_2": pricing.promotion_effectiveness,
-    "d6_1": operations.status_fulfilment,
+    "d6_1": lambda g: operations.status_fulfilment(g, tpch.AS_OF),
     "d6_2": operations.anomaly_detection,
     "d7_1": forecast.forecast_trend,
     "d8_1": scorecard.health_scorecard,
@@ -54,7 +62,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "d1_3_all": lambda g: revenue.discount_impact(g, top=None),
     "d2_1_all": lambda g: customer.rfm(g, top=None),
     "d2_2_all": lambda g: customer.cohort_retention(g, top=None),
-    "d2_3_all": lambda g: customer.churn_risk(g, top=None),
+    "d2_3_all": lambda g: customer.churn_risk(g, tpch.AS_OF, top=None),
     "d3_2_all": lambda g: product.product_affinity(g, top=None),
     "cal": C.date_table,
     "m_core": lambda g: M.core_measures(g, by=["CategoryName", "TerritoryRegion"]),
@@ -93,7 +101,21 @@ TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_person": _clean(B1.clean_person),
     "clean_product": _clean(PROD.product_master, as_of=tpch.AS_OF),
     "clean_customer": _clean(SALES.customer_profile),
-    "clean_sales": lambda spark, sf_dir: tpch.sales_performance(spark, sf_dir),
+    "clean_sales": _clean(SALES.sales_performance),
+    "clean_sales_person": _clean(SALES.sales_person),
+    "clean_inventory": _clean(PROD.inventory),
+    "clean_work_order": _clean(PROD.work_order),
+    "clean_transaction": _clean(PROD.transaction_history),
+    "clean_vendor": _clean(PURCH.vendor_master),
+    "clean_purchase_orders": _clean(PURCH.purchase_orders),
+    "clean_product_vendor": _clean(PURCH.product_vendor),
+    "clean_department": _clean(HR.department),
+    "clean_employee": _clean(HR.employee, as_of=tpch.AS_OF),
+    "clean_department_history": _clean(HR.department_history, as_of=tpch.AS_OF),
+    "clean_pay_history": _clean(HR.pay_history),
+    "clean_job_candidate": _clean(HR.job_candidate),
+    "clean_shift": _clean(HR.shift),
+    "golden_generic": lambda spark, sf_dir: _golden_of(tpch.aw_sources(spark, sf_dir)),
     "golden": _g,
 }
 

@@ -236,14 +236,15 @@ def sales_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ raw AW tables
 def aw_sources(spark: SparkSession, sf_dir: str):
     """The driver tables re-shaped as the raw operational tables the cleaning
-    datasets read (Production product family, Sales customer family, Person
-    identity + email), so B1 / B8 / B16 run unchanged on driver data.
+    datasets read, so B1-B18 run unchanged on driver data: the product and
+    customer families here, all others in ``raw_tables``.
 
     Dimension tables derived from ``part`` (subcategory = type × brand,
     category = type) are DISTINCT projections: their size is bounded by the
     number of types and brands, not by the number of parts.
     """
     from .catalog import Sources
+    from .raw_tables import raw_tables
 
     p = read_table(spark, sf_dir, "part")
     cat_id = F.xxhash64(F.col("p_type"))
@@ -283,30 +284,10 @@ def aw_sources(spark: SparkSession, sf_dir: str):
         F.col("r_name").alias("Group"),
         _pick(F.col("n_nationkey") % 6, COUNTRY_BY_NATION_MOD6).alias("CountryRegionCode"))
 
-    named = c.where(F.col("c_custkey") % PERSON_NULL_MODULUS != 0)
-    pers = named.select(
-        F.col("c_custkey").alias("BusinessEntityID"), F.lit("IN").alias("PersonType"),
-        F.lit(None).cast("string").alias("Title"), F.col("c_name").alias("FirstName"),
-        F.lit(None).cast("string").alias("MiddleName"), F.lit(None).cast("string").alias("LastName"),
-        F.lit(None).cast("string").alias("Suffix"), (F.col("c_custkey") % 3).cast("int").alias("EmailPromotion"),
-        F.lit(None).cast("timestamp").alias("ModifiedDate"))
-    email = named.select(F.col("c_custkey").alias("BusinessEntityID"),
-                         F.concat(F.col("c_name"), F.lit(EMAIL_DOMAIN)).alias("EmailAddress"))
-    empty = {
-        "Person.PersonPhone": "BusinessEntityID bigint, PhoneNumber string, PhoneNumberTypeID int",
-        "Person.PhoneNumberType": "PhoneNumberTypeID int, Name string",
-        "Person.BusinessEntityAddress": "BusinessEntityID bigint, AddressID int, AddressTypeID int",
-        "Person.Address": "AddressID int, AddressLine1 string, AddressLine2 string, City string, "
-                          "PostalCode string, StateProvinceID int",
-        "Person.AddressType": "AddressTypeID int, Name string",
-        "Person.StateProvince": "StateProvinceID int, Name string, CountryRegionCode string",
-        "Person.CountryRegion": "CountryRegionCode string, Name string",
-    }
     tables = {
         "Production.Product": product, "Production.ProductSubcategory": subcat,
         "Production.ProductCategory": category, "Production.ProductModel": model,
         "Sales.Customer": customer, "Sales.Store": store, "Sales.SalesTerritory": territory,
-        "Person.Person": pers, "Person.EmailAddress": email,
     }
-    tables.update({k: spark.createDataFrame([], v) for k, v in empty.items()})
+    tables.update(raw_tables(spark, sf_dir, read_table))
     return Sources(spark, tables)

@@ -263,17 +263,6 @@ FROM t2
 QUALIFY tr IS NOT NULL OR py IS NOT NULL
 """
 
-CLEAN_PERSON = """
-SELECT c_custkey AS BusinessEntityID, 'IN' AS PersonType, 'N/A' AS Title, c_name AS FullName, '' AS Suffix,
-  lower(trim(c_name || '@x.test')) AS CleanEmail, CAST(NULL AS VARCHAR) AS PhoneNumber, CAST(NULL AS VARCHAR) AS PhoneType,
-  CAST(NULL AS VARCHAR) AS MainAddress, '-' AS SecondaryAddress, CAST(NULL AS VARCHAR) AS City,
-  CAST(NULL AS VARCHAR) AS StateProvince, CAST(NULL AS VARCHAR) AS CountryRegion, CAST(NULL AS VARCHAR) AS PostalCode,
-  CAST(NULL AS VARCHAR) AS AddressType,
-  CASE c_custkey % 3 WHEN 0 THEN 'No Promotion' WHEN 1 THEN 'Internal Only' WHEN 2 THEN 'All Promotions' END AS MarketingPreference,
-  CAST(NULL AS TIMESTAMP) AS ModifiedDate
-FROM customer WHERE c_custkey % 5 <> 0
-"""
-
 CLEAN_PRODUCT = f"""
 SELECT p_partkey AS ProductID, p_name AS ProductName, 'PN-' || CAST(p_partkey AS VARCHAR) AS ProductNumber,
   p_type AS CategoryName, p_brand AS SubcategoryName, CAST(NULL AS VARCHAR) AS ModelName,

@@ -1,14 +1,13 @@
 """Oracle SQL per registered query key."""
 
+from . import cleaning as C
 from . import measures as M
 from . import pages as P
 from . import reports as R
 
 SQL: dict[str, str] = {
-    "clean_person": M.CLEAN_PERSON,
     "clean_product": M.CLEAN_PRODUCT,
     "clean_customer": M.CLEAN_CUSTOMER,
-    "clean_sales": R.CLEAN_SALES,
     "golden": R.GOLDEN_SELECT,
     "d1_1": R.D1_1,
     "d1_2": R.D1_2,
@@ -59,3 +58,4 @@ SQL: dict[str, str] = {
     "page_9": P.PAGE_9,
 }
 SQL.update(R.WITHOUT_LIMIT)
+SQL.update(C.SQL)

@@ -59,7 +59,7 @@ def test_remaining_helpers(spark):
     r = one(spark,
             day_diff(F.lit(dt.date(2020, 1, 31)), F.lit(dt.date(2020, 3, 1))).alias("dd"),
             add_days_trunc(F.lit(2.9), F.lit(dt.date(2020, 1, 1))).alias("ad"),
-            isnull_typed(F.lit(None).cast("string"), "N/A").alias("isn"),
+            isnull_typed(F.lit(None).cast("string"), "N/A", "string").alias("isn"),
             nullif0(F.lit(0)).alias("nz"),
             safe_div(F.lit(1), F.lit(0)).alias("sd0"), safe_div(F.lit(3), F.lit(2)).alias("sd"),
             switch_true((F.lit(1) > 2, "a"), (F.lit(2) > 1, "b"), default="c").alias("sw"))
