@@ -14,11 +14,28 @@ windows: their partitions are bounded by the calendar.
 from __future__ import annotations
 
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# One-row statistics of materialised records, by DataFrame: plans put them in
+# as literals instead of scanning the record for them again.
+_KNOWN: WeakKeyDictionary[DataFrame, dict] = WeakKeyDictionary()
+
+
+def remember(df: DataFrame, **values) -> DataFrame:
+    """Note statistics of ``df``; only for contents that no longer change."""
+    _KNOWN[df] = values
+    return df
+
+
+def known(df: DataFrame, name: str):
+    """A statistic noted for ``df`` itself, or None."""
+    return _KNOWN.get(df, {}).get(name)
+
+
 def join_group_stats(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     """Append per-``keys`` aggregates to every row (null keys group together,
     as in a window partition)."""

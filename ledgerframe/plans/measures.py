@@ -107,21 +107,6 @@ def _dated(g: DataFrame, date_role: str = "order") -> DataFrame:
     return base.withColumn("_Date", d)
 
 
-def month_spine(g: DataFrame, by: list[str] | None = None, date_role: str = "order") -> DataFrame:
-    """Every calendar month (CALENDARAUTO bounds) with a dense index ``p``;
-    with ``by`` keys, every (key combination seen in the data × calendar
-    month) — each key row is exploded over the months, so the spine is
-    bounded by key cardinality × calendar length (no cross join)."""
-    b = calendar_bounds(g)
-    months = F.explode(F.sequence(scalar(b, "start"), scalar(b, "end"), F.expr("interval 1 month")))
-    if by:
-        base = _dated(g, date_role).select(*by).distinct().select(*by, months.alias("m"))
-    else:
-        base = b.select(months.alias("m"))
-    return base.select(*(by or []), F.year("m").alias("Year"), F.month("m").alias("Month"),
-                       (F.year("m") * 12 + F.month("m") - 1).alias("p"))
-
-
 def _keys_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on ``keys`` with NULL-safe equality (a BLANK member is a key)."""
     ren = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -154,7 +139,18 @@ def _monthly(g: DataFrame, aggs: list[Column], date_role: str = "order",
     """Monthly aggregates on the dense month spine (BLANK for empty months)."""
     by = by or []
     m = _dated(g, date_role).groupBy(*by, "Year", "Month").agg(*aggs)
-    return _keys_join(month_spine(g, by, date_role), m, [*by, "Year", "Month"])
+    values = [c for c in m.columns if c not in (*by, "Year", "Month")]
+    p = F.col("Year") * 12 + F.col("Month") - 1
+    # One pass over the fact: a key's months (at most the calendar's) become a
+    # map that is read at every calendar month.
+    packed = m.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
+        p.alias("p"), F.struct(*values).alias("v")))).alias("_months"))
+    b = calendar_bounds(g)
+    months = F.explode(F.sequence(scalar(b, "start"), scalar(b, "end"), F.expr("interval 1 month")))
+    at = packed.select(*by, "_months", months.alias("m")).select(
+        *by, "_months", F.year("m").alias("Year"), F.month("m").alias("Month"),
+        (F.year("m") * 12 + F.month("m") - 1).alias("p"))
+    return at.select(*by, "Year", "Month", "p", *[F.col("_months")[F.col("p")][c].alias(c) for c in values])
 
 
 def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "order",
@@ -172,7 +168,6 @@ def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "o
     if grain not in ("month", "year"):
         raise ValueError(f"time intelligence supports month or year grain, not {grain!r}")
     by = by or []
-    d = _dated(g, date_role)
     base = _monthly(g, [F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit")], date_role, by)
     w = Window.partitionBy(*by).orderBy("p") if by else Window.orderBy("p")
     t = base.select("*", F.lag("TotalRevenue", 1).over(w).alias("PMRevenue"),
@@ -184,12 +179,11 @@ def time_intelligence(g: DataFrame, fixed_years=FIXED_YEARS, date_role: str = "o
                                          ("TotalRevenue", "TotalProfit", "PMRevenue", "PYRevenue", "PMProfit")])
         period = ["Year"]
     # CALCULATE([Total Revenue], DateTable[Year] = k) replaces the Year filter
-    # and keeps the others (the Month filter at month grain)
-    keep = [*by, "Month"] if grain == "month" else by
-    fixed = d.groupBy(*keep).agg(*[F.sum(F.when(F.col("Year") == k, F.col(REV))).alias(f"Revenue{k}")
-                                   for k in fixed_years])
-    t = _keys_join(t, fixed, keep) if keep else t.select(
-        "*", *[scalar(fixed, f"Revenue{k}").alias(f"Revenue{k}") for k in fixed_years])
+    # and keeps the others (the Month filter at month grain): over the dense
+    # periods, whose number per key is that of the calendar.
+    keep = Window.partitionBy(*by, "Month") if grain == "month" else Window.partitionBy(*by)
+    t = t.select("*", *[F.sum(F.when(F.col("Year") == k, F.col("TotalRevenue"))).over(keep).alias(f"Revenue{k}")
+                        for k in fixed_years])
     mom = _growth(F.col("TotalRevenue"), F.col("PMRevenue"))
     return (t.where(F.col("TotalRevenue").isNotNull() | F.col("PMRevenue").isNotNull()
                     | F.col("PYRevenue").isNotNull())
@@ -232,22 +226,29 @@ def customer_measures(g: DataFrame) -> DataFrame:
     """F4, F25, F26, F27 at (Year, Month).
 
     Retention: customers of month t that also bought in t-1, over customers
-    of t-1 (INTERSECT of the two VALUES sets, BLANK included).
+    of t-1 (INTERSECT of the two VALUES sets, BLANK included).  A customer's
+    months (at most the calendar's) are gathered once; each month looks for
+    the one before among them, so the fact is read in one pass.
     """
-    d = _dated(g)
     gmax = latest_order_date(g)
-    cm = d.groupBy("Year", "Month", "CustomerID").agg(distinctcount_blank("SalesOrderID").alias("_orders"))
-    cm = cm.select("*", (F.col("Year") * 12 + F.col("Month") - 1).alias("p"))
-    cur = cm.groupBy("p").agg(F.count(F.lit(1)).alias("TotalCustomers"),
-                              F.sum((F.col("_orders") > 1).cast("int")).alias("_repeat"))
-    prev = cm.select(F.col("p").alias("pp"), F.col("CustomerID").alias("pc"))
-    ret = (cm.join(prev, (cm.p == prev.pp + 1) & cm.CustomerID.eqNullSafe(prev.pc))
-             .groupBy("p").agg(F.count(F.lit(1)).alias("_retained")))
-    prev_n = cur.select((F.col("p") + 1).alias("p"), F.col("TotalCustomers").alias("_prev_n"))
-    last = d.groupBy("Year", "Month").agg(F.max("OrderDate").alias("_last"))
-    spine = month_spine(g)
-    t = (spine.join(cur, "p", "left").join(prev_n, "p", "left").join(ret, "p", "left")
-              .join(last, ["Year", "Month"], "left"))
+    p = (F.col("Year") * 12 + F.col("Month") - 1).alias("p")
+    cm = _dated(g).groupBy("Year", "Month", "CustomerID").agg(
+        distinctcount_blank("SalesOrderID").alias("o"), F.max("OrderDate").alias("d"))
+    own = cm.groupBy("CustomerID").agg(F.collect_list(F.struct(p, "o", "d")).alias("_own"))
+    seen = own.select(F.col("_own.p").alias("_ps"), F.inline("_own"))
+    cur = seen.groupBy("p").agg(
+        F.count(F.lit(1)).alias("TotalCustomers"), F.sum((F.col("o") > 1).cast("int")).alias("_repeat"),
+        F.sum(F.array_contains("_ps", F.col("p") - 1).cast("int")).alias("_kept"), F.max("d").alias("_last"))
+    packed = cur.agg(F.map_from_entries(F.collect_list(F.struct(
+        "p", F.struct("TotalCustomers", "_repeat", "_kept", "_last")))).alias("_months"))
+    b = calendar_bounds(g)
+    months = F.explode(F.sequence(scalar(b, "start"), scalar(b, "end"), F.expr("interval 1 month")))
+    t = packed.select("_months", months.alias("m")).select(
+        F.year("m").alias("Year"), F.month("m").alias("Month"),
+        F.col("_months")[F.year("m") * 12 + F.month("m") - 1].alias("v"),
+        F.col("_months")[F.year("m") * 12 + F.month("m") - 2]["TotalCustomers"].alias("_prev_n"))
+    t = t.select("Year", "Month", "v.TotalCustomers", "v._repeat", "v._last", "_prev_n",
+                 F.when(F.col("v._kept") > 0, F.col("v._kept")).alias("_retained"))
     return (t.where(F.col("TotalCustomers").isNotNull() | F.col("_prev_n").isNotNull())
              .select("Year", "Month", "TotalCustomers",
                      round_half_up(divide(_blank0(F.col("_retained")), "_prev_n", 0.0), 6).alias("RetentionRate"),
@@ -361,16 +362,20 @@ def pareto(g: DataFrame, by: list[str] = ["CategoryName"]) -> DataFrame:
                     round_half_up(divide("Top20ProductsRevenue", "TotalRevenue", 0.0) * 100, 6).alias("ParetoRatio"))
 
 
+def _product_sums(g: DataFrame) -> list[Column]:
+    """First / last order date, revenue, and revenue before the calendar's
+    last year."""
+    last_cal_year = scalar(calendar_bounds(g).select(F.year("end").alias("y")), "y")
+    return [F.min("OrderDate").alias("_first"), F.max("OrderDate").alias("_lastd"), F.sum(REV).alias("_tr"),
+            F.sum(F.when(F.col("OrderYear") < last_cal_year, F.col(REV))).alias("_py")]
+
+
 def product_growth(g: DataFrame) -> DataFrame:
     """Per ProductName: first / last order date, revenue, and YoY Growth %
     with only the ProductName filter kept and no date filter: this year's set
     is the whole calendar, last year's set is the calendar shifted back one
     year clipped to the calendar, i.e. every calendar year but the last."""
-    last_cal_year = scalar(calendar_bounds(g).select(F.year("end").alias("y")), "y")
-    p = g.groupBy("ProductName").agg(
-        F.min("OrderDate").alias("_first"), F.max("OrderDate").alias("_lastd"),
-        F.sum(REV).alias("_tr"),
-        F.sum(F.when(F.col("OrderYear") < last_cal_year, F.col(REV))).alias("_py"))
+    p = g.groupBy("ProductName").agg(*_product_sums(g))
     return p.select("*", _growth(F.col("_tr"), F.col("_py")).alias("_growth"))
 
 
@@ -378,10 +383,13 @@ def lifecycle_stage(g: DataFrame) -> DataFrame:
     """F36 calculated column, summarised per (ProductName, ProductStatus,
     stage) with line counts (the status is a row attribute)."""
     ref = latest_order_date(g)
-    pstats = product_growth(g)
-    rows = g.groupBy("ProductName", "ProductStatus").agg(F.count(F.lit(1)).alias("Lines"))
-    j = rows.join(pstats, rows.ProductName.eqNullSafe(pstats.ProductName), "left").drop(pstats.ProductName)
-    growth = F.col("_growth")
+    # One pass over the fact; a product's statuses are a few rows.
+    rows = g.groupBy("ProductName", "ProductStatus").agg(F.count(F.lit(1)).alias("Lines"), *_product_sums(g))
+    of = Window.partitionBy("ProductName")
+    j = rows.select("ProductName", "ProductStatus", "Lines", F.min("_first").over(of).alias("_first"),
+                    F.max("_lastd").over(of).alias("_lastd"), F.sum("_tr").over(of).alias("_tr"),
+                    F.sum("_py").over(of).alias("_py"))
+    growth = _growth(F.col("_tr"), F.col("_py"))
     since_first, since_last = day_diff(F.col("_first"), ref), day_diff(F.col("_lastd"), ref)
     disc = F.col("ProductStatus") == "Discontinued"
     stage = (F.when(disc & (since_last > LIFECYCLE_RECENT_DAYS), F.lit("Obsolete"))
@@ -428,7 +436,10 @@ def operations_measures(g: DataFrame, by: list[str] = ["TerritoryName"]) -> Data
         F.avg("DaysToShip").alias("_proc"),
         distinctcount_blank("SalesOrderID").alias("TotalOrders"),
         F.sum(F.col("OrderQty").cast("bigint")).alias("_qty"),
-        F.countDistinct(F.when(F.col("OrderStatus") == FULFILLED_STATUS, F.col("SalesOrderID"))).alias("_shipped"),
+        # DISTINCTCOUNT over the shipped rows: a BLANK order counts once.
+        (F.countDistinct(F.when(F.col("OrderStatus") == FULFILLED_STATUS, F.col("SalesOrderID")))
+         + F.coalesce(F.max((F.col("SalesOrderID").isNull() & (F.col("OrderStatus") == FULFILLED_STATUS)).cast("int")),
+                      F.lit(0))).alias("_shipped"),
         F.avg("UnitPriceDiscount").alias("_disc"))
     daily = (_dated(g).groupBy(*by, "OrderDate").agg(distinctcount_blank("SalesOrderID").alias("_n"))
                       .groupBy(*by).agg(F.avg("_n").alias("_per_day")))

@@ -12,10 +12,11 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import divide, round_half_up
+from ..functions import distinctcount_blank, divide, round_half_up
 from ..operators.ranking import global_running_sum
 from ..operators.stats import scalar
 from . import measures as M
+from .calendar import calendar_bounds
 from .golden import latest_order_date
 
 REV, PROF = M.REV, M.PROF
@@ -86,10 +87,10 @@ def page_3(g: DataFrame, where=None) -> dict[str, DataFrame]:
     g = _select(g, where)
     r = M.rfm_columns(g)
     top = (g.groupBy("CustomerName").agg(F.sum(REV).alias("TotalRevenue"),
-                                         F.countDistinct("SalesOrderID").alias("Orders"))
+                                         distinctcount_blank("SalesOrderID").alias("Orders"))
             .orderBy(F.col("TotalRevenue").desc_nulls_last(), F.col("CustomerName").asc_nulls_first())
             .limit(TOP_N))
-    repeat = g.groupBy("CustomerID").agg(F.countDistinct("SalesOrderID").alias("_o")).agg(
+    repeat = g.groupBy("CustomerID").agg(distinctcount_blank("SalesOrderID").alias("_o")).agg(
         M.divide(F.sum((F.col("_o") > 1).cast("int")), F.count(F.lit(1)), 0.0).alias("RepeatCustomerPct"))
     return {"rfm_matrix": r.groupBy("RScore", "FScore").agg(F.count(F.lit(1)).alias("Customers")),
             "ltv_scatter": r.select("CustomerID", "CustomerLTV", "CustomerSegment"),
@@ -115,7 +116,7 @@ def page_4(g: DataFrame, where=None) -> dict[str, DataFrame]:
     contrib = M.product_measures(g, [])
     portfolio = contrib.join(growth, contrib.ProductName.eqNullSafe(growth._p), "left").drop("_p")
     stages = M.lifecycle_stage(g).groupBy("ProductLifecycleStage").agg(
-        F.countDistinct("ProductName").alias("Products"))
+        distinctcount_blank("ProductName").alias("Products"))
     top = (g.groupBy("ProductName", "CategoryName").agg(F.sum(REV).alias("TotalRevenue"),
                                                          F.sum(PROF).alias("TotalProfit"))
             .orderBy(F.col("TotalRevenue").desc_nulls_last(), "ProductName", "CategoryName").limit(TOP_N))
@@ -125,16 +126,23 @@ def page_4(g: DataFrame, where=None) -> dict[str, DataFrame]:
             "top_products": top}
 
 
+def calendar_years(g: DataFrame) -> list[int]:
+    """The calendar's years, for pivots (one row of bounds, known for a
+    materialised record)."""
+    b = calendar_bounds(g).first()
+    return list(range(b.start.year, b.end.year + 1)) if b.start else []
+
+
 def region_trend(g: DataFrame) -> DataFrame:
     return (M._dated(g).groupBy("TerritoryRegion", "Year")
                        .agg(F.sum(REV).alias("TotalRevenue"), F.sum(PROF).alias("TotalProfit"),
-                            F.countDistinct("SalesOrderID").alias("TotalOrders")))
+                            distinctcount_blank("SalesOrderID").alias("TotalOrders")))
 
 
 def page_5(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Territory and regional performance."""
     g = _select(g, where)
-    matrix = M._dated(g).groupBy("TerritoryName").pivot("Year").agg(F.sum(REV))
+    matrix = M._dated(g).groupBy("TerritoryName").pivot("Year", calendar_years(g)).agg(F.sum(REV))
     return {"ranking": M.territory_growth_rank(g), "region_kpis": _kpi(g, ["TerritoryRegion"]),
             "trend": region_trend(g), "territory_year_matrix": matrix}
 
@@ -154,7 +162,7 @@ def page_6(g: DataFrame, where=None) -> dict[str, DataFrame]:
     wp = M.weekpart_revenue(g).agg(F.sum("WeekdayRevenue").alias("WeekdayRevenue"),
                                    F.sum("WeekendRevenue").alias("WeekendRevenue"))
     return {"year_month": d.groupBy("Year", "Month").agg(F.sum(REV).alias("TotalRevenue")),
-            "month_year_heatmap": d.groupBy("Month").pivot("Year").agg(F.sum(REV)),
+            "month_year_heatmap": d.groupBy("Month").pivot("Year", calendar_years(g)).agg(F.sum(REV)),
             "seasonal_index": M.seasonal_index(g), "day_of_week": day_of_week(g), "weekpart": wp,
             "month_year_series": d.groupBy(F.date_format("OrderDate", "MMM yyyy").alias("MonthYear"),
                                            "Year", "Month").agg(F.sum(REV).alias("TotalRevenue"))}
@@ -162,7 +170,7 @@ def page_6(g: DataFrame, where=None) -> dict[str, DataFrame]:
 
 def channel_size(g: DataFrame) -> DataFrame:
     return (g.groupBy(M.order_online().alias("OrderOnline"), M.order_size_bucket().alias("OrderSizeBucket"))
-             .agg(F.countDistinct("SalesOrderID").alias("Orders"), F.count(F.lit(1)).alias("Lines"),
+             .agg(distinctcount_blank("SalesOrderID").alias("Orders"), F.count(F.lit(1)).alias("Lines"),
                   F.sum(REV).alias("TotalRevenue"), F.avg("DaysToShip").alias("_proc"))
              .withColumn("AvgProcessingDays", round_half_up("_proc", 6)).drop("_proc"))
 
@@ -170,7 +178,7 @@ def channel_size(g: DataFrame) -> DataFrame:
 def page_7(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Operational efficiency."""
     g = _select(g, where)
-    return {"daily_orders": M._dated(g).groupBy("OrderDate").agg(F.countDistinct("SalesOrderID").alias("Orders")),
+    return {"daily_orders": M._dated(g).groupBy("OrderDate").agg(distinctcount_blank("SalesOrderID").alias("Orders")),
             "channel_size": channel_size(g),
             "fulfilment_by_territory": M.operations_measures(g, ["TerritoryName"]),
             "kpis": M.operations_measures(g, [])}

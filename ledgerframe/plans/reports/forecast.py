@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions import round_half_up, safe_div
-from ...operators.stats import scalar
+from ..golden import latest_year
 
 # Trend ladder multipliers against the 6-month moving average.
 TREND_LADDER = [("1.1", "Strong Growth"), ("1.05", "Moderate Growth"), ("0.95", "Stable"),
@@ -42,7 +42,7 @@ def forecast_trend(g: DataFrame, years: int = 3) -> DataFrame:
                    F.row_number().over(w).alias("MonthIndex"),
                    F.avg("MonthlyRevenue").over(w.rowsBetween(-5, 0)).alias("MA6_Revenue"),
                    F.avg("MonthlyRevenue").over(Window.partitionBy("CategoryName")).alias("OverallAvgRevenue"))
-    recent = ts.where(F.col("OrderYear") >= scalar(g.agg(F.max("OrderYear").alias("y")), "y") - (years - 1))
+    recent = ts.where(F.col("OrderYear") >= latest_year(g) - (years - 1))
     lag12 = F.lag("MonthlyRevenue", 12).over(w)
     rev, ma = F.col("MonthlyRevenue"), F.col("MA6_Revenue")
     return (recent.select(

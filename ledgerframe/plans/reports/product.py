@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ...functions import count_distinct, dec_avg, month_boundaries, round_half_up, safe_div
 from ...operators.pairs import basket_items, item_pairs
 from ...operators.stats import join_group_stats, scalar
+from ..golden import latest_year
 
 # BCG labels, recommendation texts and display rank.
 BCG_GROWTH_THRESHOLD = 0.15
@@ -27,10 +28,6 @@ LIFECYCLE_INTRO_MONTHS = 3
 LIFECYCLE_GROWTH_MONTHS = 12
 
 
-def _max_year(g: DataFrame):
-    return scalar(g.agg(F.max("OrderYear").alias("y")), "y")
-
-
 def bcg_matrix(g: DataFrame, approx: bool = False) -> DataFrame:
     """D3.1 — product portfolio (BCG) per product × currency.
 
@@ -39,7 +36,7 @@ def bcg_matrix(g: DataFrame, approx: bool = False) -> DataFrame:
     whole category in one task).  A zero category total returns NULL where
     the reference would raise.
     """
-    my = _max_year(g)
+    my = latest_year(g)
     rev = F.col("GrossRevenue")
     pm = (g.where(F.col("ProductName").isNotNull())
            .groupBy("ProductName", "CategoryName", "SubcategoryName", "CurrencyCode")
@@ -147,7 +144,7 @@ def product_lifecycle(g: DataFrame) -> DataFrame:
               .when((rev >= ma * F.lit(Decimal("0.9"))) & (rev <= ma * F.lit(Decimal("1.1"))), F.lit("Maturity"))
               .when(rev < ma * F.lit(Decimal("0.9")), F.lit("Decline"))
               .otherwise(F.lit("Stable")))
-    out = (age.where(F.col("OrderYear") == _max_year(g))
+    out = (age.where(F.col("OrderYear") == latest_year(g))
               .orderBy(F.col("ProductName").asc_nulls_first(), F.col("OrderYear").desc_nulls_last(),
                        F.col("OrderMonth").desc_nulls_last())
               .select("ProductName", "CategoryName", "ProductLaunchDate", "ProductLifetimeMonths",
