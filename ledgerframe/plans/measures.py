@@ -222,35 +222,36 @@ def moving_averages(g: DataFrame, date_role: str = "order", by: list[str] | None
 
 
 # ------------------------------------------------------------------ customer
-def customer_measures(g: DataFrame) -> DataFrame:
-    """F4, F25, F26, F27 at (Year, Month).
+def customer_measures(g: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """F4, F25, F26, F27 at (``by`` keys, Year, Month).
 
     Retention: customers of month t that also bought in t-1, over customers
     of t-1 (INTERSECT of the two VALUES sets, BLANK included).  A customer's
     months (at most the calendar's) are gathered once; each month looks for
     the one before among them, so the fact is read in one pass.
     """
+    by = by or []
     gmax = latest_order_date(g)
     p = (F.col("Year") * 12 + F.col("Month") - 1).alias("p")
-    cm = _dated(g).groupBy("Year", "Month", "CustomerID").agg(
+    cm = _dated(g).groupBy(*by, "Year", "Month", "CustomerID").agg(
         distinctcount_blank("SalesOrderID").alias("o"), F.max("OrderDate").alias("d"))
-    own = cm.groupBy("CustomerID").agg(F.collect_list(F.struct(p, "o", "d")).alias("_own"))
-    seen = own.select(F.col("_own.p").alias("_ps"), F.inline("_own"))
-    cur = seen.groupBy("p").agg(
+    own = cm.groupBy(*by, "CustomerID").agg(F.collect_list(F.struct(p, "o", "d")).alias("_own"))
+    seen = own.select(*by, F.col("_own.p").alias("_ps"), F.inline("_own"))
+    cur = seen.groupBy(*by, "p").agg(
         F.count(F.lit(1)).alias("TotalCustomers"), F.sum((F.col("o") > 1).cast("int")).alias("_repeat"),
         F.sum(F.array_contains("_ps", F.col("p") - 1).cast("int")).alias("_kept"), F.max("d").alias("_last"))
-    packed = cur.agg(F.map_from_entries(F.collect_list(F.struct(
+    packed = cur.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
         "p", F.struct("TotalCustomers", "_repeat", "_kept", "_last")))).alias("_months"))
     b = calendar_bounds(g)
     months = F.explode(F.sequence(scalar(b, "start"), scalar(b, "end"), F.expr("interval 1 month")))
-    t = packed.select("_months", months.alias("m")).select(
-        F.year("m").alias("Year"), F.month("m").alias("Month"),
+    t = packed.select(*by, "_months", months.alias("m")).select(
+        *by, F.year("m").alias("Year"), F.month("m").alias("Month"),
         F.col("_months")[F.year("m") * 12 + F.month("m") - 1].alias("v"),
         F.col("_months")[F.year("m") * 12 + F.month("m") - 2]["TotalCustomers"].alias("_prev_n"))
-    t = t.select("Year", "Month", "v.TotalCustomers", "v._repeat", "v._last", "_prev_n",
+    t = t.select(*by, "Year", "Month", "v.TotalCustomers", "v._repeat", "v._last", "_prev_n",
                  F.when(F.col("v._kept") > 0, F.col("v._kept")).alias("_retained"))
     return (t.where(F.col("TotalCustomers").isNotNull() | F.col("_prev_n").isNotNull())
-             .select("Year", "Month", "TotalCustomers",
+             .select(*by, "Year", "Month", "TotalCustomers",
                      round_half_up(divide(_blank0(F.col("_retained")), "_prev_n", 0.0), 6).alias("RetentionRate"),
                      round_half_up(divide("_repeat", "TotalCustomers", 0.0), 6).alias("RepeatCustomerPct"),
                      day_diff(F.col("_last"), gmax).alias("DaysSinceLastOrder")))
@@ -506,12 +507,13 @@ def _trend(cur: Column, ma: Column) -> Column:
     return out.otherwise(F.lit(TREND_ELSE))
 
 
-def forecast_measures(g: DataFrame, scenario: float = 0.0) -> DataFrame:
-    """F57, F60-F62 at (Year, Month) for one scenario value."""
+def forecast_measures(g: DataFrame, scenario: float = 0.0, by: list[str] | None = None) -> DataFrame:
+    """F57, F60-F62 at (``by`` keys, Year, Month) for one scenario value."""
+    by = by or []
     sel_sd = scalar(g.agg(F.stddev_pop(REV).alias("sd")), "sd")
     base = _monthly(g, [F.sum(REV).alias("TotalRevenue"), F.avg(REV).alias("_mean"),
-                        F.stddev_pop(PROF).alias("_psd"), F.avg(PROF).alias("_pmean")])
-    w = Window.orderBy("p")
+                        F.stddev_pop(PROF).alias("_psd"), F.avg(PROF).alias("_pmean")], by=by)
+    w = Window.partitionBy(*by).orderBy("p")
     t = base.select("*", F.lag("TotalRevenue", 1).over(w).alias("_pm"),
                     (F.sum("TotalRevenue").over(w.rowsBetween(-5, 0)) / 6).alias("_ma6"))
     mom = _growth(F.col("TotalRevenue"), F.col("_pm"))
@@ -519,7 +521,7 @@ def forecast_measures(g: DataFrame, scenario: float = 0.0) -> DataFrame:
     conf = F.when(vol < 0.1, F.lit(CONFIDENCE[0][1])).when(vol < 0.3, F.lit(CONFIDENCE[1][1])) \
             .otherwise(F.lit(CONFIDENCE_ELSE))
     return (t.where(F.col("TotalRevenue").isNotNull() | F.col("_ma6").isNotNull())
-             .select("Year", "Month", "TotalRevenue",
+             .select(*by, "Year", "Month", "TotalRevenue",
                      round_half_up("_ma6", 6).alias("MA6Month"),
                      round_half_up(mom, 6).alias("MoMGrowthPct"),
                      round_half_up(F.col("_ma6").cast("double") * (1 + mom + scenario), 4).alias("ForecastNextMonth"),
@@ -561,20 +563,22 @@ def scenario_card(g: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ seasonality
-def seasonal_index(g: DataFrame, date_role: str = "order") -> DataFrame:
-    """F63 at (Year, MonthName): month revenue ÷ mean revenue of that year's
+def seasonal_index(g: DataFrame, date_role: str = "order", by: list[str] | None = None) -> DataFrame:
+    """F63 at (``by`` keys, Year, MonthName): month revenue ÷ mean revenue of that year's
     months with sales (AVERAGEX over month names skips BLANK)."""
-    m = (_dated(g, date_role).groupBy("Year", "Month", F.date_format("_Date", "MMMM").alias("MonthName"))
+    by = by or []
+    m = (_dated(g, date_role).groupBy(*by, "Year", "Month", F.date_format("_Date", "MMMM").alias("MonthName"))
                   .agg(F.sum(REV).alias("TotalRevenue")))
-    j = join_group_stats(m, ["Year"], [F.avg("TotalRevenue").alias("_avg")])
-    return j.select("Year", "Month", "MonthName", "TotalRevenue",
+    # a year has twelve months at most
+    j = m.select("*", F.avg("TotalRevenue").over(Window.partitionBy(*by, "Year")).alias("_avg"))
+    return j.select(*by, "Year", "Month", "MonthName", "TotalRevenue",
                     round_half_up(divide("TotalRevenue", "_avg"), 6).alias("SeasonalIndex"))
 
 
-def weekpart_revenue(g: DataFrame, date_role: str = "order") -> DataFrame:
-    """F64a/b by Year: revenue on weekdays vs weekend days (DateTable[IsWeekend])."""
+def weekpart_revenue(g: DataFrame, date_role: str = "order", by: list[str] | None = None) -> DataFrame:
+    """F64a/b by (``by`` keys, Year): revenue on weekdays vs weekend days (DateTable[IsWeekend])."""
     wk = F.dayofweek("_Date").isin(1, 7)
-    return (_dated(g, date_role).groupBy("Year")
+    return (_dated(g, date_role).groupBy(*(by or []), "Year")
                      .agg(F.sum(F.when(~wk, F.col(REV))).alias("WeekdayRevenue"),
                           F.sum(F.when(wk, F.col(REV))).alias("WeekendRevenue")))
 
@@ -602,3 +606,74 @@ def territory_growth_rank(g: DataFrame) -> DataFrame:
     return (t.select("*", rank.alias("TerritoryGrowthRank"))
              .where(F.col("TotalRevenue").isNotNull() | F.col("PYRevenue").isNotNull())
              .drop("_yoy"))
+
+
+# ------------------------------------------------------------------ evaluate
+# Families that answer at any keys, with calendar columns last in their rows:
+# (columns, calendar grain, function of (fact, keys)).
+CORE, MONTH, YEAR = (), ("Year", "Month"), ("Year",)
+FAMILIES = [
+    (("TotalRevenue", "TotalProfit", "TotalOrders", "TotalCustomers", "TotalQuantity", "ProductCount", "ProfitMarginPct",
+      "AvgOrderValue", "AvgRevenuePerTransaction", "MeanRevenue"), CORE, core_measures),
+    (("AvgProcessingDays", "AvgOrdersPerDay", "AvgItemsPerOrder", "OrderFulfillmentRate", "OrdersPerDay", "AvgDiscountPct"),
+     CORE, operations_measures),
+    (("RevenueStdDev", "RevenueVariance", "RevenueZScore", "CountOfOutliers", "OutlierPctOfTotal", "PositiveOutliers",
+      "NegativeOutliers", "AlertCritical", "AlertWarning", "AlertNormal"), CORE, anomaly_measures),
+    (("Top20ProductsRevenue", "ParetoRatio"), CORE, pareto),
+    (("PMRevenue", "PYRevenue", "PMProfit", "MoMGrowthPct", "YoYGrowthPct", "MoMProfitGrowthPct", "HealthStatus",
+      "Revenue2022", "Revenue2023", "Revenue2024", "Revenue2025"), MONTH, lambda g, by: time_intelligence(g, by=by)),
+    (("PMRevenue", "PYRevenue", "PMProfit", "MoMGrowthPct", "YoYGrowthPct", "MoMProfitGrowthPct", "HealthStatus",
+      "Revenue2022", "Revenue2023", "Revenue2024", "Revenue2025"), YEAR,
+     lambda g, by: time_intelligence(g, by=by, grain="year")),
+    (("MA3Month", "MA6Month"), MONTH, lambda g, by: moving_averages(g, by=by)),
+    (("MA3Month", "MA6Month"), YEAR, lambda g, by: moving_averages(g, by=by, grain="year")),
+    (("RetentionRate", "RepeatCustomerPct", "DaysSinceLastOrder"), MONTH, lambda g, by: customer_measures(g, by)),
+    (("ForecastNextMonth", "ProfitVolatility", "ForecastConfidence", "TrendDirection"), MONTH,
+     lambda g, by: forecast_measures(g, by=by)),
+    (("SeasonalIndex",), MONTH, lambda g, by: seasonal_index(g, by=by)),
+    (("WeekdayRevenue", "WeekendRevenue"), YEAR, lambda g, by: weekpart_revenue(g, by=by)),
+]
+
+
+def evaluate(g: DataFrame, measures: list[str], by: list[str], where=None) -> DataFrame:
+    """Any of the measures at the grain ``by``: attribute columns of the
+    record, ``CustomerSegment``, and Year or Year and Month of the calendar.
+
+    ``where`` (a Column or SQL string) is the selection every measure sees.
+    Each measure comes from the one family that defines it at this grain; the
+    families are aggregated once each and joined on the keys, BLANK keys
+    included.  Rows are the keys where any of them has a row.
+    """
+    if where is not None:
+        g = g.where(where if not isinstance(where, str) else F.expr(where))
+    period = tuple(c for c in ("Year", "Month") if c in by)
+    if period == ("Month",):
+        raise ValueError("Month needs Year")
+    keys = [c for c in by if c not in period]
+    if "CustomerSegment" in keys:
+        # a calculated column: one value per customer
+        seg = rfm_columns(g).select(F.col("CustomerID").alias("_cid"), "CustomerSegment")
+        g = g.join(seg, g.CustomerID.eqNullSafe(seg._cid), "left").drop("_cid")
+    dated = (g.where(F.col("OrderDate").isNotNull()).withColumn("Year", F.col("OrderYear"))
+              .withColumn("Month", F.col("OrderMonth")) if period else g)
+    parts: list[DataFrame] = []
+    left = list(dict.fromkeys(measures))
+    for columns, grain, family in FAMILIES:
+        mine = [m for m in left if m in columns]
+        if not mine or (grain and grain != period):
+            continue
+        df = family(g, keys) if grain else family(dated, [*keys, *period])
+        parts.append(df.select(*keys, *period, *mine))
+        left = [m for m in left if m not in mine]
+    if left:
+        raise ValueError(f"not defined at the grain {by}: {left}")
+    out = parts[0]
+    for i, part in enumerate(parts[1:]):
+        other = part.select(*[F.col(c).alias(f"_{i}_{c}") if c in by else F.col(c) for c in part.columns])
+        same = F.lit(True)
+        for c in by:
+            same = same & out[c].eqNullSafe(other[f"_{i}_{c}"])
+        got = [c for c in out.columns if c not in by] + [c for c in part.columns if c not in by]
+        out = out.join(other, same, "full").select(
+            *[F.coalesce(out[c], other[f"_{i}_{c}"]).alias(c) for c in by], *got)
+    return out.select(*by, *measures)

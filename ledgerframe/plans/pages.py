@@ -197,12 +197,15 @@ def page_8(g: DataFrame, where=None) -> dict[str, DataFrame]:
     g = _select(g, where)
     sel = g.agg(F.avg(REV).alias("mu"), F.stddev_pop(REV).alias("sd"), F.var_pop(REV).alias("var"))
     z = divide(M._blank0(F.col(REV)).cast("double") - scalar(sel, "mu"), scalar(sel, "sd"), 0.0)
-    scat = g.select("SalesOrderID", "CategoryName", "OrderDate", REV, z.alias("RevenueZScore"))
-    kpis = g.agg(F.avg(REV).alias("MeanRevenue"), F.stddev_pop(REV).alias("RevenueStdDev"),
-                 F.var_pop(REV).alias("RevenueVariance"),
-                 divide(F.sum((F.abs(z) > 2).cast("int")), F.count(F.lit(1)), 0.0).alias("OutlierPct"))
+    scored = g.select("SalesOrderID", "CategoryName", "OrderDate", REV, z.alias("_z"))
+    scat = scored.select("SalesOrderID", "CategoryName", "OrderDate", REV, round_half_up("_z", 6).alias("RevenueZScore"))
+    log = scored.where(F.abs("_z") > 2).select("SalesOrderID", "CategoryName", "OrderDate", REV,
+                                               round_half_up("_z", 6).alias("RevenueZScore"))
+    kpis = g.agg(round_half_up(F.avg(REV), 6).alias("MeanRevenue"), round_half_up(F.stddev_pop(REV), 6).alias("RevenueStdDev"),
+                 round_half_up(F.var_pop(REV), 4).alias("RevenueVariance"),
+                 round_half_up(divide(F.sum((F.abs(z) > 2).cast("int")), F.count(F.lit(1)), 0.0), 6).alias("OutlierPct"))
     return {"z_scatter": scat, "z_bands": z_bands(g), "outliers_by_category": M.anomaly_measures(g, ["CategoryName"]),
-            "anomaly_log": scat.where(F.abs(F.col("RevenueZScore")) > 2), "kpis": kpis}
+            "anomaly_log": log, "kpis": kpis}
 
 
 def forecast_6m(g: DataFrame, scenario: Decimal = Decimal("0")) -> DataFrame:
@@ -250,7 +253,7 @@ def category_trend(g: DataFrame) -> DataFrame:
 def page_9(g: DataFrame, where=None) -> dict[str, DataFrame]:
     """Forecast and scenario planning."""
     g = _select(g, where)
-    vol = g.agg(F.try_divide(F.stddev_pop(PROF), F.avg(PROF).cast("double")).alias("ProfitVolatility"))
+    vol = g.agg(round_half_up(F.try_divide(F.stddev_pop(PROF), F.avg(PROF).cast("double")), 6).alias("ProfitVolatility"))
     return {"forecast_6m": forecast_6m(g), "scenarios": M.scenario_card(g), "volatility": vol,
             "trend_by_category": category_trend(g),
             "mom_vs_profit": M.time_intelligence(g).select("Year", "Month", "MoMGrowthPct", "MoMProfitGrowthPct"),

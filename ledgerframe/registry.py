@@ -38,6 +38,10 @@ def _clean(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(tpch.aw_sources(spark, sf_dir), **kw)
 
 
+def _page(page: Callable, dataset: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda g: page(g)[dataset]
+
+
 # Queries over the golden record: name -> callable(golden DataFrame).
 GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "d1_1": revenue.revenue_trend,
@@ -85,6 +89,14 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m_season": M.seasonal_index,
     "m_weekpart": M.weekpart_revenue,
     "m_territory": M.territory_growth_rank,
+    "m_time_years": lambda g: M.time_intelligence(g, fixed_years=(1996, 1997, 1998, 1999)),
+    "m_eval_category": lambda g: M.evaluate(
+        g, ["TotalRevenue", "AvgOrderValue", "OrderFulfillmentRate", "AlertCritical", "ParetoRatio"], ["CategoryName"]),
+    "m_eval_segment_year": lambda g: M.evaluate(
+        g, ["TotalRevenue", "TotalOrders", "YoYGrowthPct", "MA3Month", "WeekendRevenue"], ["CustomerSegment", "Year"]),
+    "m_eval_region_month": lambda g: M.evaluate(
+        g, ["TotalRevenue", "MoMGrowthPct", "RetentionRate", "RepeatCustomerPct", "MA6Month", "TrendDirection",
+            "SeasonalIndex"], ["TerritoryRegion", "Year", "Month"], where="IsOnlineOrder"),
     "page_1": lambda g: P.page_1(g)["kpis"],
     "page_2": P.margin_by_segment,
     "page_3": P.segment_summary,
@@ -94,6 +106,18 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "page_7": P.channel_size,
     "page_8": P.z_bands,
     "page_9": P.forecast_6m,
+    **{name: _page(page, dataset) for name, (page, dataset) in {
+        "g1_category": (P.page_1, "revenue_by_category"), "g1_region": (P.page_1, "revenue_by_region"),
+        "g1_heatmap": (P.page_1, "category_month_heatmap"), "g2_discount": (P.page_2, "discount_table"),
+        "g2_subcategory": (P.page_2, "margin_by_subcategory"), "g3_matrix": (P.page_3, "rfm_matrix"),
+        "g3_top": (P.page_3, "top_customers"), "g3_repeat": (P.page_3, "repeat_customers"),
+        "g4_portfolio": (P.page_4, "portfolio"), "g4_stages": (P.page_4, "lifecycle_counts"),
+        "g4_color": (P.page_4, "margin_by_color_category"), "g4_top": (P.page_4, "top_products"),
+        "g6_year_month": (P.page_6, "year_month"), "g6_series": (P.page_6, "month_year_series"),
+        "g7_daily": (P.page_7, "daily_orders"), "g7_kpis": (P.page_7, "kpis"), "g8_scatter": (P.page_8, "z_scatter"),
+        "g8_log": (P.page_8, "anomaly_log"), "g8_kpis": (P.page_8, "kpis"), "g9_volatility": (P.page_9, "volatility"),
+        "g9_trend": (P.page_9, "trend_by_category"),
+    }.items()},
 }
 
 # Queries over the raw tables: name -> callable(spark, sf_dir).

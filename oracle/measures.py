@@ -46,11 +46,12 @@ def _health(x):
 
 
 _YEARS = (2022, 2023, 2024, 2025)
-M_TIME = with_golden(BOUNDS, SPINE, _MON, _BASE, """
+def _time(years) -> str:
+    return with_golden(BOUNDS, SPINE, _MON, _BASE, """
 t AS (SELECT *, LAG(TotalRevenue, 1) OVER (ORDER BY p) AS PMRevenue, LAG(TotalRevenue, 12) OVER (ORDER BY p) AS PYRevenue,
         LAG(TotalProfit, 1) OVER (ORDER BY p) AS PMProfit FROM base)""",
   "bm AS (SELECT OrderMonth AS Month, " + ", ".join(
-      f"SUM(CASE WHEN OrderYear = {k} THEN GrossRevenueUSD END) AS Revenue{k}" for k in _YEARS)
+      f"SUM(CASE WHEN OrderYear = {k} THEN GrossRevenueUSD END) AS Revenue{k}" for k in years)
   + " FROM golden WHERE OrderDate IS NOT NULL GROUP BY OrderMonth)") + f"""
 SELECT t.Year, t.Month, {d('TotalRevenue')} AS TotalRevenue, {d('TotalProfit')} AS TotalProfit,
   {d('PMRevenue')} AS PMRevenue, {d('PYRevenue')} AS PYRevenue, {d('PMProfit')} AS PMProfit,
@@ -58,11 +59,14 @@ SELECT t.Year, t.Month, {d('TotalRevenue')} AS TotalRevenue, {d('TotalProfit')}
   {r(growth('TotalRevenue', 'PYRevenue'), 6)} AS YoYGrowthPct,
   {r(growth('TotalProfit', 'PMProfit'), 6)} AS MoMProfitGrowthPct,
   {_health(growth('TotalRevenue', 'PMRevenue'))} AS HealthStatus,
-  """ + ", ".join(f"{d(f'Revenue{k}')} AS Revenue{k}" for k in _YEARS) + """
+  """ + ", ".join(f"{d(f'Revenue{k}')} AS Revenue{k}" for k in years) + """
 FROM t LEFT JOIN bm ON t.Month = bm.Month
 WHERE TotalRevenue IS NOT NULL OR PMRevenue IS NOT NULL OR PYRevenue IS NOT NULL
 """
 
+
+M_TIME, M_TIME_YEARS = _time(_YEARS), _time((1996, 1997, 1998, 1999))
+
 M_MA = with_golden(BOUNDS, SPINE, _MON, _BASE, """
 t AS (SELECT *, SUM(TotalRevenue) OVER (ORDER BY p ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) / 3 AS ma3,
         SUM(TotalRevenue) OVER (ORDER BY p ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) / 6 AS ma6 FROM base)""") + f"""
@@ -353,3 +357,52 @@ SELECT yr.Year, {d('yr.TotalRevenue')} AS TotalRevenue, {r('t.ma3', 6)} AS MA3Mo
 FROM yr JOIN t ON t.Year = yr.Year AND t.Month = 12
 WHERE t.ma3 IS NOT NULL OR t.ma6 IS NOT NULL
 """
+
+
+# ---------------------------------------------------------------- evaluate
+M_EVAL_CATEGORY = f"""
+SELECT CategoryName, c.TotalRevenue, c.AvgOrderValue, o.OrderFulfillmentRate, a.AlertCritical, p.ParetoRatio
+FROM (SELECT CategoryName, SUM(TotalRevenue) AS TotalRevenue FROM ({M_CORE}) GROUP BY CategoryName) x
+JOIN ({with_golden()} SELECT CategoryName, {d('SUM(GrossRevenueUSD)')} AS TotalRevenue,
+      {r(div('SUM(GrossRevenueUSD)', dcb('SalesOrderID'), '0.0'), 6)} AS AvgOrderValue FROM golden GROUP BY CategoryName) c USING (CategoryName)
+JOIN ({M_OPS.replace('TerritoryName', 'CategoryName')}) o USING (CategoryName)
+JOIN ({M_ANOMALY}) a USING (CategoryName) JOIN ({M_PARETO}) p USING (CategoryName)
+"""
+
+# Yearly rows of a key on every calendar year: previous year, the last three
+# months of the year, weekend revenue.
+M_EVAL_SEGMENT_YEAR = with_golden(RFM_C, RFM_S, RFM_SEG, BOUNDS, """
+fact AS (SELECT seg.CustomerSegment AS k, g.* FROM golden g LEFT JOIN seg ON seg.CustomerID IS NOT DISTINCT FROM g.CustomerID
+         WHERE OrderDate IS NOT NULL)""", f"""
+yr AS (SELECT k, OrderYear AS y, SUM(GrossRevenueUSD) AS rev, {dcb('SalesOrderID')} AS n,
+         SUM(GrossRevenueUSD) FILTER (OrderMonth >= 10) AS q4,
+         SUM(GrossRevenueUSD) FILTER (dayofweek(OrderDate) IN (0, 6)) AS weekend FROM fact GROUP BY k, y)""", """
+years AS (SELECT DISTINCT k, CAST(unnest(generate_series((SELECT year(s) FROM bounds), (SELECT year(e) FROM bounds))) AS INTEGER) AS y
+          FROM fact)""") + f"""
+SELECT s.k AS CustomerSegment, s.y AS Year, {d('a.rev')} AS TotalRevenue, a.n AS TotalOrders,
+  {r(growth('a.rev', 'b.rev'), 6)} AS YoYGrowthPct, {r('a.q4 / 3', 6)} AS MA3Month, {d('a.weekend')} AS WeekendRevenue
+FROM years s LEFT JOIN yr a ON a.k = s.k AND a.y = s.y LEFT JOIN yr b ON b.k = s.k AND b.y = s.y - 1
+WHERE a.rev IS NOT NULL OR b.rev IS NOT NULL
+"""
+
+_ONLINE = "fact AS (SELECT * FROM golden WHERE IsOnlineOrder)"
+M_EVAL_REGION_MONTH = with_golden(_ONLINE, BOUNDS.replace("FROM golden", "FROM fact"), SPINE, f"""
+cell AS (SELECT TerritoryRegion AS k, OrderYear * 12 + OrderMonth - 1 AS p, SUM(GrossRevenueUSD) AS rev FROM fact GROUP BY 1, 2)""", f"""
+buyer AS (SELECT TerritoryRegion AS k, OrderYear * 12 + OrderMonth - 1 AS p, CustomerID AS c, {dcb('SalesOrderID')} AS n
+          FROM fact GROUP BY 1, 2, 3)""", """
+crowd AS (SELECT k, p, COUNT(*) AS n, COUNT(*) FILTER (n > 1) AS again FROM buyer GROUP BY k, p)""", """
+kept AS (SELECT x.k, x.p, COUNT(*) AS n FROM buyer x JOIN buyer z ON z.k = x.k AND z.c = x.c AND z.p = x.p - 1 GROUP BY x.k, x.p)""", """
+grid AS (SELECT k, Year, Month, s.p, rev, SUM(rev) OVER (PARTITION BY k ORDER BY s.p ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) / 6 AS ma6,
+           LAG(rev) OVER (PARTITION BY k ORDER BY s.p) AS pm, AVG(rev) OVER (PARTITION BY k, Year) AS mean
+         FROM (SELECT DISTINCT k FROM cell) CROSS JOIN spine s LEFT JOIN cell USING (k, p))""") + f"""
+SELECT g.k AS TerritoryRegion, g.Year, g.Month, {d('g.rev')} AS TotalRevenue,
+  CASE WHEN g.rev IS NOT NULL OR g.pm IS NOT NULL OR y.rev IS NOT NULL THEN {r(growth('g.rev', 'g.pm'), 6)} END AS MoMGrowthPct,
+  CASE WHEN c.n IS NOT NULL OR b.n IS NOT NULL THEN {r(div('COALESCE(kept.n, 0)', 'b.n', '0.0'), 6)} END AS RetentionRate,
+  CASE WHEN c.n IS NOT NULL OR b.n IS NOT NULL THEN {r(div('c.again', 'c.n', '0.0'), 6)} END AS RepeatCustomerPct,
+  {r('g.ma6', 6)} AS MA6Month,
+  CASE WHEN g.rev IS NOT NULL OR g.ma6 IS NOT NULL THEN {_trend('g.rev', 'g.ma6')} END AS TrendDirection,
+  CASE WHEN g.rev IS NOT NULL THEN {r(div('g.rev', 'g.mean'), 6)} END AS SeasonalIndex
+FROM grid g LEFT JOIN crowd c ON c.k = g.k AND c.p = g.p LEFT JOIN crowd b ON b.k = g.k AND b.p = g.p - 1
+LEFT JOIN kept ON kept.k = g.k AND kept.p = g.p LEFT JOIN cell y ON y.k = g.k AND y.p = g.p - 12
+WHERE g.rev IS NOT NULL OR g.pm IS NOT NULL OR y.rev IS NOT NULL OR g.ma6 IS NOT NULL OR b.n IS NOT NULL
+"""

@@ -1,7 +1,9 @@
 """Oracle SQL for the registered page datasets (one per page)."""
 
-from .common import d, dcb, div, r, with_golden
-from .measures import RFM_C, RFM_S, RFM_SEG
+from ledgerframe.plans import measures as M
+
+from .common import BOUNDS, d, dcb, div, growth, r, with_golden
+from .measures import M_LIFECYCLE, RFM_C, RFM_S, RFM_SEG, _trend
 
 PAGE_1 = with_golden() + f"""
 SELECT CAST(SUM(GrossRevenueUSD) AS DOUBLE) AS TotalRevenue, CAST(SUM(EstimatedNetProfitUSD) AS DOUBLE) AS TotalProfit,
@@ -85,3 +87,82 @@ def _forecast_sql():
 
 
 PAGE_9 = _forecast_sql()
+
+
+def _kpi(key: str) -> str:
+    return with_golden() + f"""
+SELECT {key}, {d('SUM(GrossRevenueUSD)')} AS TotalRevenue, {d('SUM(EstimatedNetProfitUSD)')} AS TotalProfit,
+  {dcb('SalesOrderID')} AS TotalOrders, {_MARGIN} AS ProfitMarginPct FROM golden GROUP BY {key}"""
+
+
+_MARGIN = r(div('SUM(EstimatedNetProfitUSD)', 'SUM(GrossRevenueUSD)', '0.0'), 6)
+_SUMS = f"{d('SUM(GrossRevenueUSD)')} AS TotalRevenue, {d('SUM(EstimatedNetProfitUSD)')} AS TotalProfit"
+_DISCOUNT = "CASE " + " ".join(
+    f"WHEN COALESCE(UnitPriceDiscount, 0) {'=' if op == 'eq' else '<='} {cut} THEN '{label}'"
+    for cut, label, op in M.DAX_DISCOUNT) + f" ELSE '{M.DAX_DISCOUNT_ELSE}' END"
+_ROW_Z = ("sel AS (SELECT AVG(GrossRevenueUSD) AS mu, STDDEV_POP(GrossRevenueUSD) AS sd FROM golden)",
+          f"z AS (SELECT *, {_Z} AS RevenueZScore FROM golden)")
+_SCATTER = (f"SELECT SalesOrderID, CategoryName, OrderDate, {d('GrossRevenueUSD')} AS GrossRevenueUSD, "
+            f"{r('z.RevenueZScore', 6)} AS RevenueZScore FROM z")
+_LAST_MONTH = "(SELECT MAX(OrderYear * 12 + OrderMonth) FROM golden)"
+_AGE = "OrderYear * 12 + OrderMonth - " + _LAST_MONTH
+
+DATASETS = {
+    "g1_category": _kpi("CategoryName"),
+    "g1_region": _kpi("TerritoryRegion"),
+    "g1_heatmap": with_golden() + "SELECT CategoryName, " + ", ".join(
+        f'{d(f"SUM(GrossRevenueUSD) FILTER (OrderMonth = {m})")} AS "{m}"' for m in range(1, 13))
+    + " FROM golden WHERE OrderDate IS NOT NULL GROUP BY CategoryName",
+    "g2_discount": with_golden() + f"SELECT {_DISCOUNT} AS DiscountBucket, COUNT(*) AS Lines, {_SUMS} FROM golden GROUP BY 1",
+    "g2_subcategory": with_golden() + f"""
+SELECT SubcategoryName, {d('SUM(GrossRevenueUSD)')} AS TotalRevenue, {_MARGIN} AS ProfitMarginPct
+FROM golden GROUP BY SubcategoryName""",
+    "g3_matrix": with_golden(RFM_C, RFM_S, RFM_SEG) + "SELECT RScore, FScore, COUNT(*) AS Customers FROM seg GROUP BY 1, 2",
+    "g3_top": with_golden() + f"""
+SELECT CustomerName, {d('SUM(GrossRevenueUSD)')} AS TotalRevenue, {dcb('SalesOrderID')} AS Orders FROM golden
+GROUP BY CustomerName ORDER BY SUM(GrossRevenueUSD) DESC NULLS LAST, CustomerName NULLS FIRST LIMIT 20""",
+    "g3_repeat": with_golden(f"buyer AS (SELECT CustomerID, {dcb('SalesOrderID')} AS n FROM golden GROUP BY CustomerID)")
+    + "SELECT CAST(COUNT(*) FILTER (n > 1) AS DOUBLE) / COUNT(*) AS RepeatCustomerPct FROM buyer",
+    "g4_portfolio": with_golden(BOUNDS, f"""
+item AS (
+  SELECT ProductName, SUM(GrossRevenueUSD) AS rev, SUM(OrderQty) AS qty, {dcb('SalesOrderID')} AS n,
+    SUM(GrossRevenueUSD) FILTER (OrderYear < (SELECT year(e) FROM bounds)) AS old
+  FROM golden GROUP BY ProductName)""") + f"""
+SELECT ProductName, {d('rev')} AS TotalRevenue, {r(div('rev', '(SELECT SUM(rev) FROM item)', '0.0'), 6)} AS ProductContributionPct,
+  {r(div('qty', 'n', '0.0'), 6)} AS ProductVelocity, {r(growth('rev', 'old'), 6)} AS YoYGrowthPct FROM item""",
+    "g4_stages": f"SELECT ProductLifecycleStage, COUNT(DISTINCT ProductName) AS Products FROM ({M_LIFECYCLE}) GROUP BY 1",
+    "g4_color": with_golden() + f"""
+SELECT ProductColor, CategoryName, {_MARGIN} AS ProfitMarginPct FROM golden GROUP BY ProductColor, CategoryName""",
+    "g4_top": with_golden() + f"""
+SELECT ProductName, CategoryName, {_SUMS} FROM golden GROUP BY ProductName, CategoryName
+ORDER BY SUM(GrossRevenueUSD) DESC NULLS LAST, ProductName, CategoryName LIMIT 20""",
+    "g6_year_month": with_golden() + f"""
+SELECT OrderYear AS Year, OrderMonth AS Month, {d('SUM(GrossRevenueUSD)')} AS TotalRevenue
+FROM golden WHERE OrderDate IS NOT NULL GROUP BY OrderYear, OrderMonth""",
+    "g6_series": with_golden() + f"""
+SELECT strftime(OrderDate, '%b %Y') AS MonthYear, OrderYear AS Year, OrderMonth AS Month,
+  {d('SUM(GrossRevenueUSD)')} AS TotalRevenue FROM golden WHERE OrderDate IS NOT NULL GROUP BY 1, 2, 3""",
+    "g7_daily": with_golden() + f"""
+SELECT OrderDate, {dcb('SalesOrderID')} AS Orders FROM golden WHERE OrderDate IS NOT NULL GROUP BY OrderDate""",
+    "g7_kpis": with_golden(BOUNDS, f"""
+daily AS (SELECT OrderDate, {dcb('SalesOrderID')} AS n FROM golden WHERE OrderDate IS NOT NULL GROUP BY OrderDate)""", f"""
+whole AS (SELECT {dcb('SalesOrderID')} AS n, SUM(OrderQty) AS qty, AVG(DaysToShip) AS proc, AVG(UnitPriceDiscount) AS off,
+  COUNT(DISTINCT SalesOrderID) FILTER (OrderStatus = '{M.FULFILLED_STATUS}') AS done FROM golden)""") + f"""
+SELECT n AS TotalOrders, {r('proc', 6)} AS AvgProcessingDays, {r('(SELECT AVG(n) FROM daily)', 6)} AS AvgOrdersPerDay,
+  {r(div('qty', 'n', '0.0'), 6)} AS AvgItemsPerOrder, {r(div('done', 'n', '0.0'), 6)} AS OrderFulfillmentRate,
+  {r('n / (SELECT CAST(e - s + 1 AS DOUBLE) FROM bounds)', 6)} AS OrdersPerDay, {r('off', 6)} AS AvgDiscountPct FROM whole""",
+    "g8_scatter": with_golden(*_ROW_Z) + _SCATTER,
+    "g8_log": with_golden(*_ROW_Z) + _SCATTER + " WHERE ABS(z.RevenueZScore) > 2",
+    "g8_kpis": with_golden(*_ROW_Z) + f"""
+SELECT {r('AVG(GrossRevenueUSD)', 6)} AS MeanRevenue, {r('STDDEV_POP(GrossRevenueUSD)', 6)} AS RevenueStdDev,
+  {r('VAR_POP(GrossRevenueUSD)', 4)} AS RevenueVariance,
+  {r('CAST(COUNT(*) FILTER (ABS(RevenueZScore) > 2) AS DOUBLE) / COUNT(*)', 6)} AS OutlierPct FROM z""",
+    "g9_volatility": with_golden() + f"""
+SELECT {r('STDDEV_POP(EstimatedNetProfitUSD) / AVG(EstimatedNetProfitUSD)', 6)} AS ProfitVolatility FROM golden""",
+    "g9_trend": with_golden(f"""
+recent AS (
+  SELECT CategoryName, SUM(GrossRevenueUSD) FILTER ({_AGE} = 0) AS rev,
+    SUM(GrossRevenueUSD) FILTER ({_AGE} BETWEEN -5 AND 0) / 6 AS ma6
+  FROM golden WHERE OrderDate IS NOT NULL GROUP BY CategoryName)""") + f"""
+SELECT CategoryName, {d('rev')} AS TotalRevenue, {r('ma6', 6)} AS MA6Month, {_trend('rev', 'ma6')} AS TrendDirection FROM recent""",
+}

@@ -59,3 +59,6 @@ SQL: dict[str, str] = {
 }
 SQL.update(R.WITHOUT_LIMIT)
 SQL.update(C.SQL)
+SQL.update(P.DATASETS)
+SQL.update({"m_time_years": M.M_TIME_YEARS, "m_eval_category": M.M_EVAL_CATEGORY,
+            "m_eval_segment_year": M.M_EVAL_SEGMENT_YEAR, "m_eval_region_month": M.M_EVAL_REGION_MONTH})
