@@ -7,7 +7,6 @@ Layers (all lazy DataFrame plans; Catalyst/AQE choose the physical strategy):
 * ``operators`` — reusable distributed building blocks (scalable global
   NTILE, skew-safe pair counting, one-row statistics joins);
 * ``plans``     — cleaning datasets, golden record, reports, measures, pages;
-* ``streaming`` — incremental refresh of the golden record.
 """
 
 __version__ = "0.1.0"

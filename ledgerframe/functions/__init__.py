@@ -3,6 +3,7 @@
 from .dax import distinctcount_blank, divide, switch_true, weeknum_us
 from .tsql import (
     add_days_trunc,
+    collated,
     count_distinct,
     day_diff,
     dec_avg,
@@ -20,6 +21,7 @@ from .tsql import (
 
 __all__ = [
     "add_days_trunc",
+    "collated",
     "count_distinct",
     "day_diff",
     "dec_avg",

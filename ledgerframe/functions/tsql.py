@@ -87,6 +87,12 @@ def int_avg(x: ColumnOrName) -> Column:
     return F.when(n > 0, F.call_function("div", s, n).cast("int"))
 
 
+def collated(x: ColumnOrName, collation: str | None) -> Column:
+    """The string under a collation for comparisons (e.g. ``UTF8_LCASE``: case
+    ignored); None compares by bytes."""
+    return F.collate(_c(x), collation) if collation else _c(x)
+
+
 def nullif0(x: ColumnOrName) -> Column:
     """``NULLIF(x, 0)``."""
     c = _c(x)

@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import collated
+
 CELL_ITEMS = 2000
 
 
@@ -36,8 +38,9 @@ def basket_items(df: DataFrame, basket: str, item_cols: list[str], value: str) -
 
 
 def item_pairs(items: DataFrame, basket: str, item_cols: list[str], order_col: str,
-               suffixes=("1", "2"), cell_items: int = CELL_ITEMS) -> DataFrame:
-    """Pairs of distinct items in the same basket with ``a.order_col < b.order_col``.
+               suffixes=("1", "2"), cell_items: int = CELL_ITEMS, collation: str | None = None) -> DataFrame:
+    """Pairs of distinct items in the same basket with ``a.order_col < b.order_col``
+    (by bytes, or under ``collation``).
 
     Output: ``<item>1``, ``<item>2`` columns plus ``pair_lines`` (c1·c2),
     ``pair_value_sum`` and ``pair_value_n``.
@@ -56,7 +59,8 @@ def item_pairs(items: DataFrame, basket: str, item_cols: list[str], order_col: s
                            *[F.col(c).alias(c + sfx) for c in ("_c", "_r", "_n")])
     a, b = side(s1, "_x", "_y"), side(s2, "_y", "_x")
     same = [F.col(c + s1) == F.col(c + s2) for c in ("_b", "_x", "_y")]
-    j = a.join(b, same[0] & same[1] & same[2] & (F.col(order_col + s1) < F.col(order_col + s2)))
+    j = a.join(b, same[0] & same[1] & same[2] 
+               & (collated(order_col + s1, collation) < collated(order_col + s2, collation)))
     n = F.col("_n" + s1) * F.col("_n" + s2)
     total = F.col("_r" + s1) * F.col("_n" + s2) + F.col("_r" + s2) * F.col("_n" + s1)
     return j.select(*[c + s1 for c in item_cols], *[c + s2 for c in item_cols],

@@ -82,7 +82,7 @@ def bcg_matrix(g: DataFrame, approx: bool = False) -> DataFrame:
     return out.orderBy("_rank", F.col("TotalRevenue").desc_nulls_last()).drop("_rank")
 
 
-def product_affinity(g: DataFrame, top: int | None = 20) -> DataFrame:
+def product_affinity(g: DataFrame, top: int | None = 20, collation: str | None = None) -> DataFrame:
     """D3.2 — products bought together in the same order.
 
     Pairs are built from distinct items per order (``operators.pairs``) and
@@ -92,7 +92,8 @@ def product_affinity(g: DataFrame, top: int | None = 20) -> DataFrame:
     orders = scalar(g.agg(F.countDistinct("SalesOrderID").alias("n")), "n")
     named = g.where(F.col("ProductName").isNotNull())
     items = basket_items(named, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "GrossRevenue")
-    pairs = item_pairs(items, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "ProductName")
+    pairs = item_pairs(items, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "ProductName",
+                       collation=collation)
     agg = (pairs.groupBy(F.col("ProductName1").alias("Product1"), F.col("CategoryName1").alias("Category1"),
                          F.col("ProductName2").alias("Product2"), F.col("CategoryName2").alias("Category2"),
                          "CurrencyCode1", "CurrencyCode2")

@@ -1,16 +1,14 @@
 """``Sources``: the raw operational tables by two-part name (``Schema.Table``).
 
 Tables come from a folder of Parquet files (``<root>/<Schema>.<Table>``, or
-``<root>/<Schema>/<Table>``), from a JDBC connection, or from DataFrames
-handed in directly (tests, adapters).  Every cleaning dataset reads its
+``<root>/<Schema>/<Table>``, with or without the format's suffix), from a JDBC
+connection, or from DataFrames handed in directly (tests, adapters).  Every cleaning dataset reads its
 inputs through this mapping, so column pruning and predicate pushdown reach
 the scans.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Tables read by the cleaning scripts (42 scan clauses over 35 tables).
@@ -30,41 +28,75 @@ RAW_TABLES = (
 )
 
 
+# Layouts tried in this order below the root when none is declared.
+LAYOUTS = ("{schema}.{table}", "{schema}.{table}.{fmt}", "{schema}/{table}", "{schema}/{table}.{fmt}")
+PARTITION_OPTIONS = ("partitionColumn", "lowerBound", "upperBound", "numPartitions")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system (local, cluster or object
+    store), as Spark's readers see it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 class Sources:
-    """Name -> DataFrame mapping for the raw tables."""
+    """Name -> DataFrame mapping for the raw tables.
+
+    ``root``/``fmt``: a folder, by path or URI; ``layout`` declares where a
+    table lies below it (one of LAYOUTS, or any pattern with {schema} and
+    {table}); without it the layouts are tried in turn.
+
+    ``jdbc``: options of the connection; ``table_options`` adds options for
+    single tables, such as the four partition options of a large table's
+    parallel read (they must come together: Spark needs all of them).
+    """
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None,
-                 root: str | None = None, fmt: str = "parquet", jdbc: dict | None = None):
+                 root: str | None = None, fmt: str = "parquet", jdbc: dict | None = None,
+                 layout: str | None = None, table_options: dict[str, dict] | None = None):
         self.spark = spark
         self._tables = dict(tables or {})
-        self.root, self.fmt, self.jdbc = root, fmt, jdbc
+        self.root, self.fmt, self.jdbc, self.layout = root, fmt, jdbc, layout
+        self.table_options = dict(table_options or {})
 
     def __contains__(self, name: str) -> bool:
-        return name in self._tables or self._path(name) is not None or self.jdbc is not None
+        return name in self._tables or self.jdbc is not None or self._path(name) is not None
 
     def _path(self, name: str) -> str | None:
         if not self.root:
             return None
         schema, table = name.split(".", 1)
-        for p in (f"{self.root}/{name}", f"{self.root}/{name}.{self.fmt}",
-                  f"{self.root}/{schema}/{table}", f"{self.root}/{schema}/{table}.{self.fmt}"):
-            if os.path.exists(p) or "://" in p:
+        for layout in (self.layout,) if self.layout else LAYOUTS:
+            p = f"{self.root.rstrip('/')}/{layout.format(schema=schema, table=table, fmt=self.fmt)}"
+            if _exists(self.spark, p):
                 return p
         return None
 
+    def read_options(self, name: str) -> dict[str, str]:
+        """The JDBC options of one table."""
+        own = self.table_options.get(name, {})
+        given = [o for o in PARTITION_OPTIONS if o in own]
+        if given and len(given) < len(PARTITION_OPTIONS):
+            raise ValueError(f"{name}: a partitioned read needs {', '.join(PARTITION_OPTIONS)}; given: {given}")
+        shared = [o for o in PARTITION_OPTIONS if o in (self.jdbc or {})]
+        if shared:
+            raise ValueError(f"{shared} belong to single tables: put them in table_options")
+        return {**(self.jdbc or {}), "dbtable": name, **own}
+
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._tables:
             return self._tables[name]
         if self.jdbc is not None:
-            return (self.spark.read.format("jdbc").options(**self.jdbc)
-                        .option("dbtable", name).load())
+            return self.spark.read.format("jdbc").options(**self.read_options(name)).load()
         p = self._path(name)
         if p is None:
             raise KeyError(f"raw table {name!r} is not available (dependency missing: "
                            f"build order is Person, HR, Production, Purchasing, Sales, then the golden record)")
-        return self.spark.read.format(self.fmt).load(p)
+        return self.spark.read.format(self.fmt).options(**self.table_options.get(name, {})).load(p)
 
     def with_tables(self, **more: DataFrame) -> "Sources":
         t = dict(self._tables)
         t.update({k.replace("__", "."): v for k, v in more.items()})
-        return Sources(self.spark, t, self.root, self.fmt, self.jdbc)
+        return Sources(self.spark, t, self.root, self.fmt, self.jdbc, self.layout, self.table_options)

@@ -217,3 +217,16 @@ def test_sources_read_parquet_folder(spark, src, tmp_path):
     assert "Sales.Customer" in disk
     got = sorted(map(tuple, sales.customer_profile(disk).collect()))
     assert got == sorted(map(tuple, sales.customer_profile(src).collect()))
+
+
+def test_b7_shift_time_kinds(spark):
+    from ledgerframe.plans.cleaning.hr import shift
+    from ledgerframe.sources.catalog import Sources
+    text = spark.createDataFrame([(1, "N", "23:00:00.0000000", "07:00:00"), (2, "D", "07:00:00", "15:30:00.5")],
+                                 "ShiftID int, Name string, StartTime string, EndTime string")
+    stamp = text.selectExpr("ShiftID", "Name", "to_timestamp(concat('1900-01-01 ', StartTime)) AS StartTime",
+                            "to_timestamp(concat('1900-01-01 ', EndTime)) AS EndTime")
+    for df in (text, stamp):
+        got = {r.ShiftID: (r.StartTime, r.EndTime, r.ShiftHours)
+               for r in shift(Sources(spark, {"HumanResources.Shift": df})).collect()}
+        assert got == {1: ("23:00:00", "07:00:00", 8), 2: ("07:00:00", "15:30:00", 8)}

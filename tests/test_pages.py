@@ -1,4 +1,4 @@
-"""Every page dataset runs; measure invariants hold."""
+"""Page datasets add up; measure invariants hold."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,10 +13,27 @@ def g(spark):
     return G.materialize(G.golden_from_tables(spark, "/root/testdata/sf0.001"))
 
 
+# Datasets whose rows split the record: their revenue adds up to all of it.
+ADDITIVE = {(1, "kpis"), (1, "revenue_by_category"), (1, "revenue_by_region"), (2, "discount_table"),
+            (2, "margin_by_subcategory"), (2, "margin_heatmap"), (4, "portfolio"), (4, "pareto"), (5, "region_kpis"),
+            (5, "trend"), (6, "year_month"), (6, "day_of_week"), (6, "month_year_series"), (7, "channel_size"),
+            (8, "z_bands")}
+# Pivots by month or year: all cells together are the whole revenue.
+PIVOTS = {(1, "category_month_heatmap"): 1, (5, "territory_year_matrix"): 1, (6, "month_year_heatmap"): 1}
+
+
 @pytest.mark.parametrize("n", range(1, 10))
-def test_page_datasets_run(g, n):
+def test_page_datasets_hold_the_whole_record(g, n):
+    total = float(g.agg(F.sum("GrossRevenueUSD").alias("t")).first().t)
     for name, df in P.PAGES[n](g).items():
-        assert df.count() >= 0, name
+        rows = df.collect()
+        assert rows, name
+        assert len(rows) == len(set(map(str, rows))) or name == "z_scatter", name
+        if (n, name) in ADDITIVE:
+            assert float(sum(r.TotalRevenue for r in rows)) == pytest.approx(total), name
+        if (n, name) in PIVOTS:
+            cells = [x for r in rows for x in tuple(r)[PIVOTS[n, name]:] if x is not None]
+            assert float(sum(cells)) == pytest.approx(total), name
 
 
 def test_alert_bands_partition_rows(g):
@@ -53,3 +70,19 @@ def test_write_pages(spark, g, tmp_path):
     out = P.write_pages(g, str(tmp_path), pages=[1, 7])
     assert "page_1/kpis" in out and "page_7/channel_size" in out
     assert spark.read.parquet(out["page_1/kpis"]).count() == 1
+
+
+def test_evaluate_rejects_unknown_grains(g):
+    with pytest.raises(ValueError, match="RetentionRate"):
+        M.evaluate(g, ["TotalRevenue", "RetentionRate"], ["CategoryName"])
+    with pytest.raises(ValueError, match="Month needs Year"):
+        M.evaluate(g, ["TotalRevenue"], ["Month"])
+
+
+def test_noted_statistics_are_those_of_the_record(g):
+    from ledgerframe.operators.stats import known
+    from ledgerframe.plans.calendar import calendar_bounds
+    plain = g.where("true")
+    assert known(plain, "latest") is None
+    assert tuple(calendar_bounds(g).first()) == tuple(calendar_bounds(plain).first())
+    assert known(g, "latest") == plain.agg(F.max("OrderDate").alias("m")).first().m
