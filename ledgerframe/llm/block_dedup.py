@@ -162,7 +162,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
                                                     (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)],
                     names=["doc_id", "th", "s", "e"])
 
-    parts = R.slices(texts, kinds.where("kinds > 1"), cut)
+    parts = R.slices(texts, R.compared_classes(kinds), cut)
     compared = (parts.repartition("key").sortWithinPartitions("key")
                 .mapInArrow(compare, "doc_id long, th int, s int, e int"))
     return folded.unionByName(compared), texts

@@ -111,19 +111,27 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame, elements: Callable, window: int, k: int) -> DataFrame:
-    """The anchor rows whose key occurs at least twice (saved)."""
+    """The anchor rows whose key occurs at least twice (saved).
+
+    The keys are saved before the join: both of its sides are then plain
+    exchanges, and adaptive execution splits the partition of a hot key."""
     rows = anchor_rows(docs, elements, window, k)
-    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    twice = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "keys")
     return saved(rows.join(twice, "key"), "anchors")
 
 
 def classes(anchors: DataFrame) -> DataFrame:
-    """(key, digest, c, doc_id, th, off, rel, n, kinds): the first row of each
-    class of equal slices, its size, and how many classes share the key."""
+    """(key, digest, c, doc_id, th, off, rel, n): the first row of each class
+    of equal slices and its size (saved)."""
     g = anchors.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("c"),
                                              F.min(F.struct("doc_id", "th", "off", "rel", "n")).alias("rep"))
-    kinds = g.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
-    return saved(g.join(kinds, "key").select("key", "digest", "c", "rep.*", "kinds"), "classes")
+    return saved(g.select("key", "digest", "c", "rep.*"), "classes")
+
+
+def compared_classes(kinds: DataFrame) -> DataFrame:
+    """The classes that share their key with another class."""
+    several = saved(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key"), "several")
+    return kinds.join(several, "key")
 
 
 def repeated_documents(docs: DataFrame, anchors: DataFrame) -> DataFrame:
