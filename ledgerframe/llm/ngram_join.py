@@ -3,13 +3,19 @@
 1. *Sets.*  Distinct `k`-word shingles of each text, as sorted 64-bit hashes
    (a shorter text: its whole word sequence).  Texts of equal sets are one
    class, known by two digests; its first doc_id stands for it.
-2. *Clusters.*  Two sets at similarity t share one of the first
-   n - ceil(t * n) + 1 shingles in any common order.  The order puts the
-   corpus's frequent shingles last (a bounded heavy-hitter list, which only
-   affects speed), so shared passages do not tie documents together.  Classes
-   that share such a shingle are linked to the least of them; a task emits a
-   shingle once, however many copies it holds.  Components of these candidate
-   links are clusters: a similar pair is always inside one.
+2. *Clusters.*  Of a set in hash order, take the pairs of neighbours.  Sets of
+   a and b shingles with o in common share at least 3 * o - a - b - 1 pairs, as
+   each of the a + b - 2 * o others parts one pair of common neighbours; at
+   similarity t > 1/2 that is (2 * t - 1) * a - 1 or more.  So they share one of
+   the first a - ceil((2 * t - 1) * a) + 1 pairs in any common order.  (Single
+   shingles would do with half as many, but one chance shingle of five common
+   words then ties two texts together, and half a corpus becomes one cluster.)
+   The order puts pairs with one of the corpus's frequent shingles last (a
+   bounded heavy-hitter list, which only affects speed), so that passages
+   shared by many do not tie documents together.  Classes that share a pair are
+   linked to the least of them; a task emits a pair once, however many copies
+   it holds.  Components of these candidate links are clusters: a similar pair
+   of documents is always inside one.
 3. *Join.*  A cluster's sets meet in one task (a large cluster: in several, by
    size class and hash, every pair of parts that may match in one of them) and
    are joined by signature trees (`signature_tree`): exact, and pruned.
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from . import regions as R
 from .components import components
 from .signature_tree import link_components
-from .textbatch import LOWER, NULL_ID, U64, Prefix, TextBlock, grams, mix, text_blocks
+from .textbatch import GRAM_CODE, LOWER, NULL_ID, U64, Prefix, TextBlock, grams, mix, text_blocks
 
 WORDS = 5
 PERCENT = 80
@@ -71,8 +77,19 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
     return x, y
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (-(-percent * n // 100)) + 1
+def prefix_pairs(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the prefix of a set's neighbour pairs, rare ones first.  Sets
+    of one shingle have none: they are similar to equal sets only."""
+    n = len(s)
+    q = mix(s[:-1] * GRAM_CODE[0] + s[1:] * GRAM_CODE[1])
+    p = n - (-(-(2 * percent - 100) * n // 100)) + 1
+    if len(often):
+        late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+        late = late[:-1] | late[1:]
+        if late.any():
+            first = np.sort(q[~late])[:p]
+            return np.concatenate([first, np.sort(q[late])[:max(0, p - len(first))]])
+    return np.sort(q)[:p]
 
 
 def document_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -87,7 +104,8 @@ def document_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
                 digests = np.array([_digests(s) for s in sets], dtype=np.int64).reshape(-1, 2)
                 yield _document_batch(0, ids[blk.row0:blk.row0 + blk.n], digests[:, 0], digests[:, 1],
                                       np.array([len(s) for s in sets]))
-                each, count = np.unique(np.concatenate(sets), return_counts=True)
+                _, once = np.unique(digests[:, 0], return_index=True)  # copies count once
+                each, count = np.unique(np.concatenate([sets[i] for i in once]), return_counts=True)
                 some = count >= BLOCK_DOCS_MIN
                 for h, c in zip(each[some].view(np.int64).tolist(), count[some].tolist(), strict=True):
                     often[h] = often.get(h, 0) + c
@@ -115,11 +133,13 @@ def frequent_shingles(sets: DataFrame, size: int = FREQUENT) -> np.ndarray:
 
 
 def candidate_links(docs: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that share a prefix shingle, to the least."""
+    """Links (a, b) between classes that share a prefix pair, to the least."""
+    if percent <= 50:
+        raise ValueError("neighbour pairs are a filter for similarities above one half")
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def combine(h, u):
-        """A shingle's first class goes on; the others are linked to it here."""
+        """A pair's first class goes on; the others are linked to it here."""
         h, u = np.concatenate(h), np.concatenate(u)
         o = np.lexsort((u, h))
         h, u = h[o], u[o]
@@ -138,21 +158,12 @@ def candidate_links(docs: DataFrame, frequent: np.ndarray, k: int, percent: int)
         for batch in batches:
             for blk in text_blocks(batch.column("text")):
                 for s in shingle_sets(blk, k):
-                    if len(s) == 0:
+                    if len(s) < 2:
                         continue
-                    p = prefix_length(len(s), percent)
-                    if len(often):
-                        spot = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        late = often[spot] == s
-                        if late.any():
-                            s2 = np.concatenate([s[~late], s[late]])[:p]
-                        else:
-                            s2 = s[:p]
-                    else:
-                        s2 = s[:p]
-                    hs.append(s2)
-                    us.append(np.full(len(s2), _digests(s)[0], dtype=np.int64))
-                    held += len(s2)
+                    q = prefix_pairs(s, often, percent)
+                    hs.append(q)
+                    us.append(np.full(len(q), _digests(s)[0], dtype=np.int64))
+                    held += len(q)
                 if held > COMBINE_ROWS:
                     yield from combine(hs, us)
                     hs, us, held = [], [], 0

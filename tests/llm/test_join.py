@@ -71,6 +71,19 @@ def test_components(spark):
     assert got == label
 
 
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_similar_sets_share_a_prefix_pair(percent):
+    rng = random.Random(percent)
+    often = np.sort(np.array([rng.getrandbits(64) for _ in range(400)], dtype=np.uint64))
+    for _ in range(3000):
+        n = rng.randint(1, 40)
+        a = set(rng.sample(often.tolist(), min(n, rng.randint(0, 20)))) | {rng.getrandbits(64) for _ in range(n)}
+        b = set(rng.sample(sorted(a), max(1, len(a) - rng.randint(0, 8)))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 5))}
+        if a != b and 100 * len(a & b) >= percent * len(a | b):
+            x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
+            assert np.intersect1d(ngram_join.prefix_pairs(x, often, percent), ngram_join.prefix_pairs(y, often, percent)).size
+
+
 def test_all_documents(spark, docs):
     pairs = [(r.doc_id, r.text) for r in docs.collect()]
     assert _op4(docs) == brute.near_copies(pairs)
