@@ -12,13 +12,15 @@ is built of blocks of items: a block holds at most `block_postings` postings
 every passage queries each of them.
 
 *Query.*  A text is cut into passages of PASSAGE tokens, half overlapping.
-Upper bounds prune in three steps, each over fewer passages: per-term maxima,
-block maxima, and block-max WAND over the postings, which returns all items
-that reach their threshold, not a top k.
+Upper bounds prune in three steps, each over fewer passages: (1) essential
+postings: an item's commonest terms, up to COMMON of its threshold, are taken
+as present, so a passage can only reach the item with enough of its other
+terms; (2) block maxima; (3) block-max WAND over the postings, which returns
+all items that reach their threshold, not a top k.
 
 *Verify.*  An item is a leak of a document when at least `overlap` of the
 token 5-grams of its question (all sentences but the last) and of its answer
-(the last) occur around the passage, or 0.8 of those of the whole item.
+(the last) occur around the passage, or WHOLE_OVERLAP of the whole item's.
 
 Cases: null text has no passages; items without tokens match nothing; equal
 items are all reported; repeated documents each report; empty tables give no
@@ -44,6 +46,7 @@ OVERLAP = 0.5
 WHOLE_OVERLAP = 0.8
 GRAM = 5
 BLOCK = 16
+COMMON = 0.5
 BLOCK_POSTINGS = 4_000_000
 
 _TOKEN = np.zeros(256, dtype=bool)
@@ -116,9 +119,26 @@ class Index:
         owner = np.repeat(np.arange(len(self.terms)), np.diff(self.start))
         np.maximum.at(self.top, owner, self.impact)
         np.maximum.at(self.block_top, (owner, self.item // BLOCK), self.impact.astype(np.float32) * np.float32(1.0001))
+        self._essential(owner, len(items))
         self.seen = np.zeros(1 << 16, dtype=bool)
         self.seen[(self.terms >> U64(48)).astype(np.int64)] = True
 
+    def _essential(self, owner: np.ndarray, n_items: int) -> None:
+        """Split each item's postings: its commonest terms, while their impacts
+        stay within COMMON, count as present (`given`); the others are kept
+        by term, as the essential postings."""
+        df = np.diff(self.start)[owner]
+        order = np.lexsort((owner, -df, self.item))
+        item, impact = self.item[order], self.impact[order]
+        run = np.cumsum(impact)
+        first = np.append(True, item[1:] != item[:-1])
+        base = np.maximum.accumulate(np.where(first, run - impact, -np.inf)) if len(run) else run
+        given = run - base <= COMMON
+        self.given = np.bincount(item[given], weights=impact[given], minlength=n_items)
+        keep = np.sort(order[~given])
+        self.e_item, self.e_impact = self.item[keep], self.impact[keep]
+        self.e_start = np.searchsorted(owner[keep], np.arange(len(self.terms) + 1))
+
     def term_of(self, h: np.ndarray) -> np.ndarray:
         """Index of each token's term, or -1."""
         out = np.full(len(h), -1, dtype=np.int64)
@@ -173,7 +193,7 @@ class Index:
 
     def passages(self, term: np.ndarray, first: np.ndarray, passage: int):
         """(document, first token, distinct terms) of passages that the bounds
-        of single terms and of blocks leave over."""
+        of essential postings and of blocks leave over."""
         half = passage // 2
         size = np.diff(first)
         n_half = -(-size // half)
@@ -185,17 +205,22 @@ class Index:
         where = base[doc] + (known - first[doc]) // half
         key = np.unique(where * len(self.terms) + term[known])
         where, t = key // len(self.terms), key % len(self.terms)
-        mass = np.bincount(where, weights=self.top[t], minlength=base[-1])
         owner = np.repeat(np.arange(len(size)), n_half)
-        nxt = np.append(mass[1:], 0.0)
-        nxt[np.append(owner[1:] != owner[:-1], True)] = 0.0
-        for w in np.flatnonzero(mass + nxt >= 1 - 1e-9):
+        # Essential impacts by (half passage, item); a passage is two halves.
+        n = self.e_start[t + 1] - self.e_start[t]
+        at = np.repeat(self.e_start[t], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        half_no, item, impact = np.repeat(where, n), self.e_item[at], self.e_impact[at]
+        before = (half_no > 0) & (owner[np.maximum(half_no - 1, 0)] == owner[half_no])
+        n_items = len(self.ids)
+        cell, which = np.unique(np.concatenate([half_no, half_no[before] - 1]) * n_items
+                                + np.concatenate([item, item[before]]), return_inverse=True)
+        mass = np.bincount(which, weights=np.concatenate([impact, impact[before]]), minlength=len(cell))
+        live = np.unique(cell[mass + self.given[cell % n_items] >= 1 - 1e-9] // n_items)
+        for w in live:
             d = int(owner[w])
             stop = w + 1 if w + 1 < base[d + 1] else w
             a, b = np.searchsorted(where, [w, stop + 1])
             distinct = np.unique(t[a:b])
-            if self.top[distinct].sum() < 1 - 1e-9:
-                continue
             if (self.block_top[distinct].sum(axis=0) >= 1 - 1e-6).any():
                 yield d, int((w - base[d]) * half), distinct
 
