@@ -43,7 +43,7 @@ K1, B = 1.2, 0.75
 PASSAGE = 128
 SHARE = 0.5
 OVERLAP = 0.5
-WHOLE_OVERLAP = 0.8
+WHOLE_OVERLAP = 0.6
 GRAM = 5
 BLOCK = 16
 COMMON = 0.5

@@ -56,7 +56,7 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 STICKY_WORDS = frozenset("comment comments disqus replies respond related recommended sidebar aside".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*)/?>"
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)/?>"
     r"|<(/?)([a-zA-Z][\w:-]*)([^<>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z0-9]+")

@@ -94,6 +94,7 @@ MARKUP = [
     ("<div role=navigation>n</div><div>kept &am", "kept &am"),
     ("", ""), (None, ""),
     ("plain text only", "plain text only"),
+    ("<article><p title=\"a > b\">t<a href=\"x>u</a> v</p></article>", "tu v"),
 ]
 
 
