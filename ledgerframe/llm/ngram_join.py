@@ -261,7 +261,8 @@ def verified_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int) -> D
             if m.any():
                 yield pa.RecordBatch.from_arrays([pa.array(lead[m]), pa.array(doc[m])], names=["a", "b"])
 
-    rows = (R.keyed(docs).join(tasks, "doc_id")
+    # The tasks grow with the documents: never a broadcast.
+    rows = (R.keyed(docs).join(tasks.hint("merge"), "doc_id")
             .mapInArrow(sets, "root long, pair string, side int, doc_id long, body binary"))
     return rows.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(join, "a long, b long")
 
