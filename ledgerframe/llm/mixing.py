@@ -148,7 +148,9 @@ def segments(docs_placed: DataFrame, lanes: DataFrame, block_words: int) -> Data
     first = F.floor(F.col("before") / block_words)
     last = F.floor((F.col("before") + F.col("size") - 1) / block_words)
     span = F.when(F.col("size") > 0, F.sequence(first, last))
-    s = docs_placed.select("*", F.explode_outer(span).alias("b")).join(lanes, ["sid", "lane"])
+    # Both sides of these joins grow with the data: a compressed size must not
+    # make one of them a broadcast.
+    s = docs_placed.select("*", F.explode_outer(span).alias("b")).join(lanes.hint("merge"), ["sid", "lane"])
     lo = F.greatest(F.col("b") * block_words - F.col("before"), F.lit(0))
     hi = F.least((F.col("b") + 1) * block_words - F.col("before"), F.col("size"))
     return s.withColumn("block", F.col("offset") + F.col("b")).withColumn("word_from", lo).withColumn("word_to", hi)
@@ -165,7 +167,7 @@ def _parts(docs: DataFrame, block_words: int, lane_rows: int, seed: int, keep: t
 def mix_plan(docs: DataFrame, block_words: int = BLOCK_WORDS, lane_rows: int = LANE_ROWS, seed: int = 0) -> DataFrame:
     """The mix: (shard, slot, source, epoch, block, doc_id, word_from, word_to)."""
     _, segs, slots = _parts(docs, block_words, lane_rows, seed)
-    return segs.where("b IS NOT NULL").join(slots, ["sid", "block"]).select(
+    return segs.where("b IS NOT NULL").join(slots.hint("merge"), ["sid", "block"]).select(
         "shard", "slot", "source", "epoch", "block", "doc_id", "word_from", "word_to")
 
 
@@ -174,7 +176,7 @@ def words_taken(docs: DataFrame, block_words: int = BLOCK_WORDS, lane_rows: int
     _, segs, slots = _parts(docs, block_words, lane_rows, seed)
     times = slots.groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     got = F.coalesce((F.col("word_to") - F.col("word_from")) * F.col("times"), F.lit(0))
-    return (segs.join(times, ["sid", "block"], "left")
+    return (segs.join(times.hint("merge"), ["sid", "block"], "left")
             .groupBy("sid", "lane", "pos")
             .agg(*(F.first(c).alias(c) for c in ("doc_id", "size", "source", "source_size", "target")),
                  F.sum(got).alias("taken"))
@@ -193,7 +195,7 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, lane_rows: in
     d = placed(sizes.withColumn("copy", F.row_number().over(same)), sources, lane_rows)
     lanes = lane_offsets(d, block_words)
     slots = draw_slots(sources, lanes, seed=seed)
-    taken = (segments(d, lanes, block_words).join(slots, ["sid", "block"])
+    taken = (segments(d, lanes, block_words).join(slots.hint("merge"), ["sid", "block"])
              .groupBy("doc_id", "h", "copy", "epoch")
              .agg(F.sort_array(F.collect_list(F.struct("word_from", "word_to"))).alias("ranges"),
                   F.sum(F.col("word_to") - F.col("word_from")).alias("got"), F.first("size").alias("size")))
@@ -209,6 +211,6 @@ def mix_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, lane_rows: in
     t = taken.select(F.col("doc_id").alias("k_doc"), F.col("h").alias("k_h"), F.col("copy").alias("k_copy"),
                      "ranges", "got", "size")
     on = (F.col("doc_id").eqNullSafe(F.col("k_doc")) & (F.col("h") == F.col("k_h")) & (F.col("copy") == F.col("k_copy")))
-    out = copies.join(t, on).select("row", text.alias("mixed"))
+    out = copies.join(t.hint("merge"), on).select("row", text.alias("mixed"))
     cols = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
     return out.select(*(cols[c].alias(c) if c in cols else F.col("row")[c].alias(c) for c in docs.columns))
