@@ -239,11 +239,12 @@ def extract_pages(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame
     """Operator 7: page_id, url, text, n_chars for every page."""
     kind = dict(pages.dtypes)["page_id"]
     parsed = saved(pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED.format(kind=kind)), "pages")
-    hosts = parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group_pages).alias("n_groups"))
-    near = (parsed.join(hosts, "host")
-            .select("page_id", "url", "host", "path", "is_open", "hashes",
-                    F.when(F.col("is_open"), F.col("lines")).alias("lines"),
-                    F.pmod(F.xxhash64("path"), F.col("n_groups")).alias("part")))
+    # Saved, so that Spark knows its size: few hosts are joined without a
+    # shuffle, many by a sort-merge join whose hot hosts can be split.
+    hosts = saved(parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group_pages).alias("n_groups")), "hosts")
+    light = parsed.select("page_id", F.when(F.col("is_open"), F.col("url")).alias("url"), "host", "path", "is_open",
+                          "hashes", F.when(F.col("is_open"), F.col("lines")).alias("lines"))
+    near = light.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("path"), F.col("n_groups"))).drop("n_groups")
     w = W.partitionBy("host", "part").orderBy("path", "page_id", "url", "hashes")
     for name, move in (("p", F.lag), ("n", F.lead)):
         near = near.withColumn(f"{name}_path", move("path").over(w)).withColumn(f"{name}_hashes", move("hashes").over(w))
