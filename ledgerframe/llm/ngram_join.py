@@ -44,9 +44,10 @@ WORDS = 5
 PERCENT = 80
 FREQUENT = 100_000
 PER_TASK = 4_096
-BLOCK_DOCS_MIN = 3
+GROUP_SHINGLES = 1_200_000
+GROUP_MIN = 3
 UNIT_SHINGLES = 2_000_000
-COMBINE_ROWS = 2_000_000
+COMBINE_ROWS = 1_000_000
 
 
 def shingle_sets(blk: TextBlock, k: int = WORDS) -> list[np.ndarray]:
@@ -97,20 +98,34 @@ def document_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
     each task's most frequent shingles: uid = shingle, n = documents."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often: dict[int, int] = {}
+        held: dict[int, np.ndarray] = {}   # sets by digest: copies count once
+        size = 0
+
+        def count():
+            each, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            some = n >= GROUP_MIN
+            for h, c in zip(each[some].view(np.int64).tolist(), n[some].tolist(), strict=True):
+                often[h] = often.get(h, 0) + c
+            held.clear()
+
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for blk in text_blocks(batch.column("text"), 1 << 23):
+            for blk in text_blocks(batch.column("text")):
                 sets = shingle_sets(blk, k)
                 digests = np.array([_digests(s) for s in sets], dtype=np.int64).reshape(-1, 2)
                 yield _document_batch(0, ids[blk.row0:blk.row0 + blk.n], digests[:, 0], digests[:, 1],
                                       np.array([len(s) for s in sets]))
-                _, once = np.unique(digests[:, 0], return_index=True)  # copies count once
-                each, count = np.unique(np.concatenate([sets[i] for i in once]), return_counts=True)
-                some = count >= BLOCK_DOCS_MIN
-                for h, c in zip(each[some].view(np.int64).tolist(), count[some].tolist(), strict=True):
-                    often[h] = often.get(h, 0) + c
-                if len(often) > 32 * PER_TASK:
-                    often = dict(sorted(often.items(), key=lambda x: (-x[1], x[0]))[:8 * PER_TASK])
+                held.update(zip(digests[:, 0].tolist(), sets, strict=True))
+                size += sum(map(len, sets))
+                if size > GROUP_SHINGLES:
+                    count()
+                    size = 0
+                    if len(often) > 32 * PER_TASK:
+                        top = sorted(often.items(), key=lambda x: (-x[1], x[0]))[:8 * PER_TASK]
+                        often.clear()
+                        often.update(top)
+        if held:
+            count()
         top = sorted(often.items(), key=lambda x: (-x[1], x[0]))[:PER_TASK]
         if top:
             h, c = (np.array(x, dtype=np.int64) for x in zip(*top, strict=True))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 U64 = np.uint64
 _M64 = (1 << 64) - 1
@@ -49,7 +49,7 @@ def _power(base: int, n: int, key: str) -> np.ndarray:
         have = np.full(size, base, dtype=U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size > 8 * BLOCK_BYTES:  # one very long text: do not keep its powers
+        if size > 4 * BLOCK_BYTES:  # one very long text: do not keep its powers
             return have[:n]
         _POWERS[key] = have
     return have[:n]
