@@ -4,20 +4,22 @@
    *chrome* (menus, headers, footers, sidebars, notices, adverts, forms, reader
    comments: by element, role, or words of class and id), *article* (inside an
    explicit article, or main where no article is), or *open* (neither).
+   Blocks of every role are hashed.
 2. Pages of a host are paired with the page of nearest URL path (neighbours in
    path order; the longer common run of path segments wins).  A large host is
    split by path hash into groups of about `group_pages`.
-3. The lines of both are aligned by their longest common subsequence, and open
-   lines that are shared are deleted: what two neighbouring pages have in
-   common is not the page's own text.
+3. The blocks of both, chrome too, are aligned by their longest common
+   subsequence, and open lines that are shared are deleted: what two
+   neighbouring pages have in common is not the page's own text.
 
-Lines inside an explicit article are kept even where the neighbour has them:
-pages do repeat paragraphs of their articles, and deleting those would be wrong
-(README).  Pages without open lines need no neighbour text, so their text is
-never shuffled; of every page only line hashes are.
+The article role only protects: lines inside an explicit article are kept even
+where the neighbour has them, as pages do repeat paragraphs of their articles
+(README); lines beside an article are compared like any other.  Chrome is never
+text.  Pages without open lines lose none, so their text is never shuffled; of
+every page only hashes are.
 
-Cases: null html or url are empty; a page alone on its host keeps its open
-lines; broken or cut-off markup is read to its end; repeated pages are
+Cases: null html or url are empty; a page without a neighbour keeps its open
+lines, those beside an article if they are more text than it has; broken or cut-off markup is read to its end; repeated pages are
 extracted alike, and share all their open lines with their copy; an empty table
 gives no rows.
 """
@@ -83,18 +85,20 @@ def _chrome_kind(tag: str, attrs: str) -> str:
 
 
 def page_blocks(source: str) -> list[tuple[str, str]]:
-    """(text, role) of the blocks of a page; role: article, main or open."""
+    """(text, role) of the blocks of a page; role: article, main, open or chrome."""
     out: list[tuple[str, str]] = []
     piece: list[str] = []
+    aside: list[str] = []                  # text inside chrome
     stack: list[tuple[str, str]] = []      # open elements: (tag, chrome kind)
     chrome = articles = mains = 0
 
     def flush():
-        if piece:
-            text = " ".join(html_lib.unescape("".join(piece)).split())
-            piece.clear()
-            if text:
-                out.append((text, "article" if articles else "main" if mains else "open"))
+        for held, role in ((aside, "chrome"), (piece, "article" if articles else "main" if mains else "open")):
+            if held:
+                text = " ".join(html_lib.unescape("".join(held)).split())
+                held.clear()
+                if text:
+                    out.append((text, role))
 
     def pop():
         nonlocal chrome, articles, mains
@@ -109,16 +113,14 @@ def page_blocks(source: str) -> list[tuple[str, str]]:
         pos = m.end()
         tag = m[2] or m[5]
         if tag is None:
-            if not chrome and source[m.start()] != "<":
-                piece.append(m[0])
-            elif not chrome and m[0] == "<":
-                piece.append("<")
+            if source[m.start()] != "<" or m[0] == "<":
+                (aside if chrome else piece).append(m[0])
             continue
         closing, attrs, tag = (m[1] or m[4]), (m[3] or m[6] or ""), tag.lower()
         if tag in BLOCKS:
             flush()
         elif tag == "br":
-            piece.append(" ")
+            (aside if chrome else piece).append(" ")
         if closing:
             if any(t == tag for t, _ in stack):
                 while stack[-1][0] != tag:
@@ -151,14 +153,15 @@ def page_blocks(source: str) -> list[tuple[str, str]]:
     return out
 
 
-def page_lines(source: str) -> tuple[list[str], bool]:
-    """(lines of the page's text, whether they are open lines)."""
+CHROME_LINE, OPEN_LINE, KEPT_LINE = 0, 1, 2
+
+
+def page_lines(source: str) -> list[tuple[str, int]]:
+    """(text, CHROME_LINE, OPEN_LINE or KEPT_LINE) of every block of a page."""
     blocks = page_blocks(source)
-    for role in ("article", "main"):
-        chosen = [t for t, r in blocks if r == role]
-        if chosen:
-            return chosen, False
-    return [t for t, _ in blocks], True
+    roles = {r for _, r in blocks}
+    kept = "article" if "article" in roles else "main"
+    return [(t, KEPT_LINE if r == kept else CHROME_LINE if r == "chrome" else OPEN_LINE) for t, r in blocks]
 
 
 def shared_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -186,8 +189,9 @@ def shared_lines(a: list[int], b: list[int]) -> list[bool]:
     return flags
 
 
-PARSED = ("page_id {kind}, url string, host string, path array<string>, is_open boolean, "
-          "lines array<string>, hashes array<long>")
+# `lines` are those of the text (no chrome); the other lists have all blocks.
+PARSED = ("page_id {kind}, url string, host string, path array<string>, is_open boolean, lines array<string>, "
+          "hashes array<long>, sizes array<int>, roles array<tinyint>")
 
 
 def _parse(batches):
@@ -200,15 +204,18 @@ def _parse(batches):
                 host, path = (parts.netloc or "").lower(), parts.path
             except ValueError:
                 host, path = "", url
-            lines, is_open = page_lines(source.as_py() or "")
-            rows.append((page_id, url, host, [p for p in path.split("/") if p], is_open, lines,
-                         [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]))
+            blocks = page_lines(source.as_py() or "")
+            roles = [r for _, r in blocks]
+            rows.append((page_id, url, host, [p for p in path.split("/") if p], OPEN_LINE in roles,
+                         [x for x, r in blocks if r != CHROME_LINE],
+                         [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in blocks],
+                         [len(x) for x, _ in blocks], roles))
         if rows:
             cols = list(zip(*rows, strict=True))
             kinds = (batch.schema.field("page_id").type, pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(),
-                     pa.list_(pa.string()), pa.list_(pa.int64()))
+                     pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             names=["page_id", "url", "host", "path", "is_open", "lines", "hashes"])
+                                             names=["page_id", "url", "host", "path", "is_open", "lines", "hashes", "sizes", "roles"])
 
 
 def _common(a, b) -> int:
@@ -222,15 +229,27 @@ def _common(a, b) -> int:
     return n
 
 
+def own_lines(hashes: list[int], sizes: list[int], roles: list[int], other: list[int] | None) -> list[bool]:
+    """Flags of the blocks that are the page's text; other: hashes of its nearest page."""
+    if other is None:
+        # Nothing to compare with: an article is the text, unless it is a mere
+        # teaser beside more open text.
+        size = [sum(n for n, r in zip(sizes, roles, strict=True) if r == x) for x in (OPEN_LINE, KEPT_LINE)]
+        return [r == KEPT_LINE or r == OPEN_LINE and (size[1] == 0 or size[0] > size[1]) for r in roles]
+    return [r == KEPT_LINE or r == OPEN_LINE and not gone
+            for r, gone in zip(roles, shared_lines(hashes, other), strict=True)]
+
+
 def _difference(batches):
     for batch in batches:
         text = []
-        cols = [batch.column(c).to_pylist() for c in ("path", "lines", "hashes", "p_path", "p_hashes", "n_path", "n_hashes")]
-        for path, lines, hashes, p_path, p_hashes, n_path, n_hashes in zip(*cols, strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("path", "lines", "hashes", "sizes", "roles", "p_path", "p_hashes",
+                                                      "n_path", "n_hashes")]
+        for path, lines, hashes, sizes, roles, p_path, p_hashes, n_path, n_hashes in zip(*cols, strict=True):
             other = p_hashes if _common(path, p_path) >= _common(path, n_path) else n_hashes
-            if other:
-                lines = [t for t, gone in zip(lines, shared_lines(hashes, other), strict=True) if not gone]
-            text.append("\n".join(lines))
+            own = own_lines(hashes, sizes, roles, other)
+            own = [f for f, r in zip(own, roles, strict=True) if r != CHROME_LINE]
+            text.append("\n".join(t for t, f in zip(lines, own, strict=True) if f))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())],
                                          names=["page_id", "url", "text"])
 
@@ -243,7 +262,7 @@ def extract_pages(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame
     # shuffle, many by a sort-merge join whose hot hosts can be split.
     hosts = saved(parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group_pages).alias("n_groups")), "hosts")
     light = parsed.select("page_id", F.when(F.col("is_open"), F.col("url")).alias("url"), "host", "path", "is_open",
-                          "hashes", F.when(F.col("is_open"), F.col("lines")).alias("lines"))
+                          "hashes", "sizes", "roles", F.when(F.col("is_open"), F.col("lines")).alias("lines"))
     near = light.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("path"), F.col("n_groups"))).drop("n_groups")
     w = W.partitionBy("host", "part").orderBy("path", "page_id", "url", "hashes")
     for name, move in (("p", F.lag), ("n", F.lead)):

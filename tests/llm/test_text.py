@@ -116,6 +116,22 @@ def test_open_lines_shared_with_the_nearest_page_go(spark):
     assert got == {1: "Story one", 2: "Story two", 3: "Shop name\nAn item", 4: "Site name\nAlone\nLinks", 5: ""}
 
 
+def _texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in html_extract.extract_pages(df).collect()}
+
+
+def test_lines_beside_an_article_are_compared(spark):
+    notice = "<div>Notice to all</div>"
+    rows = [(1, "http://x.org/a/1", f"<nav>Home Shop</nav>{notice}<article><p>Teaser</p><p>Same</p></article><div>Body one</div>"),
+            (2, "http://x.org/a/2", f"<div>Home Shop</div>{notice}<div>Body two</div>"),
+            (3, "http://x.org/a/3", f"{notice}<article><p>Teaser</p><p>Same</p></article><div>Body three</div>"),
+            (4, "http://x.org/a/4", f"{notice}<article><p>Teaser</p><p>Same</p></article>"),
+            (5, "http://alone.org/", "<article>Teaser</article><div>A body longer than its teaser</div>")]
+    assert _texts(spark, rows) == {1: "Teaser\nSame\nBody one", 2: "Body two", 3: "Teaser\nSame\nBody three",
+                                   4: "Teaser\nSame", 5: "Teaser\nA body longer than its teaser"}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
