@@ -5,9 +5,11 @@
    comments: by element, role, or words of class and id), *article* (inside an
    explicit article, or main where no article is), or *open* (neither).
    Blocks of every role are hashed.
-2. Pages of a host are paired with the page of nearest URL path (neighbours in
-   path order; the longer common run of path segments wins).  A large host is
-   split by path hash into groups of about `group_pages`.
+2. Pages of a host with equal blocks are folded to one.  Every page is paired
+   with the page of nearest URL path (neighbours in path order; the longer
+   common run of path segments wins).  All pages are dealt in ranges of (host,
+   path) and scanned in order in both directions; what a scan holds at the end
+   of a range is carried into the next, so ranges change no result.
 3. The blocks of both, chrome too, are aligned by their longest common
    subsequence, and open lines that are shared are deleted: what two
    neighbouring pages have in common is not the page's own text.
@@ -20,8 +22,7 @@ every page only hashes are.
 
 Cases: null html or url are empty; a page without a neighbour keeps its open
 lines, those beside an article if they are more text than it has; broken or cut-off markup is read to its end; repeated pages are
-extracted alike, and share all their open lines with their copy; an empty table
-gives no rows.
+extracted alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,18 +30,16 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect_left
+from collections import namedtuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .regions import saved
 
-GROUP_PAGES = 1_000
-
 # Elements without text of their own, elements that are never
 # article text, block elements, void elements, and words of class or id.
 RAW = frozenset("script style textarea title noscript template iframe object svg math canvas select xmp".split())
@@ -191,7 +190,7 @@ def shared_lines(a: list[int], b: list[int]) -> list[bool]:
 
 # `lines` are those of the text (no chrome); the other lists have all blocks.
 PARSED = ("page_id {kind}, url string, host string, path array<string>, is_open boolean, lines array<string>, "
-          "hashes array<long>, sizes array<int>, roles array<tinyint>")
+          "hashes array<long>, sizes array<int>, roles array<tinyint>, digest binary")
 
 
 def _parse(batches):
@@ -209,13 +208,16 @@ def _parse(batches):
             rows.append((page_id, url, host, [p for p in path.split("/") if p], OPEN_LINE in roles,
                          [x for x, r in blocks if r != CHROME_LINE],
                          [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in blocks],
-                         [len(x) for x, _ in blocks], roles))
+                         [len(x) for x, _ in blocks], roles,
+                         xxhash.xxh3_128_digest(repr(blocks).encode("utf-8", "surrogatepass"))))
         if rows:
             cols = list(zip(*rows, strict=True))
             kinds = (batch.schema.field("page_id").type, pa.string(), pa.string(), pa.list_(pa.string()), pa.bool_(),
-                     pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()))
+                     pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int8()),
+                     pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             names=["page_id", "url", "host", "path", "is_open", "lines", "hashes", "sizes", "roles"])
+                                             names=["page_id", "url", "host", "path", "is_open", "lines", "hashes", "sizes",
+                                                    "roles", "digest"])
 
 
 def _common(a, b) -> int:
@@ -240,35 +242,143 @@ def own_lines(hashes: list[int], sizes: list[int], roles: list[int], other: list
             for r, gone in zip(roles, shared_lines(hashes, other), strict=True)]
 
 
-def _difference(batches):
+Page = namedtuple("Page", "host path hashes sizes roles")
+PAGE = "host string, path array<string>, hashes array<long>, sizes array<int>, roles array<tinyint>"
+PAGE_KINDS = dict(zip(Page._fields, (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()),
+                                     pa.list_(pa.int8())), strict=True))
+ORDER = ("part", "host", "path", "url", "digest")
+
+
+def _neighbour(page: Page, last: Page | None, beyond: Page | None) -> Page | None:
+    """The page to compare with on one side: of its host, and no near copy;
+    last: the page next to it there, beyond: that one's neighbour."""
+    if last is None or last.host != page.host:
+        return None
+    return last
+
+
+def own_blocks(page: Page, before: Page | None, after: Page | None) -> list[bool]:
+    """Flags of the blocks that are the page's text, by its nearest neighbour."""
+    sides = [x for x in (before, after) if x is not None]
+    sides.sort(key=lambda x: -_common(page.path, x.path))
+    other = sides[0].hashes if sides else None
+    return own_lines(page.hashes, page.sizes, page.roles, other)
+
+
+def _pages(batch, prefix: str = ""):
+    """The Page of each row; None where the row has none."""
+    cols = [batch.column(prefix + c).to_pylist() for c in Page._fields]
+    return [None if x[0] is None else Page(*x) for x in zip(*cols, strict=True)]
+
+
+def _borders(batches):
+    """What a scan has to know of each range: its first and last page, and the
+    neighbour of the last (first) page if it lies inside the range."""
+    part = first = last = before = after = None
+    broken = False
+
+    def rows():
+        held = [("first", first), ("last", last), ("before", before), ("after", after)]
+        held = [(side, x) for side, x in held if x is not None]
+        cols = list(zip(*(x for _, x in held), strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part] * len(held), pa.int32()), pa.array([broken] * len(held)), pa.array([x for x, _ in held]),
+             *(pa.array(c, k) for c, k in zip(cols, PAGE_KINDS.values(), strict=True))],
+            names=["part", "broken", "side", *Page._fields])
     for batch in batches:
-        text = []
-        cols = [batch.column(c).to_pylist() for c in ("path", "lines", "hashes", "sizes", "roles", "p_path", "p_hashes",
-                                                      "n_path", "n_hashes")]
-        for path, lines, hashes, sizes, roles, p_path, p_hashes, n_path, n_hashes in zip(*cols, strict=True):
-            other = p_hashes if _common(path, p_path) >= _common(path, n_path) else n_hashes
-            own = own_lines(hashes, sizes, roles, other)
-            own = [f for f, r in zip(own, roles, strict=True) if r != CHROME_LINE]
-            text.append("\n".join(t for t, f in zip(lines, own, strict=True) if f))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string())],
-                                         names=["page_id", "url", "text"])
-
-
-def extract_pages(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
+        for now, page in zip(batch.column("part").to_pylist(), _pages(batch), strict=True):
+            if now != part:
+                if part is not None:
+                    yield rows()
+                part, first, before, after, broken = now, page, None, None, False
+            else:
+                found = _neighbour(page, last, before)
+                if page.host != last.host or found is last:
+                    if not broken:
+                        after = _neighbour(first, page, None)
+                    before, broken = found, True
+            last = page
+    if part is not None:
+        yield rows()
+
+
+def _carried(borders: list) -> tuple[dict, dict]:
+    """Per range, (page, its neighbour) that a scan holds when it enters the
+    range: scanning forward, and scanning backward."""
+    ranges: dict[int, dict] = {}
+    for r in borders:
+        ranges.setdefault(r["part"], {"broken": r["broken"]})[r["side"]] = Page(*(r[c] for c in Page._fields))
+    out = []
+    for parts, near, far, inside in ((sorted(ranges), "first", "last", "before"),
+                                     (sorted(ranges, reverse=True), "last", "first", "after")):
+        held, state = {}, (None, None)
+        for part in parts:
+            held[part], x = state, ranges[part]
+            state = x[far], x.get(inside) if x["broken"] else _neighbour(x[near], *state)
+        out.append(held)
+    return out[0], out[1]
+
+
+def _scanned(batch, state: tuple, carried: dict):
+    """(pages of the batch, the neighbour of each, the state after them)."""
+    part, last, beyond = state
+    pages, found = _pages(batch), []
+    for now, page in zip(batch.column("part").to_pylist(), pages, strict=True):
+        if now != part:
+            part, (last, beyond) = now, carried[now]
+        beyond = _neighbour(page, last, beyond)
+        found.append(beyond)
+        last = page
+    return pages, found, (part, last, beyond)
+
+
+def own_texts(parsed: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(host, digest, own): flags of the lines of the pages that lose some (saved)."""
+    folded = (parsed.groupBy("host", "digest").agg(F.min(F.struct("path", "url", "hashes", "sizes", "roles")).alias("x"))
+              .select("host", "digest", "x.*"))
+    keys = ORDER[1:]
+    dealt = folded.repartitionByRange(ranges, *keys) if ranges else folded.repartitionByRange(*keys)
+    dealt = saved(dealt.withColumn("part", F.spark_partition_id()), "ranges").repartition("part").sortWithinPartitions(*ORDER)
+    borders = dealt.mapInArrow(_borders, f"part int, broken boolean, side string, {PAGE}").collect()
+    forward, backward = _carried([r.asDict() for r in borders])
+
+    def ahead(batches):
+        state = (None, None, None)
+        for batch in batches:
+            _, found, state = _scanned(batch, state, forward)
+            cols = [pa.array([None if x is None else x[i] for x in found], k) for i, k in enumerate(PAGE_KINDS.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols],
+                                             names=[*batch.schema.names, *("p_" + c for c in Page._fields)])
+
+    def back(batches):
+        state = (None, None, None)
+        for batch in batches:
+            pages, after, state = _scanned(batch, state, backward)
+            rows = []
+            for page, before, behind, digest in zip(pages, _pages(batch, "p_"), after, batch.column("digest"), strict=True):
+                if OPEN_LINE in page.roles:
+                    own = [f for f, r in zip(own_blocks(page, before, behind), page.roles, strict=True) if r != CHROME_LINE]
+                    if not all(own):
+                        rows.append((page.host, digest.as_py(), own))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True),
+                                                    (pa.string(), pa.binary(), pa.list_(pa.bool_())), strict=True)],
+                    names=["host", "digest", "own"])
+    schema = ", ".join(f"{c} {t}" for c, t in dealt.dtypes)
+    met = dealt.mapInArrow(ahead, schema + ", " + ", ".join("p_" + c for c in PAGE.split(", ")))
+    return saved(met.sortWithinPartitions(*(F.col(c).desc() for c in ORDER))
+                 .mapInArrow(back, "host string, digest binary, own array<boolean>"), "own")
+
+
+def extract_pages(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """Operator 7: page_id, url, text, n_chars for every page."""
     kind = dict(pages.dtypes)["page_id"]
     parsed = saved(pages.select("page_id", "url", "html").mapInArrow(_parse, PARSED.format(kind=kind)), "pages")
-    # Saved, so that Spark knows its size: few hosts are joined without a
-    # shuffle, many by a sort-merge join whose hot hosts can be split.
-    hosts = saved(parsed.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / group_pages).alias("n_groups")), "hosts")
-    light = parsed.select("page_id", F.when(F.col("is_open"), F.col("url")).alias("url"), "host", "path", "is_open",
-                          "hashes", "sizes", "roles", F.when(F.col("is_open"), F.col("lines")).alias("lines"))
-    near = light.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("path"), F.col("n_groups"))).drop("n_groups")
-    w = W.partitionBy("host", "part").orderBy("path", "page_id", "url", "hashes")
-    for name, move in (("p", F.lag), ("n", F.lead)):
-        near = near.withColumn(f"{name}_path", move("path").over(w)).withColumn(f"{name}_hashes", move("hashes").over(w))
-    open_text = near.where("is_open").drop("host", "is_open", "part").mapInArrow(
-        _difference, f"page_id {kind}, url string, text string")
+    own = own_texts(parsed, ranges)
+    opened = parsed.where("is_open").select("page_id", "url", "host", "digest", "lines").join(own, ["host", "digest"], "left")
+    lines = F.when(F.col("own").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: F.get("own", i)))
+    open_text = opened.select("page_id", "url", F.array_join(lines, "\n").alias("text"))
     own_text = parsed.where("NOT is_open").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
     return (own_text.unionByName(open_text)
             .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))

@@ -132,6 +132,26 @@ def test_lines_beside_an_article_are_compared(spark):
                                    4: "Teaser\nSame", 5: "Teaser\nA body longer than its teaser"}
 
 
+def _host(n):
+    """Pages of one host, whose sections share lines that others do not have."""
+    return [(i, f"http://big.org/s{i // 10:04d}/{i:05d}",
+             f"<div>Site</div><div>Section {i // 10}</div><div>Story number {i} and what it says</div>") for i in range(n)]
+
+
+def test_a_large_host_is_differenced_like_a_small_one(spark):
+    want = {i: f"Story number {i} and what it says" for i in range(2_500)}
+    assert _texts(spark, _host(2_500)) == want
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 40])
+def test_ranges_change_no_result(spark, ranges):
+    copies = [(100 + i, "http://big.org/z/1", "<p>Copy</p><p>of it</p>") for i in range(9)]
+    df = spark.createDataFrame(_host(40) + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract_pages(df, ranges).collect()}
+    want = {i: f"Story number {i} and what it says" for i in range(40)}
+    assert got == want | {100 + i: "Copy\nof it" for i in range(9)}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
