@@ -7,7 +7,8 @@
    Blocks of every role are hashed.
 2. Pages of a host with equal blocks are folded to one.  Every page is paired
    with the page of nearest URL path (neighbours in path order; the longer
-   common run of path segments wins).  All pages are dealt in ranges of (host,
+   common run of path segments wins).  Near copies of a page, such as its print
+   version, are passed over to the next page that differs.  All pages are dealt in ranges of (host,
    path) and scanned in order in both directions; what a scan holds at the end
    of a range is carried into the next, so ranges change no result.
 3. The blocks of both, chrome too, are aligned by their longest common
@@ -20,8 +21,9 @@ where the neighbour has them, as pages do repeat paragraphs of their articles
 text.  Pages without open lines lose none, so their text is never shuffled; of
 every page only hashes are.
 
-Cases: null html or url are empty; a page without a neighbour keeps its open
-lines, those beside an article if they are more text than it has; broken or cut-off markup is read to its end; repeated pages are
+Cases: null html or url are empty; a page without a neighbour that differs keeps
+its open lines, those beside an article if they are more text than it has; a
+text whose every line is shared is not emptied; broken or cut-off markup is read to its end; repeated pages are
 extracted alike; an empty table gives no rows.
 """
 
@@ -56,6 +58,10 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 # An article opened inside one of these does not end them.
 STICKY_WORDS = frozenset("comment comments disqus replies respond related recommended sidebar aside".split())
 
+# Lines of so many characters are running text; pages that share so much of it
+# are near copies.
+PROSE, NEAR_PERCENT = 40, 80
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*)/?>"
     r"|<(/?)([a-zA-Z][\w:-]*)([^<>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
@@ -254,15 +260,34 @@ def _neighbour(page: Page, last: Page | None, beyond: Page | None) -> Page | Non
     last: the page next to it there, beyond: that one's neighbour."""
     if last is None or last.host != page.host:
         return None
-    return last
+    return beyond if near_copies(page, last) else last
+
+
+def near_copies(a: Page, b: Page) -> bool:
+    """Whether most of the running text of two pages is one and the same; of all
+    their lines, where one has no running text (menus may outweigh a body)."""
+    a, b = sorted((a, b), key=lambda x: (x.hashes, x.roles))     # alike from both sides
+    text = [sum(n for n, r in zip(x.sizes, x.roles, strict=True) if r != CHROME_LINE and n >= PROSE) for x in (a, b)]
+    least = PROSE if all(text) else 0
+    if not least:
+        text = [sum(n for n, r in zip(x.sizes, x.roles, strict=True) if r != CHROME_LINE) for x in (a, b)]
+    if NEAR_PERCENT * max(text) > 100 * min(text):
+        return False
+    both = sum(n for n, r, f in zip(a.sizes, a.roles, shared_lines(a.hashes, b.hashes), strict=True)
+               if f and r != CHROME_LINE and n >= least)
+    return max(text) > 0 and 100 * both >= NEAR_PERCENT * max(text)
 
 
 def own_blocks(page: Page, before: Page | None, after: Page | None) -> list[bool]:
     """Flags of the blocks that are the page's text, by its nearest neighbour."""
     sides = [x for x in (before, after) if x is not None]
     sides.sort(key=lambda x: -_common(page.path, x.path))
-    other = sides[0].hashes if sides else None
-    return own_lines(page.hashes, page.sizes, page.roles, other)
+    for other in sides:
+        if not near_copies(page, other):
+            own = own_lines(page.hashes, page.sizes, page.roles, other.hashes)
+            if any(own):
+                return own
+    return own_lines(page.hashes, page.sizes, page.roles, None)
 
 
 def _pages(batch, prefix: str = ""):
@@ -295,7 +320,7 @@ def _borders(batches):
                 found = _neighbour(page, last, before)
                 if page.host != last.host or found is last:
                     if not broken:
-                        after = _neighbour(first, page, None)
+                        after = page if page.host == last.host else None
                     before, broken = found, True
             last = page
     if part is not None:

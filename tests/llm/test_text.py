@@ -152,6 +152,24 @@ def test_ranges_change_no_result(spark, ranges):
     assert got == want | {100 + i: "Copy\nof it" for i in range(9)}
 
 
+def test_copies_do_not_delete_a_body(spark):
+    def page(i, *more):
+        body = [f"Paragraph {j} of story {i}, which is long enough to be running text" for j in range(4)]
+        return "".join(f"<div>{x}</div>" for x in ("Site", *body, "Links", *more)), "\n".join(body)
+    one, two, three = page(1), page(2), page(3)
+    rows = [(1, "http://x.org/a/1", one[0]), (2, "http://x.org/a/1", one[0]),
+            *((10 + i, f"http://x.org/a/1/print{i}", page(1, f"Version {i}")[0]) for i in range(12)),
+            (3, "http://x.org/b/2", two[0]), (4, "http://x.org/b/3", three[0]),
+            (5, "http://y.org/1", one[0]), (6, "http://y.org/1", one[0]),
+            (7, "http://z.org/1", one[0]), (8, "http://z.org/1/print", page(1, "Print")[0])]
+    all_of = f"Site\n{one[1]}\nLinks"
+    want = {1: one[1], 2: one[1], 3: two[1], 4: three[1], 5: all_of, 6: all_of, 7: all_of, 8: all_of + "\nPrint"}
+    want |= {10 + i: f"{one[1]}\nVersion {i}" for i in range(12)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for ranges in (1, 9):
+        assert {r.page_id: r.text for r in html_extract.extract_pages(df, ranges).collect()} == want
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
