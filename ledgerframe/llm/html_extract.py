@@ -57,6 +57,15 @@ CHROME_WORDS = frozenset("""ad ads advert adverts advertisement advertising spon
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # An article opened inside one of these does not end them.
 STICKY_WORDS = frozenset("comment comments disqus replies respond related recommended sidebar aside".split())
+# Further parts of a class name that is chrome by one of the words above; a name
+# with any other part (comments-open, has-sidebar) says nothing.
+NEUTRAL_WORDS = frozenset("""site page global main top bottom left right upper lower primary secondary header head list
+    area box container wrapper wrap section bar block row item items link links button buttons text message slot unit
+    inner outer panel form field group title thread the wp js fixed sticky mobile desktop
+    post posts entry article articles stories blog news user reader content count""".split())
+SIDE_WORDS = frozenset("sidebar aside".split())
+# Words that an article element itself may be chrome by.
+ARTICLE_ADS = frozenset("ad ads advert advertisement sponsored promo".split())
 
 # Lines of so many characters are running text; pages that share so much of it
 # are near copies.
@@ -69,33 +78,60 @@ _ATTR = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 
 
+def _chrome_words(value: str) -> set[str]:
+    """The chrome words of those names of a class or id that are whole chrome names."""
+    found: set[str] = set()
+    for name in value.lower().strip("\"'").split():
+        parts = {x for x in _WORD.findall(name) if not x.isdigit()}
+        if parts <= CHROME_WORDS | STICKY_WORDS | NEUTRAL_WORDS:
+            found |= parts - NEUTRAL_WORDS
+    return found
+
+
 def _chrome_kind(tag: str, attrs: str) -> str:
-    """'' for text, 'soft' for chrome that an article element ends, 'hard' else."""
+    """'' for text, 'soft' for chrome that an article element ends, 'side' for a
+    sidebar by its class, 'hard' else."""
     words: set[str] = set()
-    if attrs and "=" in attrs and tag not in ("html", "body"):
+    if attrs and "=" in attrs and tag not in ("html", "body", "main"):
         for name, value in _ATTR.findall(attrs):
-            found = _WORD.findall(value.lower())
-            if name.lower() == "role":
-                if CHROME_ROLES.intersection(found):
-                    return "soft"
-            else:
-                words.update(found)
-    if words & STICKY_WORDS:
-        return "hard"
-    if tag in ("article", "main"):
-        return "soft" if words & {"ad", "ads", "advert", "advertisement", "sponsored", "promo"} else ""
-    if tag == "aside":
+            if name.lower() != "role":
+                words |= _chrome_words(value)
+            elif tag != "article" and CHROME_ROLES.intersection(_WORD.findall(value.lower())):
+                return "soft"
+    if tag == "article":
+        # Only a reader's comment or an advert, and only if nothing else is text.
+        return "hard" if "comment" in words else "soft" if words & ARTICLE_ADS else ""
+    if tag == "aside" or words & STICKY_WORDS - SIDE_WORDS:
         return "hard"
+    if words & SIDE_WORDS:
+        return "side"
     return "soft" if tag in CHROME or words & CHROME_WORDS else ""
 
 
 def page_blocks(source: str) -> list[tuple[str, str]]:
-    """(text, role) of the blocks of a page; role: article, main, open or chrome."""
+    """(text, role) of the blocks of a page; role: article, main, open or chrome.
+
+    No class word takes the main text: a sidebar whose articles hold most of the
+    page's text is its wrapper, and so is anything where no text is left."""
+    blocks, held = _blocks(source, ("soft",))
+    for kind, ended in (("side", ("soft", "side")), ("hard", ("soft", "side", "hard"))):
+        if kind in held:
+            again, _ = _blocks(source, ended)
+            text, own = (sum(len(t) for t, r in x if r != "chrome") for x in (blocks, again))
+            if text == 0 or kind == "side" and own > 3 * text:
+                blocks = again
+    return blocks
+
+
+def _blocks(source: str, ended: tuple[str, ...]) -> tuple[list[tuple[str, str]], set[str]]:
+    """(blocks, kinds of chrome that hold an article); an article ends chrome of
+    the kinds `ended`, and a main element of any."""
     out: list[tuple[str, str]] = []
     piece: list[str] = []
     aside: list[str] = []                  # text inside chrome
     stack: list[tuple[str, str]] = []      # open elements: (tag, chrome kind)
     chrome = articles = mains = 0
+    held: set[str] = set()
 
     def flush():
         for held, role in ((aside, "chrome"), (piece, "article" if articles else "main" if mains else "open")):
@@ -141,7 +177,11 @@ def page_blocks(source: str) -> list[tuple[str, str]]:
         kind = _chrome_kind(tag, attrs)
         if tag == "header" and not articles:
             kind = kind or "soft"
-        if tag in ("article", "main") and not kind and chrome and all(k != "hard" for _, k in stack):
+        if tag == "article" and (kind or chrome):
+            held.update((kind, *(k for _, k in stack)))
+            if "hard" in ended:
+                kind = ""
+        if tag == "main" and chrome or tag == "article" and not kind and chrome and all(k in ("", *ended) for _, k in stack):
             # Chrome that was never closed ends where the article begins.
             while chrome:
                 pop()
@@ -155,7 +195,7 @@ def page_blocks(source: str) -> list[tuple[str, str]]:
         articles += tag == "article" and not kind
         mains += tag == "main" and not kind
     flush()
-    return out
+    return out, held
 
 
 CHROME_LINE, OPEN_LINE, KEPT_LINE = 0, 1, 2

@@ -170,6 +170,25 @@ def test_copies_do_not_delete_a_body(spark):
         assert {r.page_id: r.text for r in html_extract.extract_pages(df, ranges).collect()} == want
 
 
+WRAPPERS = [
+    ("<article class='post comments-open'><p>In</p></article>", "In"),
+    ("<main class='site-main has-sidebar'><p>In</p></main>", "In"),
+    ("<main class='sidebar'><p>In</p></main>", "In"),
+    ("<div id='content' class='no-sidebar'><article><p>In</p></article></div>", "In"),
+    ("<div class='sidebar'><article><p>In a wrapper</p></article></div><p>by</p>", "In a wrapper"),
+    ("<div class='related-posts'><main><p>In</p></main></div>", "In"),
+    ("<article class='comment'><p>In</p></article>", "In"),
+    ("<article><p>In</p></article><div class='related-posts'><article><p>Out, and longer</p></article></div>", "In"),
+    ("<article><p>In</p></article><div class='site-sidebar'>Out</div><article class='comment'>Out, and longer</article>", "In"),
+    ("<p>In</p><section id='post-comments'><article class='comment'><p>Out, and longer than it</p></article></section>", "In"),
+]
+
+
+def test_no_class_word_takes_the_main_text(spark):
+    rows = [(i, f"http://w{i}.org/a", f"<nav>Menu</nav>{h}<footer>Foot</footer>") for i, (h, _) in enumerate(WRAPPERS)]
+    assert _texts(spark, rows) == {i: want for i, (_, want) in enumerate(WRAPPERS)}
+
+
 def test_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
