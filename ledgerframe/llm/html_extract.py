@@ -336,9 +336,10 @@ def _pages(batch, prefix: str = ""):
     return [None if x[0] is None else Page(*x) for x in zip(*cols, strict=True)]
 
 
-def _borders(batches):
-    """What a scan has to know of each range: its first and last page, and the
-    neighbour of the last (first) page if it lies inside the range."""
+def _with_borders(batches):
+    """The rows of a range, and behind them, by `side`, what a scan has to know of
+    it: its first and last page, and the neighbour of the last (first) page if it
+    lies inside the range."""
     part = first = last = before = after = None
     broken = False
 
@@ -346,16 +347,20 @@ def _borders(batches):
         held = [("first", first), ("last", last), ("before", before), ("after", after)]
         held = [(side, x) for side, x in held if x is not None]
         cols = list(zip(*(x for _, x in held), strict=True))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part] * len(held), pa.int32()), pa.array([broken] * len(held)), pa.array([x for x, _ in held]),
-             *(pa.array(c, k) for c, k in zip(cols, PAGE_KINDS.values(), strict=True))],
-            names=["part", "broken", "side", *Page._fields])
+        known = dict(zip(Page._fields, (pa.array(c, k) for c, k in zip(cols, PAGE_KINDS.values(), strict=True)), strict=True))
+        known |= {"part": pa.array([part] * len(held), pa.int32()), "broken": pa.array([broken] * len(held)),
+                  "side": pa.array([x for x, _ in held])}
+        return pa.RecordBatch.from_arrays([known.get(f.name, pa.nulls(len(held), f.type)) for f in out], schema=out)
+    out = None
     for batch in batches:
+        if out is None:
+            out = pa.schema([*(pa.field(f.name, f.type) for f in batch.schema), pa.field("broken", pa.bool_()),
+                             pa.field("side", pa.string())])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.nulls(batch.num_rows, k) for k in (pa.bool_(), pa.string()))],
+                                         schema=out)
         for now, page in zip(batch.column("part").to_pylist(), _pages(batch), strict=True):
-            if now != part:
-                if part is not None:
-                    yield rows()
-                part, first, before, after, broken = now, page, None, None, False
+            if part is None:
+                part, first = now, page
             else:
                 found = _neighbour(page, last, before)
                 if page.host != last.host or found is last:
@@ -403,9 +408,11 @@ def own_texts(parsed: DataFrame, ranges: int | None = None) -> DataFrame:
               .select("host", "digest", "x.*"))
     keys = ORDER[1:]
     dealt = folded.repartitionByRange(ranges, *keys) if ranges else folded.repartitionByRange(*keys)
-    dealt = saved(dealt.withColumn("part", F.spark_partition_id()), "ranges").repartition("part").sortWithinPartitions(*ORDER)
-    borders = dealt.mapInArrow(_borders, f"part int, broken boolean, side string, {PAGE}").collect()
-    forward, backward = _carried([r.asDict() for r in borders])
+    dealt = dealt.sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
+    schema = ", ".join(f"{c} {t}" for c, t in dealt.dtypes)
+    dealt = saved(dealt.mapInArrow(_with_borders, f"{schema}, broken boolean, side string"), "ranges")
+    forward, backward = _carried([r.asDict() for r in dealt.where("side IS NOT NULL").collect()])
+    dealt = dealt.where("side IS NULL").drop("broken", "side").repartition("part").sortWithinPartitions(*ORDER)
 
     def ahead(batches):
         state = (None, None, None)
@@ -430,7 +437,6 @@ def own_texts(parsed: DataFrame, ranges: int | None = None) -> DataFrame:
                     [pa.array(c, k) for c, k in zip(zip(*rows, strict=True),
                                                     (pa.string(), pa.binary(), pa.list_(pa.bool_())), strict=True)],
                     names=["host", "digest", "own"])
-    schema = ", ".join(f"{c} {t}" for c, t in dealt.dtypes)
     met = dealt.mapInArrow(ahead, schema + ", " + ", ".join("p_" + c for c in PAGE.split(", ")))
     return saved(met.sortWithinPartitions(*(F.col(c).desc() for c in ORDER))
                  .mapInArrow(back, "host string, digest binary, own array<boolean>"), "own")
