@@ -177,6 +177,54 @@ def test_license_rules(spark):
             assert r.sequence == sequence
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+"""
+GPL_HEADER = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ */"""
+BSD_TEXT = """1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in
+# compliance with the License. You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+WRAPPED = [
+    (MIT_TEXT, "MIT full text"), (GPL_HEADER, "GPL-3.0 header"), (BSD_TEXT, "BSD conditions"),
+    (MIT_TEXT.replace("\n", "\r\n"), "MIT full text"), (APACHE_HEADER, "Apache-2.0 header,Apache-2.0 name"),
+    ("// SPDX-License-Identifier: MIT\nint x;", "MIT spdx"), ("/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0 spdx"),
+    ("# SPDX-License-Identifier: GPL-3.0-or-later\n", "GPL-3.0 spdx"),
+    ("## License\n\nThis project is licensed under the MIT License - see the [LICENSE](LICENSE) file for details.", "MIT name"),
+    ("This library is released under the terms of the\nApache License 2.0.", "Apache-2.0 name"),
+    ("Not licensed under the MIT License. The software was useful.", ""), ("A licence\n\nMIT. Reserved rights.", ""),
+]
+
+
+def test_wrapped_licence_texts(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    got = {r.doc_id: r.rules for r in license_scan.scan_licenses(df).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(WRAPPED)}
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_oracles(spark, name):
     from oracle.compare import compare, duck
