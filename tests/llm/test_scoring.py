@@ -152,6 +152,13 @@ def test_shards_of_odd_rows(odd, spark):
     assert sharding.assign_shards(same).groupBy("doc_id").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
 
 
+def test_sharding_carries_whole_documents(spark, docs):
+    out = queries.QUERIES["op5_sharding_documents"](spark, SF)
+    assert out.columns == [*docs.columns, "shard"]
+    shard = {r.doc_id: r.shard for r in queries.QUERIES["op5_sharding"](spark, SF).collect()}
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((*r, shard[r.doc_id]) for r in docs.collect()), key=str)
+
+
 def test_write_shards(docs, tmp_path, spark):
     sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "out"), shards=sharding.shard_names(4), size=101)
     back = spark.read.parquet(str(tmp_path / "out"))
