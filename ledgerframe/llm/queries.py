@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: opN_<name>(spark, sf_dir).
+"""Registered queries of the operators: opN_<name>(spark, sf_dir).
 
 Each applies its operator, with production parameters, to its whole table.
 `SQL` holds DuckDB statements where SQL can express the operator; the others
@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (block_dedup, decontaminate, html_extract, license_scan, mixing, ngram_join, quality, sharding,
-               suffix_dedup, token_counts)
+from . import (block_dedup, chat_format, decontaminate, hard_negatives, html_extract, license_scan, mixing, ngram_join,
+               quality, sharding, spelling, suffix_dedup, token_counts)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_dedup.remove_later_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_conversations(chat_format.with_probe(spark, _table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.moved_labels(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -77,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_chat_format": op12_chat_format,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -112,3 +114,73 @@ def fair_targets(sizes, share=1.5, cap=2, weights=(3, 1, 2)):
         left -= sum(target[s] for s in over)
         free -= over
     return target
+
+
+def spelling(docs, drop_one_in=97, min_length=5, min_count=3):
+    """Operator 11 by comparing deletions of all words: word -> the other columns."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    count = Counter()
+    for d, t in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            run = run.translate(low)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % drop_one_in == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            count[run] += 1
+    words = {w: n for w, n in count.items() if len(w) >= min_length and n >= min_count}
+    near = {w: set() for w in words}
+    holes = defaultdict(set)
+    for w in words:
+        for i in range(len(w)):
+            holes[w[:i] + "\0" + w[i + 1:]].add(w)
+            if (u := w[:i] + w[i + 1:]) in words:
+                near[w].add(u)
+                near[u].add(w)
+    for group in holes.values():
+        for w in group:
+            near[w] |= group - {w}
+    form = {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        form[w] = best if best is not None and words[best] >= 2 * n else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+    return {w: (form[w], root(w), n, len(near[w]), words.get(form[w])) for w, n in words.items()}
+
+
+def chat_digests(rows):
+    """The contract's columns of operator 12 from the source rows: conv_id ->
+    (n_turns, turns digest, loss_chars, loss digest)."""
+    def key(r):
+        return (r[1] is None, r[1] or 0, r[2] or "", r[3] or "")
+    out = {}
+    for c in {r[0] for r in rows}:
+        turns = [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == c), key=key)]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        whole = "".join(f"{role}\n{t}\n" for role, t in turns)
+        out[c] = (len(turns), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return out
+
+
+def hard_negatives(rows, every=50, n_pos=5, n_neg=3):
+    """Operator 13 over all pairs; rows: (vec_id, vector, label), labels as moved."""
+    def codes(v):
+        if not v or any(x is None or not math.isfinite(x) for x in v):
+            return None
+        return [math.floor(256 * x) for x in v]
+    used = [(i, q, lab) for i, v, lab in rows if i is not None and lab is not None and (q := codes(v)) is not None
+            and sum(x * x for x in q) <= 2 ** 62]
+    out = []
+    for at, (a, q, lab) in enumerate(used):
+        if a % every:
+            continue
+        scored = [(-sum(x * y for x, y in zip(q, p, strict=True)), i, other)
+                  for k, (i, p, other) in enumerate(used) if k != at and len(p) == len(q)]
+        scored.sort(key=lambda x: x[:2])
+        for s, i, _ in [x for x in scored if x[2] == lab][:n_pos]:
+            hard = [(n, -t) for t, n, other in scored if other != lab and 50 * -s <= 100 * -t <= 95 * -s][:n_neg]
+            out += [(a, i, k + 1, n, -s, t) for k, (n, t) in enumerate(hard)]
+    return sorted(out)
