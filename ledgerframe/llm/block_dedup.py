@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import regions as R
-from .textbatch import SPACE, U64, Prefix, TextBlock, grams, mix, text_blocks
+from .textbatch import SPACE, U64, Slices, TextBlock, grams, mix, span_hash, text_blocks
 
 WIDTH = 20
 GRAM = 5
@@ -41,8 +41,8 @@ SHARD_WORDS = 1_000_000
 
 def _words_as_elements(blk: TextBlock, k: int):
     ws, we, first = blk.words()
-    h = Prefix(blk.data).hash(ws, we)
-    return grams(h, k), Prefix(h), first[:-1], first[1:]
+    h = span_hash(blk.data, ws, we)
+    return grams(h, k), Slices(h), first[:-1], first[1:]
 
 
 def joined_sha(blk: TextBlock, gone: np.ndarray | None = None):
@@ -146,7 +146,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
     def cut(raw: bytes, off, n):
         blk = TextBlock(np.frombuffer(raw, dtype=np.uint8), np.array([0]), np.array([len(raw)]), 0)
         ws, we, _ = blk.words()
-        h = Prefix(blk.data).hash(ws, we)
+        h = span_hash(blk.data, ws, we)
         return [h[o:o + m - 1 + width].tobytes() for o, m in zip(off.tolist(), n.tolist(), strict=True)]
 
     def compare(batches):

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import LOWER, U64, Prefix, TextBlock, grams, text_blocks
+from .textbatch import LOWER, U64, TextBlock, grams, span_hash, text_blocks
 
 K1, B = 1.2, 0.75
 PASSAGE = 128
@@ -62,7 +62,7 @@ def tokens(blk: TextBlock):
     data = LOWER[blk.data]
     data = np.where(_TOKEN[data], data, np.uint8(0x20))
     ws, we, first = blk.words(data)
-    return Prefix(data).hash(ws, we), first
+    return span_hash(data, ws, we), first
 
 
 def token_hashes(text: str) -> np.ndarray:

@@ -24,13 +24,58 @@ import tempfile
 
 import numpy as np
 
-from .textbatch import Prefix
+from .textbatch import BYTE_CODE, mix
 
 CHUNK = 1 << 17
 CHARS = 257
 BIG = np.int16(32_000)
 
 
+_P = np.uint64((1 << 61) - 1)
+_61, _32, _29, _3 = (np.uint64(x) for x in (61, 32, 29, 3))
+_LOW32, _LOW29 = np.uint64((1 << 32) - 1), np.uint64((1 << 29) - 1)
+_BASE = 0x0B504F333F9DE649
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, by halves of 32 and 29 bits."""
+    a1, a0, b1, b0 = a >> _32, a & _LOW32, b >> _32, b & _LOW32
+    mid, low = a1 * b0 + a0 * b1, a0 * b0
+    return _reduce(((a1 * b1) << _3) + (mid >> _29) + ((mid & _LOW29) << _32) + (low >> _61) + (low & _P))
+
+
+class Prefix61:
+    """Polynomial prefix hashes of a byte array modulo the prime 2**61 - 1:
+    tells any two ranges of it apart but for chance."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        power = np.ones(n + 1, dtype=np.uint64)
+        have, step = 1, _BASE  # step = base ** have
+        while have <= n:
+            m = min(have, n + 1 - have)
+            power[have:have + m] = times61(power[:m], np.uint64(step))
+            step, have = step * step % ((1 << 61) - 1), 2 * have
+        code = times61(BYTE_CODE[data] >> _3, power[:n])
+        high, low = np.cumsum(code >> _32, dtype=np.uint64), np.cumsum(code & _LOW32, dtype=np.uint64)
+        high = _reduce(high)
+        self.acc = np.zeros(n + 1, dtype=np.uint64)
+        self.acc[1:] = _reduce(((high & _LOW29) << _32) + (high >> _29) + _reduce(low))
+        self.power = power
+
+    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The value of each [start, end); values of equal lengths compare."""
+        return times61(_reduce(self.acc[end] + (_P - self.acc[start])), self.power[len(self.power) - 1 - start])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix(self.raw(start, end) + (end - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
 class BucketQueue:
     """Tuples (position, lcp) by bucket, in order of arrival, disk-backed."""
 
@@ -245,7 +290,7 @@ class Shard:
         # Names: equal seed substrings (to the next seed, terminators apart).
         data = (self.text - 1).astype(np.uint8)
         data[self.text == 0] = 0
-        pre = Prefix(data)
+        pre = Prefix61(data)
         nxt = np.append(seeds[1:], seeds[-1] + 1).astype(np.int64)
         body = self.text[seeds] != 0
         length = np.where(body, nxt - seeds + 1, 1)
@@ -274,7 +319,7 @@ class Shard:
         order = np.argsort(rank, kind="stable")
         return seeds[order], self._seed_lcp(pre, seeds[order].astype(np.int64))
 
-    def _seed_lcp(self, pre: Prefix, pos: np.ndarray) -> np.ndarray:
+    def _seed_lcp(self, pre: Prefix61, pos: np.ndarray) -> np.ndarray:
         """Common prefixes of neighbours, by binary search over prefix hashes."""
         ends = np.flatnonzero(self.text == 0)
         left = np.minimum(ends[np.searchsorted(ends, pos)] - pos, self.cap)

@@ -21,9 +21,14 @@
    are joined by signature trees (`signature_tree`): exact, and pruned.
 4. Components of the verified links, spread over the classes.
 
+A text is known by (doc_id, xxhash64 of it), a class by the two digests of its
+set; the first digest names it in links.
+
 Cases: null text, or a text without words, has an empty set, is linked with
-nothing and is its own component; repeated rows are copies; a null doc_id
-stands for the smallest id (component_id null); an empty table gives no rows.
+nothing and is its own component; repeated rows are copies; different texts
+under one doc_id are different texts; a null doc_id stands for the smallest id
+(component_id null); a very long text is a block of its own; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 from . import regions as R
 from .components import components
 from .signature_tree import link_components
-from .textbatch import GRAM_CODE, LOWER, NULL_ID, U64, Prefix, TextBlock, grams, mix, text_blocks
+from .textbatch import GRAM_CODE, LOWER, NULL_ID, U64, TextBlock, grams, mix, span_hash, text_blocks
 
 WORDS = 5
 PERCENT = 80
@@ -54,7 +59,7 @@ def shingle_sets(blk: TextBlock, k: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each document of a block."""
     data = LOWER[blk.data]
     ws, we, first = blk.words(data)
-    wh = Prefix(data).hash(ws, we)
+    wh = span_hash(data, ws, we)
     full = grams(wh, k)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -93,9 +98,14 @@ def prefix_pairs(s: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
     return np.sort(q)[:p]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text), th: the hash of the text (null: of the empty one)."""
+    return R.keyed(docs).select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"), "text")
+
+
 def document_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """One pass, saved: (kind 0) doc_id, uid, d2, n of every document; (kind 1)
-    each task's most frequent shingles: uid = shingle, n = documents."""
+    """One pass, saved: (kind 0) doc_id, th, uid, d2, n of every document;
+    (kind 1) each task's most frequent shingles: uid = shingle, n = documents."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often: dict[int, int] = {}
         held: dict[int, np.ndarray] = {}   # sets by digest: copies count once
@@ -109,12 +119,12 @@ def document_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
             held.clear()
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, th = (batch.column(c).to_numpy() for c in ("doc_id", "th"))
             for blk in text_blocks(batch.column("text")):
                 sets = shingle_sets(blk, k)
+                own = slice(blk.row0, blk.row0 + blk.n)
                 digests = np.array([_digests(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-                yield _document_batch(0, ids[blk.row0:blk.row0 + blk.n], digests[:, 0], digests[:, 1],
-                                      np.array([len(s) for s in sets]))
+                yield _document_batch(0, ids[own], th[own], digests[:, 0], digests[:, 1], np.array([len(s) for s in sets]))
                 held.update(zip(digests[:, 0].tolist(), sets, strict=True))
                 size += sum(map(len, sets))
                 if size > GROUP_SHINGLES:
@@ -129,15 +139,16 @@ def document_sets(docs: DataFrame, k: int = WORDS) -> DataFrame:
         top = sorted(often.items(), key=lambda x: (-x[1], x[0]))[:PER_TASK]
         if top:
             h, c = (np.array(x, dtype=np.int64) for x in zip(*top, strict=True))
-            yield _document_batch(1, np.zeros(len(h), np.int64), h, np.zeros(len(h), np.int64), c)
-    rows = R.keyed(docs).mapInArrow(task, "kind int, doc_id long, uid long, d2 long, n long")
+            none = np.zeros(len(h), np.int64)
+            yield _document_batch(1, none, none, h, none, c)
+    rows = _keyed(docs).mapInArrow(task, "kind int, doc_id long, th long, uid long, d2 long, n long")
     return R.saved(rows, "sets")
 
 
-def _document_batch(kind: int, doc_id, uid, d2, n) -> pa.RecordBatch:
+def _document_batch(kind: int, doc_id, th, uid, d2, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(uid), kind, np.int32)), pa.array(doc_id), pa.array(uid), pa.array(d2),
-         pa.array(np.asarray(n, dtype=np.int64))], names=["kind", "doc_id", "uid", "d2", "n"])
+        [pa.array(np.full(len(uid), kind, np.int32)), pa.array(doc_id), pa.array(th), pa.array(uid), pa.array(d2),
+         pa.array(np.asarray(n, dtype=np.int64))], names=["kind", "doc_id", "th", "uid", "d2", "n"])
 
 
 def frequent_shingles(sets: DataFrame, size: int = FREQUENT) -> np.ndarray:
@@ -210,7 +221,8 @@ def candidate_links(docs: DataFrame, frequent: np.ndarray, k: int, percent: int)
 
 
 def join_tasks(reps: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, uid, d2, tasks): the tasks (root, pair, side) each class joins in."""
+    """(doc_id, th, uid, d2, tasks): the tasks (root, pair, side) each class joins
+    in; doc_id and th are those of the text that stands for it."""
     cls = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     r = reps.withColumn("cls", cls)
     whole = r.groupBy("root").agg(F.sum("n").alias("total"))
@@ -220,7 +232,7 @@ def join_tasks(reps: DataFrame, percent: int) -> DataFrame:
              .select("root", "cls", F.when(big, F.col("cls")).otherwise(0).alias("u"),
                      F.when(big, F.ceil(F.col("part") / UNIT_SHINGLES)).otherwise(1).alias("m")))
     r = (r.join(units, ["root", "cls"])
-         .select("root", "doc_id", "uid", "d2", "u", F.pmod(F.xxhash64("uid", "d2"), F.col("m")).cast("int").alias("c")))
+         .select("root", "doc_id", "th", "uid", "d2", "u", F.pmod(F.xxhash64("uid", "d2"), F.col("m")).cast("int").alias("c")))
     u = r.select("root", "u", "c").distinct()
     v = u.select(F.col("root").alias("vroot"), F.col("u").alias("vu"), F.col("c").alias("vc"))
     pairs = u.join(v, (F.col("root") == F.col("vroot")) & (
@@ -231,29 +243,24 @@ def join_tasks(reps: DataFrame, percent: int) -> DataFrame:
     right = pairs.where(~own).select("root", F.col("vu").alias("u"), F.col("vc").alias("c"), name.alias("pair"),
                                      F.lit(1).alias("side"))
     return (r.join(left.unionByName(right), ["root", "u", "c"])
-            .groupBy("doc_id", "uid", "d2").agg(F.collect_list(F.struct("root", "pair", "side")).alias("tasks")))
+            .groupBy("doc_id", "th", "uid", "d2").agg(F.collect_list(F.struct("root", "pair", "side")).alias("tasks")))
 
 
 def verified_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between class representatives that span the components of
-    the similarity relation inside each task."""
+    """Links (a, b) between classes, by uid, that span the components of the
+    similarity relation inside each task."""
     def sets(batches):
         for batch in batches:
-            out = {c: [] for c in ("root", "pair", "side", "doc_id", "body")}
+            out = {c: [] for c in _SET}
             held = 0
-            doc = batch.column("doc_id").to_pylist()
             todo = batch.column("tasks").to_pylist()
             uid, d2 = batch.column("uid").to_pylist(), batch.column("d2").to_pylist()
             for blk in text_blocks(batch.column("text")):
                 for i, s in enumerate(shingle_sets(blk, k), blk.row0):
-                    if _digests(s) != (uid[i], d2[i]):
-                        continue  # another text under the same doc_id
                     body = s.tobytes()
                     for t in todo[i]:
-                        for c in ("root", "pair", "side"):
-                            out[c].append(t[c])
-                        out["doc_id"].append(doc[i])
-                        out["body"].append(body)
+                        for c, x in zip(_SET, (t["root"], t["pair"], t["side"], uid[i], d2[i], body), strict=True):
+                            out[c].append(x)
                         held += len(body)
                         if held > 1 << 24:
                             yield _set_batch(out)
@@ -263,69 +270,89 @@ def verified_links(docs: DataFrame, tasks: DataFrame, k: int, percent: int) -> D
 
     def join(batches):
         for group in _groups(batches):
-            side = np.array(group["side"])
-            doc = np.array(group["doc_id"])
-            _, once = np.unique(np.stack([doc, side]), axis=1, return_index=True)
-            sets_ = [np.frombuffer(group["body"][i], dtype=U64) for i in once]
-            doc, side = doc[once], side[once]
-            label = link_components(sets_, None if (side < 0).all() else side, percent)
-            least = np.full(len(doc), np.iinfo(np.int64).max)
-            np.minimum.at(least, label, doc)
+            uid, side = np.array(group["uid"]), np.array(group["side"])
+            label = link_components([np.frombuffer(x, dtype=U64) for x in group["body"]],
+                                    None if (side < 0).all() else side, percent)
+            least = np.full(len(uid), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, uid)
             lead = least[label]
-            m = lead != doc
+            m = lead != uid
             if m.any():
-                yield pa.RecordBatch.from_arrays([pa.array(lead[m]), pa.array(doc[m])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(lead[m]), pa.array(uid[m])], names=["a", "b"])
 
-    # The tasks grow with the documents: never a broadcast.
-    rows = (R.keyed(docs).join(tasks.hint("merge"), "doc_id")
-            .mapInArrow(sets, "root long, pair string, side int, doc_id long, body binary"))
+    # The tasks grow with the documents: never a broadcast.  Rows that repeat a
+    # text and its doc_id come once.
+    rows = (_keyed(docs).join(tasks.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th", "uid", "d2"])
+            .select("text", "uid", "d2", "tasks")
+            .mapInArrow(sets, "root long, pair string, side int, uid long, d2 long, body binary"))
     return rows.repartition("root", "pair").sortWithinPartitions("root", "pair").mapInArrow(join, "a long, b long")
 
 
+_SET = {"root": pa.int64(), "pair": pa.string(), "side": pa.int32(), "uid": pa.int64(), "d2": pa.int64(), "body": pa.binary()}
+
+
 def _set_batch(out: dict) -> pa.RecordBatch:
-    kinds = {"root": pa.int64(), "pair": pa.string(), "side": pa.int32(), "doc_id": pa.int64(), "body": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in kinds.items()], names=list(kinds))
+    return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in _SET.items()], names=list(_SET))
 
 
 def _groups(batches) -> Iterator[dict]:
     """Rows of one (root, pair) at a time, from sorted batches."""
-    held: dict[str, list] = {c: [] for c in ("side", "doc_id", "body")}
+    held: dict[str, list] = {c: [] for c in ("side", "uid", "body")}
     at = None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("root", "pair", "side", "doc_id", "body")]
-        for root, pair, side, doc, body in zip(*cols, strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("root", "pair", "side", "uid", "body")]
+        for root, pair, side, uid, body in zip(*cols, strict=True):
             if at != (root, pair):
                 if held["side"]:
                     yield held
                 held, at = {c: [] for c in held}, (root, pair)
             held["side"].append(side)
-            held["doc_id"].append(doc)
+            held["uid"].append(uid)
             held["body"].append(body)
     if held["side"]:
         yield held
 
 
-def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Operator 4: doc_id, n_shingles, component_id for every document."""
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(every document: doc_id, th, uid, d2, n; every class with words: uid, d2,
+    root): classes of one root are one component."""
     sets = document_sets(docs, k)
-    table = sets.where("kind = 0").select("doc_id", "uid", "d2", "n")
+    table = sets.where("kind = 0").select("doc_id", "th", "uid", "d2", "n")
     clusters = components(candidate_links(docs, frequent_shingles(sets), k, percent), "clusters")
-    reps = (table.where("n > 0").groupBy("uid", "d2", "n").agg(F.min("doc_id").alias("doc_id")))
-    clustered = reps.join(clusters.select(F.col("node").alias("uid"), "root"), "uid")
+    kinds = (table.where("n > 0").groupBy("uid", "d2", "n").agg(F.min(F.struct("doc_id", "th")).alias("rep"))
+             .select("uid", "d2", "n", "rep.*"))
+    clustered = kinds.join(clusters.select(F.col("node").alias("uid"), "root"), "uid")
     tasks = R.saved(join_tasks(clustered, percent), "tasks")
     found = components(verified_links(docs, tasks, k, percent), "near")
-    final = (reps.join(found.select(F.col("node").alias("doc_id"), F.col("root").alias("least")), "doc_id", "left")
-             .select("uid", "d2", F.coalesce("least", "doc_id").alias("component")))
-    out = table.join(final, ["uid", "d2"], "left").select(
+    roots = kinds.join(found.select(F.col("node").alias("uid"), F.col("root").alias("least")), "uid", "left")
+    return table, roots.select("uid", "d2", "doc_id", "th", F.coalesce("least", "uid").alias("root"))
+
+
+def near_copies(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Operator 4: doc_id, n_shingles, component_id for every document."""
+    table, roots = _components(docs, k, percent)
+    first = roots.groupBy("root").agg(F.min("doc_id").alias("component"))
+    named = roots.select("uid", "d2", "root").join(first, "root").select("uid", "d2", "component")
+    out = table.join(named, ["uid", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     return out.select(*(F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) if c != "n_shingles" else F.col(c)
                         for c in out.columns))
 
 
 def keep_one(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs` that stand for their group (the least doc_id; of
-    rows with one doc_id, one)."""
-    kept = (near_copies(docs, k, percent)
-            .where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k")).distinct())
-    return (docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("k")), "left_semi")
-            .dropDuplicates(["doc_id"]))
+    """The rows of `docs` that stand for their group: of each component of texts
+    the one with the least doc_id (then text hash); texts without words stand
+    for themselves.  Rows that repeat both doc_id and text are one group's
+    copies, so one of them stays."""
+    table, roots = _components(docs, k, percent)
+    first = roots.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("rep")).select("rep.*")
+    own = table.where("n = 0").select("doc_id", "th").distinct()
+    kept = first.unionByName(own).join(table.groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("copies")), ["doc_id", "th"])
+    kept = R.saved(kept.select(F.col("doc_id").alias("k"), F.col("th").alias("t"), (F.col("copies") > 1).alias("again")), "kept")
+
+    def rows(of: DataFrame) -> DataFrame:
+        th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+        return docs.join(of, (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("k")) & (th == F.col("t")),
+                         "left_semi")
+    once, again = rows(kept.where("NOT again")), kept.where("again")
+    return once if again.isEmpty() else once.unionByName(rows(again).dropDuplicates(["doc_id", "text"]))

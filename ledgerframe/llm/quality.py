@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import SPACE, U64, Prefix, TextBlock, doc_of, grams, inside, mix, text_blocks
+from .textbatch import SPACE, U64, TextBlock, doc_of, grams, inside, mix, span_hash, text_blocks
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -48,8 +48,7 @@ DIGEST = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, "
 
 def _word_hashes(blk: TextBlock):
     ws, we, first = blk.words()
-    pre = Prefix(blk.data)
-    return ws, we, first, pre, pre.hash(ws, we)
+    return ws, we, first, span_hash(blk.data, ws, we)
 
 
 def _buckets(wh: np.ndarray, first: np.ndarray):
@@ -68,7 +67,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         trusted = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)
         for blk in text_blocks(batch.column("text")):
-            _, _, first, _, wh = _word_hashes(blk)
+            _, _, first, wh = _word_hashes(blk)
             uni, ud, bi, bd = _buckets(wh, first)
             t = trusted[blk.row0:blk.row0 + blk.n]
             for bucket, doc in ((uni, ud), (bi, bd)):
@@ -83,7 +82,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def base_metrics(blk: TextBlock, parts) -> dict[str, np.ndarray]:
     """The five base counts of each document of a block."""
-    ws, we, first, pre, wh = parts
+    ws, we, first, wh = parts
     data = blk.data
     n_words = np.diff(first)
     solid = ~SPACE[data]
@@ -100,7 +99,7 @@ def base_metrics(blk: TextBlock, parts) -> dict[str, np.ndarray]:
     has = acc[le] > acc[np.minimum(ls, le)]
     ls, le = ls[has], le[has]
     doc = np.searchsorted(blk.start, ls, side="right") - 1
-    key = mix(pre.hash(ls, le) + (doc + 1).astype(U64) * U64(0xA0761D6478BD642F))
+    key = mix(span_hash(data, ls, le) + (doc + 1).astype(U64) * U64(0xA0761D6478BD642F))
     _, where = np.unique(key, return_index=True)
     out["n_dup_lines"] = (np.bincount(doc, minlength=blk.n)
                           - np.bincount(doc[where], minlength=blk.n))
@@ -137,7 +136,7 @@ def _doc_sums(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
 
 def _score(blk: TextBlock, parts, weights: np.ndarray):
     """(sum of fixed-point weights, number of n-grams) of each document."""
-    uni, ud, bi, bd = _buckets(parts[4], parts[2])
+    uni, ud, bi, bd = _buckets(parts[3], parts[2])
     total = _doc_sums(weights[uni], ud, blk.n) + _doc_sums(weights[bi], bd, blk.n)
     n = np.bincount(ud, minlength=blk.n) + np.bincount(bd, minlength=blk.n)
     return total, n

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .textbatch import NULL_ID, U64, Prefix, TextBlock, mix, text_blocks, window_argmin
+from .textbatch import NULL_ID, U64, Slices, TextBlock, mix, text_blocks, window_argmin
 
 PIECE = 1 << 22
 
@@ -41,19 +41,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
 
 
-def text_hash(blk: TextBlock, pre: Prefix | None = None) -> np.ndarray:
-    pre = pre or Prefix(blk.data)
-    return (pre.hash(blk.start, blk.end) >> U64(32)).astype(np.uint32).view(np.int32)
+def text_hash(blk: TextBlock) -> np.ndarray:
+    return (Slices(blk.data).hash(blk.start, blk.end) >> U64(32)).astype(np.uint32).view(np.int32)
 
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def window_groups(grams: np.ndarray, pre: Prefix, start: np.ndarray, end: np.ndarray, window: int, k: int):
+def window_groups(grams: np.ndarray, body: Slices, start: np.ndarray, end: np.ndarray, window: int, k: int):
     """Runs of windows with one anchor: (key, digest, document, first window,
     anchor - first window, number of windows); indices are of the block."""
-    total = len(pre.acc) - 1
+    total = body.total
     long = (end - start) >= window
     if not long.any():
         return None
@@ -76,7 +75,7 @@ def window_groups(grams: np.ndarray, pre: Prefix, start: np.ndarray, end: np.nda
         out.append((begin + p0, stop + p0, arg[begin]))
     l, r, a = (np.concatenate(x) for x in zip(*out, strict=True))
     key = grams[a]
-    digest = mix(pre.hash(l, r + window) + (a - l + 1).astype(U64) * U64(0xE7037ED1A0B428DB))
+    digest = mix(body.hash(l, r + window) + (a - l + 1).astype(U64) * U64(0xE7037ED1A0B428DB))
     doc = np.searchsorted(start, l, side="right") - 1
     return key, digest, doc, l, a - l, r - l + 1
 
@@ -84,13 +83,13 @@ def window_groups(grams: np.ndarray, pre: Prefix, start: np.ndarray, end: np.nda
 def anchor_rows(docs: DataFrame, elements: Callable, window: int, k: int) -> DataFrame:
     """ANCHORS rows of all documents.
 
-    elements(block) -> (k-gram hashes, Prefix of the elements, start, end)."""
+    elements(block) -> (k-gram hashes, Slices of the elements, start, end)."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for blk in text_blocks(batch.column("text")):
-                grams, pre, start, end = elements(blk, k)
-                found = window_groups(grams, pre, start, end, window, k)
+                grams, body, start, end = elements(blk, k)
+                found = window_groups(grams, body, start, end, window, k)
                 if found is None:
                     continue
                 key, digest, doc, first, rel, n = found

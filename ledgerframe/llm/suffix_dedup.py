@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import regions as R
 from .induced import repeated_starts
-from .textbatch import Prefix, TextBlock, as_text, text_blocks
+from .textbatch import RollingGrams, Slices, TextBlock, as_text, text_blocks
 
 WIDTH = 400
 GRAM = 64
@@ -34,8 +34,7 @@ QUEUE_MEMORY = 1 << 27
 
 
 def _bytes_as_elements(blk: TextBlock, k: int):
-    pre = Prefix(blk.data)
-    return pre.rolling(k), pre, blk.start, blk.end
+    return RollingGrams(blk.data).grams(k), Slices(blk.data), blk.start, blk.end
 
 
 def _whole(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 A `TextBlock` is a bounded run of documents of one Arrow batch laid out as one
 byte array.  Words, lines, n-gram hashes and window minima are computed for the
-whole block with numpy, so no Python loop runs per word.  Hashes are 64-bit
-polynomial prefix hashes over a byte table fixed below (mod 2**64), finished
-with a bit mixer; they are equal in every process and on every machine.
+whole block with numpy, so no Python loop runs per word.
+
+Hashes have 64 bits and are equal in every process and on every machine.
+Words, lines, slices and texts are hashed by chained mixing or xxh3, which tell
+any two of them apart but for chance; polynomials modulo 2**64 would not
+(Thue-Morse strings collide under every odd base), so `RollingGrams`, which is
+one, only proposes where to look.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 BLOCK_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
@@ -65,33 +70,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Prefix:
-    """Prefix hash of a byte array: the hash of any [start, end) in O(1)."""
+class RollingGrams:
+    """Hash of every k-byte string of a byte array, by a polynomial modulo
+    2**64: good for choosing places, not for telling strings apart."""
 
     def __init__(self, data: np.ndarray):
-        """data: bytes, or one 64-bit code per element."""
-        n = len(data)
-        self.acc = np.zeros(n + 1, dtype=U64)
-        codes = BYTE_CODE[data] if data.dtype == np.uint8 else data.copy()
-        codes *= _power(_BASE, n, "up")
+        codes = BYTE_CODE[data]
+        codes *= _power(_BASE, len(data), "up")
+        self.acc = np.zeros(len(data) + 1, dtype=U64)
         np.cumsum(codes, out=self.acc[1:])
 
-    def raw(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inv = _power(_BASE_INV, len(self.acc), "down")
-        return (self.acc[end] - self.acc[start]) * inv[start]
-
-    def rolling(self, k: int) -> np.ndarray:
-        """Mixed hash of every k-byte string (index = start)."""
-        n = len(self.acc) - 1 - k + 1
+    def grams(self, k: int) -> np.ndarray:
+        """Index = start."""
+        n = len(self.acc) - k
         if n <= 0:
             return np.zeros(0, dtype=U64)
         h = self.acc[k:] - self.acc[:n]
         h *= _power(_BASE_INV, n, "down")
         return mix(h)
 
+
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [_M64], dtype=U64)
+_LONG = 128
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range: eight bytes at a time, mixed after each; a
+    range above `_LONG` bytes by xxh3."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))
+    out = mix(size.astype(U64) * U64(0x9FB21C651E98DF25) + U64(0xD1B54A32D192ED03))
+    todo = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = start[todo], size[todo]
+    while len(todo):
+        out[todo] = mix((out[todo] ^ (eight[at] & _TAIL[np.minimum(left, 8)])) + U64(0xA24BAED4963EE407))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        out[long] = Slices(data).hash(start[long], end[long])
+    return out
+
+
+class Slices:
+    """xxh3 hashes of ranges of a byte array, or of an array of word hashes."""
+
+    def __init__(self, elements: np.ndarray):
+        self.total, self.width = len(elements), elements.dtype.itemsize
+        self.bytes = memoryview(np.ascontiguousarray(elements)).cast("B") if len(elements) else memoryview(b"")
+
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed hash of each [start, end), the length included."""
-        return mix(self.raw(start, end) + (end - start).astype(U64) * U64(0x9FB21C651E98DF25))
+        b, w = self.bytes, self.width
+        return np.fromiter((xxh3_64_intdigest(b[x:y]) for x, y in zip((start * w).tolist(), (end * w).tolist(), strict=True)),
+                           dtype=U64, count=len(start))
 
 
 class TextBlock:

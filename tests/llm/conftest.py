@@ -27,6 +27,16 @@ def odd_rows():
             (15, other + " " + prose), (16, "é ü 漢字 " * 60), (17, "\x1c\x1d a\x85b c"), (18, prose.upper()),
             (19, "".join(rng.choices("abc \n", k=5000))), (20, "z"), (21, "q r s t u"), (22, "q r s t u"),
             (23, " ".join(rng.choices(vocab, k=20_000)))]
+    # Thue-Morse strings and their complements: every polynomial modulo 2**64
+    # takes the two for one.
+    morse = "a"
+    while len(morse) < 2048:
+        morse += morse.translate(str.maketrans("ab", "ba"))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    spread, mirror = (" ".join(x[:1024]) for x in (morse, other))
+    rows += [(24, morse), (25, other), (26, f"{prose[:700]} {morse} {prose[-700:]}"), (27, f"{prose[:700]} {other} {prose[-700:]}"),
+             (28, f"{morse}\n{other}\n{morse}"), (29, spread), (30, mirror), (31, f"{prose[:50]} {spread} {prose[:50]}"),
+             (32, f"{prose[:50]} {mirror} {prose[:50]}")]
     return rows
 
 

@@ -116,3 +116,22 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (6, "other words")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in ngram_join.near_copies(df).collect()), key=str)
     assert got == [(5, None), (5, None), (6, 6), (None, None)]
+
+
+def test_keep_one_loses_no_text(spark):
+    """Different texts under one doc_id, and under none, all stay; of rows that
+    repeat both, one."""
+    a, b, c = (" ".join("%s%d" % (x, i) for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, b), (5, c), (5, "other words"), (5, c), (6, c), (7, ""), (7, None), (8, " "), (8, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()), key=str)
+    assert got == sorted([(None, a), (None, b), (5, c), (5, "other words"), (7, ""), (7, None), (8, " ")], key=str)
+
+
+def test_links_of_every_text_under_one_id(spark):
+    """Two texts share an id; each is linked with its own near copy."""
+    a, b = ([x + str(i) for i in range(100)] for x in "ab")
+    rows = [(None, a), (None, b), (3, [*a[:50], "x", *a[51:]]), (4, [*b[:50], "x", *b[51:]])]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.near_copies(df).collect()} == {None}
+    assert sorted(r.text.split()[0] for r in ngram_join.keep_one(df).collect()) == ["a0", "b0"]
