@@ -22,9 +22,11 @@ all items that reach their threshold, not a top k.
 token 5-grams of its question (all sentences but the last) and of its answer
 (the last) occur around the passage, or WHOLE_OVERLAP of the whole item's.
 
-Cases: null text has no passages; items without tokens match nothing; equal
-items are all reported; repeated documents each report; empty tables give no
-rows; a null doc_id is kept as null.
+Cases: null text has no passages; a very long text is a block of its own, with
+as many passages as it has; items without tokens match nothing; equal items are
+all reported; repeated documents each report; empty tables give no rows; a null
+doc_id is kept as null; `find_leaks` reads doc_id and text only, `drop_leaks`
+hands all columns on whatever their names.
 """
 
 from __future__ import annotations
@@ -113,12 +115,16 @@ class Index:
         self.item = np.array([r[1] for r in rows], dtype=np.int64)
         # Rounded up a little: bounds may not fall below sums by rounding.
         self.impact = np.array([r[2] for r in rows], dtype=np.float64)
-        n_blocks = -(-len(items) // BLOCK)
         self.top = np.zeros(len(self.terms))
-        self.block_top = np.zeros((len(self.terms), max(n_blocks, 1)), dtype=np.float32)
         owner = np.repeat(np.arange(len(self.terms)), np.diff(self.start))
         np.maximum.at(self.top, owner, self.impact)
-        np.maximum.at(self.block_top, (owner, self.item // BLOCK), self.impact.astype(np.float32) * np.float32(1.0001))
+        # Block maxima of the (term, block) pairs that occur: no more than
+        # there are postings.
+        self.n_blocks = max(-(-len(items) // BLOCK), 1)
+        pair, which = np.unique(owner * self.n_blocks + self.item // BLOCK, return_inverse=True)
+        self.block_pair, self.block_top = pair, np.zeros(len(pair), dtype=np.float32)
+        np.maximum.at(self.block_top, which, self.impact.astype(np.float32) * np.float32(1.0001))
+        self.block_start = np.searchsorted(pair, np.arange(len(self.terms) + 1) * self.n_blocks)
         self._essential(owner, len(items))
         self.seen = np.zeros(1 << 16, dtype=bool)
         self.seen[(self.terms >> U64(48)).astype(np.int64)] = True
@@ -139,6 +145,18 @@ class Index:
         self.e_item, self.e_impact = self.item[keep], self.impact[keep]
         self.e_start = np.searchsorted(owner[keep], np.arange(len(self.terms) + 1))
 
+    def top_in(self, terms: np.ndarray, block: int) -> float:
+        """Sum of the terms' maxima in one block."""
+        pair = terms * self.n_blocks + block
+        spot = np.minimum(np.searchsorted(self.block_pair, pair), len(self.block_pair) - 1)
+        return float(self.block_top[spot][self.block_pair[spot] == pair].sum(dtype=np.float64))
+
+    def best_block(self, terms: np.ndarray) -> float:
+        """The largest sum that the terms' maxima reach in any block."""
+        n = self.block_start[terms + 1] - self.block_start[terms]
+        at = np.repeat(self.block_start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return float(np.bincount(self.block_pair[at] % self.n_blocks, weights=self.block_top[at], minlength=1).max())
+
     def term_of(self, h: np.ndarray) -> np.ndarray:
         """Index of each token's term, or -1."""
         out = np.full(len(h), -1, dtype=np.int64)
@@ -169,7 +187,7 @@ class Index:
             while pivot + 1 < len(cursor) and cursor[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            bound = sum(float(self.block_top[c[4], block]) for c in cursor[:pivot + 1])
+            bound = self.top_in(np.array([c[4] for c in cursor[:pivot + 1]]), block)
             if bound < 1 - eps:
                 # No item of this block among these lists: go to the block's
                 # end, or to where a further list comes in.
@@ -221,7 +239,7 @@ class Index:
             stop = w + 1 if w + 1 < base[d + 1] else w
             a, b = np.searchsorted(where, [w, stop + 1])
             distinct = np.unique(t[a:b])
-            if (self.block_top[distinct].sum(axis=0) >= 1 - 1e-6).any():
+            if self.best_block(distinct) >= 1 - 1e-6:
                 yield d, int((w - base[d]) * half), distinct
 
     def search(self, blk: TextBlock, passage: int, overlap: float):

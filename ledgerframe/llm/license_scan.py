@@ -13,7 +13,9 @@ Everything happens inside one row: no shuffle.  Known sentences and rules are
 fixed tables in the plan, not data.
 
 Cases: null text has no sentences; a licence stated twice is reported once;
-repeated rows are scanned alike; an empty table gives no rows.
+repeated rows are scanned alike; a very long text is scanned whole; an empty
+table gives no rows; only doc_id and text are read, so other columns cannot
+clash.
 """
 
 from __future__ import annotations
@@ -116,18 +118,20 @@ def known_sentences() -> dict[str, str]:
             for table in (SENTENCES, VARIANTS) for k, i in table.items()}
 
 
+# Cuts and joints of the normal form, in order.
+CUTS = (("(?m)^[ \t]*(?:[#*/;%>|-]+|<!--+|dnl\\b|rem\\b)[ \t]*", ""),
+        ("[.;:!?]*[.;!?]:*[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*", "\1"), (":+[ \t\r\n]+|\n", "\2"),
+        ("[^a-z0-9\1\2]+", " "), ("[ \2]*\1[ \1\2]*", "\1"), (" ?\2[ \2]*", "\2"), ("^ | $", ""))
+
+
 def marked(text: Column) -> Column:
     """The words of a text in normal form, parted by \\1 where a sentence ends, \\2
     where a line does or after a colon, else by a space.  Texts without a mark
     are empty."""
     t = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     t = F.when(F.rlike(t, F.lit(MARKS)), t).otherwise("")
-    for pattern, by in (
-            ("(?m)^[ \t]*(?:[#*/;%>|-]+|<!--+|dnl\\b|rem\\b)[ \t]*", ""),
-            ("[.;:!?]*[.;!?]:*[ \t\r\n]+|\n[ \t\r]*\n[ \t\r\n]*", "\1"), (":+[ \t\r\n]+|\n", "\2"),
-            ("[^a-z0-9\1\2]+", " "), ("[ \2]*\1[ \1\2]*", "\1"), (" ?\2[ \2]*", "\2"), ("^ | $", ""),
-            (f"(?<![a-z0-9 ])(?:{_LEAD})?{_VERB}(?=[ \2])", "licensed under"),
-            (f"(?<=licen[cs]e|[0-9]){_TAIL}", "")):
+    for pattern, by in (*CUTS, (f"(?<![a-z0-9 ])(?:{_LEAD})?{_VERB}(?=[ \2])", "licensed under"),
+                        (f"(?<=licen[cs]e|[0-9]){_TAIL}", "")):
         t = F.regexp_replace(t, pattern, by)
     return t
 

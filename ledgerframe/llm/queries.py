@@ -36,12 +36,6 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return sharding.assign_shards(docs)
-
-
-def op5_sharding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sharding of whole documents; op5_sharding has the columns of its SQL."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents"))
 
 
@@ -83,7 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
-    "op5_sharding_documents": op5_sharding_documents,
+    "op5_sharding_documents": op5_sharding,  # its earlier name, when op5_sharding placed three columns
     "op6_decontamination": op6_decontamination,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality_rules": op8_quality_rules,
@@ -95,43 +89,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
 def _op3_sql() -> str:
-    """The same recognition with unnested sentences, as rows per document."""
-    def text(s: str) -> str:
-        return "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({text(k)}, {text(v)})" for k, v in license_scan.SENTENCES.items())
-    rules = ", ".join(f"({i}, {text(n)}, {text(n + ' ' + r)}, {text('%' + '%'.join(f',{x},' for x in ids) + '%')})"
-                      for i, (n, r, ids) in enumerate(license_scan.RULES))
+    """The same recognition in DuckDB's regular expressions, which have no
+    look-around: sentence ends are doubled, so that each sentence of a row of
+    them has its own two."""
+    L = license_scan
+    names = ", ".join(f"({_literal(k)}, {_literal(v)})" for k, v in L.known_sentences().items())
+    rules = ", ".join(f"({i}, {_literal(n)}, {_literal(n + ' ' + r)}, {_literal('%' + '%'.join(f',{x},' for x in ids) + '%')})"
+                      for i, (n, r, ids) in enumerate(L.RULES))
+    lead, verb = f"([\1\2]|^)(?:{L._LEAD})?{L._VERB}([ \2])", "\\1licensed under\\2"
+    steps = (*L.CUTS, (lead, verb), (lead, verb), (f"(licen[cs]e|[0-9]){L._TAIL}", "\\1"), ("[\1\2]", "\\0\\0"))
+    marked = "CASE WHEN regexp_matches(low, " + _literal(L.MARKS) + ") THEN low ELSE '' END"
+    for pattern, by in steps:
+        marked = f"regexp_replace({marked}, {_literal(pattern)}, {_literal(by)}, 'g')"
+    longest = sorted(L.known_sentences(), key=lambda k: (-len(k), k))
+    known = "[\1\2](" + "|".join(k.replace(" ", "(?: |\2\2)") for k in longest) + ")[\1\2]"
     return f"""
-WITH known(norm, id) AS (VALUES {known}),
+WITH known(norm, id) AS (VALUES {names}),
 rules(k, name, rule, pattern) AS (VALUES {rules}),
-lines AS (
-  SELECT doc_id, unnest(pieces) AS s, unnest(range(len(pieces))) AS line_no
-  FROM (SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-        'abcdefghijklmnopqrstuvwxyz'), '[.;:!?]+[ \\t\\r\\n]+|\\n') AS pieces FROM documents)),
+lowered AS (SELECT row_number() OVER () AS row, doc_id,
+            translate(coalesce(text, ''), {_literal(L.UPPER)}, {_literal(L.LOWER)}) AS low FROM documents),
+found AS (SELECT row, regexp_extract_all('\1' || {marked} || '\1', {_literal(known)}, 1) AS said FROM lowered),
+lines AS (SELECT row, replace(unnest(said), '\2\2', ' ') AS norm, unnest(range(len(said))) AS line_no FROM found),
 met AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY line_no) AS sequence,
+  SELECT row, count(*) AS n, string_agg(id, ',' ORDER BY line_no) AS sequence,
          ',' || string_agg(id, ',,' ORDER BY line_no) || ',' AS w
-  FROM lines JOIN known ON trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')) = norm GROUP BY doc_id),
-hit AS (SELECT m.doc_id, r.k, r.name, r.rule FROM met m JOIN rules r ON m.w LIKE r.pattern),
+  FROM lines JOIN known USING (norm) GROUP BY row),
+hit AS (SELECT m.row, r.k, r.name, r.rule FROM met m JOIN rules r ON m.w LIKE r.pattern),
 named AS (
-  SELECT doc_id, string_agg(name, ',' ORDER BY k) AS licenses
-  FROM (SELECT doc_id, name, min(k) AS k FROM hit GROUP BY ALL) GROUP BY doc_id),
-ruled AS (SELECT doc_id, string_agg(rule, ',' ORDER BY k) AS rules FROM hit GROUP BY doc_id)
+  SELECT row, string_agg(name, ',' ORDER BY k) AS licenses
+  FROM (SELECT row, name, min(k) AS k FROM hit GROUP BY ALL) GROUP BY row),
+ruled AS (SELECT row, string_agg(rule, ',' ORDER BY k) AS rules FROM hit GROUP BY row)
 SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_known, coalesce(m.sequence, '') AS sequence,
        coalesce(n.licenses, '') AS licenses, coalesce(r.rules, '') AS rules
-FROM documents d LEFT JOIN met m USING (doc_id) LEFT JOIN named n USING (doc_id) LEFT JOIN ruled r USING (doc_id)"""
+FROM lowered d LEFT JOIN met m USING (row) LEFT JOIN named n USING (row) LEFT JOIN ruled r USING (row)"""
 
 
 def _op5_sql() -> str:
     """The claimed table as a list literal, indexed by the key's hash."""
     table = ", ".join(map(str, sharding.fill_table(sharding.shard_names())))
     return f"""
-SELECT doc_id, source, n_chars,
+SELECT *,
        list_extract([{table}], (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT
                                 % {sharding.TABLE_SIZE} + 1)::INT)::INT AS shard
 FROM documents"""
 
 
 SQL: dict[str, str] = {"op3_license_scan": _op3_sql(), "op5_sharding": _op5_sql()}
-SQL["op5_sharding_documents"] = SQL["op5_sharding"].replace("doc_id, source, n_chars,", "*,", 1)
+SQL["op5_sharding_documents"] = SQL["op5_sharding"]

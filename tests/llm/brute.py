@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -118,11 +119,10 @@ def fair_targets(sizes, share=1.5, cap=2, weights=(3, 1, 2)):
 
 def spelling(docs, drop_one_in=97, min_length=5, min_count=3):
     """Operator 11 by comparing deletions of all words: word -> the other columns."""
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     count = Counter()
     for d, t in docs:
         for run in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
-            run = run.translate(low)
+            run = run.translate(ASCII_LOWER)
             h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
             if h % drop_one_in == 0:
                 run = run[:h % len(run)] + run[h % len(run) + 1:]

@@ -232,6 +232,21 @@ def test_wrapped_licence_texts(spark):
     assert got == {i: want for i, (_, want) in enumerate(WRAPPED)}
 
 
+def test_licence_sql_knows_the_same_rules(spark, odd_rows):
+    """op3's statement on the hand-made texts, alone and side by side."""
+    import duckdb
+    import pandas as pd
+    texts = [t for t, *_ in (*LICENCES, *WRAPPED)] + [t for _, t in odd_rows]
+    texts += ["\n".join(t for t, _ in WRAPPED), " ".join(t for t, _ in WRAPPED), "MIT License\nMIT License\nmit license:\nMIT License."]
+    rows = pd.DataFrame({"doc_id": range(len(texts)), "text": texts}, columns=["doc_id", "text"])
+    con = duckdb.connect()
+    con.register("documents", rows)
+    want = sorted(con.execute(queries.SQL["op3_license_scan"]).fetchall())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, license_scan.scan_licenses(df).collect())) == want
+    assert sum(bool(r[3]) for r in want) >= 14
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_oracles(spark, name):
     from oracle.compare import compare, duck

@@ -1,8 +1,10 @@
 """Operators 6 and 7, and the pipeline."""
 
 import html
+import math
 import random
 import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -45,6 +47,74 @@ def test_wand_returns_all_above_threshold():
         assert sorted(index.wand(terms)) == sorted(i for i, s in score.items() if s >= 1 - 1e-9)
 
 
+def _leaks_by_hand(docs, items, passage=128, share=0.5, overlap=0.5, whole=0.6):
+    """Operator 6 by scoring every passage against every item: {(doc_id, item_id)}."""
+    k1, b, half, sure = 1.2, 0.75, passage // 2, passage // 2 + 1
+
+    def cut(text):
+        return re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").translate(brute.ASCII_LOWER))
+
+    def grams(words, n):
+        return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+    tokens = {i: cut(t) for i, t in items}
+    n, mean = len(tokens), sum(map(len, tokens.values())) / len(tokens)
+    df = Counter(t for words in tokens.values() for t in set(words))
+    impact, least, parts = {}, {}, {}
+    for i, text in items:
+        words, tf = tokens[i], Counter(tokens[i])
+        impact[i] = {t: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(words) / mean))
+                     for t, c in tf.items()}
+        least[i] = min((sum(impact[i][t] for t in set(words[s:s + sure])) for s in range(max(1, len(words) - sure + 1))), default=0)
+        said = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if cut(p)]
+        said = [" ".join(said[:-1]), said[-1]] if len(said) > 1 else [text, text]
+        parts[i] = [cut(p) for p in (*said, text)]
+    found = set()
+    for d, text in docs:
+        words = cut(text)
+        near = {}
+        for h in range(-(-len(words) // half)):
+            stop = h + 1 if h + 1 < -(-len(words) // half) else h
+            terms = set(words[h * half:(stop + 1) * half])
+            for i in impact:
+                if least[i] and sum(v for t, v in impact[i].items() if t in terms) >= share * least[i] * (1 - 1e-9):
+                    near.setdefault(i, []).append(h * half)
+        for i, at in near.items():
+            size = len(tokens[i])
+            around = words[max(0, at[0] - size):at[-1] + passage + size]
+            got = []
+            for part in parts[i]:
+                want = grams(part, min(5, len(part)))
+                have = grams(around, min(5, size)) | (set().union(*(grams(around, k) for k in range(1, 6))) if len(want) == 1 else set())
+                got.append(len(want & have) / len(want) if want else 0.0)
+            if got[0] >= overlap and got[1] >= overlap or got[2] >= whole:
+                found.add((d, i))
+    return found
+
+
+def test_leaks_against_every_passage_and_item(docs, bench):
+    """End to end, with items cut short, reordered and changed."""
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k, (_, text) in enumerate(items):
+        words = text.split()
+        some = [w if rng.random() > k / len(items) / 4 else "other" for w in words]
+        rows.append((10_000 + k, " ".join(["lead"] * rng.randint(0, 200) + some[:rng.randint(len(some) // 3, len(some))])))
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string")
+    want = _leaks_by_hand(rows, items)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(df, bench).collect()}
+    assert got == want and 0 < sum(d >= 10_000 for d, _ in want) < len(items)
+
+
+def test_index_of_many_short_items_is_small():
+    rng = random.Random(6)
+    vocab = ["t%d" % i for i in range(30_000)]
+    items = [(i, " ".join(rng.choices(vocab, k=14))) for i in range(20_000)]
+    df = Counter(h for _, t in items for h in set(decontaminate.token_hashes(t).view("int64").tolist()))
+    index = decontaminate.Index(items, df, len(items), 14.0)
+    assert sum(x.nbytes for x in vars(index).values() if hasattr(x, "nbytes")) < 30_000_000
+
+
 def test_leaks_inside_long_texts_and_odd_rows(spark, odd, bench):
     item = bench.orderBy("item_id").first()
     long = " ".join("filler%d" % (i % 991) for i in range(30_000))
