@@ -17,6 +17,8 @@ the shared checkpoint folder; every report then reads a pruned Parquet scan.
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,6 @@ from ..functions import day_diff, money
 from ..operators.stats import known, remember, scalar
 from ..session import scratch_path
 from ..sources import tpch
-from .calendar import calendar_bounds
 
 # Fixed values from the reference's currency standardisation (golden view,
 # sections 6 and the quality flag).  Branch order matters and is kept.
@@ -261,10 +262,13 @@ def materialize(g: DataFrame, path: str | None = None) -> DataFrame:
       .sortWithinPartitions("OrderYear", "OrderMonth")
       .write.mode("overwrite").partitionBy("OrderYear").parquet(path))
     out = spark.read.parquet(path).select(*GOLDEN_COLUMNS)
-    # The calendar's bounds and the latest order date serve nearly every
-    # report: one pass here, literals in their plans.
-    bounds = calendar_bounds(out).select("start", "end")
-    row = bounds.select("*", latest_order_date(out).alias("latest")).first()
-    if row.start is None or row.latest is None:
+    # The calendar's bounds, the latest order date and the spread of revenue
+    # serve nearly every report: one pass here, literals in their plans.
+    row = out.agg(F.min("OrderDate").alias("first"), F.max("OrderDate").alias("latest"), F.min("ShipDate").alias("first_ship"),
+                  F.max("ShipDate").alias("last_ship"), F.avg("GrossRevenueUSD").alias("mu"),
+                  F.stddev_pop("GrossRevenueUSD").alias("sd")).first()
+    if row.latest is None:
         return out
-    return remember(out, calendar=(row.start, row.end), latest=row.latest)
+    days = [d for d in (row.first, row.latest, row.first_ship, row.last_ship) if d is not None]
+    calendar = (datetime.date(min(days).year, 1, 1), datetime.date(max(days).year, 12, 31))
+    return remember(out, calendar=calendar, latest=row.latest, spread=None if row.mu is None else (row.mu, row.sd))

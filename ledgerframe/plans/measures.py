@@ -275,6 +275,21 @@ def _in(x: Column, lo_hi) -> Column:
     return c
 
 
+def rfm_scores(days: Column, orders: Column, revenue: Column) -> tuple[Column, Column, Column]:
+    """F28-F30 from a customer's days since the last order, orders and revenue."""
+    return (_score(_blank0(days), R_SCORE, "le"), _score(_blank0(orders), F_SCORE, "ge"),
+            _score(_blank0(revenue), M_SCORE, "ge"))
+
+
+def dax_segment(r: Column, f: Column, m: Column) -> Column:
+    """F31 from the three scores."""
+    seg = None
+    for name, rr, ff, mm in DAX_SEGMENTS:
+        cond = _in(r, rr) & _in(f, ff) & _in(m, mm)
+        seg = F.when(cond, F.lit(name)) if seg is None else seg.when(cond, F.lit(name))
+    return seg.otherwise(F.lit(DAX_SEGMENT_ELSE))
+
+
 def rfm_columns(g: DataFrame) -> DataFrame:
     """F24, F28-F31 per CustomerID (the calculated columns are constant per
     customer): R/F/M scores, segment and lifetime value."""
@@ -283,16 +298,10 @@ def rfm_columns(g: DataFrame) -> DataFrame:
                                     distinctcount_blank("SalesOrderID").alias("_orders"),
                                     F.sum(REV).alias("CustomerLTV"))
     days = day_diff(F.col("_last"), gmax)
-    r = _score(_blank0(days), R_SCORE, "le")
-    f = _score(_blank0(F.col("_orders")), F_SCORE, "ge")
-    m = _score(_blank0(F.col("CustomerLTV")), M_SCORE, "ge")
+    r, f, m = rfm_scores(days, F.col("_orders"), F.col("CustomerLTV"))
     s = c.select("CustomerID", r.alias("RScore"), f.alias("FScore"), m.alias("MScore"), "CustomerLTV",
                  days.alias("DaysSinceLastOrder"))
-    seg = None
-    for name, rr, ff, mm in DAX_SEGMENTS:
-        cond = _in(F.col("RScore"), rr) & _in(F.col("FScore"), ff) & _in(F.col("MScore"), mm)
-        seg = F.when(cond, F.lit(name)) if seg is None else seg.when(cond, F.lit(name))
-    return s.select("*", seg.otherwise(F.lit(DAX_SEGMENT_ELSE)).alias("CustomerSegment"))
+    return s.select("*", dax_segment(F.col("RScore"), F.col("FScore"), F.col("MScore")).alias("CustomerSegment"))
 
 
 LTV_KEPT = ["CustomerID", "CustomerSegment", "Year", "CustomerName"]
@@ -343,7 +352,11 @@ def pareto(g: DataFrame, by: list[str] = ["CategoryName"]) -> DataFrame:
     """
     if not by:
         return pareto(g.withColumn("_all", F.lit(1)), ["_all"]).drop("_all")
-    p = g.groupBy(*by, "ProductName").agg(F.sum(REV).alias("_rev"))
+    return top_products(g.groupBy(*by, "ProductName").agg(F.sum(REV).alias("_rev")), by)
+
+
+def top_products(p: DataFrame, by: list[str]) -> DataFrame:
+    """F6, F34, F35 from the revenue (``_rev``) of each product of a group."""
     order = [*[F.col(k).asc_nulls_first() for k in by], F.col("_rev").desc_nulls_last(),
              F.col("ProductName").asc_nulls_first()]
     ranked = global_row_number(p, order, "_rn").drop("_rn_total")
@@ -606,74 +619,3 @@ def territory_growth_rank(g: DataFrame) -> DataFrame:
     return (t.select("*", rank.alias("TerritoryGrowthRank"))
              .where(F.col("TotalRevenue").isNotNull() | F.col("PYRevenue").isNotNull())
              .drop("_yoy"))
-
-
-# ------------------------------------------------------------------ evaluate
-# Families that answer at any keys, with calendar columns last in their rows:
-# (columns, calendar grain, function of (fact, keys)).
-CORE, MONTH, YEAR = (), ("Year", "Month"), ("Year",)
-FAMILIES = [
-    (("TotalRevenue", "TotalProfit", "TotalOrders", "TotalCustomers", "TotalQuantity", "ProductCount", "ProfitMarginPct",
-      "AvgOrderValue", "AvgRevenuePerTransaction", "MeanRevenue"), CORE, core_measures),
-    (("AvgProcessingDays", "AvgOrdersPerDay", "AvgItemsPerOrder", "OrderFulfillmentRate", "OrdersPerDay", "AvgDiscountPct"),
-     CORE, operations_measures),
-    (("RevenueStdDev", "RevenueVariance", "RevenueZScore", "CountOfOutliers", "OutlierPctOfTotal", "PositiveOutliers",
-      "NegativeOutliers", "AlertCritical", "AlertWarning", "AlertNormal"), CORE, anomaly_measures),
-    (("Top20ProductsRevenue", "ParetoRatio"), CORE, pareto),
-    (("PMRevenue", "PYRevenue", "PMProfit", "MoMGrowthPct", "YoYGrowthPct", "MoMProfitGrowthPct", "HealthStatus",
-      "Revenue2022", "Revenue2023", "Revenue2024", "Revenue2025"), MONTH, lambda g, by: time_intelligence(g, by=by)),
-    (("PMRevenue", "PYRevenue", "PMProfit", "MoMGrowthPct", "YoYGrowthPct", "MoMProfitGrowthPct", "HealthStatus",
-      "Revenue2022", "Revenue2023", "Revenue2024", "Revenue2025"), YEAR,
-     lambda g, by: time_intelligence(g, by=by, grain="year")),
-    (("MA3Month", "MA6Month"), MONTH, lambda g, by: moving_averages(g, by=by)),
-    (("MA3Month", "MA6Month"), YEAR, lambda g, by: moving_averages(g, by=by, grain="year")),
-    (("RetentionRate", "RepeatCustomerPct", "DaysSinceLastOrder"), MONTH, lambda g, by: customer_measures(g, by)),
-    (("ForecastNextMonth", "ProfitVolatility", "ForecastConfidence", "TrendDirection"), MONTH,
-     lambda g, by: forecast_measures(g, by=by)),
-    (("SeasonalIndex",), MONTH, lambda g, by: seasonal_index(g, by=by)),
-    (("WeekdayRevenue", "WeekendRevenue"), YEAR, lambda g, by: weekpart_revenue(g, by=by)),
-]
-
-
-def evaluate(g: DataFrame, measures: list[str], by: list[str], where=None) -> DataFrame:
-    """Any of the measures at the grain ``by``: attribute columns of the
-    record, ``CustomerSegment``, and Year or Year and Month of the calendar.
-
-    ``where`` (a Column or SQL string) is the selection every measure sees.
-    Each measure comes from the one family that defines it at this grain; the
-    families are aggregated once each and joined on the keys, BLANK keys
-    included.  Rows are the keys where any of them has a row.
-    """
-    if where is not None:
-        g = g.where(where if not isinstance(where, str) else F.expr(where))
-    period = tuple(c for c in ("Year", "Month") if c in by)
-    if period == ("Month",):
-        raise ValueError("Month needs Year")
-    keys = [c for c in by if c not in period]
-    if "CustomerSegment" in keys:
-        # a calculated column: one value per customer
-        seg = rfm_columns(g).select(F.col("CustomerID").alias("_cid"), "CustomerSegment")
-        g = g.join(seg, g.CustomerID.eqNullSafe(seg._cid), "left").drop("_cid")
-    dated = (g.where(F.col("OrderDate").isNotNull()).withColumn("Year", F.col("OrderYear"))
-              .withColumn("Month", F.col("OrderMonth")) if period else g)
-    parts: list[DataFrame] = []
-    left = list(dict.fromkeys(measures))
-    for columns, grain, family in FAMILIES:
-        mine = [m for m in left if m in columns]
-        if not mine or (grain and grain != period):
-            continue
-        df = family(g, keys) if grain else family(dated, [*keys, *period])
-        parts.append(df.select(*keys, *period, *mine))
-        left = [m for m in left if m not in mine]
-    if left:
-        raise ValueError(f"not defined at the grain {by}: {left}")
-    out = parts[0]
-    for i, part in enumerate(parts[1:]):
-        other = part.select(*[F.col(c).alias(f"_{i}_{c}") if c in by else F.col(c) for c in part.columns])
-        same = F.lit(True)
-        for c in by:
-            same = same & out[c].eqNullSafe(other[f"_{i}_{c}"])
-        got = [c for c in out.columns if c not in by] + [c for c in part.columns if c not in by]
-        out = out.join(other, same, "full").select(
-            *[F.coalesce(out[c], other[f"_{i}_{c}"]).alias(c) for c in by], *got)
-    return out.select(*by, *measures)

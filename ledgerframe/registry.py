@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import calendar as C
+from .plans import evaluator as EV
 from .plans import golden as G
 from .plans import measures as M
 from .plans import pages as P
@@ -42,6 +43,9 @@ def _page(page: Callable, dataset: str) -> Callable[[DataFrame], DataFrame]:
     return lambda g: page(g)[dataset]
 
 
+TIME = ("PMRevenue", "PYRevenue", "PMProfit", "MoMGrowthPct", "YoYGrowthPct", "MoMProfitGrowthPct", "HealthStatus")
+MOVING, RETENTION = ("MA3Month", "MA6Month"), ("RetentionRate", "RepeatCustomerPct", "DaysSinceLastOrder")
+
 # Queries over the golden record: name -> callable(golden DataFrame).
 GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "d1_1": revenue.revenue_trend,
@@ -90,13 +94,35 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m_weekpart": M.weekpart_revenue,
     "m_territory": M.territory_growth_rank,
     "m_time_years": lambda g: M.time_intelligence(g, fixed_years=(1996, 1997, 1998, 1999)),
-    "m_eval_category": lambda g: M.evaluate(
+    "m_eval_category": lambda g: EV.evaluate(
         g, ["TotalRevenue", "AvgOrderValue", "OrderFulfillmentRate", "AlertCritical", "ParetoRatio"], ["CategoryName"]),
-    "m_eval_segment_year": lambda g: M.evaluate(
+    "m_eval_segment_year": lambda g: EV.evaluate(
         g, ["TotalRevenue", "TotalOrders", "YoYGrowthPct", "MA3Month", "WeekendRevenue"], ["CustomerSegment", "Year"]),
-    "m_eval_region_month": lambda g: M.evaluate(
+    "m_eval_region_month": lambda g: EV.evaluate(
         g, ["TotalRevenue", "MoMGrowthPct", "RetentionRate", "RepeatCustomerPct", "MA6Month", "TrendDirection",
             "SeasonalIndex"], ["TerritoryRegion", "Year", "Month"], where="IsOnlineOrder"),
+    "m_eval_quarter": lambda g: EV.evaluate(
+        g, ["TotalRevenue", "TotalOrders", *TIME, *MOVING, *RETENTION], ["TerritoryRegion", "Year", "Quarter"]),
+    "m_eval_day": lambda g: EV.evaluate(
+        g, ["TotalRevenue", "TotalOrders", "PMRevenue", "PYRevenue", "MoMGrowthPct", "YoYGrowthPct", "HealthStatus", *MOVING,
+            "Revenue1997"], ["CustomerType", "Date"]),
+    "m_eval_retention_year": lambda g: EV.evaluate(g, ["TotalCustomers", *RETENTION], ["CustomerType", "Year"]),
+    "m_eval_retention_month": lambda g: EV.evaluate(g, ["TotalCustomers", *RETENTION], ["Year", "Month"]),
+    # filter context: ALLEXCEPT, ALL, TOPN over ALL, RANKX over ALL, ALLSELECTED
+    "m_ctx_segment_quarter": lambda g: EV.evaluate(
+        g, ["TotalRevenue", "CustomerLTV", "RevenueZScore", "RevenueVariance", "SelectionSharePct", "Top20ProductsRevenue", "ProductCount"],
+        ["CustomerSegment", "Year", "Quarter"]),
+    "m_ctx_product_year": lambda g: EV.evaluate(
+        g, ["TotalRevenue", "ProductContributionPct", "ProductVelocity", "CustomerLTV", "RevenueZScore", "RevenueVariance"],
+        ["CategoryName", "ProductName", "Year"]),
+    "m_ctx_product_color": lambda g: EV.evaluate(
+        g, ["ProductContributionPct", "ProductVelocity", "RevenueZScore"], ["ProductColor", "ProductName"]),
+    "m_ctx_territory_quarter": lambda g: EV.evaluate(
+        g, ["TotalRevenue", "YoYGrowthPct", "TerritoryGrowthRank"], ["TerritoryName", "Year", "Quarter"]),
+    "m_ctx_type_territory_year": lambda g: EV.evaluate(
+        g, ["TotalRevenue", "TerritoryGrowthRank", "CustomerLTV"], ["CustomerType", "TerritoryName", "Year"]),
+    "m_ctx_type_month": lambda g: EV.evaluate(
+        g, ["CustomerLTV", "Top20ProductsRevenue", "ParetoRatio"], ["CustomerType", "Year", "Month"]),
     "page_1": lambda g: P.page_1(g)["kpis"],
     "page_2": P.margin_by_segment,
     "page_3": P.segment_summary,

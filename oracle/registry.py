@@ -1,6 +1,7 @@
 """Oracle SQL per registered query key."""
 
 from . import cleaning as C
+from . import evaluate as E
 from . import measures as M
 from . import pages as P
 from . import reports as R
@@ -62,3 +63,4 @@ SQL.update(C.SQL)
 SQL.update(P.DATASETS)
 SQL.update({"m_time_years": M.M_TIME_YEARS, "m_eval_category": M.M_EVAL_CATEGORY,
             "m_eval_segment_year": M.M_EVAL_SEGMENT_YEAR, "m_eval_region_month": M.M_EVAL_REGION_MONTH})
+SQL.update(E.SQL)

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerframe.plans import evaluator as EV
 from ledgerframe.plans import golden as G
 from ledgerframe.plans import measures as M
 from ledgerframe.plans import pages as P
@@ -74,9 +75,9 @@ def test_write_pages(spark, g, tmp_path):
 
 def test_evaluate_rejects_unknown_grains(g):
     with pytest.raises(ValueError, match="RetentionRate"):
-        M.evaluate(g, ["TotalRevenue", "RetentionRate"], ["CategoryName"])
-    with pytest.raises(ValueError, match="Month needs Year"):
-        M.evaluate(g, ["TotalRevenue"], ["Month"])
+        EV.evaluate(g, ["TotalRevenue", "RetentionRate"], ["CategoryName"])
+    with pytest.raises(ValueError, match="not a grain"):
+        EV.evaluate(g, ["TotalRevenue"], ["Month"])
 
 
 def test_noted_statistics_are_those_of_the_record(g):
