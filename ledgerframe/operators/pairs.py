@@ -11,14 +11,15 @@ the basket id and the line-pair statistics are rebuilt exactly:
 * pairs with values     = n1 · n2
 
 Co-occurring item pairs are the report's own output groups, so they cannot be
-skipped; what is bounded is the work per task.  A basket with k distinct
-items produces k²/2 pairs from an input of only k rows — input-size skew
-detection would not notice it.  Every basket is therefore joined in cells:
-with S = ceil(k / cell_items) buckets ``hash(item) % S``, the left side is
-replicated over the S right buckets, the right side over the S left buckets,
-and the join key is (basket, left bucket, right bucket).  Every item pair
-meets in exactly one cell, and no cell pairs more than about ``cell_items``²
-items.  An ordinary basket has S = 1: one cell, no replication.
+skipped; what is bounded is the work per row.  A basket with k distinct items
+produces k²/2 pairs from an input of only k rows.  Every basket is therefore cut
+into cells: with S = ceil(k / cell_items) buckets ``hash(item) % S``, an item goes
+to the cells of its own bucket, as left item with every right bucket and as right
+item with every left one.  Every item pair meets in exactly one cell, and no cell
+holds more than about ``2 * cell_items`` items.  An ordinary basket has S = 1.
+
+A cell's items are gathered into two short lists and paired by explode, where a
+self-join would shuffle them twice.
 """
 
 from __future__ import annotations
@@ -46,21 +47,32 @@ def item_pairs(items: DataFrame, basket: str, item_cols: list[str], order_col: s
     ``pair_value_sum`` and ``pair_value_n``.
     """
     s1, s2 = suffixes
-    sizes = items.groupBy(F.col(basket).alias("_sb")).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(cell_items)).cast("int").alias("_s"))
-    celled = items.join(sizes, items[basket] == sizes["_sb"]).select(
-        *items.columns, "_s", F.pmod(F.xxhash64(*item_cols), F.col("_s")).cast("int").alias("_own"))
-    spread = F.explode(F.sequence(F.lit(0), F.col("_s") - 1))
+    columns = [*item_cols, "_c", "_r", "_n"]
+    # Baskets of more than one cell: few, counted by partial aggregation, so
+    # that no basket is gathered to be measured.  The count reads every column
+    # of the items, which lets Spark reuse their shuffle instead of reading the
+    # lines twice.
+    large = (items.groupBy(F.col(basket).alias("_sb"))
+             .agg(F.count(F.lit(1)).alias("_k"), F.max(F.hash("_c", "_r", "_n")).alias("_read"))
+             .where((F.col("_k") > cell_items) & F.col("_read").isNotNull())
+             .select("_sb", F.ceil(F.col("_k") / F.lit(cell_items)).cast("int").alias("_s")))
+    celled = (items.where(F.col(basket).isNotNull()).join(large, F.col(basket) == F.col("_sb"), "left")
+              .select(basket, F.struct(*columns).alias("_item"), F.coalesce("_s", F.lit(1)).alias("_s")))
+    own = F.pmod(F.xxhash64(*[F.col(f"_item.{c}") for c in item_cols]), F.col("_s")).cast("int")
+    celled = celled.withColumn("_own", own)
+    every = F.sequence(F.lit(0), F.col("_s") - 1)
 
-    def side(sfx: str, mine: str, other: str) -> DataFrame:
-        rows = celled.select("*", spread.alias("_any"))
-        return rows.select(F.col(basket).alias("_b" + sfx), F.col("_own").alias(mine + sfx),
-                           F.col("_any").alias(other + sfx), *[F.col(c).alias(c + sfx) for c in item_cols],
-                           *[F.col(c).alias(c + sfx) for c in ("_c", "_r", "_n")])
-    a, b = side(s1, "_x", "_y"), side(s2, "_y", "_x")
-    same = [F.col(c + s1) == F.col(c + s2) for c in ("_b", "_x", "_y")]
-    j = a.join(b, same[0] & same[1] & same[2] 
-               & (collated(order_col + s1, collation) < collated(order_col + s2, collation)))
+    def cell(x, y, left: bool):
+        return F.struct(x.alias("x"), y.alias("y"), F.lit(left).alias("left"))
+    spots = F.concat(F.transform(every, lambda y: cell(F.col("_own"), y, True)),
+                     F.transform(every, lambda x: cell(x, F.col("_own"), False)))
+    cells = (celled.select(basket, "_item", F.explode(spots).alias("_at")).groupBy(basket, "_at.x", "_at.y")
+             .agg(F.collect_list(F.when(F.col("_at.left"), F.col("_item"))).alias("_a"),
+                  F.collect_list(F.when(~F.col("_at.left"), F.col("_item"))).alias("_b")))
+    j = (cells.where((F.size("_a") > 0) & (F.size("_b") > 0)).select(F.explode("_a").alias("a"), "_b")
+         .select("a", F.explode("_b").alias("b"))
+         .where(collated(F.col(f"a.{order_col}"), collation) < collated(F.col(f"b.{order_col}"), collation)))
+    j = j.select(*[F.col(f"a.{c}").alias(c + s1) for c in columns], *[F.col(f"b.{c}").alias(c + s2) for c in columns])
     n = F.col("_n" + s1) * F.col("_n" + s2)
     total = F.col("_r" + s1) * F.col("_n" + s2) + F.col("_r" + s2) * F.col("_n" + s1)
     return j.select(*[c + s1 for c in item_cols], *[c + s2 for c in item_cols],

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...functions import count_distinct, dec_avg, int_avg, round_half_up, safe_div
-from ...operators.stats import join_group_stats
+from ...functions import count_distinct, nullif0, round_half_up, safe_div
+from ...operators.levels import distinct_by_levels
 from ..golden import latest_year
 
 
@@ -30,14 +30,18 @@ def geo_performance(g: DataFrame, years: int = 3, approx: bool = False) -> DataF
     """
     keys = ["TerritoryName", "TerritoryRegion", "CountryRegionCode", "CustomerType",
             "IsOnlineOrder", "OrderYear", "CurrencyCode"]
-    gm = (g.where(F.col("TerritoryName").isNotNull()).groupBy(*keys)
-           .agg(F.sum("GrossRevenue").alias("TotalRevenue"),
-                F.sum("EstimatedNetProfit").alias("TotalProfit"),
-                F.avg("GrossRevenue").alias("AvgOrderValue"),
-                count_distinct("SalesOrderID", approx).alias("OrderCount"),
-                count_distinct("CustomerName", approx).alias("UniqueCustomers"),
-                F.sum(F.col("OrderQty").cast("bigint")).alias("TotalQty"),
-                count_distinct("ProductName", approx).alias("UniqueProducts")))
+    placed = g.where(F.col("TerritoryName").isNotNull())
+    if approx:
+        gm = placed.groupBy(*keys).agg(
+            F.sum("GrossRevenue").alias("TotalRevenue"), F.sum("EstimatedNetProfit").alias("TotalProfit"),
+            F.count("GrossRevenue").alias("_n"), count_distinct("SalesOrderID", True).alias("OrderCount"),
+            count_distinct("CustomerName", True).alias("UniqueCustomers"), count_distinct("ProductName", True).alias("UniqueProducts"))
+    else:
+        gm = distinct_by_levels(
+            placed, keys, {"OrderCount": "SalesOrderID", "UniqueCustomers": "CustomerName"},
+            {"TotalRevenue": ("sum", F.col("GrossRevenue")), "TotalProfit": ("sum", F.col("EstimatedNetProfit")),
+             "_n": ("sum", F.col("GrossRevenue").isNotNull().cast("bigint"))}, ("UniqueProducts", "ProductName"))
+    gm = gm.withColumn("AvgOrderValue", safe_div("TotalRevenue", "_n"))
     w = (Window.partitionBy("TerritoryName", "CustomerType", "IsOnlineOrder")
                .orderBy("OrderYear", F.col("CurrencyCode").asc_nulls_first(),
                         F.col("TerritoryRegion").asc_nulls_first(), F.col("CountryRegionCode").asc_nulls_first()))
@@ -65,18 +69,25 @@ def channel_comparison(g: DataFrame, years: int = 2, approx: bool = False) -> Da
     Here the share window runs *after* the recent-years filter (same SELECT
     level in the reference); month and currency are grouped but not shown.
     """
-    cm = (g.groupBy("IsOnlineOrder", "CategoryName", "CustomerType", "OrderYear", "OrderMonth", "CurrencyCode")
-           .agg(F.sum("GrossRevenue").alias("Revenue"),
-                F.sum("EstimatedNetProfit").alias("Profit"),
-                count_distinct("SalesOrderID", approx).alias("Orders"),
-                count_distinct("CustomerName", approx).alias("Customers"),
-                F.sum(F.col("OrderQty").cast("bigint")).alias("Quantity"),
-                dec_avg("UnitPrice").alias("AvgPrice"),
-                dec_avg("UnitPriceDiscount").alias("AvgDiscount"),
-                int_avg("OrderQty").alias("AvgQtyPerOrder"))
-           .select("*", channel_label("IsOnlineOrder").alias("Channel")))
-    recent = cm.where(F.col("OrderYear") >= latest_year(g) - (years - 1))
-    recent = join_group_stats(recent, ["Channel", "OrderYear"], [F.sum("Revenue").alias("_chan_total")])
+    keys = ["IsOnlineOrder", "CategoryName", "CustomerType", "OrderYear", "OrderMonth", "CurrencyCode"]
+    qty, disc = F.col("OrderQty").cast("bigint"), F.col("UnitPriceDiscount")
+    states = {"Revenue": ("sum", F.col("GrossRevenue")), "Profit": ("sum", F.col("EstimatedNetProfit")),
+              "_qty": ("sum", qty), "_qty_n": ("sum", qty.isNotNull().cast("bigint")),
+              "_disc": ("sum", disc), "_disc_n": ("sum", disc.isNotNull().cast("bigint"))}
+    # the filter is on a grouping column: rows of other years need no counting
+    lines = g.where(F.col("OrderYear") >= latest_year(g) - (years - 1))
+    if approx:
+        recent = lines.groupBy(*keys).agg(
+            *[F.sum(v).alias(n) for n, (_, v) in states.items()], count_distinct("SalesOrderID", True).alias("Orders"),
+            count_distinct("CustomerName", True).alias("Customers"))
+    else:
+        recent = distinct_by_levels(lines, keys, {"Orders": "SalesOrderID", "Customers": "CustomerName"}, states)
+    recent = recent.select(
+        "*", channel_label("IsOnlineOrder").alias("Channel"),
+        (F.col("_disc").cast("decimal(28,6)") / nullif0(F.col("_disc_n").cast("decimal(20,0)"))).alias("AvgDiscount"),
+        F.when(F.col("_qty_n") > 0, F.call_function("div", F.col("_qty"), F.col("_qty_n")).cast("int")).alias("AvgQtyPerOrder"))
+    # a channel's year holds combinations of dimensions and months
+    recent = recent.select("*", F.sum("Revenue").over(Window.partitionBy("Channel", "OrderYear")).alias("_chan_total"))
     return (recent.select(
                 "Channel", "CategoryName", "CustomerType", "OrderYear", "Revenue", "Profit",
                 round_half_up(safe_div("Profit", "Revenue") * 100, 2).alias("Margin_Pct"),
