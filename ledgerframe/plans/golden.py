@@ -245,14 +245,15 @@ def latest_year(g: DataFrame):
 def materialize(g: DataFrame, path: str | None = None) -> DataFrame:
     """Write the golden record once (Parquet, partitioned by ``OrderYear``)
     below the shared checkpoint folder — or to ``path``, overwritten on each
-    refresh — and return the re-read table.
+    refresh — and return the re-read table.  ``snapshot.GoldenStore`` refreshes
+    by versions instead.
 
     Every report rereads the golden record; materialising it cuts the
     lineage (executor loss re-reads files instead of recomputing the joins)
     and lets year filters prune partitions.
     """
     spark = g.sparkSession
-    path = path or scratch_path(spark, "golden")
+    given, path = path is not None, path or scratch_path(spark, "golden")
     # REBALANCE on the partition column: AQE splits a heavy year into
     # advisory-sized tasks and merges light ones, so each task writes few,
     # evenly sized files into one year folder (instead of every join task
@@ -262,6 +263,8 @@ def materialize(g: DataFrame, path: str | None = None) -> DataFrame:
       .sortWithinPartitions("OrderYear", "OrderMonth")
       .write.mode("overwrite").partitionBy("OrderYear").parquet(path))
     out = spark.read.parquet(path).select(*GOLDEN_COLUMNS)
+    if given:  # the next refresh overwrites it: what is noted now would go stale
+        return out
     # The calendar's bounds, the latest order date and the spread of revenue
     # serve nearly every report: one pass here, literals in their plans.
     row = out.agg(F.min("OrderDate").alias("first"), F.max("OrderDate").alias("latest"), F.min("ShipDate").alias("first_ship"),

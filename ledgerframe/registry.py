@@ -10,17 +10,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans import calendar as C
 from .plans import evaluator as EV
 from .plans import golden as G
 from .plans import measures as M
 from .plans import pages as P
+from .plans import snapshot as SNAP
+from .plans import views as V
 from .plans.cleaning import hr as HR
 from .plans.cleaning import person as B1
 from .plans.cleaning import production as PROD
 from .plans.cleaning import purchasing as PURCH
 from .plans.cleaning import sales as SALES
+from .session import scratch_path
 from .sources import tpch
 from .plans.reports import customer, forecast, geo, operations, pricing, product, revenue, scorecard
 
@@ -35,6 +39,25 @@ def _golden_of(src) -> DataFrame:
                     SALES.customer_profile(src), B1.clean_person(src))
 
 
+def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B18 after a second refresh: in the first version the last year is missing
+    and the quantities of the year before differ."""
+    store = SNAP.GoldenStore(spark, scratch_path(spark, "golden-store"))
+    full = _g(spark, sf_dir)
+    year, qty = F.col("OrderYear"), F.col("OrderQty")
+    store.refresh(full.where(year < 2001).withColumn("OrderQty", F.when(year == 2000, qty + 1).otherwise(qty)))
+    store.refresh(full, since=2000)
+    return store.read()
+
+
+def _through_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: a statement over the registered golden view."""
+    V.register_views(tpch.aw_sources(spark, sf_dir), tpch.AS_OF)
+    return spark.sql("SELECT TerritoryRegion, CurrencyCode, COUNT(*) AS Lines, COUNT(DISTINCT SalesOrderID) AS Orders, "
+                     "COUNT(DISTINCT CustomerEmail) AS Emails, SUM(OrderQty) AS Quantity "
+                     f"FROM {V.GOLDEN_VIEW} GROUP BY TerritoryRegion, CurrencyCode")
+
+
 def _clean(fn, **kw) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(tpch.aw_sources(spark, sf_dir), **kw)
 
@@ -94,6 +117,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m_weekpart": M.weekpart_revenue,
     "m_territory": M.territory_growth_rank,
     "m_time_years": lambda g: M.time_intelligence(g, fixed_years=(1996, 1997, 1998, 1999)),
+    "m_ship_role": lambda g: M.time_intelligence(g, date_role="ship"),
     "m_eval_category": lambda g: EV.evaluate(
         g, ["TotalRevenue", "AvgOrderValue", "OrderFulfillmentRate", "AlertCritical", "ParetoRatio"], ["CategoryName"]),
     "m_eval_segment_year": lambda g: EV.evaluate(
@@ -139,7 +163,8 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
         "g3_top": (P.page_3, "top_customers"), "g3_repeat": (P.page_3, "repeat_customers"),
         "g4_portfolio": (P.page_4, "portfolio"), "g4_stages": (P.page_4, "lifecycle_counts"),
         "g4_color": (P.page_4, "margin_by_color_category"), "g4_top": (P.page_4, "top_products"),
-        "g6_year_month": (P.page_6, "year_month"), "g6_series": (P.page_6, "month_year_series"),
+        "g5_matrix": (P.page_5, "territory_year_matrix"),
+        "g6_heatmap": (P.page_6, "month_year_heatmap"), "g6_year_month": (P.page_6, "year_month"), "g6_series": (P.page_6, "month_year_series"),
         "g7_daily": (P.page_7, "daily_orders"), "g7_kpis": (P.page_7, "kpis"), "g8_scatter": (P.page_8, "z_scatter"),
         "g8_log": (P.page_8, "anomaly_log"), "g8_kpis": (P.page_8, "kpis"), "g9_volatility": (P.page_9, "volatility"),
         "g9_trend": (P.page_9, "trend_by_category"),
@@ -167,6 +192,8 @@ TABLE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_shift": _clean(HR.shift),
     "golden_generic": lambda spark, sf_dir: _golden_of(tpch.aw_sources(spark, sf_dir)),
     "golden": _g,
+    "golden_refresh": _refreshed,
+    "views": _through_views,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(TABLE_QUERIES)

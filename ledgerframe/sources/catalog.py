@@ -9,7 +9,10 @@ the scans.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Tables read by the cleaning scripts (42 scan clauses over 35 tables).
 RAW_TABLES = (
@@ -44,6 +47,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 class Sources:
     """Name -> DataFrame mapping for the raw tables.
 
+    ``tables``: DataFrames, or functions that build them when first asked for.
+
     ``root``/``fmt``: a folder, by path or URI; ``layout`` declares where a
     table lies below it (one of LAYOUTS, or any pattern with {schema} and
     {table}); without it the layouts are tried in turn.
@@ -53,7 +58,7 @@ class Sources:
     parallel read (they must come together: Spark needs all of them).
     """
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None,
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame | Callable[[], DataFrame]] | None = None,
                  root: str | None = None, fmt: str = "parquet", jdbc: dict | None = None,
                  layout: str | None = None, table_options: dict[str, dict] | None = None):
         self.spark = spark
@@ -87,6 +92,8 @@ class Sources:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name in self._tables:
+            if not isinstance(self._tables[name], DataFrame):
+                self._tables[name] = self._tables[name]()
             return self._tables[name]
         if self.jdbc is not None:
             return self.spark.read.format("jdbc").options(**self.read_options(name)).load()
@@ -100,3 +107,31 @@ class Sources:
         t = dict(self._tables)
         t.update({k.replace("__", "."): v for k, v in more.items()})
         return Sources(self.spark, t, self.root, self.fmt, self.jdbc, self.layout, self.table_options)
+
+
+def split_predicates(keys: DataFrame, column: str, parts: int) -> list[str]:
+    """Predicates that cut a table into ``parts`` reads of about equal rows, for
+    ``spark.read.jdbc(..., predicates=...)``.
+
+    ``partitionColumn`` with bounds cuts the key's *range* evenly, so a skewed key
+    gives one long read.  Here the cuts are the quantiles of ``keys`` (the key
+    column, or a sample of it): a value that fills a whole part or more becomes
+    a part of its own, and nulls are one more.  Every row fits exactly one
+    predicate, whatever the sample missed.  Keys are numbers.
+    """
+    if parts < 2:
+        return ["1 = 1"]
+    steps = [i / parts for i in range(1, parts)]
+    row = keys.agg(F.percentile_approx(column, steps, 100 * parts).alias("cuts")).first()
+    cuts = list(row.cuts or [])
+    if not cuts:
+        return [f"{column} IS NULL", f"{column} IS NOT NULL"]
+    out, low = [], None
+    for cut in sorted(set(cuts)):
+        alone = cuts.count(cut) > 1
+        below = f"{column} < {cut}" if alone else f"{column} <= {cut}"
+        out.append(below if low is None else f"{low} AND {below}")
+        if alone:
+            out.append(f"{column} = {cut}")
+        low = f"{column} > {cut}"
+    return [*out, low, f"{column} IS NULL"]

@@ -9,7 +9,9 @@ driver table is used; nothing is filtered or sampled.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -182,5 +184,6 @@ def raw_sql(name: str) -> str:
     return " UNION ALL ".join(one(*part) for part in SPECS[name])
 
 
-def raw_tables(spark: SparkSession, sf_dir: str, read) -> dict[str, DataFrame]:
-    return {name: raw_table(lambda t: read(spark, sf_dir, t), name) for name in SPECS}
+def raw_tables(read) -> dict[str, Callable[[], DataFrame]]:
+    """Every table, built when it is called for."""
+    return {name: (lambda name=name: raw_table(read, name)) for name in SPECS}

@@ -243,51 +243,63 @@ def aw_sources(spark: SparkSession, sf_dir: str):
     category = type) are DISTINCT projections: their size is bounded by the
     number of types and brands, not by the number of parts.
     """
+    from functools import cache
+
     from .catalog import Sources
     from .raw_tables import raw_tables
 
-    p = read_table(spark, sf_dir, "part")
+    @cache
+    def read(name: str) -> DataFrame:
+        return read_table(spark, sf_dir, name)
+
     cat_id = F.xxhash64(F.col("p_type"))
     sub_id = F.xxhash64(F.col("p_type"), F.col("p_brand"))
     sell_end = _pick(F.col("p_partkey") % 4, SELL_END_BY_KEY_MOD4).cast("timestamp")
-    product = p.select(
-        F.col("p_partkey").alias("ProductID"), F.col("p_name").alias("Name"),
-        F.concat(F.lit("PN-"), F.col("p_partkey").cast("string")).alias("ProductNumber"),
-        F.split(F.col("p_name"), " ").getItem(0).alias("Color"),
-        F.col("p_size").cast("string").alias("Size"),
-        _dec_from_units(F.call_function("div", _cents(F.col("p_retailprice")), F.col("p_size").cast("bigint")),
-                        2, "decimal(19,4)").alias("StandardCost"),
-        _dec_from_units(_cents(F.col("p_retailprice")), 2, "decimal(19,4)").alias("ListPrice"),
-        lit_date(SELL_START).cast("timestamp").alias("SellStartDate"),
-        sell_end.alias("SellEndDate"),
-        sub_id.alias("ProductSubcategoryID"),
-        F.lit(None).cast("bigint").alias("ProductModelID"),
-        (F.col("p_size") * 10).alias("SafetyStockLevel"))
-    subcat = p.select(sub_id.alias("ProductSubcategoryID"), F.col("p_brand").alias("Name"),
-                      cat_id.alias("ProductCategoryID")).distinct()
-    category = p.select(cat_id.alias("ProductCategoryID"), F.col("p_type").alias("Name")).distinct()
-    model = spark.createDataFrame([], "ProductModelID bigint, Name string")
-
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    n = F.broadcast(read_table(spark, sf_dir, "nation"))
-    r = F.broadcast(read_table(spark, sf_dir, "region"))
     kind = F.col("c_custkey") % 3
-    customer = c.select(
-        F.col("c_custkey").alias("CustomerID"),
-        F.when(kind == 0, F.col("c_custkey")).alias("StoreID"),
-        F.when(kind == 1, F.col("c_custkey")).alias("PersonID"),
-        F.col("c_nationkey").alias("TerritoryID"),
-        F.concat(F.lit("AW"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("AccountNumber"))
-    store = c.where(kind == 0).select(F.col("c_custkey").alias("BusinessEntityID"), F.col("c_name").alias("Name"))
-    territory = n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
-        F.col("n_nationkey").alias("TerritoryID"), F.col("n_name").alias("Name"),
-        F.col("r_name").alias("Group"),
-        _pick(F.col("n_nationkey") % 6, COUNTRY_BY_NATION_MOD6).alias("CountryRegionCode"))
-
-    tables = {
-        "Production.Product": product, "Production.ProductSubcategory": subcat,
-        "Production.ProductCategory": category, "Production.ProductModel": model,
+
+    def product() -> DataFrame:
+        return read("part").select(
+            F.col("p_partkey").alias("ProductID"), F.col("p_name").alias("Name"),
+            F.concat(F.lit("PN-"), F.col("p_partkey").cast("string")).alias("ProductNumber"),
+            F.split(F.col("p_name"), " ").getItem(0).alias("Color"),
+            F.col("p_size").cast("string").alias("Size"),
+            _dec_from_units(F.call_function("div", _cents(F.col("p_retailprice")), F.col("p_size").cast("bigint")),
+                            2, "decimal(19,4)").alias("StandardCost"),
+            _dec_from_units(_cents(F.col("p_retailprice")), 2, "decimal(19,4)").alias("ListPrice"),
+            lit_date(SELL_START).cast("timestamp").alias("SellStartDate"),
+            sell_end.alias("SellEndDate"),
+            sub_id.alias("ProductSubcategoryID"),
+            F.lit(None).cast("bigint").alias("ProductModelID"),
+            (F.col("p_size") * 10).alias("SafetyStockLevel"))
+
+    def subcategory() -> DataFrame:
+        return read("part").select(sub_id.alias("ProductSubcategoryID"), F.col("p_brand").alias("Name"),
+                                   cat_id.alias("ProductCategoryID")).distinct()
+
+    def category() -> DataFrame:
+        return read("part").select(cat_id.alias("ProductCategoryID"), F.col("p_type").alias("Name")).distinct()
+
+    def customer() -> DataFrame:
+        return read("customer").select(
+            F.col("c_custkey").alias("CustomerID"),
+            F.when(kind == 0, F.col("c_custkey")).alias("StoreID"),
+            F.when(kind == 1, F.col("c_custkey")).alias("PersonID"),
+            F.col("c_nationkey").alias("TerritoryID"),
+            F.concat(F.lit("AW"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("AccountNumber"))
+
+    def store() -> DataFrame:
+        return read("customer").where(kind == 0).select(F.col("c_custkey").alias("BusinessEntityID"), F.col("c_name").alias("Name"))
+
+    def territory() -> DataFrame:
+        n, r = F.broadcast(read("nation")), F.broadcast(read("region"))  # 25 and 5 rows at every scale
+        return n.join(r, n.n_regionkey == r.r_regionkey, "left").select(
+            F.col("n_nationkey").alias("TerritoryID"), F.col("n_name").alias("Name"),
+            F.col("r_name").alias("Group"),
+            _pick(F.col("n_nationkey") % 6, COUNTRY_BY_NATION_MOD6).alias("CountryRegionCode"))
+
+    # Built when they are asked for: a dataset reads a few of the 35 tables.
+    return Sources(spark, {
+        "Production.Product": product, "Production.ProductSubcategory": subcategory, "Production.ProductCategory": category,
+        "Production.ProductModel": lambda: spark.createDataFrame([], "ProductModelID bigint, Name string"),
         "Sales.Customer": customer, "Sales.Store": store, "Sales.SalesTerritory": territory,
-    }
-    tables.update(raw_tables(spark, sf_dir, read_table))
-    return Sources(spark, tables)
+        **raw_tables(read)})

@@ -1,8 +1,10 @@
 """Oracle SQL of `evaluate`: each measure from its definition, by joining every
 (member, period) of a dense grid with the rows its date range holds."""
 
+from .cleaning import SQL as CLEANING
 from .common import BOUNDS, d, div, growth, r, with_golden
-from .measures import RFM_C, RFM_S, RFM_SEG, _health, _trend
+from .measures import RFM_C, RFM_S, RFM_SEG, _health
+from .reports import GOLDEN_SELECT
 
 _DAY = "OrderDate"
 # Grain: columns, periods of the calendar as (columns, first day, last day).
@@ -40,7 +42,8 @@ _VARIANCE = (f"(CAST(SUM(CAST(GrossRevenueUSD AS DECIMAL(19,6)) * CAST(GrossReve
 
 
 def statement(keys: list[str], grain: str | None, columns: dict[str, str], there: str, ranges: dict[str, tuple[str, str]] | None = None,
-              customers: bool = False, segment: bool = False, more: str = "") -> str:
+              customers: bool = False, segment: bool = False, more: str = "",
+              date: str = _DAY) -> str:
     """``columns``: name -> expression over the grid row ``q`` and its ranges:
     now_rev, now_n, now_prof, now_qty, now_orders and, for each further range,
     <range>_rev, <range>_n, <range>_prof; customers, before, kept, again, last."""
@@ -51,7 +54,9 @@ def statement(keys: list[str], grain: str | None, columns: dict[str, str], there
     source = "golden g LEFT JOIN seg ON seg.CustomerID IS NOT DISTINCT FROM g.CustomerID" if segment else "golden g"
     cols = "g.*, seg.CustomerSegment" if segment else "g.*"
     ctes = [RFM_C, RFM_S, RFM_SEG] if segment else []
-    dated = "WHERE OrderDate IS NOT NULL" if grain else ""
+    dated = f"WHERE {date} IS NOT NULL" if grain else ""
+    if date != _DAY:
+        cols = f"g.* REPLACE ({date} AS {_DAY})"
     ctes += [BOUNDS, f"fact AS (SELECT {cols} FROM {source} {dated})"]
     if grain:
         ctes += [f"periods AS (SELECT {GRAINS[grain]} FROM (SELECT unnest(generate_series(CAST(s AS TIMESTAMP), CAST(e AS TIMESTAMP), "
@@ -240,7 +245,31 @@ M_CTX_TYPE_MONTH = statement(
     {"CustomerLTV": d(_over("now_rev", "Year")), "Top20ProductsRevenue": d("top"),
      "ParetoRatio": r(div("top", "now_rev", "0.0") + " * 100", 6)}, _ROWS, more=_top(["CustomerType"], "Month"))
 
+M_SHIP_ROLE = statement(
+    [], "Month",
+    {"TotalRevenue": d("now_rev"), "TotalProfit": d("now_prof"),
+     **_time_columns(("PMRevenue", "PYRevenue", "PMProfit", "MoMGrowthPct", "YoYGrowthPct", "MoMProfitGrowthPct", "HealthStatus")),
+     **{f"Revenue{k}": d(f"(SELECT SUM(rev) FROM daily WHERE year(day) = {k} AND month(day) = q.Month)") for k in (2022, 2023, 2024, 2025)}},
+    _TIME, _ranges("Month", "pm", "py"), date="ShipDate")
+
+# The calendar of the driver's tables, for the columns of the two matrices.
+_CALENDAR = range(1995, 2002)
+
+
+def _matrix(row: str) -> str:
+    return with_golden() + f"SELECT {row}, " + ", ".join(
+        d(f"SUM(CASE WHEN OrderYear = {y} THEN GrossRevenueUSD END)") + f' AS "{y}"' for y in _CALENDAR
+    ) + " FROM golden WHERE OrderDate IS NOT NULL GROUP BY 1"
+
+
+G5_MATRIX, G6_HEATMAP = _matrix("TerritoryName"), _matrix("OrderMonth AS Month")
+
+VIEWS = f"""SELECT TerritoryRegion, CurrencyCode, COUNT(*) AS Lines, COUNT(DISTINCT SalesOrderID) AS Orders,
+  COUNT(DISTINCT CustomerEmail) AS Emails, CAST(SUM(OrderQty) AS BIGINT) AS Quantity
+FROM ({CLEANING['golden_generic']}) GROUP BY TerritoryRegion, CurrencyCode"""
+
 SQL = {
+    "m_ship_role": M_SHIP_ROLE, "g5_matrix": G5_MATRIX, "g6_heatmap": G6_HEATMAP, "views": VIEWS, "golden_refresh": GOLDEN_SELECT,
     "m_eval_quarter": M_EVAL_QUARTER, "m_eval_day": M_EVAL_DAY, "m_eval_retention_year": M_EVAL_RETENTION_YEAR,
     "m_eval_retention_month": M_EVAL_RETENTION_MONTH_ALL,
     "m_ctx_segment_quarter": M_CTX_SEGMENT_QUARTER, "m_ctx_product_year": M_CTX_PRODUCT_YEAR,

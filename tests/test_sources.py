@@ -56,3 +56,26 @@ def test_isnull_takes_the_type_of_its_first_argument(spark):
     from ledgerframe.functions import isnull_typed
     df = spark.range(1).select(isnull_typed(F.lit(None).cast("decimal(9,2)"), "7", "decimal(9,2)").alias("x"))
     assert df.dtypes == [("x", "decimal(9,2)")] and str(df.first().x) == "7.00"
+
+
+def test_split_predicates_cut_rows_evenly(spark):
+    """Half of the rows in one key, a long sparse tail, and nulls."""
+    from ledgerframe.sources.catalog import split_predicates
+    keys = [7] * 5000 + list(range(100, 3100)) + [10 ** 9 + i * 10 ** 6 for i in range(1000)] + [None] * 50
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    parts = split_predicates(df, "k", 8)
+    sizes = [df.where(p).count() for p in parts]
+    assert sum(sizes) == len(keys) and df.where(" OR ".join(f"({p})" for p in parts)).count() == len(keys)
+    assert sizes[parts.index("k = 7")] == 5000 and max(x for p, x in zip(parts, sizes) if p != "k = 7") <= 2 * len(keys) / 8
+    # even ranges would put all but the tail into one read
+    assert df.where("k < 250000000").count() == 8000
+    assert split_predicates(df.where("k IS NULL"), "k", 4) == ["k IS NULL", "k IS NOT NULL"] and split_predicates(df, "k", 1) == ["1 = 1"]
+    few = split_predicates(spark.createDataFrame([(1,), (2,)], "k long"), "k", 4)
+    assert [spark.createDataFrame([(1,), (2,), (None,)], "k long").where(p).count() for p in few if p] .count(1) >= 2
+
+
+def test_tables_are_built_when_asked_for(spark):
+    from ledgerframe.sources.catalog import Sources
+    built = []
+    src = Sources(spark, {"A.B": lambda: built.append(1) or spark.range(3), "A.C": lambda: 1 / 0})
+    assert "A.C" in src and src["A.B"].count() == 3 and src["A.B"].count() == 3 and built == [1]
