@@ -9,6 +9,9 @@ bench and the driver's entry point set a folder on the context where it is unset
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,9 +63,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_MADE: ContextVar[list[str] | None] = ContextVar("intermediate tables", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, the intermediate tables that plans built inside it
+    wrote below the shared folder (their paths are the context's value).
+
+    Results must be written, or collected, inside: a DataFrame that leaves the
+    context would read tables that are gone.  Contexts nest; each removes its own."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

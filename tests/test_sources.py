@@ -79,3 +79,15 @@ def test_tables_are_built_when_asked_for(spark):
     built = []
     src = Sources(spark, {"A.B": lambda: built.append(1) or spark.range(3), "A.C": lambda: 1 / 0})
     assert "A.C" in src and src["A.B"].count() == 3 and src["A.B"].count() == 3 and built == [1]
+
+
+def test_intermediate_tables_go_with_their_context(spark):
+    from ledgerframe.session import intermediate_tables, materialized
+    from ledgerframe.sources.catalog import _exists
+    kept = materialized(spark.range(5), "kept")
+    with intermediate_tables(spark) as outer:
+        a = materialized(spark.range(3), "t")
+        with intermediate_tables(spark) as inner:
+            assert materialized(spark.range(4), "t").count() == 4
+        assert a.count() == 3 and not _exists(spark, inner[0]) and _exists(spark, outer[0])
+    assert not _exists(spark, outer[0]) and kept.count() == 5
