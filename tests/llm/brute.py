@@ -184,3 +184,38 @@ def hard_negatives(rows, every=50, n_pos=5, n_neg=3):
             hard = [(n, -t) for t, n, other in scored if other != lab and 50 * -s <= 100 * -t <= 95 * -s][:n_neg]
             out += [(a, i, k + 1, n, -s, t) for k, (n, t) in enumerate(hard)]
     return sorted(out)
+
+
+def verdicts(docs, labels, hashes, bits=14, scale=1 << 16, prior=1000.0):
+    """Operator 8's model counted word by word: doc_id -> kept.
+
+    docs: (doc_id, text); labels: (doc_id, good, fits); hashes(words) -> (64-bit
+    hashes of the words, of their pairs)."""
+    size = 1 << bits
+    grams_of = {}
+    for d, t in docs:
+        one, two = hashes(words(t))
+        grams_of[d] = [int(h) >> (64 - bits) for h in (*one, *two)]
+    trusted = {d for d, good, fits in labels if good and fits}
+    if not trusted:
+        return {d: not base_metrics(t)[5] for d, t in docs}
+    raw = Counter(g for d in grams_of for g in grams_of[d])
+    fine = Counter(g for d in trusted if d in grams_of for g in grams_of[d])
+    n_raw, n_fine = sum(raw.values()), sum(fine.values())
+    weight = {}
+    for g in raw:
+        p = (raw[g] + 1) / (n_raw + size)
+        weight[g] = round(math.log((fine[g] + prior * p) / (n_fine + prior) / p) * scale)
+    total = {d: sum(weight[g] for g in gs) for d, gs in grams_of.items()}
+    held = [(good, total[d] // len(grams_of[d])) for d, good, fits in labels if not fits and grams_of.get(d)]
+    good, bad = ([s for g, s in held if g is x] for x in (True, False))
+    if good and bad:
+        cuts = sorted({*good, *(s + 1 for s in bad)})
+        worth = {c: sum(s >= c for s in good) / len(good) + sum(s < c for s in bad) / len(bad) for c in cuts}
+        best = min(c for c in cuts if worth[c] == max(worth.values()))
+        below = [s for s in bad if s < best]
+        low = max(below) if below else best - 1
+        cut = (low + best) // 2 + 1 if best > low + 1 else best
+    else:
+        cut = None
+    return {d: not base_metrics(t)[5] and (cut is None or total[d] >= cut * len(grams_of[d])) for d, t in docs}

@@ -1,5 +1,6 @@
 """Operators 6 and 7, and the pipeline."""
 
+import hashlib
 import html
 import math
 import random
@@ -7,9 +8,12 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerframe.llm import decontaminate, html_extract
+from ledgerframe.llm import decontaminate, html_extract, quality, sharding
+from ledgerframe.llm.textbatch import grams, span_hash
 
 from . import brute
 from .conftest import SF
@@ -270,6 +274,84 @@ def test_common_subsequence():
         assert sum(html_extract.shared_lines(a, b)) == best[-1][-1]
 
 
+def _hashes(ws):
+    """The library's hashes of words and of pairs of words."""
+    data = np.frombuffer(b" ".join(ws) or b" ", dtype=np.uint8)
+    end = np.cumsum([len(w) + 1 for w in ws], dtype=np.int64) - 1
+    one = span_hash(data, end - np.array([len(w) for w in ws], dtype=np.int64), end)
+    return one.tolist(), grams(one, 2).tolist()
+
+
+def _labels(spark, docs, sf):
+    """(doc_id, good, fits the model): the split is by the hash of the id."""
+    rows = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("odd"))
+    return [(r.doc_id, r.quality == 1, r.odd == 0) for r in rows.collect()]
+
+
+def _rows_of(df):
+    return [(r.doc_id, r.text) for r in df.collect()]
+
+
+def test_quality_verdicts_against_plain_counting(spark, docs):
+    rows = _rows_of(docs)
+    want = brute.verdicts(rows, _labels(spark, docs, SF), _hashes)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {r.doc_id: r.kept for r in quality.quality_rules(docs, labels).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want)
+
+
+def test_whole_pipeline_against_plain_stages(spark, docs, bench):
+    """run() from the documents to the shards: the rows that three stages keep,
+    the mix's words by source, and every shard."""
+    rows = _rows_of(docs)
+    kept = brute.verdicts(rows, _labels(spark, docs, SF), _hashes)
+    rows = [(d, t) for d, t in rows if kept[d]]
+    least = {c for _, c in brute.near_copies(rows).values()}
+    rows = [(d, t) for d, t in rows if d in least]
+    leaks = {d for d, _ in _leaks_by_hand(rows, [(r.item_id, r.text) for r in bench.collect()])}
+    left = {d: t for d, t in rows if d not in leaks}
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in out} <= left.keys()
+    taken, source = Counter(), {r.doc_id: r.source for r in docs.collect()}
+    for r in out:
+        taken[r.doc_id] += len(brute.words(r.text))
+        assert Counter(brute.words(r.text)) <= Counter(brute.words(left[r.doc_id]))  # blocks of one epoch
+    sizes, got = Counter(), Counter()
+    for d, t in left.items():
+        sizes[source[d]] += len(brute.words(t))
+        got[source[d]] += taken[d]
+        assert taken[d] <= 2 * len(brute.words(t))
+    for s, target in brute.fair_targets(dict(sizes)).items():
+        assert abs(got[s] - target) <= 0.05 * target + 2 * 128
+    table = sharding.fill_table(sharding.shard_names())
+    for r in out:
+        h = int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16)
+        assert r.shard == table[h % sharding.TABLE_SIZE]
+
+
+def test_pipeline_over_odd_rows(spark, odd, odd_rows, tmp_path):
+    """Nulls everywhere, repeated and missing ids, clashing columns, very long
+    texts, no labels; and an empty table."""
+    prose = dict(odd_rows)[9]
+    more = odd.where("doc_id IN (6, 9)").withColumn("doc_id", F.lit(None).cast("long"))
+    other = odd.where("doc_id = 9").withColumn("text", F.lit(prose[::-1]))
+    long = odd.where("doc_id = 9").withColumn("doc_id", F.lit(99)).withColumn("text", F.lit(" ".join("u%d" % i for i in range(100_000))))
+    for name, table in (("odd", odd.unionByName(more).unionByName(more).unionByName(other).unionByName(long)), ("none", odd.limit(0))):
+        sf = f"{tmp_path}/{name}"
+        table.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert out.columns == [*odd.columns, "shard"]
+        got = {(r.doc_id, r.text[:40]) for r in out.collect()}
+        if name == "none":
+            assert not got
+        else:
+            # Two texts share id 9 and one of them has no id either; the null id
+            # comes first, so it stands for its copies.
+            assert {d for d, _ in got} >= {None, 9, 99} and len([1 for d, _ in got if d == 9]) == 1
+
+
 def test_pipeline(spark, docs, bench):
     """Each stage against its plain version on its own input."""
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_copies", "decontaminated", "mix_sources", "shard"]
