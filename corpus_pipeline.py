@@ -3,15 +3,18 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet and read again as the next stage's input.  All stages but the last
 return the columns of `documents`.
+
+Cases, for every stage: an empty table gives no rows; other columns of
+`documents`, whatever their names, are handed on; very long texts are taken
+whole.  A null text is an empty one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerframe.llm import decontaminate, mixing, ngram_join, quality, sharding
+from ledgerframe.session import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,27 +22,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that the quality rules reject go."""
+    """Operator 8: documents that the quality rules reject go, texts without 50
+    words (null and empty ones too) among them; repeated rows and rows without an
+    id are decided by their text alike.  Without labels the base rules decide."""
     return quality.keep_good(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: one document of each group of near copies stays."""
+    """Operator 4: one document of each group of near copies stays, the one of
+    the least doc_id (a missing id is the least); of rows that repeat id and text
+    one stays, different texts under one id or none are different documents."""
     return ngram_join.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that leak a benchmark item go."""
+    """Operator 6: documents that leak a benchmark item go; repeated rows alike.
+    Items without text leak nowhere."""
     return decontaminate.drop_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: what the mix takes of each document, once per epoch."""
+    """Operator 1: what the mix takes of each document, once per epoch; a null
+    source is a source, and the last; rows that repeat an id are documents of
+    their own; documents without words are not taken."""
     return mixing.mix_documents(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: every row with its shard."""
+    """Operator 5: every row with its shard, by doc_id; rows without an id share one."""
     return sharding.assign_shards(docs)
 
 
@@ -52,17 +62,14 @@ STAGES = [
 ]
 
 # The model of the quality stage and the permutations of the mix have no SQL
-# form; tests/llm compare run() with a brute-force version.
+# form; tests/llm compare run() with plain versions of its stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to `documents`; intermediate tables are written below
     the shared folder named by spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        raise RuntimeError("spark.checkpoint.dir is not set: the stages need a shared folder")
-    root = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex[:12]}"
+    root = scratch_path(spark, "pipeline")
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
         out = f"{root}/{k}-{name}"
