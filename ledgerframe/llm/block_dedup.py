@@ -37,6 +37,7 @@ from .textbatch import SPACE, U64, Slices, TextBlock, grams, mix, span_hash, tex
 WIDTH = 20
 GRAM = 5
 SHARD_WORDS = 1_000_000
+HOT_STEP = 4
 
 
 def _words_as_elements(blk: TextBlock, k: int):
@@ -143,10 +144,13 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
               .where(F.struct("doc_id", "th", "off") != F.col("rep"))
               .select("doc_id", "th", F.col("off").alias("s"), (F.col("off") + F.col("n") - 1 + width).alias("e")))
 
-    def cut(raw: bytes, off, n):
+    def word_hashes(raw: bytes) -> np.ndarray:
         blk = TextBlock(np.frombuffer(raw, dtype=np.uint8), np.array([0]), np.array([len(raw)]), 0)
         ws, we, _ = blk.words()
-        h = span_hash(blk.data, ws, we)
+        return span_hash(blk.data, ws, we)
+
+    def cut(raw: bytes, off, n):
+        h = word_hashes(raw)
         return [h[o:o + m - 1 + width].tobytes() for o, m in zip(off.tolist(), n.tolist(), strict=True)]
 
     def compare(batches):
@@ -162,9 +166,11 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
                                                     (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)],
                     names=["doc_id", "th", "s", "e"])
 
-    parts = R.slices(texts, R.compared_classes(kinds), cut)
-    compared = (parts.repartition("key").sortWithinPartitions("key")
+    few, many = R.compared_classes(kinds)
+    compared = (R.slices(texts, few, cut).repartition("key").sortWithinPartitions("key")
                 .mapInArrow(compare, "doc_id long, th int, s int, e int"))
+    if many is not None:
+        compared = compared.unionByName(R.hot_ranges(texts, many, word_hashes, width, HOT_STEP, later_only=True))
     return folded.unionByName(compared), texts
 
 

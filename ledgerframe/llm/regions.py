@@ -15,6 +15,12 @@ compared further (`classes`), which folds groups of copies of any size into
 one row by partial aggregation.  First rows of keys with several digests are
 sent, with their elements, to the exact comparison (`slices`).
 
+*Hot keys.*  A passage that very many documents hold gives its keys about as
+many different slices, as each end of it runs on into its own document.  Keys of
+more than GROUP_SLICES slices are not gathered: their windows are compared as
+rows, grouped by Spark (`hot_ranges`).  So no task holds more slices of a key
+than that, whatever the corpus.
+
 A document is known by (doc_id, hash of its text): rows that repeat both are
 one document.  A null doc_id stands for the smallest integer.
 """
@@ -32,6 +38,7 @@ from ..session import scratch_path
 from .textbatch import NULL_ID, U64, Slices, TextBlock, mix, text_blocks, window_argmin
 
 PIECE = 1 << 22
+GROUP_SLICES = 4096
 
 ANCHORS = "key long, digest long, doc_id long, th int, off int, rel int, n int"
 
@@ -127,10 +134,13 @@ def classes(anchors: DataFrame) -> DataFrame:
     return saved(g.select("key", "digest", "c", "rep.*"), "classes")
 
 
-def compared_classes(kinds: DataFrame) -> DataFrame:
-    """The classes that share their key with another class."""
-    several = saved(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key"), "several")
-    return kinds.join(several, "key")
+def compared_classes(kinds: DataFrame, group_slices: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The classes that share their key with another class: of keys with up to
+    `group_slices` of them, and of the others (None: there are none)."""
+    bound = GROUP_SLICES if group_slices is None else group_slices
+    several = saved(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
+    few, many = (kinds.join(several.where(w).select("key"), "key") for w in (f"kinds <= {bound}", f"kinds > {bound}"))
+    return few, None if several.where(f"kinds > {bound}").isEmpty() else many
 
 
 def repeated_documents(docs: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -189,6 +199,73 @@ def _slice_batch(rows: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in kinds.items()], names=list(kinds))
 
 
+_RUNS = ("key long, r int, core long, lo int, m int, full long, doc_id long, th int, pos int, digests array<long>")
+
+
+def hot_ranges(texts: DataFrame, reps: DataFrame, elements: Callable, width: int, step: int, later_only: bool) -> DataFrame:
+    """(doc_id, th, s, e) of the repeated windows of hot keys, by rows.
+
+    A slice's windows are cut into runs of `step`, counted from the anchor, so
+    that runs meet their like.  All windows of a run hold the same core; a run
+    whose core occurs once holds no repeated window and goes.  Equal runs fold
+    by partial aggregation; the windows of the different ones are compared one
+    by one.  `later_only`: without the first of equal windows.
+
+    elements(text bytes) -> array of the elements."""
+    def task(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for d, t, text, items in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(),
+                                         batch.column("text"), batch.column("items").to_pylist(), strict=True):
+                body = Slices(elements(text.as_py().encode("utf-8", "surrogatepass")))
+                for i in items:
+                    key, off, rel, n = i["key"], i["off"], i["rel"], i["n"]
+                    w = np.arange(n)
+                    digests = body.hash(off + w, off + w + width)
+                    run = (w - rel) // step
+                    begin = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+                    end = np.append(begin[1:], n)
+                    at = off + rel + run[begin] * step  # where the whole run would begin
+                    cores = signed(body.hash(at + step - 1, at + width)).tolist()
+                    for x, y, r, core in zip(begin.tolist(), end.tolist(), run[begin].tolist(), cores, strict=True):
+                        own = digests[x:y]
+                        rows.append((key, r, core, x - rel - r * step, y - x, int(signed(Slices(own).hash(np.array([0]), np.array([y - x])))[0]),
+                                     d, t, off + x, signed(own).tolist()))
+                if len(rows) > 20_000:
+                    yield _run_batch(rows)
+                    rows = []
+            if rows:
+                yield _run_batch(rows)
+    todo = per_document(reps, ["key", "off", "rel", "n"])
+    runs = saved(texts.join(todo, ["doc_id", "th"]).mapInArrow(task, _RUNS), "runs")
+    spot = ["key", "r", "core"]
+    cores = saved(runs.groupBy(*spot).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(*spot), "cores")
+    live = saved(runs.join(cores, spot).drop("core"), "live")
+    kind, place = ["key", "r", "lo", "m", "full"], F.struct("doc_id", "th", "pos")
+    kinds = saved(live.groupBy(*kind).agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("rep"),
+                                          F.min("digests").alias("digests")), "runkinds")
+    copies = live.drop("digests").join(kinds.where("c > 1").select(*kind, "rep"), kind)
+    if later_only:
+        copies = copies.where(place != F.col("rep"))
+    folded = copies.select("doc_id", "th", F.col("pos").alias("s"), (F.col("pos") + F.col("m") - 1 + width).alias("e"))
+    windows = kinds.select("key", "r", "lo", "rep", F.posexplode("digests").alias("i", "digest")).select(
+        "key", (F.col("r") * step + F.col("lo") + F.col("i")).alias("a"), "digest",
+        F.struct("rep.doc_id", "rep.th", (F.col("rep.pos") + F.col("i")).alias("pos")).alias("at"))
+    same = ["key", "a", "digest"]
+    met = windows.groupBy(*same).agg(F.count(F.lit(1)).alias("c"), F.min("at").alias("least")).where("c > 1")
+    hit = windows.join(met.select(*same, "least"), same)
+    if later_only:
+        hit = hit.where("at > least")
+    return folded.unionByName(hit.select("at.doc_id", "at.th", F.col("at.pos").alias("s"), (F.col("at.pos") + width).alias("e")))
+
+
+def _run_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(),
+             pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                      names=[c.split()[0] for c in _RUNS.split(", ")])
+
+
 def shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[dict]:
     """Rows sorted by key, in shards of about `limit` body bytes that end
     between keys; rows that repeat (key, doc_id, th, off) come once."""

@@ -31,6 +31,7 @@ WIDTH = 400
 GRAM = 64
 SHARD_BYTES = 3_000_000
 QUEUE_MEMORY = 1 << 27
+HOT_STEP = 16
 
 
 def _bytes_as_elements(blk: TextBlock, k: int):
@@ -78,9 +79,12 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
                                                     (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)],
                     names=["doc_id", "th", "s", "e"])
 
-    parts = R.slices(texts, R.compared_classes(kinds), cut)
-    compared = (parts.repartition("key").sortWithinPartitions("key")
+    few, many = R.compared_classes(kinds)
+    compared = (R.slices(texts, few, cut).repartition("key").sortWithinPartitions("key")
                 .mapInArrow(compare, "doc_id long, th int, s int, e int"))
+    if many is not None:
+        compared = compared.unionByName(R.hot_ranges(
+            texts, many, lambda raw: np.frombuffer(raw, dtype=np.uint8), width, HOT_STEP, later_only=False))
     return folded.unionByName(compared), texts
 
 

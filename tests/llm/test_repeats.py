@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ledgerframe.llm import block_dedup, suffix_dedup
+from ledgerframe.llm import block_dedup, regions, suffix_dedup
 from ledgerframe.llm.induced import repeated_starts
 
 from . import brute
@@ -76,3 +76,26 @@ def test_null_and_repeated_ids(spark, odd_rows):
 def test_empty_tables(nothing):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
     assert block_dedup.remove_later_repeats(nothing).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, 3])
+def test_hot_keys_are_compared_by_rows(spark, docs, odd, odd_rows, monkeypatch, bound):
+    """The same results when (nearly) every key counts as hot."""
+    monkeypatch.setattr(regions, "GROUP_SLICES", bound)
+    assert _op9(odd) == brute.repeats(odd_rows) and _op10(odd) == brute.later_repeats(odd_rows)
+    pairs = _pairs(docs)
+    assert _op9(docs) == brute.repeats(pairs) and _op10(docs) == brute.later_repeats(pairs)
+
+
+def test_a_passage_in_many_documents(spark, monkeypatch):
+    """One passage, each time between other words, and chance likenesses of a
+    few letters or words at its ends."""
+    monkeypatch.setattr(regions, "GROUP_SLICES", 10)
+    rng = random.Random(8)
+    passage = " ".join("p%d" % rng.randint(0, 999) for _ in range(120))
+    rows = []
+    for i in range(150):
+        left, right = (" ".join("%s%d" % (x, rng.randint(0, 2)) for _ in range(rng.randint(0, 30))) for x in "ab")
+        rows.append((i, f"{left} {passage[rng.randint(0, 60):len(passage) - rng.randint(0, 60)]} {right}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert _op9(df) == brute.repeats(rows) and _op10(df) == brute.later_repeats(rows)
