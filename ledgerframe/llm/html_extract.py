@@ -31,10 +31,11 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from bisect import bisect_left
-from collections import namedtuple
+from collections import Counter, namedtuple
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -130,6 +131,7 @@ def _blocks(source: str, ended: tuple[str, ...]) -> tuple[list[tuple[str, str]],
     piece: list[str] = []
     aside: list[str] = []                  # text inside chrome
     stack: list[tuple[str, str]] = []      # open elements: (tag, chrome kind)
+    tags, kinds = Counter(), Counter()     # how many of each are open: no search of the stack
     chrome = articles = mains = 0
     held: set[str] = set()
 
@@ -144,6 +146,8 @@ def _blocks(source: str, ended: tuple[str, ...]) -> tuple[list[tuple[str, str]],
     def pop():
         nonlocal chrome, articles, mains
         tag, kind = stack.pop()
+        tags[tag] -= 1
+        kinds[kind] -= 1
         chrome -= kind != ""
         articles -= tag == "article" and not kind
         mains -= tag == "main" and not kind
@@ -163,7 +167,7 @@ def _blocks(source: str, ended: tuple[str, ...]) -> tuple[list[tuple[str, str]],
         elif tag == "br":
             (aside if chrome else piece).append(" ")
         if closing:
-            if any(t == tag for t, _ in stack):
+            if tags[tag]:
                 while stack[-1][0] != tag:
                     pop()
                 pop()
@@ -178,10 +182,11 @@ def _blocks(source: str, ended: tuple[str, ...]) -> tuple[list[tuple[str, str]],
         if tag == "header" and not articles:
             kind = kind or "soft"
         if tag == "article" and (kind or chrome):
-            held.update((kind, *(k for _, k in stack)))
+            held.update((kind, *(k for k, c in kinds.items() if c)))
             if "hard" in ended:
                 kind = ""
-        if tag == "main" and chrome or tag == "article" and not kind and chrome and all(k in ("", *ended) for _, k in stack):
+        if tag == "main" and chrome or tag == "article" and not kind and chrome and all(
+                k in ("", *ended) for k, c in kinds.items() if c):
             # Chrome that was never closed ends where the article begins.
             while chrome:
                 pop()
@@ -191,6 +196,8 @@ def _blocks(source: str, ended: tuple[str, ...]) -> tuple[list[tuple[str, str]],
         if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
             pop()
         stack.append((tag, kind))
+        tags[tag] += 1
+        kinds[kind] += 1
         chrome += kind != ""
         articles += tag == "article" and not kind
         mains += tag == "main" and not kind
@@ -209,29 +216,62 @@ def page_lines(source: str) -> list[tuple[str, int]]:
     return [(t, KEPT_LINE if r == kept else CHROME_LINE if r == "chrome" else OPEN_LINE) for t, r in blocks]
 
 
-def shared_lines(a: list[int], b: list[int]) -> list[bool]:
-    """Flags of the elements of a that a longest common subsequence with b has."""
-    places: dict[int, list[int]] = {}
+LCS_BITS = 1 << 28  # a table of rows is kept up to this size, and halved above
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """The rows of the LCS table as bit strings: bit j is 0 where the length
+    grows from j to j + 1 elements of b.  A row takes len(b) / 64 steps."""
+    places: dict[int, int] = {}
     for j, x in enumerate(b):
-        places.setdefault(x, []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(tails, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[k] = j
-                nodes[k] = node
-    flags = [False] * len(a)
-    node = nodes[-1] if nodes else None
-    while node:
-        flags[node[0]] = True
-        node = node[1]
-    return flags
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & full
+        yield row
+
+
+def _growth(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the LCS of a with each prefix of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[:len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def shared_lines(a: list[int], b: list[int]) -> list[bool]:
+    """Flags of the elements of a that a longest common subsequence with b has.
+
+    Time len(a) * len(b) / 64 however often a line repeats, memory bounded: a
+    long a is halved where the two halves' subsequences add up."""
+    lead = 0
+    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
+        lead += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    mid, other = a[lead:len(a) - tail], b[lead:len(b) - tail]
+    if len(mid) > 1 and len(mid) * len(other) > LCS_BITS:
+        half = len(mid) // 2
+        both = _growth(mid[:half], other) + _growth(mid[half:][::-1], other[::-1])[::-1]
+        cut = int(both.argmax())
+        flags = shared_lines(mid[:half], other[:cut]) + shared_lines(mid[half:], other[cut:])
+    else:
+        rows = list(_rows(mid, other))
+        flags = [False] * len(mid)
+        i, j = len(mid), len(other)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if i == 0 or rows[i - 1] >> (j - 1) & 1:
+                flags[i] = True
+                j -= 1
+    return [True] * lead + flags + [True] * tail
 
 
 # `lines` are those of the text (no chrome); the other lists have all blocks.

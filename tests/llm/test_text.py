@@ -263,15 +263,35 @@ def test_no_class_word_takes_the_main_text(spark):
     assert _texts(spark, rows) == {i: want for i, (_, want) in enumerate(WRAPPERS)}
 
 
-def test_common_subsequence():
+@pytest.mark.parametrize("bits", [1 << 28, 20])
+def test_common_subsequence(monkeypatch, bits):
+    monkeypatch.setattr(html_extract, "LCS_BITS", bits)
     rng = random.Random(2)
-    for _ in range(200):
-        a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 12))] for _ in range(2))
+    for _ in range(300):
+        a, b = ([rng.randint(0, rng.choice([1, 5])) for _ in range(rng.randint(0, 14))] for _ in range(2))
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert sum(html_extract.shared_lines(a, b)) == best[-1][-1]
+        flags = html_extract.shared_lines(a, b)
+        rest = iter(b)
+        assert sum(flags) == best[-1][-1] and all(x in rest for x, f in zip(a, flags, strict=True) if f)
+
+
+def test_odd_pages_take_linear_time():
+    """Equal lines without end, unclosed and unmatched tags, nested articles."""
+    import time
+    start = time.time()
+    assert sum(html_extract.shared_lines([7] * 8000 + [1], [2] + [7] * 7000)) == 7000
+    for page in ("<div>" * 20_000 + "</span>" * 20_000, "<nav>" + "<article>" * 20_000 + "x" + "</article>" * 20_000,
+                 "<b><i>" * 10_000 + "</b></i>" * 10_000, "<p>" * 20_000 + "</section>" * 20_000):
+        html_extract.page_lines(page)
+    assert time.time() - start < 20  # seconds of a loaded machine; quadratic work takes minutes
+
+
+def test_open_pages_at_host_size(spark):
+    """What a section shares goes from all its pages, what a page alone has stays."""
+    assert _texts(spark, _host(600)) == {i: f"Story number {i} and what it says" for i in range(600)}
 
 
 def _hashes(ws):
