@@ -37,6 +37,7 @@ from .textbatch import SPACE, U64, Slices, TextBlock, grams, mix, span_hash, tex
 WIDTH = 20
 GRAM = 5
 SHARD_WORDS = 1_000_000
+GROUP_SLICES = 32_768  # of a key: about a shard
 HOT_STEP = 4
 
 
@@ -166,7 +167,7 @@ def repeated_ranges(docs: DataFrame, width: int = WIDTH, gram: int = GRAM,
                                                     (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)],
                     names=["doc_id", "th", "s", "e"])
 
-    few, many = R.compared_classes(kinds)
+    few, many = R.compared_classes(kinds, GROUP_SLICES)
     compared = (R.slices(texts, few, cut).repartition("key").sortWithinPartitions("key")
                 .mapInArrow(compare, "doc_id long, th int, s int, e int"))
     if many is not None:

@@ -17,7 +17,7 @@ sent, with their elements, to the exact comparison (`slices`).
 
 *Hot keys.*  A passage that very many documents hold gives its keys about as
 many different slices, as each end of it runs on into its own document.  Keys of
-more than GROUP_SLICES slices are not gathered: their windows are compared as
+more slices than a shard holds are not gathered: their windows are compared as
 rows, grouped by Spark (`hot_ranges`).  So no task holds more slices of a key
 than that, whatever the corpus.
 
@@ -38,7 +38,6 @@ from ..session import scratch_path
 from .textbatch import NULL_ID, U64, Slices, TextBlock, mix, text_blocks, window_argmin
 
 PIECE = 1 << 22
-GROUP_SLICES = 4096
 
 ANCHORS = "key long, digest long, doc_id long, th int, off int, rel int, n int"
 
@@ -134,13 +133,12 @@ def classes(anchors: DataFrame) -> DataFrame:
     return saved(g.select("key", "digest", "c", "rep.*"), "classes")
 
 
-def compared_classes(kinds: DataFrame, group_slices: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def compared_classes(kinds: DataFrame, group_slices: int) -> tuple[DataFrame, DataFrame | None]:
     """The classes that share their key with another class: of keys with up to
     `group_slices` of them, and of the others (None: there are none)."""
-    bound = GROUP_SLICES if group_slices is None else group_slices
     several = saved(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
-    few, many = (kinds.join(several.where(w).select("key"), "key") for w in (f"kinds <= {bound}", f"kinds > {bound}"))
-    return few, None if several.where(f"kinds > {bound}").isEmpty() else many
+    few, many = (kinds.join(several.where(w).select("key"), "key") for w in (f"kinds <= {group_slices}", f"kinds > {group_slices}"))
+    return few, None if several.where(f"kinds > {group_slices}").isEmpty() else many
 
 
 def repeated_documents(docs: DataFrame, anchors: DataFrame) -> DataFrame:

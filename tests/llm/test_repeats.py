@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from ledgerframe.llm import block_dedup, regions, suffix_dedup
+from ledgerframe.llm import block_dedup, suffix_dedup
 from ledgerframe.llm.induced import repeated_starts
 
 from . import brute
@@ -81,7 +81,8 @@ def test_empty_tables(nothing):
 @pytest.mark.parametrize("bound", [0, 3])
 def test_hot_keys_are_compared_by_rows(spark, docs, odd, odd_rows, monkeypatch, bound):
     """The same results when (nearly) every key counts as hot."""
-    monkeypatch.setattr(regions, "GROUP_SLICES", bound)
+    monkeypatch.setattr(suffix_dedup, "GROUP_SLICES", bound)
+    monkeypatch.setattr(block_dedup, "GROUP_SLICES", bound)
     assert _op9(odd) == brute.repeats(odd_rows) and _op10(odd) == brute.later_repeats(odd_rows)
     pairs = _pairs(docs)
     assert _op9(docs) == brute.repeats(pairs) and _op10(docs) == brute.later_repeats(pairs)
@@ -90,7 +91,8 @@ def test_hot_keys_are_compared_by_rows(spark, docs, odd, odd_rows, monkeypatch,
 def test_a_passage_in_many_documents(spark, monkeypatch):
     """One passage, each time between other words, and chance likenesses of a
     few letters or words at its ends."""
-    monkeypatch.setattr(regions, "GROUP_SLICES", 10)
+    monkeypatch.setattr(suffix_dedup, "GROUP_SLICES", 10)
+    monkeypatch.setattr(block_dedup, "GROUP_SLICES", 10)
     rng = random.Random(8)
     passage = " ".join("p%d" % rng.randint(0, 999) for _ in range(120))
     rows = []
