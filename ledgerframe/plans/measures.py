@@ -543,19 +543,21 @@ def forecast_measures(g: DataFrame, scenario: float = 0.0, by: list[str] | None
                      _trend(F.col("TotalRevenue"), F.col("_ma6")).alias("TrendDirection")))
 
 
-def scenario_card(g: DataFrame) -> DataFrame:
-    """F57-F59 as cards (no date filter) for every what-if scenario value.
+def scenario_card(g: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """F57-F59 as cards (no date filter) for every what-if scenario value,
+    optionally for each member of the ``by`` columns.
 
     With no date filter: PM revenue is every sale up to the end of the
     calendar's second-to-last month (DATEADD of the full calendar), MA6 is
     the calendar's last six months ÷ 6, and the projection scales the last
-    data month's revenue to a full month.
+    data month's revenue to a full month (the last date of the whole record).
     """
+    by = by or []
     b = calendar_bounds(g)
     end = scalar(b, "end")
     last = latest_order_date(g)
     start_m = F.trunc(last, "month")
-    a = g.agg(
+    a = g.groupBy(*by).agg(
         F.sum(REV).alias("_tr"),
         F.sum(F.when(F.col("OrderDate") <= F.last_day(F.add_months(end, -1)), F.col(REV))).alias("_pm"),
         F.sum(F.when(F.col("OrderDate") > F.add_months(end, -6), F.col(REV))).alias("_ma6sum"),
@@ -567,7 +569,7 @@ def scenario_card(g: DataFrame) -> DataFrame:
     s = F.col("ScenarioValue")
     series = F.array(*[F.lit(v) for v in scenario_series()])
     return (a.select("*", F.explode(series).alias("ScenarioValue"))
-             .select(F.col("ScenarioValue").cast("double").alias("ScenarioValue"),
+             .select(*by, F.col("ScenarioValue").cast("double").alias("ScenarioValue"),
                      scenario_label(s).alias("ScenarioLabel"),
                      round_half_up(mom, 6).alias("MoMGrowthPct"),
                      round_half_up((F.col("_ma6sum") / 6).cast("double") * (1 + mom + s.cast("double")), 4)

@@ -113,6 +113,7 @@ GOLDEN_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "m_anomaly": lambda g: M.anomaly_measures(g, by=["CategoryName"]),
     "m_forecast": M.forecast_measures,
     "m_scenario": M.scenario_card,
+    "m_scenario_region": lambda g: M.scenario_card(g, by=["TerritoryRegion"]),
     "m_season": M.seasonal_index,
     "m_weekpart": M.weekpart_revenue,
     "m_territory": M.territory_growth_rank,

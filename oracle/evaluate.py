@@ -252,6 +252,21 @@ M_SHIP_ROLE = statement(
      **{f"Revenue{k}": d(f"(SELECT SUM(rev) FROM daily WHERE year(day) = {k} AND month(day) = q.Month)") for k in (2022, 2023, 2024, 2025)}},
     _TIME, _ranges("Month", "pm", "py"), date="ShipDate")
 
+_LAST = "(SELECT MAX(OrderDate) FROM golden)"
+_MONTHS_END = "(SELECT last_day(e - INTERVAL 1 MONTH) FROM bounds)"
+M_SCENARIO_REGION = with_golden(BOUNDS, f"""
+steps AS (SELECT CAST(-0.50 + 0.05 * i AS DECIMAL(4,2)) AS sv FROM range(0, 21) t(i))""", f"""
+card AS (SELECT TerritoryRegion, SUM(GrossRevenueUSD) AS rev, SUM(GrossRevenueUSD) FILTER (OrderDate <= {_MONTHS_END}) AS pm,
+  SUM(GrossRevenueUSD) FILTER (OrderDate > (SELECT e - INTERVAL 6 MONTH FROM bounds)) AS half,
+  SUM(GrossRevenueUSD) FILTER (date_trunc('month', OrderDate) = date_trunc('month', {_LAST})) AS recent FROM golden GROUP BY 1)""") + f"""
+SELECT TerritoryRegion, CAST(sv AS DOUBLE) AS ScenarioValue,
+  CASE WHEN sv > 0.20 THEN '🚀 Aggressive Growth' WHEN sv > 0.05 THEN '📈 Optimistic' WHEN sv > -0.05 THEN '📊 Base Case'
+       WHEN sv > -0.20 THEN '⚠️ Conservative' ELSE '🔴 Pessimistic' END AS ScenarioLabel,
+  {r(growth('rev', 'pm'), 6)} AS MoMGrowthPct,
+  {r(f"CAST(half / 6 AS DOUBLE) * (1 + {growth('rev', 'pm')} + CAST(sv AS DOUBLE))", 4)} AS ForecastNextMonth,
+  {r(div('recent', f"day({_LAST})") + f" * day(last_day({_LAST})) * (1 + {growth('rev', 'pm')} + CAST(sv AS DOUBLE))", 0)} AS RevenueProjection
+FROM card CROSS JOIN steps"""
+
 # The calendar of the driver's tables, for the columns of the two matrices.
 _CALENDAR = range(1995, 2002)
 
@@ -269,7 +284,7 @@ VIEWS = f"""SELECT TerritoryRegion, CurrencyCode, COUNT(*) AS Lines, COUNT(DISTI
 FROM ({CLEANING['golden_generic']}) GROUP BY TerritoryRegion, CurrencyCode"""
 
 SQL = {
-    "m_ship_role": M_SHIP_ROLE, "g5_matrix": G5_MATRIX, "g6_heatmap": G6_HEATMAP, "views": VIEWS, "golden_refresh": GOLDEN_SELECT,
+    "m_ship_role": M_SHIP_ROLE, "m_scenario_region": M_SCENARIO_REGION, "g5_matrix": G5_MATRIX, "g6_heatmap": G6_HEATMAP, "views": VIEWS, "golden_refresh": GOLDEN_SELECT,
     "m_eval_quarter": M_EVAL_QUARTER, "m_eval_day": M_EVAL_DAY, "m_eval_retention_year": M_EVAL_RETENTION_YEAR,
     "m_eval_retention_month": M_EVAL_RETENTION_MONTH_ALL,
     "m_ctx_segment_quarter": M_CTX_SEGMENT_QUARTER, "m_ctx_product_year": M_CTX_PRODUCT_YEAR,
