@@ -7,9 +7,9 @@ Two entry points build the same 34 columns with the same expressions:
   exactly the reference's three left joins;
 * :func:`golden_from_tables` — the driver's TPC-H tables through the adapter.
   The customer side (profile + person, one row per customer) is attached to
-  the order header before the line join, and ``part`` is joined once, so the
-  line table is shuffled on its order key only (plus once on the part key
-  when ``part`` is too large to broadcast).
+  the order header, and ``part`` to the lines, before lines and headers meet:
+  lines are shuffled on the order key (plus once, on few columns, on the part
+  key when ``part`` is too large to broadcast).
 
 :func:`materialize` writes the record once, partitioned by ``OrderYear``, into
 the shared checkpoint folder; every report then reads a pruned Parquet scan.
@@ -192,31 +192,42 @@ def golden(sales: DataFrame, product: DataFrame, profile: DataFrame, person: Dat
 
 
 def golden_from_tables(spark: SparkSession, sf_dir: str, as_of=tpch.AS_OF) -> DataFrame:
-    """B18 over the driver's tables (adapter), one join per dimension."""
-    cust = tpch.customer_side(spark, sf_dir).select(
-        F.col("CustomerID").alias("C_CustomerID"), F.col("CustomerType").alias("C_CustomerType"),
-        F.col("StoreName").alias("C_StoreName"), F.col("TerritoryName").alias("C_TerritoryName"),
-        F.col("TerritoryRegion").alias("C_TerritoryRegion"),
-        F.col("CountryRegionCode").alias("C_CountryRegionCode"),
-        F.col("PersonFullName").alias("PE_FullName"), F.col("PersonCleanEmail").alias("PE_CleanEmail"))
-    hdr = tpch.order_header(spark, sf_dir).select(
-        "SalesOrderID", "SalesOrderNumber", F.col("CustomerID").alias("S_CustomerID"), "OrderDate",
-        "OrderStatus", "IsOnlineOrder", F.col("CurrencyCode").alias("S_CurrencyCode"))
-    hdr = hdr.join(cust, hdr.S_CustomerID == cust.C_CustomerID, "left")
+    """B18 over the driver's tables (adapter), one join per dimension.
+
+    Joins carry keys, names and columns of few values; numbers, names and
+    addresses made from them are derived after the last join, where a customer
+    or part that was not found leaves its columns NULL.  (Not more than these:
+    the last stage's generated method must stay below the 8,000 bytes that the
+    JVM compiles.)"""
+    n = tpch.line_tasks(spark, sf_dir)
+    # Lines meet their part first, on few columns: a product of very many lines
+    # is split by AQE, and what follows on the order key is cut into partitions
+    # of a fixed number of lines (an order has few), whatever the tables' size.
     lines = tpch.order_lines(spark, sf_dir)
-    prod = tpch.product_master(spark, sf_dir, as_of).select(
-        F.col("ProductID").alias("P_ProductID"), F.col("ProductName").alias("P_ProductName"),
-        F.col("ProductNumber").alias("P_ProductNumber"), F.col("CategoryName").alias("P_CategoryName"),
-        F.col("SubcategoryName").alias("P_SubcategoryName"), F.col("Color").alias("P_Color"),
-        F.col("ProductStatus").alias("P_ProductStatus"), F.col("StandardCost").alias("P_StandardCost"),
-        F.col("_p_size").alias("P_size"))
+    order, customer, product = tpch.order_columns(), tpch.customer_columns(), tpch.product_columns(as_of)
+    parts = tpch.product_rows(spark, sf_dir).select("p_partkey", "p_size", *[product[c].alias(f"P_{c}") for c in (
+        "ProductName", "CategoryName", "SubcategoryName", "Color", "ProductStatus", "StandardCost")])
+    lines = lines.join(parts, F.col("ProductID") == parts.p_partkey, "left")
+    cust = tpch.customer_rows(spark, sf_dir).select(
+        "c_custkey", "c_name", *[customer[c].alias(f"C_{c}") for c in (
+            "CustomerType", "TerritoryName", "TerritoryRegion", "CountryRegionCode")])
+    hdr = tpch.order_rows(spark, sf_dir).select(
+        "o_orderkey", order["CustomerID"].alias("S_CustomerID"), order["CurrencyCode"].alias("S_CurrencyCode"),
+        *[order[c].alias(c) for c in ("OrderDate", "OrderStatus", "IsOnlineOrder")])
+    hdr = hdr.join(cust, F.col("S_CustomerID") == cust.c_custkey, "left")
     # Both sides of the line ⋈ header join grow with the data: pin it to a
     # sort-merge join so a compressed-size estimate can never broadcast the
     # fact table.  The part join is left to size-based / AQE runtime choice.
-    j = (lines.hint("merge").join(hdr, lines._line_order == hdr.SalesOrderID, "inner")
-              .join(prod, F.col("ProductID") == prod.P_ProductID, "left"))
-    px = tpch.price_columns(F.col("OrderQty"), F.col("_ext_cents"), F.col("_disc_pct"), F.col("P_size"))
-    j = j.select("*", *[v.alias(k) for k, v in px.items()])
+    j = tpch.dealt(lines, n, "_line_order").hint("merge").join(
+        tpch.dealt(hdr, n, "o_orderkey"), F.col("_line_order") == F.col("o_orderkey"), "inner")
+    px = tpch.price_columns(F.col("OrderQty"), F.col("_ext_cents"), F.col("_disc_pct"), F.col("p_size"))
+    j = j.select(
+        *[c for c in j.columns if c.startswith(("S_", "C_", "P_", "Order")) or c in ("ShipDate", "IsOnlineOrder")],
+        *[v.alias(k) for k, v in px.items()], *[order[c].alias(c) for c in ("SalesOrderID", "SalesOrderNumber")],
+        F.col("c_custkey").alias("C_CustomerID"),
+        F.when(F.col("c_custkey").isNotNull(), customer["StoreName"]).alias("C_StoreName"),
+        customer["PersonFullName"].alias("PE_FullName"), customer["PersonCleanEmail"].alias("PE_CleanEmail"),
+        product["ProductNumber"].alias("P_ProductNumber"))
     return _project(j)
 
 

@@ -11,11 +11,15 @@ At scale the adapter keeps one pass over each table:
 * ``customer`` is enriched with ``nation``/``region`` (25 and 5 rows by the
   TPC-H definition, broadcast) and yields both the profile and the person
   rows, so the golden record joins the customer side once;
-* the per-order customer columns are attached to ``orders`` *before* the
-  lineitem join, so the largest table is shuffled once on ``l_orderkey``;
-* ``part`` is joined once for both the unit price (needs ``p_size``) and the
-  product master columns.  Spark/AQE broadcasts ``part`` when its measured
-  size is under the broadcast threshold and sort-merge joins it otherwise.
+* ``part`` is joined once, to the lines alone, for both the unit price (needs
+  ``p_size``) and the product master columns.  Spark/AQE broadcasts ``part``
+  when its measured size is under the broadcast threshold and sort-merge joins
+  it otherwise;
+* the per-order customer columns are attached to ``orders`` *before* the line
+  join, so lines with their part are shuffled once on ``l_orderkey``;
+* ``*_rows`` are the columns that joins carry, ``*_columns`` what is derived
+  from them: the golden record derives after its last join, so that no shuffle
+  moves a column that its key or another column gives.
 """
 
 from __future__ import annotations
@@ -52,7 +56,12 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "benchmark", "labels", "conversations")
 
 
+# Lines that one task of a join on the order key holds: a fixed amount, so that
+# a task's sorts and hash maps do not grow with the tables.
+ROWS_PER_TASK = 500_000
+
 _SCHEMAS: dict[tuple[str, str], object] = {}
+_ROWS: dict[tuple[str, str], int] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +78,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def line_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Partitions that hold about ROWS_PER_TASK lines each, or None where the
+    session's own parallelism already gives as many.  The rows are counted from
+    the file footers, once a path and application (an older count only changes
+    how evenly the work is cut)."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    if key not in _ROWS:
+        _ROWS[key] = read_table(spark, sf_dir, "lineitem").count()
+    n = -(-_ROWS[key] // ROWS_PER_TASK)
+    return n if n > spark.sparkContext.defaultParallelism else None
+
+
+def dealt(df: DataFrame, n: int | None, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` into n partitions (None: as Spark plans it)."""
+    return df.repartition(n, *keys) if n else df
+
+
 def _pick(key: Column, values: list) -> Column:
     """``values[key]`` for a small fixed list, as a CASE ladder (codegen)."""
     out = None
@@ -89,31 +115,40 @@ def _dec_from_units(units: Column, scale: int, out: str) -> Column:
 
 
 # ---------------------------------------------------------------- customer
-def customer_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer with the profile (B16) and person (B1) columns.
-
-    Columns: CustomerID, AccountNumber, CustomerType, StoreName, TerritoryName,
-    TerritoryRegion, CountryRegionCode, PersonFullName, PersonCleanEmail.
-    """
+def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, c_name, c_nationkey, n_name, r_name): what the customer columns derive from."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
     # nation/region are fixed-size TPC-H dimensions (25 and 5 rows)
     n = F.broadcast(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"))
     r = F.broadcast(read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    j = (c.join(n, c.c_nationkey == n.n_nationkey, "left")
-          .join(r, F.col("n_regionkey") == r.r_regionkey, "left"))
+    return (c.join(n, c.c_nationkey == n.n_nationkey, "left")
+             .join(r, F.col("n_regionkey") == r.r_regionkey, "left")
+             .select("c_custkey", "c_name", "c_nationkey", "n_name", "r_name"))
+
+
+def customer_columns() -> dict[str, Column]:
     ctype = _pick(F.col("c_custkey") % 3, CUSTOMER_TYPE_BY_KEY_MOD3)
     full = F.when(F.col("c_custkey") % PERSON_NULL_MODULUS != 0, F.col("c_name"))
-    return j.select(
-        F.col("c_custkey").alias("CustomerID"),
-        F.concat(F.lit("AW"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("AccountNumber"),
-        ctype.alias("CustomerType"),
-        F.when(ctype == "B2B (Store)", F.col("c_name")).otherwise(F.lit("Individual Customer")).alias("StoreName"),
-        F.col("n_name").alias("TerritoryName"),
-        F.col("r_name").alias("TerritoryRegion"),
-        _pick(F.col("c_nationkey") % 6, COUNTRY_BY_NATION_MOD6).alias("CountryRegionCode"),
-        full.alias("PersonFullName"),
-        F.when(full.isNotNull(), F.lower(F.concat(F.col("c_name"), F.lit(EMAIL_DOMAIN)))).alias("PersonCleanEmail"),
-    )
+    return {
+        "CustomerID": F.col("c_custkey"),
+        "AccountNumber": F.concat(F.lit("AW"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")),
+        "CustomerType": ctype,
+        "StoreName": F.when(ctype == "B2B (Store)", F.col("c_name")).otherwise(F.lit("Individual Customer")),
+        "TerritoryName": F.col("n_name"),
+        "TerritoryRegion": F.col("r_name"),
+        "CountryRegionCode": _pick(F.col("c_nationkey") % 6, COUNTRY_BY_NATION_MOD6),
+        "PersonFullName": full,
+        "PersonCleanEmail": F.when(full.isNotNull(), F.lower(F.concat(F.col("c_name"), F.lit(EMAIL_DOMAIN)))),
+    }
+
+
+def customer_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer with the profile (B16) and person (B1) columns.
+
+    Columns: CustomerID, AccountNumber, CustomerType, StoreName, TerritoryName,
+    TerritoryRegion, CountryRegionCode, PersonFullName, PersonCleanEmail.
+    """
+    return customer_rows(spark, sf_dir).select(*[v.alias(k) for k, v in customer_columns().items()])
 
 
 def customer_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +167,12 @@ def person(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- product
-def product_master(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
-    """``Production.vCleanProductMaster`` shape (B8) plus ``p_size``."""
-    p = read_table(spark, sf_dir, "part").select(
-        "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``part`` that the product columns derive from."""
+    return read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+
+
+def product_columns(as_of=AS_OF) -> dict[str, Column]:
     cost_c = F.call_function("div", _cents(F.col("p_retailprice")), F.col("p_size").cast("bigint"))
     std_cost = _dec_from_units(cost_c, 2, "decimal(19,4)")
     list_price = _dec_from_units(_cents(F.col("p_retailprice")), 2, "decimal(19,4)")
@@ -144,46 +181,60 @@ def product_master(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
                .when(sell_end <= lit_date(as_of), F.lit("Discontinued"))
                .otherwise(F.lit("Active")))
     color = F.split(F.col("p_name"), " ").getItem(0)
-    return p.select(
-        F.col("p_partkey").alias("ProductID"),
-        F.col("p_name").alias("ProductName"),
-        F.concat(F.lit("PN-"), F.col("p_partkey").cast("string")).alias("ProductNumber"),
-        F.col("p_type").alias("CategoryName"),
-        F.col("p_brand").alias("SubcategoryName"),
-        F.lit(None).cast("string").alias("ModelName"),
-        F.coalesce(color, F.lit("No Color")).alias("Color"),
-        F.col("p_size").cast("string").alias("Size"),
-        std_cost.alias("StandardCost"),
-        list_price.alias("ListPrice"),
-        (list_price - std_cost).cast("decimal(19,4)").alias("ProfitMargin"),
-        lit_date(SELL_START).alias("SellStartDate"),
-        F.coalesce(sell_end, lit_date("9999-12-31")).alias("SellEndDate"),
-        status.alias("ProductStatus"),
-        F.col("p_size").alias("_p_size"),
-    )
+    return {
+        "ProductID": F.col("p_partkey"),
+        "ProductName": F.col("p_name"),
+        "ProductNumber": F.concat(F.lit("PN-"), F.col("p_partkey").cast("string")),
+        "CategoryName": F.col("p_type"),
+        "SubcategoryName": F.col("p_brand"),
+        "ModelName": F.lit(None).cast("string"),
+        "Color": F.coalesce(color, F.lit("No Color")),
+        "Size": F.col("p_size").cast("string"),
+        "StandardCost": std_cost,
+        "ListPrice": list_price,
+        "ProfitMargin": (list_price - std_cost).cast("decimal(19,4)"),
+        "SellStartDate": lit_date(SELL_START),
+        "SellEndDate": F.coalesce(sell_end, lit_date("9999-12-31")),
+        "ProductStatus": status,
+        "_p_size": F.col("p_size"),
+    }
+
+
+def product_master(spark: SparkSession, sf_dir: str, as_of=AS_OF) -> DataFrame:
+    """``Production.vCleanProductMaster`` shape (B8) plus ``p_size``."""
+    return product_rows(spark, sf_dir).select(*[v.alias(k) for k, v in product_columns(as_of).items()])
 
 
 # ---------------------------------------------------------------- sales
-def order_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header-level sales columns (one row per order)."""
-    o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_totalprice")
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``orders`` that the header columns derive from."""
+    return read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("o_orderdate"),
+        F.col("o_orderpriority").isin(*ONLINE_PRIORITIES).alias("o_online"), "o_totalprice")
+
+
+def order_columns() -> dict[str, Column]:
     code = (F.when(F.col("o_orderstatus") == "F", F.lit(STATUS_BY_ORDERSTATUS["F"]))
              .when(F.col("o_orderstatus") == "O", F.lit(STATUS_BY_ORDERSTATUS["O"]))
              .otherwise(_pick(F.col("o_orderkey") % 4, STATUS_P_BY_KEY_MOD4)))
     status = None
     for k, v in ORDER_STATUS_NAMES.items():
         status = F.when(code == k, F.lit(v)) if status is None else status.when(code == k, F.lit(v))
-    return o.select(
-        F.col("o_orderkey").alias("SalesOrderID"),
-        F.concat(F.lit("SO"), F.col("o_orderkey").cast("string")).alias("SalesOrderNumber"),
-        F.col("o_custkey").alias("CustomerID"),
-        F.col("o_orderdate").cast("date").alias("OrderDate"),
-        status.alias("OrderStatus"),
-        F.col("o_orderpriority").isin(*ONLINE_PRIORITIES).alias("IsOnlineOrder"),
-        _dec_from_units(_cents(F.col("o_totalprice")), 2, "decimal(19,4)").alias("TotalDue"),
-        _pick(F.col("o_orderkey") % 11, CURRENCY_BY_KEY_MOD11).alias("CurrencyCode"),
-    )
+    return {
+        "SalesOrderID": F.col("o_orderkey"),
+        "SalesOrderNumber": F.concat(F.lit("SO"), F.col("o_orderkey").cast("string")),
+        "CustomerID": F.col("o_custkey"),
+        "OrderDate": F.col("o_orderdate"),
+        "OrderStatus": status,
+        "IsOnlineOrder": F.col("o_online"),
+        "TotalDue": _dec_from_units(_cents(F.col("o_totalprice")), 2, "decimal(19,4)"),
+        "CurrencyCode": _pick(F.col("o_orderkey") % 11, CURRENCY_BY_KEY_MOD11),
+    }
+
+
+def order_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header-level sales columns (one row per order)."""
+    return order_rows(spark, sf_dir).select(*[v.alias(k) for k, v in order_columns().items()])
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,8 @@ import datetime as dt
 from decimal import Decimal
 
 from ledgerframe.plans import golden as G
+from ledgerframe.plans.golden import golden, golden_from_tables
+from ledgerframe.sources import tpch
 
 CURRENCIES = [None, "USD", "CAD", "EUR", "GBP", "AUD", "DEM", "FRF", "JPY"]
 COUNTRIES = ["US", "CA", "GB", "AU", "FR", "DE", None]
@@ -91,3 +93,50 @@ def test_dedupe_person_option(spark):
     assert len(rows) == 63 + 1
     assert [r.CustomerEmail for r in rows if r.SalesOrderID == 1] == ["ann2@x"] or \
         [r.CustomerEmail for r in rows if r.SalesOrderID == 1] == ["ann@x"]
+
+
+def _tables(spark, at):
+    """Three orders: of a known customer, of one without a row, and one whose parts have no row."""
+    day = dt.datetime(2000, 5, 1)
+    made = {
+        "region": (["r_regionkey int", "r_name string"], [(0, "EU")]),
+        "nation": (["n_nationkey int", "n_name string", "n_regionkey int"], [(1, "CANADA", 0)]),
+        "customer": (["c_custkey long", "c_name string", "c_nationkey int"], [(3, "Ann", 1), (4, "Bob", None), (5, "Eve", 1)]),
+        "part": (["p_partkey long", "p_name string", "p_brand string", "p_type string", "p_size int", "p_retailprice double"],
+                 [(7, "red cog", "B", "T", 2, 10.0), (8, None, None, None, 1, None)]),
+        "orders": (["o_orderkey long", "o_custkey long", "o_orderstatus string", "o_totalprice double", "o_orderdate timestamp",
+                    "o_orderpriority string"],
+                   [(1, 3, "F", 9.0, day, "2-HIGH"), (2, 99, "P", 9.0, day, None), (3, None, "O", 9.0, None, "5-LOW"), (4, 5, "F", 9.0, day, "x"),
+                    (5, 4, "F", 9.0, day, "x")]),
+        "lineitem": (["l_orderkey long", "l_partkey long", "l_quantity double", "l_extendedprice double", "l_discount double",
+                      "l_shipdate timestamp"],
+                     [(1, 7, 2.0, 40.0, 0.05, day), (1, 8, 1.0, 5.0, 0.0, None), (2, 7, 1.0, 20.0, 0.0, day), (3, 77, 1.0, 1.0, 0.0, day),
+                      (4, None, 1.0, 1.0, 0.0, day), (5, 7, 1.0, 20.0, 0.0, day), (None, 7, 1.0, 1.0, 0.0, day), (6, 7, 1.0, 1.0, 0.0, day)]),
+    }
+    for name, (columns, rows) in made.items():
+        spark.createDataFrame(rows, ", ".join(columns)).coalesce(1).write.parquet(f"{at}/{name}.parquet")
+
+
+def test_columns_derived_after_the_joins(spark, tmp_path):
+    """The fused record equals the three left joins over the views; what was not found is NULL."""
+    _tables(spark, tmp_path)
+    at = str(tmp_path)
+    fused = golden_from_tables(spark, at)
+    plain = golden(tpch.sales_performance(spark, at), tpch.product_master(spark, at), tpch.customer_profile(spark, at),
+                   tpch.person(spark, at))
+    assert sorted(map(str, fused.collect())) == sorted(map(str, plain.collect()))
+    rows = {(r.SalesOrderID, r.OrderQty): r for r in fused.collect()}
+    assert len(rows) == 6 and rows[2, 1].StoreName is None and rows[1, 2].StoreName == "Ann"
+    assert rows[3, 1].ProductStatus is None and rows[3, 1].ProductColor is None and rows[1, 1].ProductColor == "No Color"
+
+
+def test_partitions_of_the_line_join_follow_the_lines(spark, tmp_path, monkeypatch):
+    """A task holds a fixed number of lines: more lines, more partitions, not larger ones."""
+    _tables(spark, tmp_path)
+    assert tpch.line_tasks(spark, str(tmp_path)) is None  # few lines: as Spark plans it
+    usual = golden_from_tables(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(tpch, "ROWS_PER_TASK", 1)
+    assert tpch.line_tasks(spark, str(tmp_path)) == 8
+    g = golden_from_tables(spark, str(tmp_path))
+    assert g.rdd.getNumPartitions() == 8
+    assert sorted(map(str, g.collect())) == sorted(map(str, usual))
