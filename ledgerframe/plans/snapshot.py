@@ -10,9 +10,11 @@ Here a store is a folder of
 
 The log's largest version is the pointer.  Its file appears by one rename when
 the version's data is complete, so a reader sees the version before or the one
-after, and a DataFrame read earlier keeps its own files.  A year is rewritten
-if its content mark changed; with a high-water mark, years before it are taken
-as unchanged and not even read.  Statistics come from the version's rows, so
+after, and a DataFrame read earlier keeps its own files.  A refresh computes the
+record once: its years are written below the new version, marked by content
+from there, and those whose mark did not change are removed again, as the log
+goes on naming their older files.  With a high-water mark, years before it are
+taken as unchanged and not even read.  Statistics come from the version's rows, so
 they are never those of another version.  One writer at a time.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators.stats import remember
+from ..session import remove
 from .golden import GOLDEN_COLUMNS
 
 REV = "GrossRevenueUSD"
@@ -57,6 +60,20 @@ class GoldenStore:
         last = max(r.version for r in log) if version is None else version
         return [r for r in log if r.version == last]
 
+    def _folder(self, version: int, year: int | None) -> str:
+        return f"{self.path}/data/v={version}/OrderYear=" + ("__HIVE_DEFAULT_PARTITION__" if year is None else str(year))
+
+    def _marks(self, rows: DataFrame) -> list:
+        """A row per year: count, content mark and states of the statistics."""
+        square = F.col(REV).cast("decimal(18,6)")
+        return rows.groupBy("OrderYear").agg(
+            F.count(F.lit(1)).alias("rows"),
+            # equal rows would cancel in one xor: a sum of 31-bit parts beside it
+            (F.bit_xor(F.xxhash64(*GOLDEN_COLUMNS)) + F.sum(F.xxhash64(*GOLDEN_COLUMNS, F.lit(1)).bitwiseAND(F.lit(0x7FFFFFFF)))).alias("mark"),
+            F.min("OrderDate").alias("first"), F.max("OrderDate").alias("last"), F.min("ShipDate").alias("first_ship"),
+            F.max("ShipDate").alias("last_ship"), F.count(REV).alias("n"), F.sum(REV).alias("total"),
+            F.sum((square * square).cast("decimal(38,12)")).alias("squares")).collect()
+
     def refresh(self, g: DataFrame, since: int | None = None) -> int:
         """Write the years of ``g`` that changed as a new version; returns its
         number (the current one if nothing changed).
@@ -67,26 +84,22 @@ class GoldenStore:
         old = {r.year: r for r in current if r.at >= 0}
         kept = {y: r for y, r in old.items() if since is not None and y is not None and y < since}
         fresh = g if since is None else g.where((F.col("OrderYear") >= since) | F.col("OrderYear").isNull())
-        square = F.col(REV).cast("decimal(18,6)")
-        marks = fresh.groupBy("OrderYear").agg(
-            F.count(F.lit(1)).alias("rows"),
-            # equal rows would cancel in one xor: a sum of 31-bit parts beside it
-            (F.bit_xor(F.xxhash64(*GOLDEN_COLUMNS)) + F.sum(F.xxhash64(*GOLDEN_COLUMNS, F.lit(1)).bitwiseAND(F.lit(0x7FFFFFFF)))).alias("mark"),
-            F.min("OrderDate").alias("first"), F.max("OrderDate").alias("last"), F.min("ShipDate").alias("first_ship"),
-            F.max("ShipDate").alias("last_ship"), F.count(REV).alias("n"), F.sum(REV).alias("total"),
-            F.sum((square * square).cast("decimal(38,12)")).alias("squares")).collect()
+        version = current[0].version if current else 0
+        # Tasks write their own rows, without a shuffle of whole lines; below a
+        # version that the log does not name yet, nobody reads.
+        folder = f"{self.path}/data/v={version + 1}"
+        (fresh.sortWithinPartitions("OrderYear", "OrderMonth")
+         .write.mode("overwrite").option("compression", "zstd").partitionBy("OrderYear").parquet(folder))
+        marks = self._marks(self.spark.read.schema(fresh.schema).parquet(folder))
         changed = [r.OrderYear for r in marks if r.OrderYear not in old or old[r.OrderYear].mark != r.mark
                    or old[r.OrderYear].rows != r.rows]
-        version = current[0].version if current else 0
         if not changed and {r.OrderYear for r in marks} | kept.keys() == old.keys():
+            remove(self.spark, folder)
             return version
         version += 1
-        if changed:
-            same = F.lit(False)
-            for y in changed:
-                same = same | F.col("OrderYear").eqNullSafe(F.lit(y))
-            (fresh.where(same).hint("rebalance", "OrderYear").sortWithinPartitions("OrderYear", "OrderMonth")
-             .write.mode("overwrite").partitionBy("OrderYear").parquet(f"{self.path}/data/v={version}"))
+        for r in marks:
+            if r.OrderYear not in changed:
+                remove(self.spark, self._folder(version, r.OrderYear))
         rows = [(version, r.OrderYear, version if r.OrderYear in changed else old[r.OrderYear].at, *tuple(r)[1:]) for r in marks]
         rows += [(version, *tuple(r)[1:]) for r in kept.values()]
         if not rows:  # an empty record is a version without years
@@ -102,8 +115,7 @@ class GoldenStore:
         held = [r for r in years if r.at >= 0]
         if not held:
             raise ValueError(f"version {years[0].version} below {self.path} holds no rows")
-        folders = [f"{self.path}/data/v={r.at}/OrderYear=" + ("__HIVE_DEFAULT_PARTITION__" if r.year is None else str(r.year))
-                   for r in held]
+        folders = [self._folder(r.at, r.year) for r in held]
         out = self.spark.read.option("basePath", f"{self.path}/data").parquet(*folders).select(*GOLDEN_COLUMNS)
         days = [d for r in held for d in (r.first, r.last, r.first_ship, r.last_ship) if d is not None]
         latest = max((r.last for r in held if r.last is not None), default=None)

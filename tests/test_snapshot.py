@@ -79,3 +79,19 @@ def test_missing_and_empty_versions(spark, store):
     with pytest.raises(ValueError):
         store.read(2)
     assert len(_rows(store.read())) == len(_rows(store.read(1))) == 3
+
+
+def test_a_refresh_computes_the_record_once(spark, store, tmp_path):
+    """Marks come from what was written; only changed years stay below the new version."""
+    store.refresh(_record(spark))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    g = _record(spark, line(3, "2021-02-01"))
+    assert store.refresh(g.mapInArrow(counted, g.schema)) == 2
+    assert read.value == 4
+    assert {p.name for p in (tmp_path / "store/data/v=2").glob("OrderYear=*")} == {"OrderYear=2021"}
+    assert store.refresh(g) == 2 and not (tmp_path / "store/data/v=3").exists()
