@@ -333,10 +333,12 @@ class Base:
             *own, "_in", "_lane", F.when(order_lane, day).otherwise(day_of_product).alias("_day"),
             (F.col("CustomerID") if self.segmented else F.when(order_lane, F.col("CustomerID")) if self.per_customer
              else F.lit(None).cast("long")).alias("_customer"),
-            (F.when(order_lane, F.col("SalesOrderID")) if self.per_order else F.lit(None).cast("long")).alias("_order"),
+            # Where an order's lines lie together, products keep the order: its key then groups both lanes in place.
+            (F.lit(None).cast("long") if not self.per_order else F.col("SalesOrderID") if known(self.g, "by_order")
+             else F.when(order_lane, F.col("SalesOrderID"))).alias("_order"),
             F.when(~order_lane, F.col("ProductName")).alias("_product"),
             (order_lane & (F.col("OrderStatus") == M.FULFILLED_STATUS)).alias("_ok"),
-            *[states[s].alias(s) for s in self.states])
+            *[(states[s] if s == "rev" else F.when(order_lane, states[s])).alias(s) for s in self.states])
         if not self.per_order:
             rows = rows.withColumn("_unit", self.unit(F.col("_day")))
             return rows.groupBy(*own, "_in", "_lane", "_unit", "_product").agg(
@@ -410,18 +412,23 @@ class Base:
         rows = self.units(where)
         sums = [F.sum(s).alias(s) for s in (*self.states, *ORDER_STATES)]
         flags = [F.max(f).alias(f) for f in (*ORDER_FLAGS, "_last")]
-        spread = self._spread()
+        if not self.parts & {"customers", "before", "days"}:  # a row goes to one place
+            period = self.grain.period(F.col("_unit")) if self.grain.columns else F.lit(0)
+            lane = F.col("_lane") == 0
+            rows = rows.select(
+                *self.keys, *self.states, *ORDER_STATES, *ORDER_FLAGS, "_last", F.when(lane, 0).otherwise(3).alias("tag"),
+                F.when(lane, F.col("_unit")).otherwise(period).cast("int").alias("i"), F.when(~lane, F.col("_product")).alias("p"))
+            none = [F.lit(None).cast("long").alias(c) for c in ("customers", "before", "kept", "again")]
+            return rows.groupBy(*self.keys, "tag", "i", "p").agg(*sums, *flags).select(
+                "*", *none, F.lit(None).cast("double").alias("per_day"))
         rows = rows.withColumn("_u1", self.unit(self.last_day))
-        if len(spread) > 1:
-            rows = rows.select("*", F.explode(F.filter(F.array(*spread), lambda x: x.isNotNull())).alias("_to"))
-        else:
-            rows = rows.select("*", spread[0].alias("_to")).where("_to IS NOT NULL")
+        spread = F.filter(F.array(*self._spread()), lambda x: x.isNotNull())
+        rows = rows.select("*", F.explode(spread).alias("_to"))
         rows = rows.select(*self.keys, *self.states, *ORDER_STATES, *ORDER_FLAGS, "_last", "_to.*")
         now = F.col("prev") == 0
-        if len(spread) > 1:
-            own = [F.sum(F.when(now, F.col(s))).alias(s) for s in (*self.states, *ORDER_STATES)]
-            marks = [F.max(F.when(now, F.col(f))).alias(f) for f in (*ORDER_FLAGS, "_last")]
-            rows = rows.groupBy(*self.keys, "tag", "i", "c", "d", "p").agg(*own, *marks, F.max("cur").alias("cur"), F.max("prev").alias("prev"))
+        own = [F.sum(F.when(now, F.col(s))).alias(s) for s in (*self.states, *ORDER_STATES)]
+        marks = [F.max(F.when(now, F.col(f))).alias(f) for f in (*ORDER_FLAGS, "_last")]
+        rows = rows.groupBy(*self.keys, "tag", "i", "c", "d", "p").agg(*own, *marks, F.max("cur").alias("cur"), F.max("prev").alias("prev"))
         many = M._blank0(F.col("orders")) + M._blank0(F.col("blank"))
 
         def of(tag: int, value: Column) -> Column:
