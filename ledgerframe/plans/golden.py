@@ -168,14 +168,18 @@ def golden(sales: DataFrame, product: DataFrame, profile: DataFrame, person: Dat
     ``dedupe_person=True`` (opt-in fix) keeps one person row per entity
     (name and lowest e-mail) before the join, so every sales line appears
     once; the aggregation is per person, never per line.
+
+    Where the sales view notes its two sides, products are joined to its lines
+    and customers to its headers before these meet: the same rows, as each join
+    is on a column of one side, but no line is shuffled with a customer's
+    columns, and no header with a product's.
     """
     if dedupe_person:
         person = person.groupBy("BusinessEntityID").agg(
             F.min("FullName").alias("FullName"), F.min("CleanEmail").alias("CleanEmail"))
-    s = sales.select(
-        "SalesOrderID", "SalesOrderNumber", F.col("CustomerID").alias("S_CustomerID"), "OrderDate",
-        "ShipDate", "OrderStatus", "IsOnlineOrder", F.col("ProductID").alias("S_ProductID"), "OrderQty",
-        "UnitPrice", "UnitPriceDiscount", "LineTotal", F.col("CurrencyCode").alias("S_CurrencyCode"))
+    of_header = ["SalesOrderID", "SalesOrderNumber", F.col("CustomerID").alias("S_CustomerID"), "OrderDate", "ShipDate",
+                 "OrderStatus", "IsOnlineOrder", F.col("CurrencyCode").alias("S_CurrencyCode")]
+    of_line = [F.col("ProductID").alias("S_ProductID"), "OrderQty", "UnitPrice", "UnitPriceDiscount", "LineTotal"]
     p = product.select(
         F.col("ProductID").alias("P_ProductID"), F.col("ProductName").alias("P_ProductName"),
         F.col("ProductNumber").alias("P_ProductNumber"), F.col("CategoryName").alias("P_CategoryName"),
@@ -185,9 +189,20 @@ def golden(sales: DataFrame, product: DataFrame, profile: DataFrame, person: Dat
         "CustomerID", "CustomerType", "StoreName", "TerritoryName", "TerritoryRegion", "CountryRegionCode")])
     pe = person.select(F.col("BusinessEntityID").alias("PE_BusinessEntityID"),
                        F.col("FullName").alias("PE_FullName"), F.col("CleanEmail").alias("PE_CleanEmail"))
-    j = (s.join(p, s.S_ProductID == p.P_ProductID, "left")
-          .join(c, F.col("S_CustomerID") == c.C_CustomerID, "left")
-          .join(pe, F.col("S_CustomerID") == pe.PE_BusinessEntityID, "left"))
+
+    def with_products(lines: DataFrame) -> DataFrame:
+        return lines.join(p, F.col("S_ProductID") == p.P_ProductID, "left")
+
+    def with_customers(headers: DataFrame) -> DataFrame:
+        return (headers.join(c, F.col("S_CustomerID") == c.C_CustomerID, "left")
+                .join(pe, F.col("S_CustomerID") == pe.PE_BusinessEntityID, "left"))
+    if sides := known(sales, "sides"):
+        headers, lines = sides
+        # Both grow with the data: sort-merge, as in `golden_from_tables`.
+        j = with_products(lines.select("SalesOrderID", *of_line)).hint("merge").join(
+            with_customers(headers.select(*of_header)), "SalesOrderID")
+    else:
+        j = with_customers(with_products(sales.select(*of_header, *of_line)))
     return _project(j)
 
 
