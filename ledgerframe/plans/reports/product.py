@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ...functions import count_distinct, dec_avg, month_boundaries, round_half_up, safe_div
 from ...operators.pairs import basket_items, item_pairs
-from ...operators.stats import join_group_stats, scalar
+from ...operators.stats import join_group_stats, known, scalar
 from ..golden import latest_year
 
 # BCG labels, recommendation texts and display rank.
@@ -93,7 +93,7 @@ def product_affinity(g: DataFrame, top: int | None = 20, collation: str | None =
     named = g.where(F.col("ProductName").isNotNull())
     items = basket_items(named, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "GrossRevenue")
     pairs = item_pairs(items, "SalesOrderID", ["ProductName", "CategoryName", "CurrencyCode"], "ProductName",
-                       collation=collation)
+                       collation=collation, together=bool(known(g, "by_order")))
     agg = (pairs.groupBy(F.col("ProductName1").alias("Product1"), F.col("CategoryName1").alias("Category1"),
                          F.col("ProductName2").alias("Product2"), F.col("CategoryName2").alias("Category2"),
                          "CurrencyCode1", "CurrencyCode2")

@@ -63,6 +63,26 @@ def test_hot_basket_split_pairs_equal_plain_pairs(spark):
     assert plain == split and len(plain) > 100
 
 
+def test_pairs_of_baskets_that_lie_together_equal_plain_pairs(spark):
+    """Counted by a window: the same pairs, small and hot baskets, null baskets and items, and one pass of the lines."""
+    from ledgerframe.operators.pairs import basket_items, item_pairs
+    rnd = random.Random(11)
+    rows = [(b, rnd.choice([None, *(f"p{i}" for i in range(30))]), rnd.choice(["A", None]), rnd.choice([None, 1.0, 4.0]))
+            for b in [*range(20), None] for _ in range(1 + ((b or 0) % 7) * 4)]
+    df = spark.createDataFrame(rows, "b int, p string, c string, v double").repartition(3, "b")
+    items = basket_items(df, "b", ["p", "c"], "v")
+
+    def pairs(**how):
+        return item_pairs(items, "b", ["p", "c"], "p", **how)
+    plain = sorted(map(str, pairs(cell_items=10 ** 9).collect()))
+    assert len(plain) > 100
+    for cells in (1, 3, 10 ** 9):
+        assert sorted(map(str, pairs(cell_items=cells, together=True).collect())) == plain
+        assert sorted(map(str, pairs(cell_items=cells).collect())) == plain
+    plan = pairs(together=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_multiple_ntiles(spark):
     from ledgerframe.operators.ranking import global_ntiles
     df = spark.createDataFrame([(i, (i * 7) % 5, (i * 3) % 11) for i in range(300)], "id int, a int, b int")
